@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import quality_classifier, quality_rules, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     }
 
 
