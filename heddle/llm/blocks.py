@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCKS_PER_PARTITION = 4
+BLOCKS_PER_PARTITION = 1  # a block sends a row to each bucket, so fewer and larger blocks mean fewer rows
 ROWS_PER_BATCH = 1000
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: later than any other
 
