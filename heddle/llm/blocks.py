@@ -7,6 +7,11 @@ a group holds a value at most once for each block, however many documents share
 
 from __future__ import annotations
 
+import sys
+import tempfile
+import types
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,5 +65,22 @@ def sorted_find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def unsent(value) -> np.ndarray:
-    return np.frombuffer(value, np.uint8)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it; a folder of our own only where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="heddle-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder as Parquet and read again: computed once, and safe from lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/heddle-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def worker_state() -> types.ModuleType:
+    """What a Python worker keeps from task to task."""
+    return sys.modules.setdefault("heddle_worker_state", types.ModuleType("heddle_worker_state"))

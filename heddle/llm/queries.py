@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pii, quality_classifier, quality_rules, substring_dedup
+from . import decontaminate, pii, quality_classifier, quality_rules, substring_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+        "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
         "op10_pii": pii.op10_pii,
     }
 
