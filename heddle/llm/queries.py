@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pii, quality_classifier, quality_rules, substring_dedup
+from . import decontaminate, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, warc
 
 
 def queries() -> dict:
@@ -11,9 +11,12 @@ def queries() -> dict:
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op4_quality_classifier": quality_classifier.op4_quality_classifier,
         "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
+        "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op7_sharding": sharding.op7_sharding,
+        "op9_warc": warc.op9_warc,
         "op10_pii": pii.op10_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": warc.ORACLE_SQL}
