@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, warc
+from . import decontaminate, jaccard_join, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_sharding": sharding.op7_sharding,
+        "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
         "op9_warc": warc.op9_warc,
         "op10_pii": pii.op10_pii,
     }
