@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, warc
+from . import decontaminate, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, warc
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_license_scan": license_scan.op3_license_scan,
         "op4_quality_classifier": quality_classifier.op4_quality_classifier,
         "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
