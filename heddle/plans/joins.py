@@ -1,0 +1,13 @@
+"""Choosing a join side by its checked size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """The frame, marked for broadcast if it has at most `rows` rows; else as it is, and the join is a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
