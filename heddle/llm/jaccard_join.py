@@ -1,12 +1,17 @@
 """N-gram Jaccard join: links between documents whose sets of word shingles are alike, and their components.
 
-Exact for Jaccard similarity of `NUM`/`DEN` or more. Shingles are ordered by rarity (a fixed-size sketch of
-their document counts over all documents, then the hash); two such documents share a shingle among the first
-|x| - ceil(t|x|) + 1 of each, their prefixes. Documents that share a prefix shingle form a tile, cut into
-bands of sizes that differ by less than the threshold allows.
+Exact for Jaccard similarity of `NUM`/`DEN` or more. Shingles are ordered by rarity, then by hash; two such
+documents share a shingle among the first |x| - ceil(t|x|) + 1 of each, their prefixes, whatever the order.
+What counts as common is measured: a first exchange of prefixes in hash order gives the shingles that stand in
+`COMMON` prefixes or more, which go to the end of the order (as bits of a bitmap of fixed size, so that a
+chance hit only changes the order). Documents that share a prefix shingle form a tile, cut into bands of sizes
+that differ by less than the threshold allows.
 
 First pass: in each band of a tile, all documents are paired with its first one, and the pairs of neighbouring
-bands' first ones are added. Identical sets, found by a digest, are linked outright. Second pass: tiles whose
+bands' first ones are added; pairs that met in too few tiles to be likely are left to the second pass, where
+the shingles that two prefixes share are counted in full: what lies beyond a prefix is bounded by its length,
+so a pair that shares fewer than `shared_need` can't be a link.
+Identical sets, found by a digest, are linked outright. Second pass: tiles whose
 documents are still in two components or more are compared in full, between components only: hashed bitmap
 signatures bound a pair's overlap from above by bit counts, and only pairs that can reach the threshold go on.
 Large tiles are compared in pieces. Every pair that goes on is decided by the exact intersection of its sorted
@@ -32,7 +37,8 @@ from .textarrays import _STEP, U64, Words, lower_ascii, mix, ngram_hashes, slice
 
 SHINGLE = 5
 NUM, DEN = 4, 5
-SKETCH_BITS = 18
+COMMON = 8
+COMMON_BITS = 25  # 4 MB
 FLUSH = 1 << 20
 BROADCAST_IDS = 1_000_000  # ids of documents: 16 MB and their hash table
 TILE_PIECE = 2048
@@ -84,37 +90,50 @@ def block_of(ids: np.ndarray, n: int) -> np.ndarray:
     return np.mod(x.view(np.int64), n).astype(np.int32)
 
 
-BASE = "doc_id long, n long, d1 long, d2 long, sketch binary"
+BASE = "doc_id long, n long, d1 long, d2 long"
 
 
 def _base(shingle: int):
     def of_batches(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
         for batch in batches:
             for a, value, off in shingle_sets(batch.column("text"), shingle):
-                sketch += np.bincount((value >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
                 d1, d2 = digests(value, off)
                 n = len(off) - 1
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, n), pa.array(np.diff(off).astype(np.int64)), pa.array(d1), pa.array(d2), pa.nulls(n, pa.binary())], schema=schema)
-        yield pa.RecordBatch.from_pydict({"doc_id": [None], "n": [None], "d1": [None], "d2": [None], "sketch": [zlib.compress(sketch.tobytes(), 1)]}, schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, n), pa.array(np.diff(off).astype(np.int64)), pa.array(d1), pa.array(d2)], names=["doc_id", "n", "d1", "d2"])
 
     return of_batches
 
 
-def _add_sketches(batches):
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
+def _common_slots(table: pa.Table) -> pa.Table:
+    """Of a bucket: the bitmap slots of the shingles that stand in many prefixes."""
+    token = np.sort(np.concatenate(unpack(table["token"], U64)))
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    many = np.diff(np.r_[first, len(token)]) >= COMMON
+    slots = np.unique(token[first[many]] >> U64(64 - COMMON_BITS)).astype(np.uint32)
+    return pa.table({"slots": pa.array([slots.tobytes()], pa.binary())})
+
+
+def _as_bitmap(batches):
+    bits = np.zeros(1 << COMMON_BITS, bool)
     for batch in batches:
-        for x in batch.column("sketch"):
-            total += np.frombuffer(zlib.decompress(x.as_buffer()), np.int64)
-    yield pa.RecordBatch.from_pydict({"sketch": [zlib.compress(total.tobytes(), 1)]}, schema=pa.schema([("sketch", pa.binary())]))
+        for slots in unpack(batch.column("slots"), np.uint32):
+            bits[slots] = True
+    yield pa.RecordBatch.from_pydict({"bits": [zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)]}, schema=pa.schema([("bits", pa.binary())]))
+
 
+def common_shingles(sent: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over the leading bits of the hashes: set for common ones."""
+    p = B.partitions(sent.sparkSession)
+    slots = sent.repartition(p, "bucket").groupBy("bucket").applyInArrow(_common_slots, "slots binary")
+    parts = slots.repartition(8).mapInArrow(_as_bitmap, "bits binary").collect()
+    return np.bitwise_or.reduce([np.zeros(1 << (COMMON_BITS - 3), np.uint8), *[np.frombuffer(zlib.decompress(r["bits"]), np.uint8) for r in parts]])
 
-def commonness(base: DataFrame) -> np.ndarray:
-    """For each slot of the sketch, how far its count stands above the mean: 0 for most, one more for each doubling. Its size is fixed."""
-    parts = base.where("sketch IS NOT NULL").select("sketch").repartition(8).mapInArrow(_add_sketches, "sketch binary").collect()
-    total = sum((np.frombuffer(zlib.decompress(r["sketch"]), np.int64) for r in parts), np.zeros(1 << SKETCH_BITS, np.int64))
-    return np.floor(np.log2(np.maximum(1, total / max(1.0, 2 * total.mean())))).astype(np.uint8)
+
+def is_common(bits: np.ndarray | None, value: np.ndarray) -> np.ndarray:
+    if bits is None:
+        return np.zeros(len(value), np.uint8)
+    slot = value >> U64(64 - COMMON_BITS)
+    return (bits[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1
 
 
 SENT = "bucket int, token binary, id binary, size binary"
@@ -125,7 +144,7 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
     return size - (NUM * size + DEN - 1) // DEN + (size > 0)
 
 
-def _send_prefixes(shingle: int, n: int, level):
+def _send_prefixes(shingle: int, n: int, common):
     def flush(held):
         token, ids, size = (np.concatenate(x) for x in zip(*held))
         order, bounds = split_by(B.bucket_of(token, n), n)
@@ -146,8 +165,8 @@ def _send_prefixes(shingle: int, n: int, level):
                         seen.add(key)
                         keep[d] = True
                 doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-                rare = level.value[(value >> U64(64 - SKETCH_BITS)).astype(np.int64)]
-                order = np.lexsort((value, rare, doc))
+                last = is_common(common.value, value) if common is not None else is_common(None, value)
+                order = np.lexsort((value, last, doc)) if last.any() else np.arange(len(value))
                 size = np.diff(off)
                 rank = np.arange(len(value)) - off[doc]
                 first = (rank < prefix_length(size)[doc]) & keep[doc]
@@ -163,18 +182,29 @@ def _send_prefixes(shingle: int, n: int, level):
     return of_batches
 
 
-PAIRED = "kind int, block int, a binary, b binary, c binary"
-_PAIRED = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+PAIRED = "kind int, block int, a binary, b binary, c binary, d binary"
+_PAIRED = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 
 
 def _band(size: np.ndarray) -> np.ndarray:
     return np.floor(np.log(size) / np.log(DEN / NUM)).astype(np.int64)
 
 
-def _by_block(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, bytes, bytes]]:
+def shared_need(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least number of shingles that the prefixes of two sets of these sizes share if the sets are a link.
+
+    Of the prefix that ends first in the order, all common shingles up to its end are in both prefixes; after
+    it that set has only |x| less its prefix's length.
+    """
+    rest = lambda s: (NUM * s + DEN - 1) // DEN - 1
+    return -(-NUM * (x + y) // (NUM + DEN)) - np.maximum(rest(x), rest(y))
+
+
+def _by_block(a: np.ndarray, b: np.ndarray, met: np.ndarray, need: np.ndarray, n: int) -> list[tuple[int, bytes, bytes, bytes, bytes]]:
+    """Pairs, in how many tiles they met and how many are needed, packed by the block of the first."""
     order, bounds = split_by(block_of(a, n), n)
-    a, b = a[order], b[order]
-    return [(int(k), a[bounds[k] : bounds[k + 1]].tobytes(), b[bounds[k] : bounds[k + 1]].tobytes()) for k in np.flatnonzero(np.diff(bounds))]
+    cols = a[order], b[order], met[order].astype(np.int32), need[order].astype(np.int32)
+    return [(int(k), *(x[bounds[k] : bounds[k + 1]].tobytes() for x in cols)) for k in np.flatnonzero(np.diff(bounds))]
 
 
 def _first_pairs(n: int):
@@ -200,18 +230,19 @@ def _first_pairs(n: int):
         x, y = np.concatenate([pivot, before]), np.concatenate([np.arange(len(ids)), next_band])
         low, high = np.minimum(size[x], size[y]).astype(np.int64), np.maximum(size[x], size[y]).astype(np.int64)
         fit = (DEN * low >= NUM * high) & (ids[x] != ids[y])
-        pairs = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1)[fit], axis=0)
-        rows = [(0, k, a, b, None) for k, a, b in _by_block(pairs[:, 0], pairs[:, 1], n)]
-        # tiles of three documents or more, once for each set of documents
+        x, y = x[fit], y[fit]
+        pairs, first_of, met = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1), axis=0, return_index=True, return_counts=True)
+        need = shared_need(size[x].astype(np.int64), size[y].astype(np.int64))[first_of] // 2
+        rows = [(0, *r) for r in _by_block(pairs[:, 0], pairs[:, 1], met, need, n)]
+        # tiles, once for each set of documents
         start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         length = np.diff(np.r_[start, len(token)])
         total = np.r_[U64(0), np.cumsum(mix(ids.view(U64) + U64(0x77)))]
         name = mix(total[start + length] - total[start] + length.astype(U64))
-        _, once = np.unique(name, return_index=True)
-        once = once[length[once] >= 3]
+        _, once, times = np.unique(name, return_index=True, return_counts=True)
         if len(once):
             at = np.repeat(start[once] - np.r_[0, np.cumsum(length[once])[:-1]], length[once]) + np.arange(length[once].sum())
-            rows.append((1, -1, np.repeat(name[once], length[once]).tobytes(), ids[at].tobytes(), size[at].astype(np.int32).tobytes()))
+            rows.append((1, -1, np.repeat(name[once], length[once]).tobytes(), ids[at].tobytes(), size[at].astype(np.int32).tobytes(), np.repeat(times, length[once]).astype(np.int32).tobytes()))
         return pa.table(dict(zip(_PAIRED.names, map(list, zip(*rows)))) if rows else {c: [] for c in _PAIRED.names}, schema=_PAIRED)
 
     return of_bucket
@@ -226,9 +257,9 @@ def _ids_of_pairs(batches):
 
 def _tile_rows(batches):
     for batch in batches:
-        for name, ids, size in zip(unpack(batch.column("a"), np.int64), unpack(batch.column("b"), np.int64), unpack(batch.column("c"), np.int32)):
-            for k in range(0, len(name), 50_000):
-                yield pa.RecordBatch.from_pydict({"tile": name[k : k + 50_000], "id": ids[k : k + 50_000], "size": size[k : k + 50_000]})
+        for cols in zip(unpack(batch.column("a"), np.int64), unpack(batch.column("b"), np.int64), unpack(batch.column("c"), np.int32), unpack(batch.column("d"), np.int32)):
+            for k in range(0, len(cols[0]), 50_000):
+                yield pa.RecordBatch.from_pydict({c: x[k : k + 50_000] for c, x in zip(("tile", "id", "size", "times"), cols)})
 
 
 def _sets_in(table: pa.Table, wanted: np.ndarray, shingle: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -252,7 +283,9 @@ def _ship(shingle: int, n: int):
     def of_block(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return _SHIPPED.empty_table()
-        pairs = np.unique(np.stack([np.concatenate(unpack(right[c], np.int64)) for c in ("a", "b")], 1), axis=0)
+        pairs, first, of = np.unique(np.stack([np.concatenate(unpack(right[c], np.int64)) for c in ("a", "b")], 1), axis=0, return_index=True, return_inverse=True)
+        met = np.bincount(of.ravel(), np.concatenate(unpack(right["c"], np.int32)), minlength=len(pairs))
+        pairs = pairs[met >= np.concatenate(unpack(right["d"], np.int32))[first]]
         ids, sets = _sets_in(left, np.unique(pairs[:, 0]), shingle)
         order, bounds = split_by(block_of(pairs[:, 1], n), n)
         pairs, rows = pairs[order], []
@@ -260,7 +293,7 @@ def _ship(shingle: int, n: int):
             own = pairs[bounds[k] : bounds[k + 1]]
             need = np.flatnonzero(np.isin(ids, own[:, 0]))
             rows.append((int(k), ids[need].tobytes(), np.array([len(sets[i]) for i in need], np.int64).tobytes(), b"".join(sets[i].tobytes() for i in need), own[:, 0].tobytes(), own[:, 1].tobytes()))
-        return pa.table(dict(zip(_SHIPPED.names, map(list, zip(*rows)))), schema=_SHIPPED)
+        return pa.table(dict(zip(_SHIPPED.names, map(list, zip(*rows)))), schema=_SHIPPED) if rows else _SHIPPED.empty_table()
 
     return of_block
 
@@ -293,9 +326,9 @@ def _decide(shingle: int):
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """A signature of the set; its width follows the size, so that it is about a third full."""
+    """A signature of the set; its width follows the size, so that it is half full at most."""
     width = BITMAP_LEAST
-    while width < BITMAP_MOST and width < 3 * len(s):
+    while width < BITMAP_MOST and 2 * width < 3 * len(s):
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[(s & U64(width - 1)).astype(np.int64)] = 1
@@ -317,35 +350,40 @@ def _folded(bits: np.ndarray, width: int) -> np.ndarray:
 
 
 def _tile_pairs(n: int):
-    """Pairs of a tile, or of two pieces of one, from different components whose bit counts leave an overlap that suffices."""
-
-    def of_tile(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["size"].to_numpy(), kind="stable")
-        size, ids, comp, piece = (table[c].to_numpy()[order] for c in ("size", "id", "component", "piece"))
-        raw = unpack(table["bits"], U64)
-        width = min(len(x) for x in raw)
-        bits = np.stack([_folded(raw[i], width) for i in order])
-        within = table["p"][0].as_py() == table["q"][0].as_py()
-        a, b = [], []
-        size = size.astype(np.int64)
-        top = np.searchsorted(size, size * DEN // NUM, "right")
-        for i in range(len(ids)):
-            j = np.arange(i + 1, top[i])
-            j = j[(comp[j] != comp[i]) & (ids[j] != ids[i]) & (within | (piece[j] != piece[i]))]
-            if len(j):
-                out_i = np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64)
-                out_j = np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64)
-                most = np.minimum(size[i] - out_i, size[j] - out_j)
-                j = j[DEN * most >= NUM * (size[i] + size[j] - most)]
-                a.append(np.full(len(j), ids[i]))
-                b.append(ids[j])
-        if not a:
-            return pa.table({"block": pa.array([], pa.int32()), "a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
-        a, b = np.concatenate(a), np.concatenate(b)
-        rows = _by_block(np.minimum(a, b), np.maximum(a, b), n)
-        return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "a": pa.array([r[1] for r in rows], pa.binary()), "b": pa.array([r[2] for r in rows], pa.binary())})
-
-    return of_tile
+    """Pairs of a tile, or of two pieces of one, from different components whose bit counts leave an overlap that suffices. A group holds several tiles."""
+
+    def of_group(table: pa.Table) -> pa.Table:
+        size, ids, comp, piece, tile, p, q, times = (table[c].to_numpy() for c in ("size", "id", "component", "piece", "tile", "p", "q", "times"))
+        size, raw = size.astype(np.int64), unpack(table["bits"], U64)
+        order = np.lexsort((size, q, p, tile))
+        key = np.stack([tile, p, q], 1)[order]
+        bounds = np.r_[np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]), len(order)]
+        a, b, need, met = [], [], [], []
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            own = order[s:e]
+            z, c, i, w = size[own], comp[own], ids[own], piece[own]
+            width = min(len(raw[k]) for k in own)
+            bits = np.stack([_folded(raw[k], width) for k in own])
+            within = p[own[0]] == q[own[0]]
+            top = np.searchsorted(z, z * DEN // NUM, "right")
+            for k in range(e - s - 1):
+                j = np.arange(k + 1, top[k])
+                j = j[(c[j] != c[k]) & (i[j] != i[k]) & (within | (w[j] != w[k]))]
+                if len(j):
+                    out_k = np.bitwise_count(bits[k] & ~bits[j]).sum(1, dtype=np.int64)
+                    out_j = np.bitwise_count(bits[j] & ~bits[k]).sum(1, dtype=np.int64)
+                    most = np.minimum(z[k] - out_k, z[j] - out_j)
+                    j = j[DEN * most >= NUM * (z[k] + z[j] - most)]
+                    a.append(np.full(len(j), i[k]))
+                    b.append(i[j])
+                    need.append(shared_need(z[k], z[j]))
+                    met.append(np.full(len(j), times[own[0]]))
+        a, b, need, met = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b, need, met))
+        pairs, first, of = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_index=True, return_inverse=True)
+        rows = _by_block(pairs[:, 0], pairs[:, 1], np.bincount(of.ravel(), met, minlength=len(pairs)), need[first], n)
+        return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), **{c: pa.array([r[k] for r in rows], pa.binary()) for k, c in enumerate("abcd", 1)}})
+
+    return of_group
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -354,6 +392,14 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
+def _without(docs: DataFrame, sets: DataFrame, equal: DataFrame) -> DataFrame:
+    """The documents but for those whose set equals that of a smaller doc_id. A doc_id with several rows stays, as they may differ."""
+    several = sets.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    ids = B.saved(equal.select(F.col("b").alias("id")).distinct().join(several.withColumnRenamed("doc_id", "id"), "id", "left_anti"))
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "id", "left_anti")
+
+
 def _decided(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """(a, b) of those pairs, packed by the block of a, that are links."""
     spark = docs.sparkSession
@@ -371,19 +417,20 @@ def joined(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFram
     n, p = B.block_count(spark), B.partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = B.saved(rows.mapInArrow(_base(shingle), BASE))
-    sets = base.where("sketch IS NULL")
-    level = spark.sparkContext.broadcast(commonness(base))
+    sets = base
     known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
     full = sets.where("n > 0 AND doc_id IS NOT NULL")
     copies = full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z")
-    equal = full.join(copies, ["n", "d1", "d2"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    equal = B.saved(full.join(copies, ["n", "d1", "d2"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")))
+    known = _without(known, sets, equal)
 
-    sent = known.mapInArrow(_send_prefixes(shingle, n, level), SENT)
+    common = spark.sparkContext.broadcast(common_shingles(known.mapInArrow(_send_prefixes(shingle, n, None), SENT)))
+    sent = known.mapInArrow(_send_prefixes(shingle, n, common), SENT)
     paired = B.saved(sent.repartition(p, "bucket").groupBy("bucket").applyInArrow(_first_pairs(n), PAIRED))
-    links = B.saved(equal.union(_decided(known, paired.where("kind = 0").select("block", "a", "b"), shingle)))
+    links = B.saved(equal.union(_decided(known, paired.where("kind = 0").select("block", "a", "b", "c", "d"), shingle)))
     found = B.saved(components(links))
 
-    tiles = paired.where("kind = 1").select("a", "b", "c").mapInArrow(_tile_rows, "tile long, id long, size int").dropDuplicates(["tile", "id"])
+    tiles = paired.where("kind = 1").select("a", "b", "c", "d").mapInArrow(_tile_rows, "tile long, id long, size int, times int").groupBy("tile", "id").agg(F.max("size").alias("size"), F.sum("times").alias("times"))
     tiles = tiles.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     tiles = B.saved(tiles)
     open_ = tiles.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y")
@@ -396,7 +443,8 @@ def joined(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFram
     piece = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
     cut = rest.withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     cut = cut.withColumn("p", F.least("piece", "other")).withColumn("q", F.greatest("piece", "other")).join(signed, "id")
-    more = cut.groupBy("tile", "p", "q").applyInArrow(_tile_pairs(n), "block int, a binary, b binary")
+    group = F.when(F.col("pieces") == 1, F.pmod("tile", F.lit(4 * p))).otherwise(F.xxhash64("tile", "p", "q"))
+    more = cut.withColumn("grp", group).groupBy("grp").applyInArrow(_tile_pairs(n), "block int, a binary, b binary, c binary, d binary")
     again = B.saved(_decided(known, B.saved(more), shingle))
     if again.isEmpty():
         return sets.select("doc_id", "n"), found
