@@ -248,11 +248,22 @@ def _first_pairs(n: int):
     return of_bucket
 
 
-def _ids_of_pairs(batches):
-    for batch in batches:
-        for c in ("a", "b"):
-            ids = np.unique(np.concatenate([np.zeros(0, np.int64), *unpack(batch.column(c), np.int64)]))
-            yield pa.RecordBatch.from_pydict({"id": ids})
+def _ids_of_pairs(n: int):
+    """The ids that a task's pairs name, once each, packed by block."""
+
+    def of_batches(batches):
+        ids = np.zeros(0, np.int64)
+        for batch in batches:
+            ids = np.unique(np.concatenate([ids, *unpack(batch.column("a"), np.int64), *unpack(batch.column("b"), np.int64)]))
+        order, bounds = split_by(block_of(ids, n), n)
+        full = np.flatnonzero(np.diff(bounds))
+        yield pa.RecordBatch.from_pydict({"block": full.astype(np.int32), "ids": pa.array([ids[order[bounds[k] : bounds[k + 1]]].tobytes() for k in full], pa.binary())})
+
+    return of_batches
+
+
+def _once(table: pa.Table) -> pa.Table:
+    return pa.table({"id": np.unique(np.concatenate(unpack(table["ids"], np.int64)))})
 
 
 def _tile_rows(batches):
@@ -404,7 +415,8 @@ def _decided(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """(a, b) of those pairs, packed by the block of a, that are links."""
     spark = docs.sparkSession
     n, p = B.block_count(spark), B.partitions(spark)
-    need = B.saved(pairs.select("a", "b").mapInArrow(_ids_of_pairs, "id long").distinct())
+    named = pairs.select("a", "b").mapInArrow(_ids_of_pairs(n), "block int, ids binary").repartition(p, "block")
+    need = B.saved(named.groupBy("block").applyInArrow(_once, "id long"))
     dealt = _only(docs, need).select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), "id", "text").repartition(p, "block")
     shipped = dealt.groupBy("block").cogroup(pairs.repartition(p, "block").groupBy("block")).applyInArrow(_ship(shingle, n), SHIPPED)
     return dealt.groupBy("block").cogroup(shipped.repartition(p, "block").groupBy("block")).applyInArrow(_decide(shingle), "a long, b long")
