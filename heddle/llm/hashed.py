@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .textarrays import U64, Words, ngram_hashes, slices, space_split_table
 
 BITS = 18
+RUN = 1 << 19  # features that are multiplied at a time
 _TABLE = space_split_table()
 _BYTE = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 SPARSE = "label int, at long, key binary, value binary"
@@ -70,18 +71,29 @@ class Sample:
         got = got.sort_by([("at", "ascending"), ("label", "ascending")]).combine_chunks()
         self.label = got["label"].to_numpy() if len(got) else np.zeros(0, np.int32)
         keys = [np.frombuffer(k.as_buffer(), np.int32) for k in got["key"]]
-        self.row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        self.bounds = np.r_[0, np.cumsum([len(k) for k in keys], dtype=np.int64)]
         self.key = np.concatenate([np.zeros(0, np.int32), *keys])
         self.value = np.concatenate([np.zeros(0, np.float32), *[np.frombuffer(v.as_buffer(), np.float32) for v in got["value"]]])
 
     def __len__(self) -> int:
         return len(self.label)
 
+    def _runs(self):
+        """Rows a to b, some at a time, so that what a step allocates does not grow with the sample."""
+        a = 0
+        while a < len(self):
+            b = max(a + 1, int(np.searchsorted(self.bounds, self.bounds[a] + RUN, "right")) - 1)
+            yield a, b, self.bounds[a], self.bounds[b], np.repeat(np.arange(b - a), np.diff(self.bounds[a : b + 1]))
+            a = b
+
     def score(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * weights[self.key], minlength=len(self))
+        return np.concatenate([np.zeros(0), *[np.bincount(row, self.value[s:e] * weights[self.key[s:e]], minlength=b - a) for a, b, s, e, row in self._runs()]])
 
     def gradient(self, by_row: np.ndarray) -> np.ndarray:
-        return np.bincount(self.key, self.value * by_row[self.row], minlength=1 << BITS)
+        out = np.zeros(1 << BITS)
+        for a, b, s, e, row in self._runs():
+            out += np.bincount(self.key[s:e], self.value[s:e] * by_row[a:b][row], minlength=1 << BITS)
+        return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
