@@ -1 +1,249 @@
-"""Further registered queries."""
+"""Queries of chunking, planning, conversations, evaluation and events, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from . import oracle as O
+from .catalogue import _HYBRID, query
+from .functions import text as T
+from .operators import chunking as K
+from .operators import context as X
+from .operators import conversation as V
+from .operators import evaluate as E
+from .operators import lexical as L
+from .operators import planner as P
+from .operators import retrieval as R
+from .sources import corpus as C
+from .sources import html as H
+
+WIDE = r"[^\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"
+
+
+def _wide(x: str) -> str:
+    return f"length(regexp_replace({x}, '{WIDE}', '', 'g'))"
+
+
+# chunks
+
+_CHUNKS = rf"""RECURSIVE {O.DOCS},
+l AS (SELECT chunk_id, path, unnest(string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS raw, generate_subscripts(string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1) AS i FROM docs),
+s AS (SELECT chunk_id, path, i, regexp_replace(raw, '\s+$', '') AS line FROM l),
+u AS (SELECT *, line = '' AS blank, greatest(1, {_wide('line')} + CAST(ceil((length(line) - {_wide('line')}) / 4) AS INTEGER)) AS tok FROM s),
+p AS (SELECT *, sum(tok) OVER (PARTITION BY chunk_id ORDER BY i) AS p, max(i) OVER (PARTITION BY chunk_id) AS n FROM u),
+back AS (SELECT a.chunk_id, a.i, max(b.i) AS s FROM p a JOIN p b ON a.chunk_id = b.chunk_id AND b.i <= a.i AND a.p - b.p + b.tok >= {K.OVERLAP} GROUP BY a.chunk_id, a.i),
+w AS (SELECT p.*, coalesce(s, 1) AS back FROM p LEFT JOIN back USING (chunk_id, i)),
+f AS (SELECT chunk_id, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS start, CAST(0 AS HUGEINT) AS before, CAST(NULL AS BIGINT) AS ea FROM docs
+  UNION ALL SELECT w.chunk_id, w.i, CASE WHEN w.p - f.before >= {K.TARGET} THEN greatest(f.start, w.back) WHEN w.blank AND w.p - f.before >= {K.PARAGRAPH} THEN w.i + 1 ELSE f.start END,
+    CASE WHEN w.p - f.before >= {K.TARGET} THEN w.p - list_sum(list_slice(tk, greatest(f.start, w.back), w.i)) WHEN w.blank AND w.p - f.before >= {K.PARAGRAPH} THEN w.p ELSE f.before END,
+    CASE WHEN w.p - f.before >= {K.TARGET} OR (w.blank AND w.p - f.before >= {K.PARAGRAPH}) THEN f.start END
+  FROM f JOIN w ON w.chunk_id = f.chunk_id AND w.i = f.i + 1 JOIN (SELECT chunk_id, list(tok ORDER BY i) AS tk FROM p GROUP BY chunk_id) t ON t.chunk_id = w.chunk_id),
+e AS (SELECT chunk_id, ea AS a, i AS b FROM f WHERE ea IS NOT NULL UNION ALL SELECT f.chunk_id, f.start, f.i FROM f JOIN (SELECT chunk_id, max(i) AS n FROM u GROUP BY chunk_id) x ON x.chunk_id = f.chunk_id AND x.n = f.i WHERE f.start <= f.i),
+c AS (SELECT e.chunk_id, min(u.path) AS path, e.a, e.b, min(u.i) AS start_line, max(u.i) AS end_line FROM e JOIN u ON u.chunk_id = e.chunk_id AND u.i BETWEEN e.a AND e.b AND NOT u.blank GROUP BY e.chunk_id, e.a, e.b),
+t AS (SELECT c.chunk_id AS doc_id, c.path, c.start_line, c.end_line, regexp_replace(string_agg(line, chr(10) ORDER BY u.i), '^\s+|\s+$', '', 'g') AS content FROM c JOIN u ON u.chunk_id = c.chunk_id AND u.i BETWEEN c.start_line AND c.end_line GROUP BY c.chunk_id, c.path, c.a, c.b, c.start_line, c.end_line),
+chunks AS (SELECT *, sha1(path || ':' || 'L' || start_line || '-' || end_line || ':' || content) AS chunk_id FROM t WHERE length(content) >= {K.LEAST})"""
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, chunk_id, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, CAST(length(content) AS INTEGER) AS n_chars FROM chunks")
+def chunk_prose(spark, sf_dir):
+    """Prose chunks of every document."""
+    return K.chunks(C.whole_documents(spark, sf_dir)).select("doc_id", "chunk_id", "start_line", "end_line", F.length("content").alias("n_chars"))
+
+
+@query(f"WITH {_CHUNKS} SELECT count(*) AS chunks, count(DISTINCT doc_id) AS files, CAST(sum(2 * length(content) + 2 * length(chunk_id) + 2 * length(path) + 64) AS BIGINT) * 1000 // count(*) AS memory_per_1000 FROM chunks")
+def corpus_view(spark, sf_dir):
+    """Chunks, files, and the estimated memory of 1000 chunks without vectors."""
+    size = 2 * F.length("content") + 2 * F.length("chunk_id") + 2 * F.length("path") + 64
+    return K.chunks(C.whole_documents(spark, sf_dir)).agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("files"), F.expr("1").alias("_"), F.sum(size).alias("s")).select("chunks", "files", F.expr("s * 1000 div chunks").alias("memory_per_1000"))
+
+
+@query(f"""WITH {_CHUNKS}, o AS (SELECT *, lag(chunk_id) OVER w AS pid, lag(end_line) OVER w AS pe, lag(length(content)) OVER w AS ps, lead(chunk_id) OVER w AS nid, lead(start_line) OVER w AS ns, lead(length(content)) OVER w AS nz
+  FROM chunks WINDOW w AS (PARTITION BY path ORDER BY start_line, end_line, chunk_id)),
+b AS (SELECT *, coalesce(pe < start_line AND length(content) + ps <= {X.EXPANDED - 2}, false) AS ok FROM o)
+SELECT chunk_id, CASE WHEN ok THEN pid END AS before, CASE WHEN ns > end_line AND length(content) + CASE WHEN ok THEN ps + 2 ELSE 0 END + nz <= {X.EXPANDED - 2} THEN nid END AS after FROM b""")
+def neighbour_expansion(spark, sf_dir):
+    """The chunks before and after each that may join it in a context."""
+    return X.neighbours(K.chunks(C.whole_documents(spark, sf_dir))).select("chunk_id", "before", "after")
+
+
+@query()
+def mmr_context(spark, sf_dir):
+    """Diverse picks among the hybrid results of each benchmark item (J9, D11, H2, I15). A greedy loop: no SQL."""
+    index = L.build(C.whole_documents(spark, sf_dir))
+    found = R.search(index, C.benchmark_queries(spark, sf_dir), limit=12)
+    return X.select(found.join(index.chunks.select("chunk_id", "content"), "chunk_id"), 6).withColumn("score", F.round("score", 6))
+
+
+@query()
+def html_main_text(spark, sf_dir):
+    """Main text of every page, by section (A14). HTML needs a parser: no SQL."""
+    return H.sections(C.table(spark, sf_dir, "pages")).select("page_id", "section", "title", "number", "text")
+
+
+# files
+
+_FILES = """files AS (SELECT source AS root, CAST(doc_id AS VARCHAR) || '.' || lang AS relative_path, lang AS extension, doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, doc_id * 1000 AS modified_at, sha256(coalesce(text, '')) AS content_hash, n_chars FROM documents)"""
+_ENTRIES = """entries AS (SELECT root, relative_path || CASE WHEN doc_id % 13 = 0 THEN '.old' ELSE '' END AS relative_path, size, modified_at, CASE WHEN doc_id % 11 = 0 THEN 'other' ELSE content_hash END AS content_hash,
+  CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 2 END AS reader_version FROM files WHERE doc_id % 7 <> 0)"""
+
+
+def _files(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    docs = C.table(spark, sf_dir, "documents").select(F.col("source").alias("root"), F.concat(F.col("doc_id").cast("string"), F.lit("."), "lang").alias("relative_path"), F.col("lang").alias("extension"), "doc_id", F.octet_length(text).cast("long").alias("size"), (F.col("doc_id") * 1000).alias("modified_at"), text.alias("content"), "n_chars")
+    return P.fingerprints(docs)
+
+
+def _entries(files):
+    """A past state of the files: some were absent, named otherwise, other in content or read by an older reader."""
+    past = lambda k: F.col("doc_id") % k == 0
+    return files.where("doc_id % 7 <> 0").select("root", F.concat("relative_path", F.when(past(13), ".old").otherwise("")).alias("relative_path"), "size", "modified_at", F.when(past(11), "other").otherwise(F.col("content_hash")).alias("content_hash"), F.lit("text").alias("reader_id"), F.when(past(17), 1).otherwise(2).alias("reader_version"), F.lit(3).alias("chunking_version"))
+
+
+@query(f"""WITH {_FILES}, {_ENTRIES} SELECT coalesce(f.root, e.root) AS root, coalesce(f.relative_path, e.relative_path) AS relative_path,
+  CASE WHEN e.root IS NULL THEN 'added' WHEN f.root IS NULL THEN 'deleted' WHEN f.size = e.size AND f.modified_at = e.modified_at AND f.content_hash = e.content_hash AND e.reader_version = 2 THEN 'reused' ELSE 'modified' END AS action
+  FROM files f FULL OUTER JOIN entries e ON f.root = e.root AND f.relative_path = e.relative_path""")
+def incremental_plan(spark, sf_dir):
+    """What to read again, keep or drop since a past state of the documents."""
+    files = _files(spark, sf_dir)
+    return P.plan(_entries(files), files.withColumns({"reader_id": F.lit("text"), "reader_version": F.lit(2)}), 3)
+
+
+@query(f"""WITH {_FILES}, h AS (SELECT root, sha256(relative_path || chr(0) || size || chr(0) || modified_at) AS h FROM files),
+b AS (SELECT root, substr(h, 1, 3) AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY ALL)
+SELECT root, CAST(sum(n) AS BIGINT) AS files, sha256(string_agg(h, '' ORDER BY b)) AS set_hash FROM b GROUP BY root""")
+def source_set_hash(spark, sf_dir):
+    """One hash of the files of each root."""
+    return P.set_hash(_files(spark, sf_dir), "root")
+
+
+@query(f"""WITH {_FILES}, c AS (SELECT extension, count(*) AS n FROM files WHERE extension NOT IN ('en') GROUP BY extension), t AS (SELECT * FROM c ORDER BY n DESC, extension LIMIT 6)
+SELECT (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM c) AS skipped, string_agg(extension || ' ' || n, ', ' ORDER BY n DESC, extension) AS listed FROM t""")
+def unsupported_rollup(spark, sf_dir):
+    """Files that no reader takes, were English the only one."""
+    return P.unsupported(_files(spark, sf_dir), ["en"])
+
+
+@query(f"""WITH {_FILES}, {_ENTRIES} SELECT coalesce(f.relative_path, e.relative_path) AS relative_path, coalesce(f.root, e.root) AS root,
+  CASE WHEN f.root IS NULL THEN 'DELETED' WHEN f.doc_id % 19 = 0 THEN 'IGNORED' WHEN f.extension = 'fr' THEN 'UNSUPPORTED' WHEN f.size > 2000 THEN 'OVERSIZED' WHEN e.root IS NULL THEN 'NOT_INDEXED' WHEN f.content_hash = e.content_hash THEN 'INDEXED' ELSE 'MODIFIED' END AS state
+  FROM files f FULL OUTER JOIN entries e ON f.root = e.root AND f.relative_path = e.relative_path""")
+def file_state(spark, sf_dir):
+    """The state of each file against the index."""
+    files = _files(spark, sf_dir)
+    old = _entries(files).select("root", "relative_path", F.col("content_hash").alias("old_hash"))
+    rows = files.join(old, ["root", "relative_path"], "full_outer")
+    there = F.col("doc_id").isNotNull()
+    state = P.file_state(F.col("doc_id") % 19 == 0, F.col("extension") != "fr", F.col("size") > 2000, F.col("old_hash").isNotNull(), there, F.col("old_hash") == F.col("content_hash"))
+    return rows.select("relative_path", "root", state.alias("state"))
+
+
+@query(f"WITH {O.DOCS}, a AS (SELECT unnest(['/kb', '/kb/' || string_split(path, '/')[3]]) AS folder FROM docs) SELECT folder, count(*) AS n FROM a GROUP BY folder")
+def descendant_counts(spark, sf_dir):
+    """Files below each folder."""
+    return P.descendants(C.whole_documents(spark, sf_dir))
+
+
+# conversations
+
+_TOKENS = f"CASE WHEN coalesce(text, '') IS NULL THEN 0 ELSE CAST(ceil(ceil({_wide(chr(99))} + (length(c) - {_wide(chr(99))}) / 4) + 4) AS BIGINT) END"
+
+
+@query(f"SELECT conv_id, turn, {_TOKENS} AS tokens FROM (SELECT *, coalesce(text, '') AS c FROM conversations)")
+def token_estimate(spark, sf_dir):
+    """Estimated tokens of every message."""
+    return C.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.message_tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"""WITH m AS (SELECT *, coalesce(text, '') AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM conversations),
+t AS (SELECT *, {_TOKENS} AS tokens FROM m WHERE age <= {V.MESSAGES}), h AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY age) AS held FROM t),
+f AS (SELECT *, min(turn) FILTER (role = 'user' AND (held <= {V.BUDGET} OR age = 1)) OVER (PARTITION BY conv_id) AS first FROM h)
+SELECT conv_id, turn, role, tokens, CAST(held AS BIGINT) AS held FROM f WHERE turn >= first""")
+def conversation_trim(spark, sf_dir):
+    """The history that goes with the next question."""
+    return V.trimmed(C.table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "tokens", "held")
+
+
+@query(rf"""WITH u AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user'), b AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM u)
+SELECT conv_id, turn, before, CASE WHEN before IS NOT NULL AND (length(text) <= {V.SHORT} OR regexp_matches(text, {O.quote(V.PRONOUN)})) THEN substr(before || chr(10) || text, 1, {V.RESOLVED}) ELSE text END AS resolved FROM b""")
+def last_user_turn(spark, sf_dir):
+    """Each question with the one before where it points back."""
+    return V.resolved(C.table(spark, sf_dir, "conversations")).select("conv_id", "turn", "before", "resolved")
+
+
+# events
+
+_RATIO = f"least({V.HIGH}, greatest({V.LOW}, value / (40 + event_id % 60)))"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+f AS (SELECT user_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS event_id, CAST(1 AS DOUBLE) AS factor FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT e.user_id, e.r, e.event_id, CASE WHEN 40 + e.event_id % 60 >= {V.LEAST_TOKENS} AND e.value IS NOT NULL THEN least({V.HIGH}, greatest({V.LOW}, {V.KEEP} * f.factor + {1 - V.KEEP} * {_RATIO.replace('event_id', 'e.event_id').replace('value', 'e.value')})) ELSE f.factor END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1)
+SELECT user_id, event_id, round(factor, 6) AS factor FROM f WHERE r > 0""")
+def usage_ewma(spark, sf_dir):
+    """Calibration factor of each user after each observation."""
+    usage = C.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (40 + F.col("event_id") % 60).alias("estimate"), F.col("value").alias("actual"))
+    return V.calibrated(usage).select(F.col("key").alias("user_id"), F.col("seq").alias("event_id"), F.round("factor", 6).alias("factor"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def debounce_sessions(spark, sf_dir):
+    """Bursts of events: a pause of ten minutes ends one (L2)."""
+    events = C.table(spark, sf_dir, "events")
+    return events.groupBy("user_id", F.session_window("ts", "10 minutes").alias("s")).agg(F.min("ts").alias("start"), F.count("*").alias("n")).select("user_id", "start", "n")
+
+
+@query(r"""SELECT event_id, substr(regexp_replace(regexp_replace(props, '(?i)(bearer\s+)[A-Za-z0-9._~+/=-]+', '\1[REDACTED]', 'g'), '(?i)((?:api[_-]?key|token|secret|password)\s*[=:]\s*"?)[^\s,;"]+', '\1[REDACTED]', 'g'), 1, 500) AS props FROM events""")
+def redact_events(spark, sf_dir):
+    """Properties of events without keys."""
+    return C.table(spark, sf_dir, "events").select("event_id", T.redact(F.col("props")).alias("props"))
+
+
+@query("SELECT event_type, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
+def latency_percentiles(spark, sf_dir):
+    """Nearest-rank percentiles."""
+    return C.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("value").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+
+
+# evaluation
+
+_LIMIT = 12
+_METRICS = f"""o AS (SELECT qid, file_name, row_number() OVER (PARTITION BY qid ORDER BY rnk) AS pos FROM res WHERE rnk <= {_LIMIT}),
+ex AS (SELECT qid, file_name FROM sparse WHERE rank <= 3), n AS (SELECT qid, count(*) AS want FROM ex GROUP BY qid),
+r AS (SELECT qid, count(*) AS got FROM o GROUP BY qid),
+m AS (SELECT n.qid, 'c' || (n.qid % 3) AS category, want, coalesce(got, 0) AS got, count(o.pos) FILTER (o.pos <= 5) AS h5, min(o.pos) FILTER (o.pos <= 10) AS best,
+    coalesce(sum(ln(2) / ln(o.pos + 1)) FILTER (o.pos <= 10), 0) AS dcg FROM n LEFT JOIN r USING (qid) JOIN ex USING (qid) LEFT JOIN o ON o.qid = ex.qid AND o.file_name = ex.file_name GROUP BY n.qid, want, got),
+per_case AS (SELECT qid, category, h5 / want AS recall5, CASE WHEN h5 > 0 THEN 1.0 ELSE 0.0 END AS hit5, CASE WHEN got > 0 THEN h5 / least(5, got) ELSE 0 END AS precision5, coalesce(1.0 / best, 0) AS mrr10,
+    least(1.0, dcg / (SELECT sum(ln(2) / ln(k + 1)) FROM range(1, 4) t(k) WHERE k <= want)) AS ndcg10 FROM m)"""
+_MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in E.MEANS)
+_OF_RRF = f"{_HYBRID}, {O.pool(_LIMIT)}, f2 AS (SELECT *, fusion AS score FROM pool), {O.capped('f2', 'score', _LIMIT, 'file_name, seq')}"
+_OF_RERANK = f"{_HYBRID}, {O.pool(_LIMIT)}, {O.FEATURES}, {O.RERANKED}, {O.capped('fin', 'score', _LIMIT, 'file_name, source_location, chunk_id')}"
+
+
+def _metrics(spark, sf_dir, strategy):
+    """Metrics against the three best lexical results of each item: how far a strategy keeps them."""
+    index, queries = L.build(C.whole_documents(spark, sf_dir)), C.benchmark_queries(spark, sf_dir)
+    best = R.sparse_branch(index, L.analysed(queries), 3)
+    none = F.array().cast("array<string>")
+    cases = best.groupBy("qid").agg(F.collect_list("file_name").alias("expected")).select("qid", "expected", F.concat(F.lit("c"), F.col("qid") % 3).alias("category"), F.lit(False).alias("passage"), none.alias("forbidden"), none.alias("hard"), F.lit(True).alias("answerable"))
+    found = R.search(index, queries, strategy, _LIMIT).select("qid", "rank", "file_name", F.lit(False).alias("passage_hit"))
+    return E.per_case(found, cases)
+
+
+@query(f"{_OF_RERANK}, {_METRICS} SELECT qid, {', '.join(f'round({m}, 6) AS {m}' for m in E.MEANS)} FROM per_case")
+def eval_metrics(spark, sf_dir):
+    """Metrics of each benchmark item (2.K, D12, F4, F5, I30)."""
+    return _metrics(spark, sf_dir, "RRF_RERANK").select("qid", *[F.round(m, 6).alias(m) for m in E.MEANS])
+
+
+@query(f"{_OF_RERANK}, {_METRICS} SELECT category, count(*) AS cases, {_MEANS} FROM per_case GROUP BY category")
+def eval_by_category(spark, sf_dir):
+    """Their means for each category."""
+    return E.rollup(_metrics(spark, sf_dir, "RRF_RERANK"), "category")
+
+
+@query(f"SELECT 'RRF' AS strategy, * FROM ({_OF_RRF}, {_METRICS} SELECT count(*) AS cases, {_MEANS} FROM per_case) UNION ALL SELECT 'RRF_RERANK', * FROM ({_OF_RERANK}, {_METRICS} SELECT count(*) AS cases, {_MEANS} FROM per_case)")
+def eval_ablation(spark, sf_dir):
+    """Their means for each strategy."""
+    parts = [E.rollup(_metrics(spark, sf_dir, s)).withColumn("strategy", F.lit(s)) for s in ("RRF", "RRF_RERANK")]
+    return parts[0].unionByName(parts[1])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Stop words, concepts with their phrases, query framing, code extensions.
 STOP_WORDS = (
@@ -52,7 +53,7 @@ QUERY_HAN_TOKEN, QUERY_HAN_GRAM, QUERY_LATIN = 1.4, 1.25, 1.25
 WIDE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility normalisation, for ingest: Spark has no built-in for it."""
     return texts.str.normalize("NFKC")
