@@ -7,9 +7,7 @@ a group holds a value at most once for each block, however many documents share
 
 from __future__ import annotations
 
-import sys
 import tempfile
-import types
 import uuid
 
 import numpy as np
@@ -79,8 +77,3 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/heddle-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def worker_state() -> types.ModuleType:
-    """What a Python worker keeps from task to task."""
-    return sys.modules.setdefault("heddle_worker_state", types.ModuleType("heddle_worker_state"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .textarrays import Words, slices, space_split_table
+from .textarrays import Words, slices, space_split_table, worker_state
 
 CAPACITY = 2048
 GROUP_ITEMS = 20_000
@@ -135,7 +135,7 @@ class WordTokens:
 
 def _pieces(path: str | None):
     def of_batches(batches):
-        state = B.worker_state().__dict__.setdefault("tokens", {})
+        state = worker_state().__dict__.setdefault("tokens", {})
         if path not in state:
             state[path] = WordTokens(path)
         tokens = state[path]

@@ -7,6 +7,8 @@ every pass over the data gives the same value for the same words.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,6 @@ U64 = np.uint64
 SLICE_BYTES = 2 << 20
 _RADIX = 0x9E3779B97F4A7C15
 _STEP = U64(0xD6E8FEB86659FD93)
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def space_split_table() -> np.ndarray:
@@ -50,15 +51,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def worker_state() -> types.ModuleType:
+    """What a process keeps from task to task. It is no global of this package, as those travel with every function."""
+    return sys.modules.setdefault("heddle_worker_state", types.ModuleType("heddle_worker_state"))
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
+    held = worker_state().__dict__
+    if "powers" not in held or len(held["powers"][0]) < n:
         size = max(n, SLICE_BYTES + 4096)
-        for name, base in (("up", _RADIX), ("down", pow(_RADIX, -1, 1 << 64))):
+        made = []
+        for base in (_RADIX, pow(_RADIX, -1, 1 << 64)):
             x = np.full(size, base, U64)
             x[0] = 1
-            _POWERS[name] = np.multiply.accumulate(x)
-    return _POWERS["up"], _POWERS["down"]
+            made.append(np.multiply.accumulate(x))
+        held["powers"] = tuple(made)
+    return held["powers"]
 
 
 def string_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
