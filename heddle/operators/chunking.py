@@ -41,7 +41,7 @@ def prose_ranges(tokens: list[int], blank: list[bool]) -> list[tuple[int, int]]:
         elif blank[i] and held >= PARAGRAPH:
             out.append((start, i))
             start, held = i + 1, 0
-    if start < len(tokens):
+    if start < len(tokens) and (start, len(tokens) - 1) not in out[-1:]:
         out.append((start, len(tokens) - 1))
     return out
 
