@@ -23,11 +23,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) <= 0) | (length == 0), F.lit(0.0)).otherwise(dot(a, b) / length)
 
 
-def histogram(text: Column, width: int = 400) -> Column:
-    """Counts of the first `width` characters by code mod 8, scaled to length 1; no vector for an empty text."""
-    codes = F.transform(F.split(F.substring(text, 1, width), ""), lambda c: F.ascii(c) % BUCKETS)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter(codes, lambda c: c == b)).cast("double"))
-    return F.when(F.length(text) > 0, F.transform(counts, lambda x: x / F.sqrt(norm2(counts))))
+def histogram(text: Column) -> Column:
+    """Counts of all characters by code mod 8, scaled to length 1; no vector for an empty text. Arrays of one element hold what is used more than once, so that it is computed once."""
+    codes = F.array(F.transform(F.split(text, ""), lambda c: F.ascii(c) % BUCKETS))
+    counts = F.transform(codes, lambda x: F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter(x, lambda c: c == b)).cast("double")))
+    return F.when(F.length(text) > 0, F.transform(counts, lambda k: F.transform(k, lambda n: n / F.sqrt(norm2(k))))[0])
 
 
 def compatible(vectors: Column, dimension: int) -> Column:
