@@ -32,7 +32,7 @@ from .textarrays import U64, Words, ngram_hashes, slices, space_split_table, spl
 ANCHOR = 6
 WINDOW = 13
 SEND = "bucket int, block int, hash binary, more binary"
-INDEX = "bucket int, block int, hash binary, high binary, id binary"
+INDEX = "bucket int, block int, hash binary, high binary, id binary, more binary"
 FACTORS = "id long, n_words long, starts array<long>, lengths array<long>, references array<int>"
 _SECOND = U64(0xC2B2AE3D27D4EB4F)
 _TABLE = space_split_table()
@@ -101,7 +101,7 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
 
 def _send_windows(window: int, n: int):
     def of_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hash", pa.binary()), ("high", pa.binary()), ("id", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hash", pa.binary()), ("high", pa.binary()), ("id", pa.binary()), ("more", pa.binary())])
         shared = np.sort(np.concatenate([np.zeros(0, U64), *unpack(right["hash"], U64)]))
         if not len(shared) or not len(left):
             return schema.empty_table()
@@ -119,13 +119,13 @@ def _send_windows(window: int, n: int):
         h, high, i = h[order], high[order], i[order]
         first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (high[1:] != high[:-1])])
         last = np.r_[first[1:], len(h)] - 1
-        # bit 0 of the sent id tells whether a second document of this block has the window
-        h, high, i = h[first], high[first], i[first] * 2 + (i[first] != i[last])
+        more = i[first] != i[last]  # stands in two documents of this block
+        h, high, i = h[first], high[first], i[first]
         order, bounds = split_by(B.bucket_of(h, n), n)
-        h, high, i = h[order], high[order], i[order]
+        h, high, i, more = h[order], high[order], i[order], more[order]
         full = np.flatnonzero(np.diff(bounds))
         cut = lambda x: [x[bounds[k] : bounds[k + 1]].tobytes() for k in full]
-        return pa.table({"bucket": full.astype(np.int32), "block": np.full(len(full), left["block"][0].as_py(), np.int32), "hash": cut(h), "high": cut(high), "id": cut(i)}, schema=schema)
+        return pa.table({"bucket": full.astype(np.int32), "block": np.full(len(full), left["block"][0].as_py(), np.int32), "hash": cut(h), "high": cut(high), "id": cut(i), "more": [np.packbits(more[bounds[k] : bounds[k + 1]]).tobytes() for k in full]}, schema=schema)
 
     return of_block
 
@@ -133,17 +133,18 @@ def _send_windows(window: int, n: int):
 def _first_sources(table: pa.Table) -> pa.Table:
     """Of a bucket: for each block, the windows that start in a smaller document, and that document's block."""
     each, highs, ids = unpack(table["hash"], U64), unpack(table["high"], np.uint16), unpack(table["id"], np.int64)
+    more = np.concatenate([np.unpackbits(m, count=len(x)).astype(bool) for x, m in zip(each, unpack(table["more"], np.uint8))])
     block = table["block"].to_numpy()
     h, high, i = np.concatenate(each), np.concatenate(highs), np.concatenate(ids)
     sizes = [len(x) for x in each]
     row = np.repeat(np.arange(len(each)), sizes)
-    order = np.lexsort((i >> 1, high, h))
+    order = np.lexsort((i, high, h))
     s, t = h[order], high[order]
     new = np.r_[True, (s[1:] != s[:-1]) | (t[1:] != t[:-1])][: len(s)]
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     source = np.empty(len(h), np.int64)
     source[order] = order[first]  # the entry with the smallest doc_id
-    dup = (i >> 1 != i[source] >> 1) | (i & 1 == 1)
+    dup = (i != i[source]) | more
     ends = np.cumsum([0, *sizes])
     out = [(each[k][d := dup[a:b]].tobytes(), block[row[source[a:b][d]]].astype(np.int32).tobytes()) for k, (a, b) in enumerate(zip(ends, ends[1:]))]
     return pa.table({"block": table["block"], "hash": pa.array([x for x, _ in out], pa.binary()), "source": pa.array([y for _, y in out], pa.binary())})

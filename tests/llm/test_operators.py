@@ -48,6 +48,19 @@ def test_substring_dedup(docs, none, data):
         assert all(length >= substring_dedup.WINDOW and a + length <= r["n_words"] for a, length in zip(r["starts"], r["lengths"]))
 
 
+@pytest.mark.parametrize("partitions", [3, 16, 64])
+def test_substring_dedup_null_and_large_ids(spark, partitions):
+    texts = [" ".join(f"p{p}w{k}" for k in range(20)) for p in range(3)]
+    rows = [(i, f"{texts[p]} own {i}", "en", "web", 1) for p, ids in enumerate(((None, 1, 2, 5, 8), (None, 2**62, 2**62 + 7, 2**63 - 2), (None, None, 11))) for i in ids]
+    want = [(i, n, gone, hashlib.sha256(" ".join(kept).encode()).hexdigest()) for i, n, gone, kept in X.removed_words(rows)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        assert bag(substring_dedup.removed_digest(X.frame(spark, rows)).collect()) == bag(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_quality_measures(docs, none, data, labels):
     got = quality_rules.verdicts(docs, labels).collect()
     measure = lambda r: (r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
