@@ -15,7 +15,9 @@ Identical sets, found by a digest, are linked outright. Second pass: tiles whose
 documents are still in two components or more are compared in full, between components only: hashed bitmap
 signatures bound a pair's overlap from above by bit counts, and only pairs that can reach the threshold go on.
 Large tiles are compared in pieces. Every pair that goes on is decided by the exact intersection of its sorted
-shingle arrays. A pair within one component adds nothing to the result, so it need not be decided.
+shingle arrays. For the components alone (`classes`, `keep_first`) a pair within one component adds nothing, so
+it need not be decided. For the links (`linked`, `report`) all pairs of distinct sets are: every set is a node,
+named by the first half of its digest, and all tiles are compared in full.
 
 Nulls: a null text, like one without words, has an empty set and is linked with nothing; a null doc_id has no
 component and is linked with nothing. Rows with the same doc_id are one node of the graph. Extra columns are
@@ -422,6 +424,25 @@ def _decided(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     return dealt.groupBy("block").cogroup(shipped.repartition(p, "block").groupBy("block")).applyInArrow(_decide(shingle), "a long, b long")
 
 
+def _tile_links(known: DataFrame, tiles: DataFrame, shingle: int) -> DataFrame | None:
+    """The links between different components within the tiles (tile, id, size, times, component)."""
+    spark = known.sparkSession
+    n, p = B.block_count(spark), B.partitions(spark)
+    open_ = tiles.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y")
+    pieces = F.ceil(F.col("m") / TILE_PIECE).cast("int")
+    rest = B.saved(tiles.join(open_.select("tile", pieces.alias("pieces")), "tile"))
+    if rest.isEmpty():
+        return None
+    signed = _only(known, B.saved(rest.select("id").distinct())).mapInArrow(_signatures(shingle), "id long, bits binary")
+    signed = signed.groupBy("id").agg(F.max("bits").alias("bits"))
+    piece = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
+    cut = rest.withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    cut = cut.withColumn("p", F.least("piece", "other")).withColumn("q", F.greatest("piece", "other")).join(signed, "id")
+    group = F.when(F.col("pieces") == 1, F.pmod("tile", F.lit(4 * p))).otherwise(F.xxhash64("tile", "p", "q"))
+    more = cut.withColumn("grp", group).groupBy("grp").applyInArrow(_tile_pairs(n), "block int, a binary, b binary, c binary, d binary")
+    return B.saved(_decided(known, B.saved(more), shingle))
+
+
 def joined(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n) of every row, n the size of its set; and (node, component) of the documents that have a link."""
     spark = docs.sparkSession
@@ -445,24 +466,88 @@ def joined(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFram
     tiles = paired.where("kind = 1").select("a", "b", "c", "d").mapInArrow(_tile_rows, "tile long, id long, size int, times int").groupBy("tile", "id").agg(F.max("size").alias("size"), F.sum("times").alias("times"))
     tiles = tiles.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     tiles = B.saved(tiles)
-    open_ = tiles.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y")
-    pieces = F.ceil(F.col("m") / TILE_PIECE).cast("int")
-    rest = B.saved(tiles.join(open_.select("tile", pieces.alias("pieces")), "tile"))
-    if rest.isEmpty():
-        return sets.select("doc_id", "n"), found
-    signed = _only(known, B.saved(rest.select("id").distinct())).mapInArrow(_signatures(shingle), "id long, bits binary")
-    signed = signed.groupBy("id").agg(F.max("bits").alias("bits"))
-    piece = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
-    cut = rest.withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    cut = cut.withColumn("p", F.least("piece", "other")).withColumn("q", F.greatest("piece", "other")).join(signed, "id")
-    group = F.when(F.col("pieces") == 1, F.pmod("tile", F.lit(4 * p))).otherwise(F.xxhash64("tile", "p", "q"))
-    more = cut.withColumn("grp", group).groupBy("grp").applyInArrow(_tile_pairs(n), "block int, a binary, b binary, c binary, d binary")
-    again = B.saved(_decided(known, B.saved(more), shingle))
-    if again.isEmpty():
+    again = _tile_links(known, tiles, shingle)
+    if again is None or again.isEmpty():
         return sets.select("doc_id", "n"), found
     return sets.select("doc_id", "n"), B.saved(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(again)))
 
 
+def _named(shingle: int):
+    """(id, text) of rows, id the name of the text's set; rows with an empty set are left out."""
+
+    def of_batches(batches):
+        for batch in batches:
+            texts = batch.column("text")
+            for a, value, off in shingle_sets(texts, shingle):
+                some = np.flatnonzero(np.diff(off))
+                yield pa.RecordBatch.from_arrays([pa.array(digests(value, off)[0][some]), texts.take(pa.array(some + a))], names=["id", "text"])
+
+    return of_batches
+
+
+def _all_links(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n) of every row; (doc_id, id) of the sets that each document has; and all links (a, b) between different sets, once each."""
+    spark = docs.sparkSession
+    B.small_batches(spark)
+    n, p = B.block_count(spark), B.partitions(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = B.saved(rows.mapInArrow(_base(shingle), BASE))
+    held = B.saved(base.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", F.col("d1").alias("id")).distinct())
+    extra = B.saved(held.join(held.groupBy("id").agg(F.min("doc_id").alias("least")), "id").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("least")).alias("first")).where("NOT first").select(F.col("doc_id").alias("id")))
+    few = extra.count() <= BROADCAST_IDS
+    one = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumnRenamed("doc_id", "id").join(F.broadcast(extra) if few else extra, "id", "left_anti")
+    known = one.select("text").mapInArrow(_named(shingle), "id long, text string")
+
+    common = spark.sparkContext.broadcast(common_shingles(known.mapInArrow(_send_prefixes(shingle, n, None), SENT)))
+    sent = known.mapInArrow(_send_prefixes(shingle, n, common), SENT)
+    paired = sent.repartition(p, "bucket").groupBy("bucket").applyInArrow(_first_pairs(n), PAIRED).where("kind = 1")
+    tiles = paired.select("a", "b", "c", "d").mapInArrow(_tile_rows, "tile long, id long, size int, times int").groupBy("tile", "id").agg(F.max("size").alias("size"), F.sum("times").alias("times"))
+    links = _tile_links(known, B.saved(tiles.withColumn("component", F.col("id"))), shingle)
+    return base.select("doc_id", "n"), held, spark.createDataFrame([], "a long, b long") if links is None else links
+
+
+def _between_documents(held: DataFrame, links: DataFrame) -> DataFrame:
+    """The links by the least doc_id that has each set."""
+    least = held.groupBy("id").agg(F.min("doc_id").alias("least"))
+    end = lambda c, to: least.select(F.col("id").alias(c), F.col("least").alias(to))
+    return links.join(end("a", "x"), "a").join(end("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def linked(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b), a < b: all links between different sets, each once, by the least doc_id that has the set. Documents with equal sets have the same links."""
+    _, held, links = _all_links(docs, shingle)
+    return _between_documents(held, links).where("a <> b").distinct()
+
+
+def _link_counts(held: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, n_links): how many other documents a document is linked with. Copies are counted by the size of their class."""
+    sets = held.select("id").distinct()
+    near = B.saved(links.select(F.col("a").alias("s"), F.col("b").alias("t")).union(links.select("b", "a")).union(sets.select("id", "id")))
+    several = B.saved(held.join(held.groupBy("doc_id").count().where("count > 1").select("doc_id"), "doc_id"))
+    single = held.join(several.select("doc_id").distinct(), "doc_id", "left_anti")
+    size = single.groupBy(F.col("id").alias("t")).agg(F.count("*").alias("w"))
+    total = near.join(size, "t").groupBy("s").agg(F.sum("w").alias("w"))
+    if several.isEmpty():
+        return single.join(total, single["id"] == total["s"]).select("doc_id", (F.col("w") - 1).alias("n_links"))
+    # a document with several sets is counted once, whichever of its sets are met
+    other = several.select(F.col("doc_id").alias("other"), F.col("id").alias("t"))
+    met = near.join(other, "t").select("s", "other").distinct().groupBy("s").agg(F.count("*").alias("v"))
+    of_set = total.join(met, "s", "full").select("s", (F.coalesce("w", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("w"))
+    own = several.join(near, several["id"] == near["s"]).select("doc_id", "t").distinct()
+    of_single = single.join(of_set, single["id"] == of_set["s"]).select("doc_id", "w")
+    of_several = own.join(size, "t").select("doc_id", "w").union(own.join(other, "t").select("doc_id", "other").distinct().select("doc_id", F.lit(1).cast("long"))).groupBy("doc_id").agg(F.sum("w").alias("w"))
+    return of_single.union(of_several).select("doc_id", (F.col("w") - 1).alias("n_links"))
+
+
+def report(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every document."""
+    sets, held, links = _all_links(docs, shingle)
+    least = held.groupBy("id").agg(F.min("doc_id").alias("least"))
+    found = B.saved(components(held.join(least, "id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).union(_between_documents(held, links))))
+    more = found.withColumnRenamed("node", "doc_id").join(B.saved(_link_counts(held, links)), "doc_id", "full")
+    return sets.join(more, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     sets, found = joined(docs, shingle)
@@ -476,4 +561,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return report(spark.read.parquet(f"{sf_dir}/documents.parquet"))

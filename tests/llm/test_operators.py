@@ -212,6 +212,41 @@ def test_jaccard_join_near_the_threshold(spark, seed):
     assert bag(jaccard_join.classes(X.frame(spark, rows)).collect()) == bag(X.components(rows))
 
 
+def shingles(t, size=5):
+    w = X.space_words(X.lower(t))
+    return frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) or (frozenset({tuple(w)}) if w else frozenset())
+
+
+def near_copies():
+    import random
+
+    rng, rows = random.Random(4), []
+    for g in range(6):
+        words = [f"g{g}k{k}" for k in range(160)]
+        for k in range(12):
+            own = list(words)
+            for at in rng.sample(range(160), rng.randint(0, 3)):
+                own[at] = f"e{rng.randint(0, 3)}"
+            rows.append((len(rows) + 1 if k % 5 else 10 * g + 1, " ".join(own), "en", "web", 1))
+    return rows + rows[:9]
+
+
+@pytest.mark.parametrize("which", ["near", "all"])
+def test_jaccard_join_keeps_all_links(spark, data, which):
+    rows = near_copies() if which == "near" else data
+    held, least = defaultdict(set), {}
+    for i, t, *_ in rows:
+        if i is not None and (s := shingles(t)):
+            held[i].add(s)
+            least[s] = min(i, least.get(s, i))
+    alike = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    links = {tuple(sorted((least[x], least[y]))) for x in least for y in least if x != y and least[x] != least[y] and alike(x, y)}
+    count = {i: sum(j != i and any(alike(x, y) for x in held[i] for y in held[j]) for j in held) for i in held}
+    docs = X.frame(spark, rows)
+    assert bag(jaccard_join.linked(docs).collect()) == bag(links) and len(links) > 20
+    assert bag(jaccard_join.report(docs).collect()) == bag((i, n, c, count.get(i, 0)) for i, n, c in X.components(rows))
+
+
 def test_bitmap_bounds_overlap():
     rng = np.random.default_rng(3)
     for n in (1, 50, 700):
