@@ -1,10 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by exact lookup of word windows, in place of a relative Lempel-Ziv parse.
 
-Documents lie in reference blocks. Every block is indexed, and each document is parsed greedily against the
-index of all blocks: from a word, take the longest factor whose windows of `window` words all start in a
-document with a smaller doc_id; where the factor ends, the windows over its boundary are looked up too, so a
-copy that is pieced together from several references is found whole. Factors of `window` words or more are
-duplicate spans.
+Documents lie in blocks. Every block is indexed, and each window of `window` words of a document is looked up
+in the index of all blocks: it is a duplicate if it stands in a document with a smaller doc_id. Runs of such
+windows are duplicate spans, cut into factors where the block of the window's first document changes. The index
+holds no positions, so a factor need not be the longest match, nor a substring of one reference.
 
 The index is built in two steps, so that only windows that may repeat are exchanged. First each block sends
 its anchors, the minimisers of `ANCHOR`-word n-grams: a window holds one for certain, and if the window
