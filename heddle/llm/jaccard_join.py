@@ -10,18 +10,20 @@ that differ by less than the threshold allows.
 First pass: in each band of a tile, all documents are paired with its first one, and the pairs of neighbouring
 bands' first ones are added; pairs that met in too few tiles to be likely are left to the second pass, where
 the shingles that two prefixes share are counted in full: what lies beyond a prefix is bounded by its length,
-so a pair that shares fewer than `shared_need` can't be a link.
-Identical sets, found by a digest, are linked outright. Second pass: tiles whose
-documents are still in two components or more are compared in full, between components only: hashed bitmap
-signatures bound a pair's overlap from above by bit counts, and only pairs that can reach the threshold go on.
-Large tiles are compared in pieces. Every pair that goes on is decided by the exact intersection of its sorted
-shingle arrays. For the components alone (`classes`, `keep_first`) a pair within one component adds nothing, so
-it need not be decided. For the links (`linked`, `report`) all pairs of distinct sets are: every set is a node,
-named by the first half of its digest, and all tiles are compared in full.
+so a pair that shares fewer than `shared_need` can't be a link. Identical sets, found by a digest, are linked
+outright. Second pass: tiles whose documents are still in two components or more are compared in full, between
+components only: hashed bitmap signatures bound a pair's overlap from above by bit counts, and only pairs that
+can reach the threshold go on. Large tiles are compared in pieces. Every pair that goes on is decided by the
+exact intersection of its sorted shingle arrays. That gives the components.
+
+Links (`linked`, `report`): a link joins two documents of one component, so the components, cut into pieces of
+bounded size where they are large, are tiles that hold each pair once. Within them the sizes, then the bitmap
+signatures bound the overlap, and what is left is decided by exact intersection. Links are counted where they
+are found, so that no row is made for each pair.
 
 Nulls: a null text, like one without words, has an empty set and is linked with nothing; a null doc_id has no
-component and is linked with nothing. Rows with the same doc_id are one node of the graph. Extra columns are
-ignored; `keep_first` returns the columns it is given.
+component and is linked with nothing. Rows with the same doc_id are one node of the graph, linked by any of
+their sets. An empty table gives no rows. Extra columns are ignored; `keep_first` returns the columns it is given.
 """
 
 from __future__ import annotations
@@ -41,9 +43,12 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 COMMON = 8
 COMMON_BITS = 25  # 4 MB
+COMMON_SLOTS = 1 << 21  # set in it at most, the most frequent ones
 FLUSH = 1 << 20
 BROADCAST_IDS = 1_000_000  # ids of documents: 16 MB and their hash table
 TILE_PIECE = 2048
+LINK_PIECE, LINK_BYTES = 4096, 64 << 20  # rows and bytes of the sets of a piece of a component
+DENSE = 32  # from so many sets to compare with one, intersections are taken by bits
 BITMAP_LEAST, BITMAP_MOST = 64, 8192
 _TABLE = space_split_table()
 
@@ -79,17 +84,15 @@ def digests(value: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def block_of(ids: np.ndarray, n: int) -> np.ndarray:
-    """pmod(xxhash64(id), n) as Spark computes it."""
-    rot = lambda x, r: (x << U64(r)) | (x >> U64(64 - r))
-    p1, p2, p3, p4, p5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    with np.errstate(over="ignore"):
-        x = np.full(len(ids), U64(42) + p5 + U64(8))
-        x ^= rot(ids.astype(np.int64).view(U64) * p2, 31) * p1
-        x = rot(x, 27) * p1 + p4
-        x = (x ^ (x >> U64(33))) * p2
-        x = (x ^ (x >> U64(29))) * p3
-        x ^= x >> U64(32)
-    return np.mod(x.view(np.int64), n).astype(np.int32)
+    return np.mod(ids, n).astype(np.int32)
+
+
+def id_blocks(spark) -> int:
+    """Blocks of ids by remainder: a prime number of them, so that ids with a common step spread, too."""
+    n = max(2, B.partitions(spark))
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
 
 
 BASE = "doc_id long, n long, d1 long, d2 long"
@@ -107,12 +110,14 @@ def _base(shingle: int):
 
 
 def _common_slots(table: pa.Table) -> pa.Table:
-    """Of a bucket: the bitmap slots of the shingles that stand in many prefixes."""
+    """Of a bucket: the bitmap slots of the shingles that stand in many prefixes, by the power of two in their count."""
     token = np.sort(np.concatenate(unpack(table["token"], U64)))
     first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    many = np.diff(np.r_[first, len(token)]) >= COMMON
-    slots = np.unique(token[first[many]] >> U64(64 - COMMON_BITS)).astype(np.uint32)
-    return pa.table({"slots": pa.array([slots.tobytes()], pa.binary())})
+    count = np.diff(np.r_[first, len(token)])
+    level = np.log2(count).astype(np.int32)
+    found = np.unique(level[count >= COMMON]).tolist()
+    slots = [np.unique(token[first[(level == k) & (count >= COMMON)]] >> U64(64 - COMMON_BITS)).astype(np.uint32) for k in found]
+    return pa.table({"level": pa.array(found, pa.int32()), "n": pa.array([len(x) for x in slots], pa.int64()), "slots": pa.array([x.tobytes() for x in slots], pa.binary())})
 
 
 def _as_bitmap(batches):
@@ -124,10 +129,16 @@ def _as_bitmap(batches):
 
 
 def common_shingles(sent: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over the leading bits of the hashes: set for common ones."""
+    """A bitmap of fixed size over the leading bits of the hashes: set for common ones, the most frequent first, as many as it takes well."""
     p = B.partitions(sent.sparkSession)
-    slots = sent.repartition(p, "bucket").groupBy("bucket").applyInArrow(_common_slots, "slots binary")
-    parts = slots.repartition(8).mapInArrow(_as_bitmap, "bits binary").collect()
+    slots = B.saved(sent.repartition(p, "bucket").groupBy("bucket").applyInArrow(_common_slots, "level int, n long, slots binary"))
+    least, held = 64, 0
+    for r in slots.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.col("level").desc()).collect():  # one row for each power of two
+        held += r["n"]
+        if held > COMMON_SLOTS:
+            break
+        least = r["level"]
+    parts = slots.where(F.col("level") >= least).repartition(8).mapInArrow(_as_bitmap, "bits binary").collect()
     return np.bitwise_or.reduce([np.zeros(1 << (COMMON_BITS - 3), np.uint8), *[np.frombuffer(zlib.decompress(r["bits"]), np.uint8) for r in parts]])
 
 
@@ -366,7 +377,7 @@ def _tile_pairs(n: int):
     """Pairs of a tile, or of two pieces of one, from different components whose bit counts leave an overlap that suffices. A group holds several tiles."""
 
     def of_group(table: pa.Table) -> pa.Table:
-        size, ids, comp, piece, tile, p, q, times = (table[c].to_numpy() for c in ("size", "id", "component", "piece", "tile", "p", "q", "times"))
+        size, ids, comp, piece, tile, p, q, times, several = (table[c].to_numpy() for c in ("size", "id", "component", "piece", "tile", "p", "q", "times", "several"))
         size, raw = size.astype(np.int64), unpack(table["bits"], U64)
         order = np.lexsort((size, q, p, tile))
         key = np.stack([tile, p, q], 1)[order]
@@ -374,11 +385,11 @@ def _tile_pairs(n: int):
         a, b, need, met = [], [], [], []
         for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             own = order[s:e]
-            z, c, i, w = size[own], comp[own], ids[own], piece[own]
+            z, c, i, w, loose = size[own], comp[own], ids[own], piece[own], several[own]
             width = min(len(raw[k]) for k in own)
             bits = np.stack([_folded(raw[k], width) for k in own])
             within = p[own[0]] == q[own[0]]
-            top = np.searchsorted(z, z * DEN // NUM, "right")
+            top = np.where(loose.any(), e - s, np.searchsorted(z, z * DEN // NUM, "right"))
             for k in range(e - s - 1):
                 j = np.arange(k + 1, top[k])
                 j = j[(c[j] != c[k]) & (i[j] != i[k]) & (within | (w[j] != w[k]))]
@@ -386,10 +397,11 @@ def _tile_pairs(n: int):
                     out_k = np.bitwise_count(bits[k] & ~bits[j]).sum(1, dtype=np.int64)
                     out_j = np.bitwise_count(bits[j] & ~bits[k]).sum(1, dtype=np.int64)
                     most = np.minimum(z[k] - out_k, z[j] - out_j)
-                    j = j[DEN * most >= NUM * (z[k] + z[j] - most)]
+                    free = loose[k] | loose[j]  # with several sets to an id, neither size nor bits bound anything
+                    j = j[free | (DEN * most >= NUM * (z[k] + z[j] - most))]
                     a.append(np.full(len(j), i[k]))
                     b.append(i[j])
-                    need.append(shared_need(z[k], z[j]))
+                    need.append(np.where(loose[k] | loose[j], 0, shared_need(z[k], z[j])))
                     met.append(np.full(len(j), times[own[0]]))
         a, b, need, met = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b, need, met))
         pairs, first, of = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_index=True, return_inverse=True)
@@ -399,42 +411,45 @@ def _tile_pairs(n: int):
     return of_group
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of the ids: by broadcast if these are few, else by a shuffle of both."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-
-
-def _without(docs: DataFrame, sets: DataFrame, equal: DataFrame) -> DataFrame:
-    """The documents but for those whose set equals that of a smaller doc_id. A doc_id with several rows stays, as they may differ."""
-    several = sets.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    ids = B.saved(equal.select(F.col("b").alias("id")).distinct().join(several.withColumnRenamed("doc_id", "id"), "id", "left_anti"))
+def _by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """A semi or anti join of the documents with saved ids: by broadcast if these are few, else by a shuffle of both."""
     few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "id", "left_anti")
+    return docs.join(F.broadcast(ids) if few else ids, "id", how)
 
 
 def _decided(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """(a, b) of those pairs, packed by the block of a, that are links."""
     spark = docs.sparkSession
-    n, p = B.block_count(spark), B.partitions(spark)
+    n, p = id_blocks(spark), B.partitions(spark)
     named = pairs.select("a", "b").mapInArrow(_ids_of_pairs(n), "block int, ids binary").repartition(p, "block")
     need = B.saved(named.groupBy("block").applyInArrow(_once, "id long"))
-    dealt = _only(docs, need).select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), "id", "text").repartition(p, "block")
+    dealt = _by_ids(docs, need, "left_semi").select(F.pmod("id", F.lit(n)).cast("int").alias("block"), "id", "text").repartition(p, "block")
     shipped = dealt.groupBy("block").cogroup(pairs.repartition(p, "block").groupBy("block")).applyInArrow(_ship(shingle, n), SHIPPED)
     return dealt.groupBy("block").cogroup(shipped.repartition(p, "block").groupBy("block")).applyInArrow(_decide(shingle), "a long, b long")
 
 
+def _open_tiles(tiles: DataFrame) -> DataFrame:
+    """The rows of tiles with two components or more, with the number of pieces of each tile."""
+    spread = tiles.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y")
+    spread = B.saved(spread.select("tile", F.ceil(F.col("m") / TILE_PIECE).cast("int").alias("pieces")))
+    if spread.count() <= BROADCAST_IDS:
+        return tiles.join(F.broadcast(spread), "tile")
+    # a large tile is dealt over several tasks
+    salts = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("salt")
+    sizes = spread.withColumnRenamed("pieces", "_n")
+    salted = tiles.join(sizes.where("_n > 1"), "tile", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
+    return salted.join(spread.select("tile", "pieces", salts), ["tile", "salt"]).drop("salt")
+
+
 def _tile_links(known: DataFrame, tiles: DataFrame, shingle: int) -> DataFrame | None:
     """The links between different components within the tiles (tile, id, size, times, component)."""
     spark = known.sparkSession
-    n, p = B.block_count(spark), B.partitions(spark)
-    open_ = tiles.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y")
-    pieces = F.ceil(F.col("m") / TILE_PIECE).cast("int")
-    rest = B.saved(tiles.join(open_.select("tile", pieces.alias("pieces")), "tile"))
+    n, p = id_blocks(spark), B.partitions(spark)
+    rest = B.saved(_open_tiles(tiles))
     if rest.isEmpty():
         return None
-    signed = _only(known, B.saved(rest.select("id").distinct())).mapInArrow(_signatures(shingle), "id long, bits binary")
-    signed = signed.groupBy("id").agg(F.max("bits").alias("bits"))
+    signed = _by_ids(known, B.saved(rest.select("id").distinct()), "left_semi").mapInArrow(_signatures(shingle), "id long, bits binary")
+    signed = signed.groupBy("id").agg(F.max("bits").alias("bits"), (F.count("*") > 1).alias("several"))
     piece = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
     cut = rest.withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     cut = cut.withColumn("p", F.least("piece", "other")).withColumn("q", F.greatest("piece", "other")).join(signed, "id")
@@ -443,121 +458,190 @@ def _tile_links(known: DataFrame, tiles: DataFrame, shingle: int) -> DataFrame |
     return B.saved(_decided(known, B.saved(more), shingle))
 
 
-def joined(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n) of every row, n the size of its set; and (node, component) of the documents that have a link."""
-    spark = docs.sparkSession
-    B.small_batches(spark)
-    n, p = B.block_count(spark), B.partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = B.saved(rows.mapInArrow(_base(shingle), BASE))
-    sets = base
-    known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    full = sets.where("n > 0 AND doc_id IS NOT NULL")
-    copies = full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z")
-    equal = B.saved(full.join(copies, ["n", "d1", "d2"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")))
-    known = _without(known, sets, equal)
-
-    common = spark.sparkContext.broadcast(common_shingles(known.mapInArrow(_send_prefixes(shingle, n, None), SENT)))
-    sent = known.mapInArrow(_send_prefixes(shingle, n, common), SENT)
-    paired = B.saved(sent.repartition(p, "bucket").groupBy("bucket").applyInArrow(_first_pairs(n), PAIRED))
-    links = B.saved(equal.union(_decided(known, paired.where("kind = 0").select("block", "a", "b", "c", "d"), shingle)))
-    found = B.saved(components(links))
-
-    tiles = paired.where("kind = 1").select("a", "b", "c", "d").mapInArrow(_tile_rows, "tile long, id long, size int, times int").groupBy("tile", "id").agg(F.max("size").alias("size"), F.sum("times").alias("times"))
-    tiles = tiles.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    tiles = B.saved(tiles)
-    again = _tile_links(known, tiles, shingle)
-    if again is None or again.isEmpty():
-        return sets.select("doc_id", "n"), found
-    return sets.select("doc_id", "n"), B.saved(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(again)))
-
-
-def _named(shingle: int):
-    """(id, text) of rows, id the name of the text's set; rows with an empty set are left out."""
-
+class Classes:
+    """What the join finds. base: (doc_id, n, d1, d2) of every row; held: those of documents with a set, once each; several: (doc_id) of
+    documents with more than one set; known: (id, text), of the documents with one set the first of each class of copies, and all
+    rows of the others; found: (node, component) of the documents that have a link."""
+
+    def __init__(self, docs: DataFrame, shingle: int):
+        spark = docs.sparkSession
+        B.small_batches(spark)
+        n, p = B.block_count(spark), B.partitions(spark)
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.base = B.saved(rows.mapInArrow(_base(shingle), BASE))
+        self.held = self.base.where("n > 0 AND doc_id IS NOT NULL").distinct()
+        self.several = B.saved(self.held.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+        copies = self.held.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z")
+        equal = B.saved(self.held.join(copies, ["n", "d1", "d2"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")))
+        self.reps = B.saved(self.single().groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+        later = self.single().join(self.reps.where("copies > 1"), ["n", "d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("id"))
+        known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
+        self.known = _by_ids(known, B.saved(later), "left_anti")
+
+        bits = common_shingles(self.known.mapInArrow(_send_prefixes(shingle, n, None), SENT))
+        sent = self.known.mapInArrow(_send_prefixes(shingle, n, spark.sparkContext.broadcast(bits)), SENT)
+        paired = B.saved(sent.repartition(p, "bucket").groupBy("bucket").applyInArrow(_first_pairs(id_blocks(spark)), PAIRED))
+        links = B.saved(equal.union(_decided(self.known, paired.where("kind = 0").select("block", "a", "b", "c", "d"), shingle)))
+        self.found = B.saved(components(links))
+
+        tiles = paired.where("kind = 1").select("a", "b", "c", "d").mapInArrow(_tile_rows, "tile long, id long, size int, times int").groupBy("tile", "id").agg(F.max("size").alias("size"), F.sum("times").alias("times"))
+        tiles = B.saved(tiles.join(self.found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+        again = _tile_links(self.known, tiles, shingle)
+        if again is not None and not again.isEmpty():
+            self.found = B.saved(components(self.found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(again)))
+
+    def single(self) -> DataFrame:
+        """held without the documents that have several sets."""
+        return self.held.join(self.several, "doc_id", "left_anti")
+
+    def of_rows(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id) of every row."""
+        return self.base.join(self.found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _as_sets(shingle: int):
     def of_batches(batches):
         for batch in batches:
-            texts = batch.column("text")
-            for a, value, off in shingle_sets(texts, shingle):
-                some = np.flatnonzero(np.diff(off))
-                yield pa.RecordBatch.from_arrays([pa.array(digests(value, off)[0][some]), texts.take(pa.array(some + a))], names=["id", "text"])
+            for a, value, off in shingle_sets(batch.column("text"), shingle):
+                n = len(off) - 1
+                own = [value[off[d] : off[d + 1]].tobytes() for d in range(n)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, n) for c in ("id", "component", "copies")], pa.array(own, pa.binary())], names=["id", "component", "copies", "shingles"])
 
     return of_batches
 
 
-def _all_links(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n) of every row; (doc_id, id) of the sets that each document has; and all links (a, b) between different sets, once each."""
-    spark = docs.sparkSession
-    B.small_batches(spark)
-    n, p = B.block_count(spark), B.partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = B.saved(rows.mapInArrow(_base(shingle), BASE))
-    held = B.saved(base.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", F.col("d1").alias("id")).distinct())
-    extra = B.saved(held.join(held.groupBy("id").agg(F.min("doc_id").alias("least")), "id").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("least")).alias("first")).where("NOT first").select(F.col("doc_id").alias("id")))
-    few = extra.count() <= BROADCAST_IDS
-    one = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumnRenamed("doc_id", "id").join(F.broadcast(extra) if few else extra, "id", "left_anti")
-    known = one.select("text").mapInArrow(_named(shingle), "id long, text string")
-
-    common = spark.sparkContext.broadcast(common_shingles(known.mapInArrow(_send_prefixes(shingle, n, None), SENT)))
-    sent = known.mapInArrow(_send_prefixes(shingle, n, common), SENT)
-    paired = sent.repartition(p, "bucket").groupBy("bucket").applyInArrow(_first_pairs(n), PAIRED).where("kind = 1")
-    tiles = paired.select("a", "b", "c", "d").mapInArrow(_tile_rows, "tile long, id long, size int, times int").groupBy("tile", "id").agg(F.max("size").alias("size"), F.sum("times").alias("times"))
-    links = _tile_links(known, B.saved(tiles.withColumn("component", F.col("id"))), shingle)
-    return base.select("doc_id", "n"), held, spark.createDataFrame([], "a long, b long") if links is None else links
-
-
-def _between_documents(held: DataFrame, links: DataFrame) -> DataFrame:
-    """The links by the least doc_id that has each set."""
-    least = held.groupBy("id").agg(F.min("doc_id").alias("least"))
-    end = lambda c, to: least.select(F.col("id").alias(c), F.col("least").alias(to))
-    return links.join(end("a", "x"), "a").join(end("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+def _exact_bits(sets: list[np.ndarray]) -> np.ndarray | None:
+    """For each sorted array a row of bits, one bit for each value that stands in two arrays or more: common bits of two rows are their intersection. None if that takes too much memory."""
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    s = every[order]
+    new = np.r_[True, s[1:] != s[:-1]]
+    size = np.diff(np.r_[np.flatnonzero(new), len(s)])
+    rank = np.cumsum(size > 1)[np.cumsum(new) - 1] - 1
+    shared = size[np.cumsum(new) - 1] > 1
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+    width = -(-max(1, int((size > 1).sum())) // 64)
+    if 8 * width * len(sets) > LINK_BYTES:
+        return None
+    bits = np.zeros((len(sets), width), U64)
+    np.bitwise_or.at(bits, (row[shared], rank[shared] >> 6), U64(1) << (rank[shared] & 63).astype(U64))
+    return bits
+
+
+def _alike_in(sets: list[np.ndarray], first: int | None):
+    """(k, numbers of the sets alike with set k), each pair once: among all sets, or from the `first` ones to the rest. Sets come by falling size, in either part."""
+    size = np.array([len(x) for x in sets], np.int64)
+    width = min(len(bitmap(x)) for x in sets)
+    signature = np.stack([_folded(bitmap(x), width) for x in sets])
+    exact, room = None, True
+    for k in range(len(sets) if first is None else first):
+        lo = k + 1 if first is None else first
+        a = lo + int(np.searchsorted(-size[lo:], -(size[k] * DEN // NUM), "left"))
+        b = lo + int(np.searchsorted(-size[lo:], -size[k] * NUM // DEN, "right"))
+        if a >= b:
+            continue
+        out_k = np.bitwise_count(signature[k] & ~signature[a:b]).sum(1, dtype=np.int64)
+        out_j = np.bitwise_count(signature[a:b] & ~signature[k]).sum(1, dtype=np.int64)
+        most = np.minimum(size[k] - out_k, size[a:b] - out_j)
+        j = a + np.flatnonzero(DEN * most >= NUM * (size[k] + size[a:b] - most))
+        if len(j) >= DENSE and exact is None and room:
+            exact = _exact_bits(sets)
+            room = exact is not None
+        if exact is not None:
+            common = np.bitwise_count(exact[j] & exact[k]).sum(1, dtype=np.int64)
+        else:
+            common = np.array([np.intersect1d(sets[k], sets[x], assume_unique=True).size for x in j.tolist()], np.int64)
+        j = j[DEN * common >= NUM * (size[k] + size[j] - common)]
+        if len(j):
+            yield k, j
+
+
+def _in_component(count: bool):
+    """The links within components, or within a pair of pieces of one. A group holds whole components, or one such pair."""
+
+    def of_group(table: pa.Table) -> pa.Table:
+        comp, piece, p, q, ids, copies = (table[c].to_numpy() for c in ("component", "piece", "p", "q", "id", "copies"))
+        sets = unpack(table["shingles"], U64)
+        size = np.array([len(x) for x in sets], np.int64)
+        order = np.lexsort((ids, -size, piece, comp))
+        bounds = np.r_[np.flatnonzero(np.r_[True, np.diff(comp[order]) != 0]), len(order)]
+        total, left, right = {}, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        add = lambda i, m: total.__setitem__(i, total.get(i, 0) + m)
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            own = order[s:e]
+            node, w, n, odd = ids[own], copies[own], np.zeros(e - s, np.int64), {}
+            _, back, times = np.unique(node, return_inverse=True, return_counts=True)
+            many = times[back] > 1  # ids with several sets: linked once with each other id, whichever sets are alike
+            for k, j in _alike_in([sets[x] for x in own], int((piece[own] == p[own[0]]).sum()) if p[own[0]] != q[own[0]] else None):
+                twice = many[j] | many[k]
+                for x in j[twice].tolist():
+                    odd[tuple(sorted(((int(node[k]), int(w[k])), (int(node[x]), int(w[x])))))] = True
+                j = j[~twice]
+                n[k] += w[j].sum()
+                n[j] += w[k]
+                if not count:
+                    left.append(np.full(len(j), node[k]))
+                    right.append(node[j])
+            for (x, wx), (y, wy) in odd:
+                if x != y:
+                    add(x, wy)
+                    add(y, wx)
+                    left.append(np.array([x]))
+                    right.append(np.array([y]))
+            for i, m in zip(node[n > 0].tolist(), n[n > 0].tolist()):
+                add(i, m)
+        if count:
+            return pa.table({"id": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return of_group
+
+
+def _component_groups(got: Classes, shingle: int) -> DataFrame:
+    """The sets of the components with two different ones or more, dealt to groups of bounded size."""
+    spark, p = got.base.sparkSession, B.partitions(got.base.sparkSession)
+    nodes = got.reps.select(F.col("rep").alias("id"), "copies", "n").unionByName(got.held.join(got.several, "doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.sum("n").alias("n")).withColumn("copies", F.lit(1).cast("long")))
+    nodes = B.saved(nodes.join(got.found.withColumnRenamed("node", "id"), "id"))
+    whole = nodes.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
+    pieces = F.ceil(F.greatest(F.col("m") / LINK_PIECE, F.col("s") * 8 / LINK_BYTES)).cast("int")
+    wanted = B.saved(nodes.join(F.broadcast(whole) if whole.count() <= BROADCAST_IDS else whole, "component").select("id", "component", "copies", pieces.alias("pieces")))
+    few = wanted.count() <= BROADCAST_IDS
+    rows = got.known.join(F.broadcast(wanted.select("id", "component", "copies")) if few else wanted.select("id", "component", "copies"), "id")
+    sets = rows.mapInArrow(_as_sets(shingle), "id long, component long, copies long, shingles binary")
+    if not got.several.isEmpty() or got.base.where("n > 0 AND doc_id IS NOT NULL").count() != got.held.count():
+        sets = sets.distinct()  # repeated rows
+    large = wanted.where("pieces > 1").select("component", "pieces").distinct()
+    sets = sets.join(F.broadcast(large) if large.count() <= BROADCAST_IDS else large, "component", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    cut = sets.withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    cut = cut.withColumn("p", F.least("piece", "other")).withColumn("q", F.greatest("piece", "other")).drop("other")
+    return cut.withColumn("grp", F.when(F.col("pieces") == 1, F.pmod(F.xxhash64("component"), F.lit(4 * p))).otherwise(F.xxhash64("component", "p", "q")))
 
 
 def linked(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b), a < b: all links between different sets, each once, by the least doc_id that has the set. Documents with equal sets have the same links."""
-    _, held, links = _all_links(docs, shingle)
-    return _between_documents(held, links).where("a <> b").distinct()
-
-
-def _link_counts(held: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, n_links): how many other documents a document is linked with. Copies are counted by the size of their class."""
-    sets = held.select("id").distinct()
-    near = B.saved(links.select(F.col("a").alias("s"), F.col("b").alias("t")).union(links.select("b", "a")).union(sets.select("id", "id")))
-    several = B.saved(held.join(held.groupBy("doc_id").count().where("count > 1").select("doc_id"), "doc_id"))
-    single = held.join(several.select("doc_id").distinct(), "doc_id", "left_anti")
-    size = single.groupBy(F.col("id").alias("t")).agg(F.count("*").alias("w"))
-    total = near.join(size, "t").groupBy("s").agg(F.sum("w").alias("w"))
-    if several.isEmpty():
-        return single.join(total, single["id"] == total["s"]).select("doc_id", (F.col("w") - 1).alias("n_links"))
-    # a document with several sets is counted once, whichever of its sets are met
-    other = several.select(F.col("doc_id").alias("other"), F.col("id").alias("t"))
-    met = near.join(other, "t").select("s", "other").distinct().groupBy("s").agg(F.count("*").alias("v"))
-    of_set = total.join(met, "s", "full").select("s", (F.coalesce("w", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("w"))
-    own = several.join(near, several["id"] == near["s"]).select("doc_id", "t").distinct()
-    of_single = single.join(of_set, single["id"] == of_set["s"]).select("doc_id", "w")
-    of_several = own.join(size, "t").select("doc_id", "w").union(own.join(other, "t").select("doc_id", "other").distinct().select("doc_id", F.lit(1).cast("long"))).groupBy("doc_id").agg(F.sum("w").alias("w"))
-    return of_single.union(of_several).select("doc_id", (F.col("w") - 1).alias("n_links"))
+    """(a, b), a < b: all links between documents with different sets, each once; of documents with the same one set, the least stands for all."""
+    return _component_groups(Classes(docs, shingle), shingle).groupBy("grp").applyInArrow(_in_component(False), "a long, b long")
 
 
 def report(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every document."""
-    sets, held, links = _all_links(docs, shingle)
-    least = held.groupBy("id").agg(F.min("doc_id").alias("least"))
-    found = B.saved(components(held.join(least, "id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).union(_between_documents(held, links))))
-    more = found.withColumnRenamed("node", "doc_id").join(B.saved(_link_counts(held, links)), "doc_id", "full")
-    return sets.join(more, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """(doc_id, n_shingles, component_id, n_links) of every document. n_links: how many other doc_ids it is linked with, copies included."""
+    got = Classes(docs, shingle)
+    near = B.saved(_component_groups(got, shingle).groupBy("grp").applyInArrow(_in_component(True), "id long, n long").groupBy("id").agg(F.sum("n").alias("near")))
+    of_single = got.single().join(got.reps, ["n", "d1", "d2"]).select("doc_id", F.col("rep").alias("id"), (F.col("copies") - 1).alias("equal"))
+    named = of_single.where("equal > 0 OR doc_id = id").unionByName(got.several.select("doc_id", F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("equal")))
+    counted = named.join(near, "id", "left").select("doc_id", (F.col("equal") + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return got.of_rows().join(counted, "doc_id", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    sets, found = joined(docs, shingle)
-    return sets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return Classes(docs, shingle).of_rows()
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents without those that have a smaller one in their class, with all their columns. Rows with the same doc_id share their fate."""
-    _, found = joined(docs)
-    return docs.join(found.where("node <> component").select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    later = Classes(docs, SHINGLE).found.where("node <> component").select(F.col("node").alias("doc_id"))
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

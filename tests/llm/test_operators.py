@@ -234,19 +234,34 @@ def near_copies():
 @pytest.mark.parametrize("which", ["near", "all"])
 def test_jaccard_join_keeps_all_links(spark, data, which):
     rows = near_copies() if which == "near" else data
-    held, least = defaultdict(set), {}
+    held = defaultdict(set)
     for i, t, *_ in rows:
         if i is not None and (s := shingles(t)):
             held[i].add(s)
-            least[s] = min(i, least.get(s, i))
     alike = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
-    links = {tuple(sorted((least[x], least[y]))) for x in least for y in least if x != y and least[x] != least[y] and alike(x, y)}
     count = {i: sum(j != i and any(alike(x, y) for x in held[i] for y in held[j]) for j in held) for i in held}
+    # documents with the same one set are named by the first of them
+    of_one = defaultdict(list)
+    for i, sets in held.items():
+        if len(sets) == 1:
+            of_one[next(iter(sets))].append(i)
+    nodes = {i: s for i, s in held.items() if len(s) > 1} | {min(ids): {s} for s, ids in of_one.items()}
+    links = {(x, y) for x in nodes for y in nodes if x < y and any(alike(a, b) for a in nodes[x] for b in nodes[y])}
     docs = X.frame(spark, rows)
     assert bag(jaccard_join.linked(docs).collect()) == bag(links) and len(links) > 20
     assert bag(jaccard_join.report(docs).collect()) == bag((i, n, c, count.get(i, 0)) for i, n, c in X.components(rows))
 
 
+def test_jaccard_join_in_pieces(spark, monkeypatch):
+    rows = near_copies()
+    want = bag(jaccard_join.report(X.frame(spark, rows)).collect())
+    monkeypatch.setattr(jaccard_join, "LINK_PIECE", 4)
+    monkeypatch.setattr(jaccard_join, "TILE_PIECE", 4)
+    monkeypatch.setattr(jaccard_join, "DENSE", 2)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    assert bag(jaccard_join.report(X.frame(spark, rows)).collect()) == want
+
+
 def test_bitmap_bounds_overlap():
     rng = np.random.default_rng(3)
     for n in (1, 50, 700):
