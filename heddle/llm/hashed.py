@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textarrays import U64, Words, ngram_hashes, slices, space_split_table
 
 BITS = 18
 RUN = 1 << 19  # features that are multiplied at a time
+SAMPLE_BYTES = 24 << 20  # of texts in a sample
+TEXT_BYTES = 1 << 16  # longer texts are scored, but not learnt from
 _TABLE = space_split_table()
 _BYTE = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
-SPARSE = "label int, at long, key binary, value binary"
+SPARSE = "label int, part int, at long, key binary, value binary"
 
 
 def families(words: Words):
@@ -50,30 +52,67 @@ def raw_scores(words: Words, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def as_bytes(weights: np.ndarray, slope: float, offset: float) -> bytes:
+    return np.r_[weights, slope, offset].astype(np.float32).tobytes()
+
+
+def probabilities(words: Words, model: bytes | None, default: float) -> np.ndarray:
+    """Calibrated scores of the texts; the default without a model."""
+    if model is None:
+        return np.full(len(words.off) - 1, default)
+    w = np.frombuffer(model, np.float32)
+    return sigmoid(raw_scores(words, w[:-2]) * float(w[-2]) + float(w[-1]))
+
+
 def _sparse(batches):
+    schema = pa.schema([("label", pa.int32()), ("part", pa.int32()), ("at", pa.int64()), ("key", pa.binary()), ("value", pa.binary())])
     for batch in batches:
-        keys, values = [], []
-        for _, _, buf, off in slices(batch.column("text")):
+        for a, b, buf, off in slices(batch.column("text")):
+            keys, values = [], []
             words = Words(buf, off, _TABLE)
             fam = list(families(words))
-            for d in range(len(off) - 1):
-                x = [np.unique(f[a[d] : b[d]], return_counts=True) for f, a, b in fam]
+            for d in range(b - a):
+                x = [np.unique(f[s[d] : e[d]], return_counts=True) for f, s, e in fam]
                 keys.append(np.concatenate([u for u, _ in x]).astype(np.int32).tobytes())
                 values.append(np.concatenate([c / max(1, c.sum()) for _, c in x]).astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "at": batch.column("at"), "key": keys, "value": values}, schema=pa.schema([("label", pa.int32()), ("at", pa.int64()), ("key", pa.binary()), ("value", pa.binary())]))
+            yield pa.RecordBatch.from_pydict({**{c: batch.column(c).slice(a, b - a) for c in ("label", "part", "at")}, "key": keys, "value": values}, schema=schema)
+
+
+def fitted(rows: DataFrame, limit: int, fit) -> bytes | None:
+    """What `fit` makes of a bounded sample of rows (label, part, text): it gets a `Sample` and gives bytes, or None.
+
+    The sample is at most `limit` rows and `SAMPLE_BYTES` of text, the first by the hash of their texts, so that it
+    is the same each time. It is gathered and learnt from in one task on an executor; the driver gets the bytes.
+    """
+    few = rows.select("label", "part", F.xxhash64("text", "part").alias("at"), F.octet_length("text").alias("bytes"), "text").where(F.col("bytes") <= TEXT_BYTES)
+    few = few.orderBy("at", "label").limit(limit).withColumn("held", F.sum("bytes").over(Window.orderBy("at", "label").rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = few.where(F.col("held") <= SAMPLE_BYTES).select("label", "part", "at", "text").mapInArrow(_sparse, SPARSE)
+    got = chosen.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: pa.table({"model": pa.array([fit(Sample(t))], pa.binary())}), "model binary").collect()
+    return got[0]["model"] if got else None
 
 
 class Sample:
-    """Feature vectors of a bounded number of texts, on the driver."""
-
-    def __init__(self, rows: DataFrame):
-        got = rows.select("label", F.xxhash64("text").alias("at"), "text").mapInArrow(_sparse, SPARSE).toArrow()
-        got = got.sort_by([("at", "ascending"), ("label", "ascending")]).combine_chunks()
-        self.label = got["label"].to_numpy() if len(got) else np.zeros(0, np.int32)
-        keys = [np.frombuffer(k.as_buffer(), np.int32) for k in got["key"]]
-        self.bounds = np.r_[0, np.cumsum([len(k) for k in keys], dtype=np.int64)]
-        self.key = np.concatenate([np.zeros(0, np.int32), *keys])
-        self.value = np.concatenate([np.zeros(0, np.float32), *[np.frombuffer(v.as_buffer(), np.float32) for v in got["value"]]])
+    """Feature vectors of a bounded number of texts, in the order of their hashes."""
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by([("at", "ascending"), ("label", "ascending")])
+        self.label, self.part = (table[c].to_numpy() for c in ("label", "part"))
+        size = np.array([len(x.as_buffer()) // 4 for x in table["key"]], np.int64)
+        self.bounds = np.r_[0, np.cumsum(size)]
+        self.key, self.value = np.empty(self.bounds[-1], np.int32), np.empty(self.bounds[-1], np.float32)
+        for k, (x, y) in enumerate(zip(table["key"], table["value"])):
+            at = slice(self.bounds[k], self.bounds[k + 1])
+            self.key[at], self.value[at] = np.frombuffer(x.as_buffer(), np.int32), np.frombuffer(y.as_buffer(), np.float32)
+
+    def only(self, rows: np.ndarray) -> Sample:
+        """The rows where the mask is set."""
+        out = object.__new__(Sample)
+        out.label, out.part = self.label[rows], self.part[rows]
+        size = np.diff(self.bounds)
+        out.bounds = np.r_[0, np.cumsum(size[rows])]
+        each = np.repeat(rows, size)
+        out.key, out.value = self.key[each], self.value[each]
+        return out
 
     def __len__(self) -> int:
         return len(self.label)

@@ -3,15 +3,21 @@
 Trusted positives are documents labelled quality 1; all other text is unlabelled web text. The model is a
 linear score of hashed n-grams that minimises the non-negative unbiased risk: the positives' loss weighted by
 the class prior, plus the unlabelled texts' negative loss less the positives' share in it, which is held at
-zero or more (when it falls below, the step goes the other way). The class prior is estimated from the
-training labels. A last step calibrates the scores to probabilities on labelled training rows.
+zero or more (when it falls below, the step goes the other way).
+
+The class prior of the web text is estimated from scores alone: a first model tells positives from web text, and
+on rows kept apart the prior is at most the ratio of the web text's share above a score to the positives', at
+whatever score; the least ratio counts, with a margin for the size of the samples.
+
+A last step calibrates the scores to probabilities (Platt) on labelled rows that no model was fitted to.
 
 Rows whose crc32(doc_id as text) mod 5 is 0 are held out: neither their labels nor their texts are learnt
-from. Samples are bounded by `POSITIVES`, `UNLABELLED` and `CALIBRATION` rows, taken by the hash of doc_id;
-every document is scored.
+from. Samples are bounded by `POSITIVES`, `UNLABELLED` and `CALIBRATION` rows and `hashed.SAMPLE_BYTES` of text,
+taken by hash, and are learnt from in one task; every document is scored.
 
 Nulls: a null text scores as an empty one, by the bias alone; a null doc_id counts as the empty string for the
-fold. With no positive training labels the score is the prior, 0.5 without labels.
+fold. Without positive training labels or web text the score is the labels' share of 1, 0.5 without labels.
+Repeated rows are scored each for itself; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import hashed as H
-from .quality_rules import labelled_sample
+from .quality_rules import labelled
 from .textarrays import Words, slices, space_split_table
 
 POSITIVES, UNLABELLED, CALIBRATION = 2000, 4000, 2000
@@ -37,10 +43,19 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS == 0
 
 
-def class_prior(labels: DataFrame) -> float | None:
-    """Share of quality 1 among the training labels, smoothed; None without labels."""
-    row = labels.where(~held_out()).where("quality IN (0, 1)").agg(F.count("*").alias("n"), F.sum("quality").alias("k")).first()
-    return (row["k"] + 1) / (row["n"] + 2) if row["n"] else None
+def class_prior(positive: np.ndarray, web: np.ndarray) -> float:
+    """Estimated share of positives in the web text, by scores of rows kept apart: the least ratio of the shares above a score, with a margin."""
+    if not len(positive) or not len(web):
+        return 0.5
+    at = np.unique(positive)
+    above_p = 1 - np.searchsorted(np.sort(positive), at, "left") / len(positive)
+    above_w = 1 - np.searchsorted(np.sort(web), at, "left") / len(web)
+    margin = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(web)))
+    use = above_p > 2 * margin
+    if not use.any():
+        return 0.5
+    best = np.argmin((above_w[use] + margin) / above_p[use])
+    return float(np.clip(above_w[use][best] / above_p[use][best], 0.05, 0.95))
 
 
 def pu_weights(positive: H.Sample, unlabelled: H.Sample, prior: float, steps: int = STEPS) -> np.ndarray:
@@ -59,32 +74,42 @@ def pu_weights(positive: H.Sample, unlabelled: H.Sample, prior: float, steps: in
     return adam.w
 
 
-def train(docs: DataFrame, labels: DataFrame):
-    """(weights, slope, offset); weights are None where there is nothing to learn."""
+def _fit(sample: H.Sample) -> bytes | None:
+    """label: 1 positive, 0 web text, 2 and 3 labelled 0 and 1 for the calibration. part 0 is kept apart for the prior."""
+    aside = sample.part == 0
+    positive, web = (sample.only((sample.label == k) & ~aside) for k in (1, 0))
+    if not len(positive) or not len(web):
+        return None
+    first = pu_weights(positive, web, 0.5, steps=20)
+    prior = class_prior(*(sample.only((sample.label == k) & aside).score(first) for k in (1, 0)))
+    w = pu_weights(positive, web, prior)
+    known = sample.only(sample.label >= 2)
+    a, b = H.platt(known.score(w) + w[-1], known.label - 2)
+    return H.as_bytes(w[:-1], a, b + a * float(w[-1]))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[bytes | None, float]:
+    """The model, and the score to give if there is none."""
     B.small_batches(docs.sparkSession)
-    prior = class_prior(labels)
-    if prior is None:
-        return None, 0.0, 0.0
     fold = ~held_out()
-    positive = H.Sample(labelled_sample(docs, labels.where("quality = 1"), fold, POSITIVES))
-    few = docs.where(fold).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(UNLABELLED)
-    web = docs.select("doc_id", "text").join(F.broadcast(few.distinct()), "doc_id")
-    unlabelled = H.Sample(web.select(F.lit(0).alias("label"), F.col("text").cast("string").alias("text")))
-    if not len(positive) or not len(unlabelled):
-        return None, 0.0, float(np.log(prior / (1 - prior)))
-    w = pu_weights(positive, unlabelled, prior)
-    known = H.Sample(labelled_sample(docs, labels, fold, CALIBRATION))
-    a, b = H.platt(known.score(w) + w[-1], known.label)
-    return w[:-1].astype(np.float32), a, b + a * float(w[-1])
+    row = labels.where(fold).where("quality IN (0, 1)").agg(F.count("*").alias("n"), F.sum("quality").alias("k")).first()
+    if not row["n"]:
+        return None, 0.5
+    # labels are dealt to fitting and to calibration by hash of their doc_id, so a document serves one of them
+    role = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(3))
+    positive = labelled(docs, labels.where("quality = 1"), POSITIVES, fold & (role > 0))
+    known = labelled(docs, labels, CALIBRATION, fold & (role == 0)).withColumn("label", F.col("label") + 2)
+    few = docs.where(fold).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(UNLABELLED).distinct()
+    web = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select(F.lit(0).alias("label"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)).cast("int").alias("part"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return H.fitted(positive.unionByName(known).unionByName(web), POSITIVES + UNLABELLED + CALIBRATION, _fit), (row["k"] + 1) / (row["n"] + 2)
 
 
 def _scored(model):
     def of_batches(batches):
         for batch in batches:
             for a, b, buf, off in slices(batch.column("text")):
-                w, slope, offset = model.value
-                raw = H.raw_scores(Words(buf, off, _TABLE), w) if w is not None else np.zeros(b - a)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(H.sigmoid(slope * raw + offset))], names=["doc_id", "score"])
+                score = H.probabilities(Words(buf, off, _TABLE), *model.value)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(score)], names=["doc_id", "score"])
 
     return of_batches
 

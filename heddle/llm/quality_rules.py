@@ -1,12 +1,14 @@
 """Quality rules: fixed text rules, then a hashed n-gram logistic regression with calibrated probabilities.
 
-The regression is trained on labelled quality rows, `TRAIN_ROWS` of them at most, taken by the hash of their
-doc_id; a fifth of these is kept apart to calibrate the probabilities (Platt). Every document is scored in
-Arrow batches by its whole text and kept if its probability is `KEEP` or more and no fixed rule fails.
+The regression is trained on labelled quality rows, `TRAIN_ROWS` of them at most (and `hashed.SAMPLE_BYTES` of
+text), taken by the hash of their doc_id, in one task on an executor; a fifth of these is kept apart to calibrate
+the probabilities (Platt). Every document is scored in Arrow batches by its whole text and kept if its probability
+is `KEEP` or more and no fixed rule fails.
 
 Nulls: a null text has no words, so it fails the word-count rule; labels with a null id or quality are not
 used. With no labelled rows, or one class alone, the probability is 1 and the fixed rules decide. Repeated
-rows are judged each for itself. Extra columns are ignored; `keep_good` returns the columns it is given.
+rows are judged each for itself. An empty table gives no rows. Extra columns are ignored; `keep_good` returns
+the columns it is given.
 """
 
 from __future__ import annotations
@@ -70,22 +72,19 @@ def measures(words: Words) -> dict[str, np.ndarray]:
     return {k: v.astype(np.int64) for k, v in out.items()}
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, where=None, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(label, text) of at most `rows` labelled documents, those whose doc_id hashes lowest."""
+def labelled(docs: DataFrame, labels: DataFrame, rows: int, where=None) -> DataFrame:
+    """(label, part, text) of the documents of `rows` labels, those whose doc_id hashes lowest. part: 0 to 4 by another hash, to keep some apart."""
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
     if where is not None:
         known = known.where(where)
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("label", F.col("text").cast("string").alias("text"))
+    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)).cast("int"))
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("label", "part", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float, float] | None:
-    """Weights, slope and offset of the calibrated regression; None if the labels hold one class or none."""
-    B.small_batches(docs.sparkSession)
-    sample = H.Sample(labelled_sample(docs, labels, rows=rows))
-    y = (sample.label == 1).astype(float)
-    aside = np.arange(len(sample)) % 5 == 0
+def _fit(sample: H.Sample) -> bytes | None:
+    """Weights, slope and offset, of which the last two are the end of the bytes."""
+    y, aside = (sample.label == 1).astype(float), sample.part == 0
     if len(set(y[~aside])) < 2:
         return None
     weight = np.where(y == 1, 0.5 / y[~aside].mean(), 0.5 / (1 - y[~aside].mean())) * ~aside / (~aside).sum()
@@ -94,7 +93,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
         r = (H.sigmoid(sample.score(adam.w) + adam.w[-1]) - y) * weight
         adam.step(np.r_[sample.gradient(r), r.sum()] + 1e-6 * adam.w)
     a, b = H.platt(sample.score(adam.w)[aside] + adam.w[-1], y[aside])
-    return adam.w[:-1].astype(np.float32), a, b + a * float(adam.w[-1])
+    return H.as_bytes(adam.w[:-1], a, b + a * float(adam.w[-1]))
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> bytes | None:
+    """The calibrated regression; None if the labels hold one class or none."""
+    B.small_batches(docs.sparkSession)
+    return H.fitted(labelled(docs, labels, rows), rows, _fit)
 
 
 def _scored(model):
@@ -103,8 +108,7 @@ def _scored(model):
             for a, b, buf, off in slices(batch.column("text")):
                 words = Words(buf, off, _TABLE)
                 out = measures(words)
-                w = model.value
-                out["probability"] = H.sigmoid(H.raw_scores(words, w[0]) * w[1] + w[2]) if w is not None else np.ones(b - a)
+                out["probability"] = H.probabilities(words, model.value, 1.0)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *[pa.array(x) for x in out.values()]], names=["doc_id", *out])
 
     return of_batches
@@ -124,10 +128,9 @@ def _good(model):
     def of_batches(batches):
         for batch in batches:
             keep = []
-            for a, b, buf, off in slices(batch.column("text")):
+            for _, _, buf, off in slices(batch.column("text")):
                 words = Words(buf, off, _TABLE)
-                m, w = measures(words), model.value
-                p = H.sigmoid(H.raw_scores(words, w[0]) * w[1] + w[2]) if w is not None else np.ones(b - a)
+                m, p = measures(words), H.probabilities(words, model.value, 1.0)
                 keep.append((m["n_words"] >= LEAST_WORDS) & (100 * m["n_repeat_words"] <= MOST_REPEATED * m["n_words"]) & (p >= KEEP))
             yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *keep])))
 

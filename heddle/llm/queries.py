@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import decontaminate, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, warc
 
 
@@ -19,7 +17,6 @@ def queries() -> dict:
         "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
         "op9_warc": warc.op9_warc,
         "op10_pii": pii.op10_pii,
-        "pipeline": corpus_pipeline.run,
     }
 
 
