@@ -35,10 +35,10 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def in_blocks(docs: DataFrame) -> DataFrame:
-    """(block, id, text) of the documents, dealt by block; id is doc_id, or NO_ID if that is null."""
+    """(block, id, text) of the documents with a text, dealt by block; id is doc_id, or NO_ID if that is null. The text takes part in the deal, so that a doc_id with many rows isn't one block."""
     n = block_count(docs.sparkSession)
-    return docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"),
+    return docs.where("text <> ''").select(
+        F.pmod(F.xxhash64("doc_id", F.col("text").cast("string")), F.lit(n)).cast("int").alias("block"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("id"),
         F.col("text").cast("string").alias("text"),
     ).repartition(partitions(docs.sparkSession), "block")
@@ -64,9 +64,11 @@ def sorted_find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a folder of our own only where none is set."""
+    """The folder that all executors share, as the cluster names it in spark.checkpoint.dir or the session's checkpoint directory. Where none is set, a local session gets a folder of its own; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="heddle-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -1,18 +1,25 @@
-"""Substring dedup by exact lookup of word windows, in place of a relative Lempel-Ziv parse.
+"""Substring dedup: a relative Lempel-Ziv parse of every document against the indexed blocks of all documents.
 
-Documents lie in blocks. Every block is indexed, and each window of `window` words of a document is looked up
-in the index of all blocks: it is a duplicate if it stands in a document with a smaller doc_id. Runs of such
-windows are duplicate spans, cut into factors where the block of the window's first document changes. The index
-holds no positions, so a factor need not be the longest match, nor a substring of one reference.
+Documents lie in blocks, and every block is indexed: for each window of `window` words, the documents that hold it
+and the places where it first stands in each. A document is parsed greedily from left to right: at a window that
+stands in a document with a smaller doc_id, the match is extended in each reference, word by word, as long as the
+text goes on there, and the longest one becomes a factor (reference document, place in it, length). All factors are
+at least as long as a window, so each is a duplicate span. At a factor's boundary the windows that lie across it are
+looked up, too, so that the next factor may begin inside the last one: no window with an earlier source is left out.
+
+The index keeps for each window the first `SOURCES` documents that hold it, by doc_id, in whatever block they lie. So a
+factor is the longest match along those; which words are removed doesn't depend on that bound, as one earlier
+source suffices.
 
 The index is built in two steps, so that only windows that may repeat are exchanged. First each block sends
 its anchors, the minimisers of `ANCHOR`-word n-grams: a window holds one for certain, and if the window
 stands in two documents so does its anchor. Then only windows over anchors known to two documents are
-indexed, by 80 bits of hash, with the smallest doc_id.
+indexed, by 80 bits of hash.
 
 Nulls: a null text has no words; a null doc_id counts as larger than any other, so such a row is never a
-source for others. Rows with the same doc_id are no sources for each other. Texts without words are returned
-with zero counts and the hash of the empty text. Extra columns are ignored.
+source for others. Rows with the same doc_id are no sources for each other and count as one reference. Texts
+without words are returned with zero counts and the hash of the empty text. An empty table gives no rows. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +37,11 @@ from .textarrays import U64, Words, ngram_hashes, slices, space_split_table, spl
 
 ANCHOR = 6
 WINDOW = 13
+SOURCES = 2
 SEND = "bucket int, block int, hash binary, more binary"
-INDEX = "bucket int, block int, hash binary, high binary, id binary, more binary"
-FACTORS = "id long, n_words long, starts array<long>, lengths array<long>, references array<int>"
+INDEX = "bucket int, block int, hash binary, high binary, id binary, place binary"
+KNOWN = "block int, hash binary, count binary, id binary, place binary"
+FACTORS = "id long, n_words long, starts array<long>, lengths array<long>, references array<long>, places array<long>"
 _SECOND = U64(0xC2B2AE3D27D4EB4F)
 _TABLE = space_split_table()
 
@@ -98,9 +107,21 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"], "hash": pa.array(out, pa.binary())})
 
 
+def _first_documents(h: np.ndarray, high: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rows to keep, in the order of windows: of each window the first place in each of the `SOURCES` smallest doc_ids."""
+    order = np.lexsort((place, ids, high, h))
+    h, high, ids = h[order], high[order], ids[order]
+    window = np.r_[True, (h[1:] != h[:-1]) | (high[1:] != high[:-1])][: len(h)]
+    document = window | np.r_[True, ids[1:] != ids[:-1]][: len(h)]
+    nth = np.cumsum(document)
+    nth -= (nth[window] - 1)[np.cumsum(window) - 1] if len(nth) else nth
+    return order[document & (nth <= SOURCES)]
+
+
 def _send_windows(window: int, n: int):
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hash", pa.binary()), ("high", pa.binary()), ("id", pa.binary()), ("place", pa.binary())])
+
     def of_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hash", pa.binary()), ("high", pa.binary()), ("id", pa.binary()), ("more", pa.binary())])
         shared = np.sort(np.concatenate([np.zeros(0, U64), *unpack(right["hash"], U64)]))
         if not len(shared) or not len(left):
             return schema.empty_table()
@@ -110,107 +131,118 @@ def _send_windows(window: int, n: int):
             h, at, anchor = _windows(words, window)
             at = at[B.sorted_find(shared, anchor) >= 0]
             if len(at):
-                found.append((ngram_hashes(h, window)[at], (ngram_hashes(h, window, _SECOND, 1)[at] >> U64(48)).astype(np.uint16), own[a:][words.doc()[at]]))
+                doc = words.doc()[at]
+                found.append((ngram_hashes(h, window)[at], (ngram_hashes(h, window, _SECOND, 1)[at] >> U64(48)).astype(np.uint16), own[a:][doc], (at - words.off[doc]).astype(np.int32)))
         if not found:
             return schema.empty_table()
-        h, high, i = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((i, high, h))
-        h, high, i = h[order], high[order], i[order]
-        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (high[1:] != high[:-1])])
-        last = np.r_[first[1:], len(h)] - 1
-        more = i[first] != i[last]  # stands in two documents of this block
-        h, high, i = h[first], high[first], i[first]
-        order, bounds = split_by(B.bucket_of(h, n), n)
-        h, high, i, more = h[order], high[order], i[order], more[order]
+        cols = [np.concatenate(x) for x in zip(*found)]
+        keep = _first_documents(*cols)
+        cols = [x[keep] for x in cols]
+        order, bounds = split_by(B.bucket_of(cols[0], n), n)
         full = np.flatnonzero(np.diff(bounds))
-        cut = lambda x: [x[bounds[k] : bounds[k + 1]].tobytes() for k in full]
-        return pa.table({"bucket": full.astype(np.int32), "block": np.full(len(full), left["block"][0].as_py(), np.int32), "hash": cut(h), "high": cut(high), "id": cut(i), "more": [np.packbits(more[bounds[k] : bounds[k + 1]]).tobytes() for k in full]}, schema=schema)
+        cut = lambda x: [x[order[bounds[k] : bounds[k + 1]]].tobytes() for k in full]
+        return pa.table({"bucket": full.astype(np.int32), "block": np.full(len(full), left["block"][0].as_py(), np.int32), **{c: cut(x) for c, x in zip(("hash", "high", "id", "place"), cols)}}, schema=schema)
 
     return of_block
 
 
-def _first_sources(table: pa.Table) -> pa.Table:
-    """Of a bucket: for each block, the windows that start in a smaller document, and that document's block."""
-    each, highs, ids = unpack(table["hash"], U64), unpack(table["high"], np.uint16), unpack(table["id"], np.int64)
-    more = np.concatenate([np.unpackbits(m, count=len(x)).astype(bool) for x, m in zip(each, unpack(table["more"], np.uint8))])
-    block = table["block"].to_numpy()
-    h, high, i = np.concatenate(each), np.concatenate(highs), np.concatenate(ids)
-    sizes = [len(x) for x in each]
-    row = np.repeat(np.arange(len(each)), sizes)
-    order = np.lexsort((i, high, h))
-    s, t = h[order], high[order]
-    new = np.r_[True, (s[1:] != s[:-1]) | (t[1:] != t[:-1])][: len(s)]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    source = np.empty(len(h), np.int64)
-    source[order] = order[first]  # the entry with the smallest doc_id
-    dup = (i != i[source]) | more
-    ends = np.cumsum([0, *sizes])
-    out = [(each[k][d := dup[a:b]].tobytes(), block[row[source[a:b][d]]].astype(np.int32).tobytes()) for k, (a, b) in enumerate(zip(ends, ends[1:]))]
-    return pa.table({"block": table["block"], "hash": pa.array([x for x, _ in out], pa.binary()), "source": pa.array([y for _, y in out], pa.binary())})
-
-
-def _source_of_windows(left: pa.Table, right: pa.Table, window: int) -> Iterator[tuple[int, Words, np.ndarray]]:
-    """For the slices of a block: first row, words, and for each word the block of an earlier document in which its window starts, or -1."""
-    own_block = left["block"][0].as_py()
-    own = left["id"].to_numpy()
-    known = np.concatenate([np.zeros(0, U64), *unpack(right["hash"], U64)]) if len(right) else np.zeros(0, U64)
-    source = np.concatenate([np.zeros(0, np.int32), *unpack(right["source"], np.int32)]) if len(right) else np.zeros(0, np.int32)
-    order = np.argsort(known, kind="stable")
-    known, source = known[order], source[order]
-    parsed, least = [], np.full(len(known), B.NO_ID, np.int64)
-
-    def look(words: Words, a: int):
+def _sources(table: pa.Table) -> pa.Table:
+    """Of a bucket: for each block, its windows that start in a smaller document, and the documents and places of the first sources."""
+    h, high, ids, place = (np.concatenate([np.zeros(0, t), *unpack(table[c], t)]) for c, t in (("hash", U64), ("high", np.uint16), ("id", np.int64), ("place", np.int32)))
+    sizes = [len(x.as_buffer()) // 8 for x in table["hash"]]
+    keep = _first_documents(h, high, ids, place)
+    # a number for each window, and the kept rows of each
+    order = np.lexsort((high, h))
+    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (high[order][1:] != high[order][:-1])][: len(h)]
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = np.searchsorted(number[keep], np.arange(int(new.sum()) + 1))
+    ends, out = np.cumsum([0, *sizes]), []
+    for a, b in zip(ends, ends[1:]):
+        # the windows of this block, and the largest doc_id that it sent for each
+        own, at = np.unique(number[a:b][::-1], return_index=True)
+        most = ids[b - 1 - at]
+        n = first[own + 1] - first[own]
+        rows = keep[np.repeat(first[own] - np.r_[0, np.cumsum(n)[:-1]][: len(n)], n) + np.arange(n.sum())]
+        # a block that sent as many as are kept may have later documents still
+        sent = np.bincount(np.searchsorted(own, number[a:b]), minlength=len(own))
+        use = (ids[rows] < np.repeat(most, n)) | np.repeat(sent == SOURCES, n)
+        count = np.bincount(np.repeat(np.arange(len(own)), n)[use], minlength=len(own))
+        some, rows = count > 0, rows[use]
+        out.append((h[b - 1 - at][some].tobytes(), count[some].astype(np.uint8).tobytes(), ids[rows].tobytes(), place[rows].tobytes()))
+    return pa.table({"block": table["block"], **{c: pa.array([x[k] for x in out], pa.binary()) for k, c in enumerate(("hash", "count", "id", "place"))}})
+
+
+class _Known:
+    """The windows of a block that have sources, and these."""
+
+    def __init__(self, table: pa.Table):
+        h, count, self.id, self.place = (np.concatenate([np.zeros(0, t), *(unpack(table[c], t) if len(table) else [])]) for c, t in (("hash", U64), ("count", np.uint8), ("id", np.int64), ("place", np.int32)))
+        order = np.argsort(h, kind="stable")
+        self.hash, self.count = h[order], count[order].astype(np.int64)
+        self.first = np.r_[0, np.cumsum(count.astype(np.int64))][:-1][order]
+
+    def of(self, words: Words, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, source document, place in it) of all sources of the windows of the texts; ids are the texts' doc_ids."""
         at = np.flatnonzero(words.left() >= window)
-        place = B.sorted_find(known, ngram_hashes(words.hashes(), window)[at]) if len(at) else at
-        at, place = at[place >= 0], place[place >= 0]
-        return at, place, own[a:][words.doc()[at]]
-
-    if (source == own_block).any():  # the first document is in this block: which is it?
-        for a, _, buf, off in slices(left["text"]):
-            _, place, i = look(Words(buf, off, _TABLE), a)
-            np.minimum.at(least, place, i)
-    for a, _, buf, off in slices(left["text"]):
-        words = Words(buf, off, _TABLE)
-        at, place, i = look(words, a)
-        where = np.full(len(words), -1, np.int32)
-        hit = (source[place] != own_block) | (i > least[place])
-        where[at[hit]] = source[place[hit]]
-        yield a, words, where
-
-
-def _greedy_factors(where: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, length, reference block) of the factors. A factor is extended while the next window starts in the same reference; at its boundary the windows across are looked up, so the next factor may begin inside it."""
-    at = np.flatnonzero(where >= 0)
+        found = B.sorted_find(self.hash, ngram_hashes(words.hashes(), window)[at]) if len(at) else at
+        at, found = at[found >= 0], found[found >= 0]
+        n = self.count[found]
+        rows = np.repeat(self.first[found] - np.r_[0, np.cumsum(n)[:-1]][: len(n)], n) + np.arange(n.sum())
+        at = np.repeat(at, n)
+        earlier = self.id[rows] < ids[words.doc()[at]]
+        return at[earlier], self.id[rows[earlier]], self.place[rows[earlier]].astype(np.int64)
+
+
+def _greedy_factors(at: np.ndarray, source: np.ndarray, place: np.ndarray, off: np.ndarray, window: int):
+    """(document, start, length, reference, place in it) of the factors, in the order of the texts."""
+    none = np.zeros(0, np.int64)
     if not len(at):
-        return at, at, at, at
+        return (none,) * 5
     doc = np.searchsorted(off, at, "right") - 1
-    new = np.r_[True, (at[1:] != at[:-1] + 1) | (where[at[1:]] != where[at[:-1]]) | (doc[1:] != doc[:-1])]
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(at)] - 1
-    return doc[first], at[first] - off[doc[first]], at[last] - at[first] + window, where[at[first]]
+    # a match goes on as long as the next window stands at the next place of the same reference
+    order = np.lexsort((at, place - at, source, doc))
+    a, s, d, t = at[order], source[order], (place - at)[order], doc[order]
+    ends = np.r_[(a[1:] != a[:-1] + 1) | (s[1:] != s[:-1]) | (d[1:] != d[:-1]) | (t[1:] != t[:-1]), True]
+    last = np.empty(len(at), np.int64)
+    stops = np.flatnonzero(ends)
+    last[order] = a[stops][np.searchsorted(stops, np.arange(len(a)))]
+    # of each window the source with the longest match, then the smallest doc_id
+    order = np.lexsort((place, source, -last, at))
+    best = order[np.r_[True, at[order][1:] != at[order][:-1]]]
+    a, e = at[best], last[best]
+    chosen, k = [], 0
+    after = np.maximum(np.searchsorted(a, e, "right"), np.searchsorted(a, off[doc[best]]))
+    after = after.tolist()
+    while k < len(a):
+        chosen.append(k)
+        k = after[k]
+    pick = best[chosen]
+    return doc[pick], at[pick] - off[doc[pick]], last[pick] - at[pick] + window, source[pick], place[pick]
 
 
 def _parse(window: int, finish):
     def of_block(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
         if len(left):
-            ids = left["id"].to_numpy()
-            for a, words, where in _source_of_windows(left, right, window):
-                parts.append(finish(ids[a : a + len(words.off) - 1], words, _greedy_factors(where, words.off, window)))
-        return pa.concat_tables(parts) if parts else finish(np.zeros(0, np.int64), Words(np.zeros(0, np.uint8), np.zeros(1, np.int64), _TABLE), (np.zeros(0, np.int64),) * 4)
+            ids, known = left["id"].to_numpy(), _Known(right)
+            for a, b, buf, off in slices(left["text"]):
+                words = Words(buf, off, _TABLE)
+                parts.append(finish(ids[a:b], words, _greedy_factors(*known.of(words, ids[a:b], window), words.off, window)))
+        return pa.concat_tables(parts) if parts else finish(np.zeros(0, np.int64), Words(np.zeros(0, np.uint8), np.zeros(1, np.int64), _TABLE), (np.zeros(0, np.int64),) * 5)
 
     return of_block
 
 
 def _as_factors(ids: np.ndarray, words: Words, factors) -> pa.Table:
-    doc, start, length, ref = factors
+    doc, *values = factors
     off = np.searchsorted(doc, np.arange(len(ids) + 1)).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(off, pa.array(x, t)) for x, t in ((start, pa.int64()), (length, pa.int64()), (ref, pa.int32()))]
-    return pa.table({"id": ids, "n_words": words.counts().astype(np.int64), "starts": lists[0], "lengths": lists[1], "references": lists[2]})
+    lists = [pa.ListArray.from_arrays(off, pa.array(x, pa.int64())) for x in values]
+    return pa.table({"id": ids, "n_words": words.counts().astype(np.int64), **dict(zip(("starts", "lengths", "references", "places"), lists))})
 
 
 def _as_digest(ids: np.ndarray, words: Words, factors) -> pa.Table:
-    doc, start, length, _ = factors
+    doc, start, length, *_ = factors
     n = len(words)
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, words.off[doc] + start, 1)
@@ -243,7 +275,7 @@ def _run(docs: DataFrame, window: int, finish, schema: str) -> DataFrame:
     sent = dealt.groupBy("block").applyInArrow(_send_anchors(window, n), SEND)
     shared = sent.repartition(p, "bucket").groupBy("bucket").applyInArrow(_shared_anchors, "block int, hash binary")
     index = dealt.groupBy("block").cogroup(shared.repartition(p, "block").groupBy("block")).applyInArrow(_send_windows(window, n), INDEX)
-    found = index.repartition(p, "bucket").groupBy("bucket").applyInArrow(_first_sources, "block int, hash binary, source binary")
+    found = index.repartition(p, "bucket").groupBy("bucket").applyInArrow(_sources, KNOWN)
     return dealt.groupBy("block").cogroup(found.repartition(p, "block").groupBy("block")).applyInArrow(_parse(window, finish), schema)
 
 
@@ -251,15 +283,23 @@ def _real_id():
     return F.when(F.col("id") != int(B.NO_ID), F.col("id")).alias("doc_id")
 
 
+def _blank(docs: DataFrame, *columns) -> DataFrame:
+    """The documents without a text, which take no part in the exchange."""
+    return docs.where("text IS NULL OR text = ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_words"), *columns)
+
+
 def duplicate_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, starts, lengths, references): the long factors of each document, in words from 0, and the reference block of each."""
-    return _run(docs, window, _as_factors, FACTORS).select(_real_id(), "n_words", "starts", "lengths", "references")
+    """(doc_id, n_words, starts, lengths, references, places): the factors of each document, in words from 0, with the doc_id of each one's reference and its place there."""
+    names = ("starts", "lengths", "references", "places")
+    found = _run(docs, window, _as_factors, FACTORS).select(_real_id(), "n_words", *names)
+    return found.unionByName(_blank(docs, *[F.array().cast("array<long>").alias(c) for c in names]))
 
 
 def removed_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): what is left of each document without its duplicate spans."""
     schema = "id long, n_words long, n_removed long, kept_sha256 string"
-    return _run(docs, window, _as_digest, schema).select(_real_id(), "n_words", "n_removed", "kept_sha256")
+    found = _run(docs, window, _as_digest, schema).select(_real_id(), "n_words", "n_removed", "kept_sha256")
+    return found.unionByName(_blank(docs, F.lit(0).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256")))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -44,14 +44,32 @@ def test_substring_dedup(docs, none, data):
     assert bag(substring_dedup.removed_digest(docs).collect()) == bag(want)
     assert sum(r[2] for r in want) > 500
     assert substring_dedup.removed_digest(none).count() == 0
+    texts = defaultdict(list)
+    for i, t, *_ in data:
+        texts[i].append(X.space_words(t))
     for r in substring_dedup.duplicate_factors(docs).collect():
-        assert all(length >= substring_dedup.WINDOW and a + length <= r["n_words"] for a, length in zip(r["starts"], r["lengths"]))
+        for a, length, ref, place in zip(r["starts"], r["lengths"], r["references"], r["places"]):
+            assert length >= substring_dedup.WINDOW and (r["doc_id"] is None or ref < r["doc_id"])
+            assert any(w[a : a + length] == v[place : place + length] for w in texts[r["doc_id"]] for v in texts[ref] if len(w) == r["n_words"])
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 7])
+def test_substring_dedup_takes_the_longest_match(spark, partitions):
+    a = [f"a{k}" for k in range(40)]
+    rows = [(i, " ".join(w), "en", "web", 1) for i, w in ((1, a[:25]), (2, a[8:]), (50, a[8:]), (60, ["new", *a[:12], *a, "end"]))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = {r["doc_id"]: list(zip(r["starts"], r["lengths"], r["references"], r["places"])) for r in substring_dedup.duplicate_factors(X.frame(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {1: [], 2: [(0, 17, 1, 8)], 50: [(0, 32, 2, 0)], 60: [(13, 25, 1, 0), (26, 27, 2, 5)]}
 
 
-@pytest.mark.parametrize("partitions", [3, 16, 64])
+@pytest.mark.parametrize("partitions", [1, 3, 7, 16])
 def test_substring_dedup_null_and_large_ids(spark, partitions):
     texts = [" ".join(f"p{p}w{k}" for k in range(20)) for p in range(3)]
-    rows = [(i, f"{texts[p]} own {i}", "en", "web", 1) for p, ids in enumerate(((None, 1, 2, 5, 8), (None, 2**62, 2**62 + 7, 2**63 - 2), (None, None, 11))) for i in ids]
+    rows = [(i, f"{texts[p]} own {i}", "en", "web", 1) for p, ids in enumerate(((None, 1, 2, 5, 8), (None, -(2**63), 2**62, 2**62 + 7, 2**63 - 2), (None, None, 11))) for i in ids]
     want = [(i, n, gone, hashlib.sha256(" ".join(kept).encode()).hexdigest()) for i, n, gone, kept in X.removed_words(rows)]
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
