@@ -2,7 +2,8 @@
 
 Patterns are over normalised text: lower-case words with one space between them, a space before the first and
 after the last. A pattern begins at the space before its first word and ends before the space after its last.
-A rule is tried on a text only if the text has the rule's keyword. Priorities: 1 identifiers and addresses,
+A rule is tried on a text only if the text has the rule's keyword, which stands in whatever the pattern matches and
+holds no space. Priorities: 1 identifiers and addresses,
 2 full names with a version, 3 full names, 4 grants by name, 5 clauses of a license's body, 6 general notices.
 """
 
@@ -37,13 +38,13 @@ def _gnu():
             number = v.replace(".", " ") + (r"(?: 0)?" if "." not in v else "")
             label = f"{tag}-{v if '.' in v else v + '.0'}"
             later = r" or(?: \(?at your option\)?)?(?: any)? later(?: version)?"
-            yield f"{label}-or-later", 2, name[-14:], rf" (?:gnu )?{name}{V} {number}{later}"
+            yield f"{label}-or-later", 2, "license", rf" (?:gnu )?{name}{V} {number}{later}"
             yield f"{label}-or-later", 1, tag, rf" {tag}{V} ?{number}(?:{later}| or later|\+)"
             yield f"{label}-only", 1, tag, rf" {tag}{V} ?{number} only"
-            yield label, 2, name[-14:], rf" (?:gnu )?{name}{V} {number}"
+            yield label, 2, "license", rf" (?:gnu )?{name}{V} {number}"
             yield label, 1, tag, rf" {tag}{V} {number}"
             yield label, 1, tag, rf" {tag}v{number}"
-        yield tag, 3, name[-14:], rf" gnu {name}"
+        yield tag, 3, "license", rf" gnu {name}"
         yield tag, 4, tag, rf" (?:under|by) the (?:gnu )?{tag}"
     yield "gfdl-1.3", 2, "documentation", r" gnu free documentation license(?: v| version)? 1 3"
     yield "gfdl-1.2", 2, "documentation", r" gnu free documentation license(?: v| version)? 1 2"
@@ -162,4 +163,4 @@ HAND = (
     ("spdx", 6, "spdx", r" spdx license identifier"),
 )
 
-RULES = tuple((label, priority, keyword, pattern + END) for label, priority, keyword, pattern in (*_creative_commons(), *_gnu(), *HAND))
+RULES = (*_creative_commons(), *_gnu(), *HAND)

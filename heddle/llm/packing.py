@@ -4,8 +4,10 @@ Documents are tokenized, closed with id 0 and cut into pieces of at most `CAPACI
 to groups of about `GROUP_ITEMS`; each group is evolved on several islands. An individual is a set of bins.
 It starts as a best fit of the pieces in falling order, shaken a little. Crossover injects whole well-filled
 bins of one parent into the other, removes the bins that hold a piece twice by that, and best-fits the
-displaced pieces. After an epoch each island sends its elite to the next island of its group; after the last,
-the group takes the best. An island stops once it has as few bins as the tokens' sum allows.
+displaced pieces. Fewer bins are fitter; among as many, fuller ones are, which leaves room in one place. Where the
+best fit has as few bins as the tokens' sum allows the search is short, else it takes `HARD` times as long. After an
+epoch each island sends its elite to the next island of its group; after the last, the group takes the best.
+Pieces are dealt by a row number that is written once, so repeated rows spread over the groups.
 
 Nulls: a null or empty text is one piece of one token (id 0); null doc_ids and repeated rows are packed like
 all others. An empty table gives no rows. Extra columns are ignored.
@@ -26,7 +28,8 @@ from .textarrays import Words, slices, space_split_table, worker_state
 
 CAPACITY = 2048
 GROUP_ITEMS = 20_000
-ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3, 4, 4, 2
+ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3, 4, 3, 2
+HARD = 8  # times as many generations while a bin more than the bound is in use
 TOKENIZER = "word_bpe_49k.json"
 END = 0
 MARK = b"\x01"
@@ -188,6 +191,16 @@ class Bins:
         self.fill[k] += size
         self._offer(k, room - size)
 
+    def loosen(self, displaced: list[int]) -> None:
+        """Take the bin with most room apart."""
+        if self.items:
+            k = min(range(len(self.fill)), key=self.fill.__getitem__)
+            displaced += self.items[k]
+            kept = [(items, fill) for j, (items, fill) in enumerate(zip(self.items, self.fill)) if j != k]
+            self.__init__(self.capacity)
+            for items, fill in kept:
+                self.add_bin(items, fill)
+
     def fitness(self) -> tuple[int, float]:
         """Fewer bins first, then fuller ones: the mean square of the fills."""
         return -len(self.items), sum((f / self.capacity) ** 2 for f in self.fill) / max(1, len(self.fill))
@@ -202,8 +215,8 @@ def best_fit(size: list[int], order, capacity: int) -> Bins:
 
 def crossover(mother: Bins, father: Bins, size: list[int], rng: random.Random) -> Bins:
     """The mother with some of the father's well-filled bins in place of those of hers that share a piece with them."""
-    full = [k for k, f in enumerate(father.fill) if f >= 0.995 * father.capacity]
-    chosen = [father.items[k] for k in full if rng.random() < 0.5]
+    share = rng.random()
+    chosen = [father.items[k] for k, f in enumerate(father.fill) if f >= 0.995 * father.capacity and rng.random() < share]
     taken = {i for items in chosen for i in items}
     child, displaced = Bins(mother.capacity), []
     for items in chosen:
@@ -213,6 +226,8 @@ def crossover(mother: Bins, father: Bins, size: list[int], rng: random.Random) -
             child.add_bin(list(items), fill)
         else:
             displaced += [i for i in items if i not in taken]
+    # one of the bins with most room goes, too: only so can a child have a bin less
+    child.loosen(displaced)
     for i in sorted(displaced, key=lambda i: -size[i]):
         child.put(i, size[i])
     return child
@@ -222,20 +237,19 @@ def evolve(size: list[int], capacity: int, seed: int, guests: list[Bins] = []) -
     """The best individual of one island after an epoch. size: in falling order."""
     least, rng = -(-sum(size) // capacity), random.Random(seed)
     people = list(guests)
-    best = max(people, key=Bins.fitness, default=None)
-    while len(people) < POPULATION and (best is None or len(best.items) > least):
-        shake = 0.02 * capacity * (len(people) > 0)
+    while len(people) < POPULATION:
+        # the first is a best fit in falling order; the others come from orders that are shaken more and more
+        shake = (0.01 + 0.1 * rng.random()) * capacity * (len(people) > 0)
         people.append(best_fit(size, sorted(range(len(size)), key=lambda i: -size[i] - shake * rng.random()) if shake else range(len(size)), capacity))
-        best = max(people, key=Bins.fitness)
-    for _ in range(GENERATIONS):
-        if len(best.items) <= least:
+    people.sort(key=Bins.fitness, reverse=True)
+    for k in range(GENERATIONS * HARD):
+        if k >= GENERATIONS and len(people[0].items) <= least:
             break
-        mother, father = rng.sample(people, 2) if len(people) > 1 else (people[0], people[0])
+        mother, father = rng.sample(people, 2)
         people.append(crossover(mother, father, size, rng))
         people.sort(key=Bins.fitness, reverse=True)
         del people[POPULATION:]
-        best = people[0]
-    return best
+    return people[0]
 
 
 def _coded(best: Bins, n: int) -> bytes:
@@ -254,7 +268,7 @@ def _decoded(coded: bytes, size: list[int], capacity: int) -> Bins:
     return bins
 
 
-_ORDER = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+_ORDER = [("length", "descending"), ("row", "ascending")]
 ISLAND = "grp int, island int, sizes binary, best binary"
 _ISLAND = pa.schema([("grp", pa.int32()), ("island", pa.int32()), ("sizes", pa.binary()), ("best", pa.binary())])
 
@@ -292,7 +306,7 @@ def _place(capacity: int):
             for i in items:
                 bin_of[i], offset[i] = k, at
                 at += size[i]
-        table = table.drop_columns(["grp"])
+        table = table.drop_columns(["grp", "row"])
         return table.append_column("sequence_id", pa.array((table_group(left) << 32) + bin_of)).append_column("offset", pa.array(offset))
 
     return of_group
@@ -304,16 +318,17 @@ def table_group(table: pa.Table) -> int:
 
 def packed(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with sequence_id and offset. A piece that fills a sequence has one to itself."""
-    items = B.saved(items)
+    columns = items.columns
+    items = B.saved(items.withColumn("row", F.monotonically_increasing_id()))
     n = items.where(F.col("length") < capacity).count()
     groups = max(1, round(n / GROUP_ITEMS))
     # groups get one number of pieces or nearly so, full pieces apart: those need no packing
-    dealt = items.where(F.col("length") < capacity).withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    dealt = items.where(F.col("length") < capacity).withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
     islands = dealt.groupBy("grp").applyInArrow(_settle, ISLAND)
     for epoch in range(EPOCHS):
         islands = islands.groupBy("grp", "island").applyInArrow(_epoch(capacity, epoch), ISLAND)
     out = dealt.groupBy("grp").cogroup(islands.select("grp", "best").groupBy("grp")).applyInArrow(_place(capacity), PACKED)
-    full = items.where(F.col("length") >= capacity).select(*items.columns, (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = items.where(F.col("length") >= capacity).select(*columns, (F.col("row") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return out.unionByName(full)
 
 

@@ -112,6 +112,43 @@ def test_license_suppression(spark):
     assert any("apache" in x["label"] for x in found)
 
 
+def license_labels(t):
+    """Labels of all rules by plain matching of each, without any prefilter, and by comparing all pairs."""
+    import re
+
+    norm = f" {' '.join(X.alnum_words(t))} "
+    hits = []
+    for i, (label, priority, _, pattern) in enumerate(license_scan.RULES):
+        for m in re.finditer(pattern + license_scan.END, norm):
+            a = norm[: m.start()].count(" ")
+            hits.append((a, a + m[0].count(" "), priority, i, label))
+    inside = lambda x, y: y[0] <= x[0] and x[1] <= y[1] and (y[1] - y[0] > x[1] - x[0] or y[2:4] < x[2:4])
+    return sorted({x[4] for x in hits if not any(inside(x, y) for y in hits)} | {label for _, label in X.phrase_places(t)})
+
+
+def test_license_labels(spark, monkeypatch):
+    import random
+    import re
+
+    rng, rows = random.Random(7), []
+    signs = (" ", "\n", "  ", " - ", ", ", "/", "\t(", ".\r\n")
+    for label, _, keyword, pattern in license_scan.RULES:
+        assert " " not in keyword
+        text = pattern
+        while (more := re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(\?)?", lambda m: m[1] if not m[2] or rng.random() < 0.7 else "", text)) != text:
+            text = more
+        text = re.sub(r"\\[()+]\??", "", text).replace("[cs]", "c").replace("[0-9]{2}", "19").replace(r"\w+", "oo").replace("?", "")
+        text = "".join(rng.choice(signs) if c == " " else c.upper() if rng.random() < 0.3 else c for c in f" some words{text} and more")
+        assert re.search(pattern + license_scan.END, f" {' '.join(X.alnum_words(text))} "), (pattern, text)
+        rows.append((len(rows), text, "en", "web", 1))
+    rows += [(len(rows) + k, " ".join(rng.choice(rows)[1] for _ in range(n)), "en", "web", 1) for k, n in enumerate((2, 5, 20, 90))]
+    rows.append((len(rows), "same terms as perl itself, under the same terms\nas  Perl itself", "en", "web", 1))
+    monkeypatch.setattr(license_scan, "SWEEP", 7)
+    got = {r["doc_id"]: r["labels"] for r in license_scan.report(X.frame(spark, rows)).collect()}
+    assert got == {i: ",".join(license_labels(t)) for i, t, *_ in rows}
+    assert "perl" in got[len(rows) - 1].split(",")
+
+
 def test_quality_classifier(spark, docs, none, labels):
     got = quality_classifier.scores(docs, labels).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
@@ -183,6 +220,30 @@ def test_packing_crossover():
     assert all(sum(size[i] for i in b) == f <= 100 for b, f in zip(child.items, child.fill))
 
 
+def test_packing_search_beats_best_fit():
+    import random
+
+    won = 0
+    for seed in range(20):
+        rng = random.Random(seed)
+        full = [sorted(rng.sample(range(1, 100), rng.randint(2, 4))) for _ in range(12)]
+        size = sorted((b - a for cuts in full for a, b in zip([0, *cuts], [*cuts, 100])), reverse=True)
+        first, best = packing.best_fit(size, range(len(size)), 100), packing.evolve(size, 100, seed)
+        assert sorted(i for b in best.items for i in b) == list(range(len(size))) and all(f <= 100 for f in best.fill)
+        assert len(best.items) <= len(first.items)
+        won += len(best.items) < len(first.items)
+    assert won
+
+
+def test_packing_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 50)
+    got = packing.pack(X.frame(spark, [(7, "the same words again", "en", "web", 1)] * 400)).collect()
+    size = Counter()
+    for r in got:
+        size[r["sequence_id"]] += r["length"]
+    assert len(got) == 400 and max(size.values()) <= packing.CAPACITY and len({i >> 32 for i in size}) == 8
+
+
 def test_sharding(docs, none, data):
     got = sharding.slotted(sharding.assigned(docs)).collect()
     assert bag((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == bag((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in data)
