@@ -54,14 +54,18 @@ WIDE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 
 
 @F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Compatibility normalisation, for ingest: Spark has no built-in for it."""
+def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKC")
 
 
+def nfkc(text: Column) -> Column:
+    """Compatibility normalisation (full-width letters, ligatures, ...). Spark has no built-in for it; texts of ASCII alone don't leave the JVM."""
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def normalise(text: Column) -> Column:
-    """Lower case, forward slashes. Texts are put through nfkc() when they are ingested."""
-    return F.replace(F.lower(text), F.lit("\\"), F.lit("/"))
+    """Compatibility characters replaced, lower case, forward slashes."""
+    return F.replace(F.lower(nfkc(text)), F.lit("\\"), F.lit("/"))
 
 
 def split_camel(text: Column) -> Column:
@@ -100,14 +104,17 @@ def concepts(compact: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def with_tokens(df: DataFrame, text: Column, query: bool = False, name: str = "tokens") -> DataFrame:
-    """The frame with a column of (token, weight), one element for each occurrence; the weights of equal tokens are to be added. Each step is a column, so that no text is normalised twice."""
-    out = df.withColumn("_normal", normalise(split_camel(text)))
-    out = out.withColumn("_compact", F.regexp_replace("_normal", r"\s+", ""))
-    latin = F.transform(latin_words(F.col("_normal")), lambda t: F.struct(t.alias("token"), F.lit(QUERY_LATIN if query else LATIN).alias("weight")))
-    tags = F.transform(concepts(F.col("_compact")), lambda c: F.struct(F.concat(F.lit("concept:"), c).alias("token"), F.lit(QUERY_CONCEPT_WEIGHT if query else CONCEPT_WEIGHT).alias("weight")))
+def token_rows(df: DataFrame, key: str, text: Column, query: bool = False) -> DataFrame:
+    """(key, token, weight): the added weights of each token of a text: words and Han grams, and concepts of which a phrase stands in it."""
+    rows = df.select(key, normalise(split_camel(text)).alias("_normal"))
+    pair = lambda t, w: F.struct(t.alias("token"), F.lit(w).alias("weight"))
+    words = F.transform(F.regexp_extract_all("_normal", F.lit("([a-z0-9]+)"), 1), lambda t: pair(t, QUERY_LATIN if query else LATIN))
     han = F.when(F.col("_normal").rlike(r"\p{IsHan}"), han_grams(F.col("_normal"), query)).otherwise(F.array().cast("array<struct<token:string,weight:double>>"))
-    return out.withColumn(name, F.concat(latin, han, tags)).drop("_normal", "_compact")
+    rows = rows.withColumn("_compact", F.regexp_replace("_normal", r"\s+", ""))
+    tags = F.transform(concepts(F.col("_compact")), lambda c: pair(F.concat(F.lit("concept:"), c), QUERY_CONCEPT_WEIGHT if query else CONCEPT_WEIGHT))
+    # outer: for a plain explode Spark would add a filter on the array and push it below the steps that make it
+    each = rows.select(key, F.explode_outer(F.concat(words, han, tags)).alias("t")).select(key, "t.token", "t.weight")
+    return each.where((F.length("token") > 1) & ~F.col("token").isin(*STOP_WORDS)).groupBy(key, "token").agg(F.sum("weight").alias("weight"))
 
 
 def query_subject(query: Column) -> Column:

@@ -1,7 +1,7 @@
 """Exact dense search (survey D2, C3, C8, G1): blocks of query vectors against all vectors.
 
-A block of queries is a bounded matrix, broadcast; each task multiplies it with its batches of vectors and
-keeps the best k of each query, so what is shuffled is k rows for each query and task, not all pairs.
+Queries are packed into blocks of one width on the executors, vectors into batches. A block meets every batch of its
+width; each task keeps the best k of each query, so what is shuffled is k rows for each query and task, not all pairs.
 """
 
 from __future__ import annotations
@@ -13,79 +13,92 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import DENSE_THRESHOLD
+from ..plans.stored import stored
 from .lexical import top
 
 QUERY_BLOCK = 4096
+BROADCAST_BLOCKS = 16  # of queries: 32 MB at 64 dimensions
 PAIRS_AT_ONCE = 1 << 22
+PACKED = "width int, ids binary, vectors binary"
 
 
-def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the vectors that have the width, and which they are."""
-    size = pa.compute.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False)
-    good = np.flatnonzero(size == width)
-    flat = column.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(len(good), width), good
-
-
-def _nearest(block, k: int, threshold: float):
+def _packed(key: str):
     def of_batches(batches):
-        qid, q = block.value
-        norm_q = np.sqrt((q * q).sum(1))
-        best_id = [[] for _ in qid]
-        best_s = [[] for _ in qid]
-        step = max(1, PAIRS_AT_ONCE // len(qid))
         for batch in batches:
-            x, good = _matrix(batch.column("embedding"), q.shape[1])
-            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)[good]
-            for a in range(0, len(ids), step):
-                y = x[a : a + step]
-                length = np.sqrt((y * y).sum(1))[:, None] * norm_q
-                s = np.divide(y @ q.T, length, out=np.zeros_like(length), where=length > 0)
-                s = np.maximum(0, s)
-                for j in range(len(qid)):
-                    hit = np.flatnonzero(s[:, j] >= threshold)
-                    if len(hit):
-                        best_id[j].append(ids[a : a + step][hit])
-                        best_s[j].append(s[hit, j])
-                        if sum(map(len, best_id[j])) > 4 * k + 1000:
-                            best_id[j], best_s[j] = _cut(best_id[j], best_s[j], k)
-        for j, name in enumerate(qid):
-            i, s = _cut(best_id[j], best_s[j], k)
-            if len(i) and len(i[0]):
-                yield pa.RecordBatch.from_pydict({"qid": np.full(len(i[0]), name), "chunk_id": i[0], "dense": s[0]})
+            column = batch.column("embedding")
+            size = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+            ids, out = batch.column(key).to_numpy(zero_copy_only=False).astype(np.int64), []
+            for width in np.unique(size[size > 0]).tolist():
+                rows = np.flatnonzero(size == width)
+                flat = column.take(pa.array(rows)).flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+                out.append((width, ids[rows].tobytes(), flat.tobytes()))
+            yield pa.RecordBatch.from_pydict({c: [x[k] for x in out] for k, c in enumerate(("width", "ids", "vectors"))}, schema=pa.schema([("width", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]))
 
     return of_batches
 
 
-def _cut(ids: list, scores: list, k: int) -> tuple[list, list]:
-    if not ids:
-        return [], []
-    i, s = np.concatenate(ids), np.concatenate(scores)
-    order = np.lexsort((i, -np.round(s, 6)))[:k]
-    return [i[order]], [s[order]]
+class _Best:
+    """The k best of each query of a block so far: higher scores to six digits, then smaller ids."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.query, self.ids, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        query, ids, score = np.r_[self.query, query], np.r_[self.ids, ids], np.r_[self.score, score]
+        order = np.lexsort((ids, -np.round(score, 6), query))
+        q = query[order]
+        keep = order[np.arange(len(q)) - np.searchsorted(q, q) < self.k]
+        self.query, self.ids, self.score = query[keep], ids[keep], score[keep]
+
+    def least(self, n: int) -> np.ndarray:
+        """The score that a newcomer must reach, for each query."""
+        out = np.full(n, -1.0)
+        count = np.bincount(self.query, minlength=n)
+        full = np.flatnonzero(count >= self.k)
+        out[full] = np.round(self.score, 6)[np.searchsorted(self.query, full, "right") - 1]
+        return out
+
+
+def _nearest(k: int, threshold: float):
+    def of_batches(batches):
+        best: dict[bytes, _Best] = {}
+        for batch in batches:
+            for width, qids, q, ids, x in zip(*(batch.column(c).to_pylist() for c in ("width", "qids", "queries", "ids", "vectors"))):
+                q, x = (np.frombuffer(v).reshape(-1, width) for v in (q, x))
+                own, ids = best.setdefault(qids, _Best(k)), np.frombuffer(ids, np.int64)
+                norm = np.sqrt((q * q).sum(1))
+                step = max(1, PAIRS_AT_ONCE // len(q))
+                for a in range(0, len(x), step):
+                    y = x[a : a + step]
+                    length = np.sqrt((y * y).sum(1))[:, None] * norm
+                    s = np.maximum(0, np.divide(y @ q.T, length, out=np.zeros_like(length), where=length > 0))
+                    rounded, least = np.round(s, 6), own.least(len(q))
+                    if len(y) > k:
+                        least = np.maximum(least, np.partition(rounded, len(y) - k, axis=0)[len(y) - k])
+                    row, query = np.nonzero((rounded >= least) & (s >= threshold))
+                    own.add(query, ids[a + row], s[row, query])
+        for qids, found in best.items():
+            if len(found.ids):
+                yield pa.RecordBatch.from_pydict({"qid": np.frombuffer(qids, np.int64)[found.query], "chunk_id": found.ids, "dense": found.score})
+
+    return of_batches
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = DENSE_THRESHOLD) -> DataFrame:
-    """qid, chunk_id, dense, rank of the k nearest vectors (chunk_id, embedding) of each query (qid, embedding). Vectors of another width than the first query's take no part."""
+    """qid, chunk_id, dense, rank of the k nearest vectors (chunk_id, embedding) of each query (qid, embedding), among those of its width. Null and empty vectors take no part."""
     spark = vectors.sparkSession
-    found = None
-    block: list = []
-
-    def search(rows) -> None:
-        nonlocal found
-        rows = [r for r in rows if r["embedding"] is not None and len(r["embedding"])]
-        rows = [r for r in rows if len(r["embedding"]) == len(rows[0]["embedding"])]
-        if rows:
-            value = np.array([r["qid"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
-            part = vectors.select("chunk_id", "embedding").mapInArrow(_nearest(spark.sparkContext.broadcast(value), k, threshold), "qid long, chunk_id long, dense double")
-            found = part if found is None else found.unionByName(part)
-
-    for row in queries.select("qid", "embedding").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            search(block)
-            block = []
-    search(block)
-    if found is None:
-        found = spark.createDataFrame([], "qid long, chunk_id long, dense double")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.where("size(embedding) > 0").select("qid", "embedding")
+    asked = stored(asked)
+    blocks = -(-max(1, asked.count()) // QUERY_BLOCK)
+    # each task packs its rows batch by batch, so dealing by number keeps blocks bounded and about even
+    asked = stored(asked.repartition(blocks, "qid").mapInArrow(_packed("qid"), PACKED).select("width", F.col("ids").alias("qids"), F.col("vectors").alias("queries")))
+    held = vectors.where("size(embedding) > 0").select("chunk_id", "embedding").mapInArrow(_packed("chunk_id"), PACKED)
+    if asked.count() <= BROADCAST_BLOCKS:
+        pairs = held.join(F.broadcast(asked), "width")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("salt")
+        pairs = held.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).join(asked.select("*", salts), ["width", "salt"])
+    found = pairs.select("width", "qids", "queries", "ids", "vectors").mapInArrow(_nearest(k, threshold), "qid long, chunk_id long, dense double")
     return top(found, "dense", k, "chunk_id")

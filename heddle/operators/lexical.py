@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.joins import small
+from ..plans.stored import small, stored
 from ..sources.corpus import indexed_text
 
 K1, B = 1.5, 0.75
@@ -27,27 +27,24 @@ class Index:
 
 
 def build(chunks: DataFrame) -> Index:
-    told = T.with_tokens(chunks, indexed_text()).select("chunk_id", "tokens")
-    # outer: for a plain explode Spark would add a filter on the array and push it below the steps that make it
-    tokens = told.select("chunk_id", F.explode_outer("tokens").alias("t")).where("t IS NOT NULL")
-    postings = tokens.groupBy("chunk_id", F.col("t.token").alias("token")).agg(F.sum("t.weight").alias("weight"))
-    # lengths need no shuffle: they are a sum over each chunk's own array
-    total = F.aggregate("tokens", F.lit(0.0), lambda s, x: s + x["weight"])
-    lengths = told.select("chunk_id", F.greatest(F.lit(1.0), total).alias("length"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("avg_length"))
-    return Index(chunks, postings, lengths, postings.groupBy("token").agg(F.count("*").alias("df")), corpus)
+    """The tables, each computed once and stored. The text is read and split once; postings are counted from rows of tokens."""
+    postings = stored(T.token_rows(chunks, "chunk_id", indexed_text()))
+    total = postings.groupBy("chunk_id").agg(F.sum("weight").alias("total"))
+    lengths = stored(chunks.select("chunk_id").join(total, "chunk_id", "left").select("chunk_id", F.greatest(F.lit(1.0), F.coalesce("total", F.lit(0.0))).alias("length")))
+    corpus = stored(lengths.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("avg_length")))
+    return Index(chunks, postings, lengths, stored(postings.groupBy("token").agg(F.count("*").alias("df"))), corpus)
 
 
 def analysed(queries: DataFrame) -> DataFrame:
-    """qid, query, subject, normal, code_intent, location_intent of each query; blank ones are dropped."""
+    """qid, query, subject, normal, code_intent, location_intent of each query; blank ones are dropped. Stored."""
     subject = T.query_subject(F.col("query"))
-    return queries.select("qid", "query", subject.alias("subject"), T.normalise(subject).alias("normal"), T.code_intent(F.col("query")).alias("code_intent"), T.location_intent(F.col("query")).alias("location_intent")).where(T.strip(F.col("query")) != "")
+    rows = queries.select("qid", "query", subject.alias("subject"), T.code_intent(F.col("query")).alias("code_intent"), T.location_intent(F.col("query")).alias("location_intent")).where(T.strip(F.col("query")) != "")
+    return stored(rows.withColumn("normal", T.normalise(F.col("subject"))))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """qid, token, weight of analysed queries."""
-    tokens = T.with_tokens(queries, F.col("subject"), query=True).select("qid", F.explode_outer("tokens").alias("t")).where("t IS NOT NULL")
-    return tokens.groupBy("qid", F.col("t.token").alias("token")).agg(F.sum("t.weight").alias("weight"))
+    """qid, token, weight of analysed queries. Stored."""
+    return stored(T.token_rows(queries, "qid", F.col("subject"), query=True))
 
 
 def extension_filter(extension: str | None):
@@ -59,19 +56,16 @@ def extension_filter(extension: str | None):
 
 def bm25(index: Index, queries: DataFrame, extension: str | None = None) -> DataFrame:
     """qid, chunk_id, bm25 of all chunks that share a token with a query. The filter leaves the statistics alone."""
-    terms = query_terms(queries)
-    need = small(terms.select("token").distinct())
-    held = index.postings.join(need, "token", "left_semi")  # only the queries' tokens go on
-    df = held.groupBy("token").agg(F.count("*").alias("df"))
-    wanted = small(index.chunks.where(extension_filter(extension)).select("chunk_id"), 0) if extension else None
-    if wanted is not None:
-        held = held.join(wanted, "chunk_id", "left_semi")
     clamped = F.least(F.greatest("q", F.lit(QUERY_WEIGHT[0])), F.lit(QUERY_WEIGHT[1]))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("weight") * (K1 + 1) / (F.col("weight") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    weighed = terms.join(small(df), "token").crossJoin(F.broadcast(index.corpus)).select("qid", "token", F.col("weight").alias("q"), "df", "n", "avg_length")
-    hits = held.join(small(weighed), "token").join(index.lengths, "chunk_id")
-    return hits.groupBy("qid", "chunk_id").agg(F.sum(idf * tf * clamped).alias("bm25")).where("bm25 > 0")
+    terms = query_terms(queries)
+    df = index.df.join(small(stored(terms.select("token").distinct())), "token", "left_semi")
+    weighed = stored(terms.withColumnRenamed("weight", "q").join(df, "token").crossJoin(F.broadcast(index.corpus)).select("qid", "token", (idf * clamped).alias("gain"), "avg_length"))
+    held = index.postings.join(small(weighed), "token")  # only the queries' tokens go on
+    if extension:
+        held = held.join(index.chunks.where(extension_filter(extension)).select("chunk_id"), "chunk_id", "left_semi")
+    return held.join(index.lengths, "chunk_id").groupBy("qid", "chunk_id").agg(F.sum(F.col("gain") * tf).alias("bm25")).where("bm25 > 0")
 
 
 def top(scores: DataFrame, score: str, k: int, *ties: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import histogram
-from ..plans.joins import small
+from ..plans.stored import small, stored
 from ..sources.corpus import indexed_text
 from . import dense as D
 from . import lexical as L
@@ -20,14 +20,14 @@ TIES = ("file_name", "source_location", "chunk_id")
 def sparse_branch(index: L.Index, queries: DataFrame, k: int, extension: str | None = None) -> DataFrame:
     """qid, chunk_id, bm25, rank, and the chunk's names."""
     names = index.chunks.select("chunk_id", "path", "file_name", "source_location")
-    return L.top(L.bm25(index, queries, extension).join(names, "chunk_id"), "bm25", k, *TIES)
+    return stored(L.top(L.bm25(index, queries, extension).join(names, "chunk_id"), "bm25", k, *TIES))
 
 
 def dense_branch(index: L.Index, queries: DataFrame, k: int, extension: str | None = None) -> DataFrame:
     """The same for the histogram embedder: qid, chunk_id, dense, rank."""
     chunks = index.chunks.where(L.extension_filter(extension)) if extension else index.chunks
     vectors = chunks.select("chunk_id", histogram(indexed_text()).alias("embedding"))
-    return D.nearest(vectors, queries.select("qid", histogram(F.col("subject")).alias("embedding")), k)
+    return stored(D.nearest(vectors, queries.select("qid", histogram(F.col("subject")).alias("embedding")), k))
 
 
 def fuse(sparse: DataFrame, dense: DataFrame) -> DataFrame:
@@ -50,15 +50,16 @@ def features(index: L.Index, queries: DataFrame, candidates: DataFrame) -> DataF
     pairs = candidates.select("qid", "chunk_id")
     terms = L.query_terms(queries)
     n = F.broadcast(index.corpus.select("n"))
-    held = index.postings.join(small(pairs.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    ids = small(stored(pairs.select("chunk_id").distinct()))
+    held = index.postings.join(ids, "chunk_id", "left_semi")
     idf = F.log(1 + (F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1))
     tf = 1 + F.log(F.greatest(F.lit(1.0), "weight"))
-    doc = held.join(index.df, "token").crossJoin(n).select("chunk_id", "token", (tf * idf).alias("d"))
-    query = terms.join(index.df, "token", "left").crossJoin(n).select("qid", "token", (tf * idf).alias("q"))
+    doc = stored(held.join(index.df, "token").crossJoin(n).select("chunk_id", "token", (tf * idf).alias("d")))
+    query = stored(terms.join(index.df, "token", "left").crossJoin(n).select("qid", "token", (tf * idf).alias("q")))
     norm = lambda df, key, c: df.groupBy(key).agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"{c}_norm"))
     dots = pairs.join(small(query), "qid").join(doc, ["chunk_id", "token"]).groupBy("qid", "chunk_id").agg(F.sum(F.col("q") * F.col("d")).alias("dot"), F.count(F.when(F.col("token").startswith("concept:"), 1)).alias("concept_matches"))
     words = terms.where("NOT startswith(token, 'concept:')").groupBy("qid").agg(F.collect_set("token").alias("words"))
-    chunks = index.chunks.join(small(pairs.select("chunk_id").distinct()), "chunk_id", "left_semi").select("chunk_id", "extension", *[T.normalise(F.col(c)).alias(c) for c in ("content", "file_name", "path")])
+    chunks = index.chunks.join(ids, "chunk_id", "left_semi").select("chunk_id", "extension", *[T.normalise(F.col(c)).alias(c) for c in ("content", "file_name", "path")])
     rows = pairs.join(chunks, "chunk_id").join(small(queries.select("qid", "normal", "code_intent", "location_intent")), "qid")
     for other, key in ((words, "qid"), (norm(query, "qid", "q"), "qid"), (norm(doc, "chunk_id", "d"), "chunk_id"), (dots, ["qid", "chunk_id"])):
         rows = rows.join(other, key, "left")
@@ -115,7 +116,7 @@ def search(index: L.Index, queries: DataFrame, strategy: str = "RRF_RERANK", lim
     """qid, rank, chunk_id, path, file_name, score, reason for each query (qid, query)."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
-    queries = L.analysed(queries)
+    queries = L.analysed(queries) if "subject" not in queries.columns else queries
     k = max(4 * limit, BRANCH)
     if strategy == "BM25":
         found = sparse_branch(index, queries, k, extension)
@@ -127,7 +128,9 @@ def search(index: L.Index, queries: DataFrame, strategy: str = "RRF_RERANK", lim
         found = dense_branch(index, queries, k, extension).where(F.col("rank") <= limit).join(names, "chunk_id")
         return found.select("qid", "rank", "chunk_id", "path", "file_name", F.col("dense").alias("score"), F.lit("dense").alias("reason"))
     fused = normalised(fuse(sparse_branch(index, queries, k, extension), dense_branch(index, queries, k, extension)))
-    pool = L.top(fused.join(small(names.join(small(fused.select("chunk_id").distinct()), "chunk_id", "left_semi")), "chunk_id"), "fusion", max(4 * limit, POOL), "file_name", "seq")
+    fused = stored(fused)
+    named = names.join(small(stored(fused.select("chunk_id").distinct())), "chunk_id", "left_semi")
+    pool = stored(L.top(fused.join(small(stored(named)), "chunk_id"), "fusion", max(4 * limit, POOL), "file_name", "seq"))
     if strategy == "RRF":
         return capped(pool.withColumn("score", F.col("fusion")), "score", limit, "file_name", "seq").select("qid", "rank", "chunk_id", "path", "file_name", "score", F.lit("RRF").alias("reason"))
     scored = reranked(pool.drop("rank").join(features(index, queries, pool).select("qid", "chunk_id", "feature", "focused"), ["qid", "chunk_id"]))

@@ -73,7 +73,7 @@ sparse AS (SELECT * FROM (SELECT b.*, path, file_name, source_location, row_numb
 
 
 def histogram(x: str) -> str:
-    codes = f"list_transform(string_split(substr({x}, 1, 400), ''), lambda c: ascii(c) % 8)"
+    codes = f"list_transform(string_split({x}, ''), lambda c: ascii(c) % 8)"
     counts = f"list_transform(range(8), lambda b: CAST(len(list_filter(codes, lambda c: c = b)) AS DOUBLE))"
     return f"(SELECT list_transform(k, lambda v: v / sqrt(list_sum(list_transform(k, lambda u: u * u)))) FROM (SELECT {counts} AS k FROM (SELECT {codes} AS codes)))"
 
