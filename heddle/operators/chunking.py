@@ -1,29 +1,37 @@
 """Chunks of documents (survey J1-J4, I18, A20): ranges of lines by estimated tokens.
 
-The ranges are a fold over a document's lines, which runs in Arrow batches and is linear in the text; lines,
-contents and ids are column expressions. Nothing is shuffled.
+The ranges are a fold over a document's lines. It runs in Arrow batches, together with what depends on it (lines,
+contents, ids), and is linear in the text. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import text as T
 
 TARGET, OVERLAP, PARAGRAPH, LEAST = 320, 40, 80, 12
 CODE_TARGET, CODE_OVERLAP, CODE_BACK = 420, 64, 4
-RANGES = ArrayType(StructType().add("a", "integer").add("b", "integer").add("label", "string"))
+SPACE = " \t\n\x0b\f\r"
+CHUNKS = "doc_id {kind}, path string, file_name string, extension string, start_line int, end_line int, source_location string, content string, chunk_id string"
+_WIDE = re.compile(r"[\u1100-\u11ff\u2e80-\u2fd5\u3005\u3007\u3021-\u3029\u3038-\u303b\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fd-\u30ff\u3131-\u318e\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua960-\ua97c\uac00-\ud7fb\uf900-\ufad9\uff66-\uff9d\uffa0-\uffdc\U00020000-\U000323af]")
+
+# Modifiers and kinds of declarations in source code.
+_MODIFIERS = "public|protected|private|static|final|abstract|synchronized|override|open|internal|async"
+_KINDS = "class|interface|record|enum|struct|trait|object|def|function|fun|fn|func|type"
+_NAME = r"([A-Za-z_$][\w$]*)"
 _DECLARED = (
-    re.compile(r"^\s*(?:(?:public|private|protected|static|final|abstract|sealed|async|export|default|pub)\s+)*(?:class|interface|enum|record|struct|trait|def|fn|func|function)\s+([A-Za-z_]\w*)"),
-    re.compile(r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_]\w*)\s*=\s*(?:async\s*)?\(?[\w\s,]*\)?\s*=>"),
-    re.compile(r"^\s*(?:(?:public|private|protected|static|final|synchronized)\s+)+[\w<>\[\], ?.]+\s+([A-Za-z_]\w*)\s*\([^;]*\)[^;]*\{?\s*$"),
+    re.compile(rf"^\s*(?:(?:{_MODIFIERS}|native|export|default)\s+)*(?:{_KINDS})\s+{_NAME}", re.IGNORECASE),
+    re.compile(rf"^\s*(?:export\s+)?(?:const|let|var)\s+{_NAME}\s*=.*=>"),
+    re.compile(rf"^\s*(?:(?:{_MODIFIERS})\s+)*(?:[A-Za-z_$][\w$<>?,.\[\] ]+\s+)?{_NAME}\s*\([^;]*\)\s*(?:\{{|throws\b.*|:)?\s*$"),
 )
-_LEADING = re.compile(r"^\s*(?:@|#|//|/\*|\*|\"\"\"|$)")
+_NO_METHODS = {"if", "for", "while", "switch", "catch", "return", "new"}
+_LEADING = re.compile(r"^\s*(?:@|#|//|/\*|\*|\"|$)")
 
 
 def prose_ranges(tokens: list[int], blank: list[bool]) -> list[tuple[int, int]]:
@@ -69,7 +77,7 @@ def code_ranges(lines: list[str], tokens: list[int]) -> list[tuple[int, int, str
     """Ranges between declarations, each with the annotations and comments before it and the declared name; what comes first is `header`."""
     starts = []
     for i, line in enumerate(lines):
-        m = next((m for p in _DECLARED if (m := p.match(line))), None)
+        m = next((m for p in _DECLARED if (m := p.match(line)) and (p is not _DECLARED[2] or m[1] not in _NO_METHODS)), None)
         if m:
             s = i
             while s > 0 and i - s < CODE_BACK and _LEADING.match(lines[s - 1]) and (not starts or s - 1 > starts[-1][0]):
@@ -82,41 +90,46 @@ def code_ranges(lines: list[str], tokens: list[int]) -> list[tuple[int, int, str
     return [(a, b, label) for (s, label), e in zip(parts, ends) for a, b in window_ranges(tokens, s, e)]
 
 
-def _trimmed(ranges, blank):
-    for a, b, label in ranges:
+def unit_tokens(line: str) -> int:
+    """Estimated tokens of a line: wide characters, and a quarter of the others, rounded up; one at least."""
+    wide = 0 if line.isascii() else len(_WIDE.findall(line))
+    return max(1, wide + -(-(len(line) - wide) // 4))
+
+
+def units(text: str) -> list[str]:
+    """Lines without their trailing white space."""
+    return [x.rstrip(SPACE) for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")]
+
+
+def of_document(path: str, extension: str, text: str) -> list[tuple[int, int, str, str, str]]:
+    """(start_line, end_line, source_location, content, chunk_id) of the chunks of a document."""
+    lines = units(text)
+    tokens, blank = [unit_tokens(x) for x in lines], [not x for x in lines]
+    code = (extension or "").lower() in T.CHUNKED_CODE_EXTENSIONS
+    out = []
+    for a, b, label in code_ranges(lines, tokens) if code else [(a, b, "") for a, b in prose_ranges(tokens, blank)]:
         while a <= b and blank[a]:
             a += 1
         while b >= a and blank[b]:
             b -= 1
-        if a <= b:
-            yield {"a": a, "b": b, "label": label}
-
-
-@F.pandas_udf(RANGES)
-def _ranges(lines: pd.Series, tokens: pd.Series, code: pd.Series) -> pd.Series:
-    out = []
-    for line, n, is_code in zip(lines, tokens, code):
-        line, n = list(line), [int(x) for x in n]
-        blank = [not x.strip() for x in line]
-        found = code_ranges(line, n) if is_code else [(a, b, "") for a, b in prose_ranges(n, blank)]
-        out.append(list(_trimmed(found, blank)))
-    return pd.Series(out)
+        content = "\n".join(lines[a : b + 1]).strip(SPACE)
+        if len(content) >= LEAST:
+            where = f"L{a + 1}-{b + 1}"
+            location = f"{label} · {where}" if label else where
+            out.append((a + 1, b + 1, location, content, hashlib.sha1(f"{path}:{location}:{content}".encode()).hexdigest()))
+    return out
 
 
-def units(text: Column) -> Column:
-    """Lines without their trailing white space."""
-    return F.transform(F.split(F.regexp_replace(text, "\r\n|\r", "\n"), "\n", -1), lambda x: F.regexp_replace(x, r"\s+$", ""))
+def _chunked(batches):
+    for batch in batches:
+        found = [of_document(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("path", "extension", "content")))]
+        rows = pa.array([k for k, x in enumerate(found) for _ in x], pa.int64())
+        cols = list(zip(*[c for x in found for c in x])) or [()] * 5
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in ("doc_id", "path", "file_name", "extension")], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["doc_id", "path", "file_name", "extension", "start_line", "end_line", "source_location", "content", "chunk_id"])
 
 
 def chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, path, file_name, extension, start_line, end_line, source_location, content, chunk_id) of documents (chunk_id, path, file_name, extension, content)."""
-    rows = docs.select(F.col("chunk_id").alias("doc_id"), "path", "file_name", "extension", units(F.col("content")).alias("lines"))
-    rows = rows.withColumn("ranges", _ranges("lines", F.transform("lines", T.unit_tokens), F.lower("extension").isin(*T.CHUNKED_CODE_EXTENSIONS)))
-    rows = rows.withColumn("r", F.explode("ranges"))
-    where = F.concat(F.lit("L"), F.col("r.a") + 1, F.lit("-"), F.col("r.b") + 1)
-    rows = rows.select(
-        "doc_id", "path", "file_name", "extension", (F.col("r.a") + 1).alias("start_line"), (F.col("r.b") + 1).alias("end_line"),
-        F.when(F.col("r.label") == "", where).otherwise(F.concat("r.label", F.lit(" · "), where)).alias("source_location"),
-        T.strip(F.array_join(F.slice("lines", F.col("r.a") + 1, F.col("r.b") - F.col("r.a") + 1), "\n")).alias("content"),
-    )
-    return rows.where(F.length("content") >= LEAST).withColumn("chunk_id", F.sha1(F.concat_ws(":", "path", "source_location", "content")))
+    rows = docs.select(F.col("chunk_id").alias("doc_id"), "path", "file_name", "extension", F.coalesce("content", F.lit("")).alias("content"))
+    return rows.mapInArrow(_chunked, CHUNKS.format(kind=rows.schema["doc_id"].dataType.simpleString()))
