@@ -9,13 +9,18 @@ from .catalogue import _HYBRID, query
 from .functions import text as T
 from .operators import chunking as K
 from .operators import context as X
+from .operators import control as N
 from .operators import conversation as V
 from .operators import evaluate as E
+from .operators import highlight as G
+from .operators import iterate as I
 from .operators import lexical as L
 from .operators import planner as P
 from .operators import retrieval as R
+from .plans.stored import stored
 from .sources import corpus as C
 from .sources import html as H
+from .streaming import freshness as W
 
 WIDE = r"[^\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"
 
@@ -70,10 +75,51 @@ def neighbour_expansion(spark, sf_dir):
 def mmr_context(spark, sf_dir):
     """Diverse picks among the hybrid results of each benchmark item (J9, D11, H2, I15). A greedy loop: no SQL."""
     index = L.build(C.whole_documents(spark, sf_dir))
-    found = R.search(index, C.benchmark_queries(spark, sf_dir), limit=12)
+    found = R.search(index, C.benchmark_queries(spark, sf_dir), limit=max(20, 4 * 6))
     return X.select(found.join(index.chunks.select("chunk_id", "content"), "chunk_id"), 6).withColumn("score", F.round("score", 6))
 
 
+def _over_chunks(spark, sf_dir):
+    """A search over prose chunks, by BM25."""
+    chunks = stored(K.chunks(C.whole_documents(spark, sf_dir)))
+    index = L.build(chunks)
+    return index, lambda queries, limit: R.search(index, queries, "BM25", limit).join(chunks.select("chunk_id", "source_location", "start_line", "end_line", "content"), "chunk_id")
+
+
+@query()
+def context_expansion(spark, sf_dir):
+    """Diverse picks among the chunks of each benchmark item, with their neighbours (J9, G4). A greedy loop: no SQL."""
+    index, search = _over_chunks(spark, sf_dir)
+    picks = stored(X.select(search(C.benchmark_queries(spark, sf_dir), 24), 6))
+    return X.expanded(picks, index.chunks).withColumn("score", F.round("score", 6))
+
+
+@query()
+def iterative_citations(spark, sf_dir):
+    """Citations of each benchmark item after a planned second search with the second half of its words (J10, D7, D8, F9, H3). A loop: no SQL."""
+    _, search = _over_chunks(spark, sf_dir)
+
+    def of_queries(due):
+        named = stored(due.withColumn("sid", F.xxhash64("qid", "search")))
+        return search(named.select(F.col("sid").alias("qid"), "query"), 8).withColumnRenamed("qid", "sid").join(named.select("sid", "qid", "search"), "sid")
+
+    def plan(held, attempts):
+        words = F.split("query", " ")
+        half = F.array_join(F.slice(words, F.size(words) / 2 + 1, F.size(words)), " ")
+        return attempts.select("qid", F.lit("SEARCH").alias("action"), F.array(half, F.col("query")).alias("queries"))
+
+    return I.collect(C.benchmark_queries(spark, sf_dir), of_queries, plan).withColumn("score", F.round("score", 6))
+
+
+@query()
+def semantic_highlights(spark, sf_dir):
+    """Best spans and literal terms of each benchmark item in its ten best documents (J12, G5, I26, C4, J25). A greedy loop: no SQL."""
+    index, asked = L.build(C.whole_documents(spark, sf_dir)), C.benchmark_queries(spark, sf_dir)
+    found = R.search(index, asked, "BM25").join(asked, "qid").join(index.chunks.select("chunk_id", "content"), "chunk_id")
+    best = G.highlights(found)
+    return best.select("qid", "chunk_id", F.size("spans").alias("spans"), F.size("terms").alias("terms"), F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias("places"))
+
+
 @query()
 def html_main_text(spark, sf_dir):
     """Main text of every page, by section (A14). HTML needs a parser: no SQL."""
@@ -142,6 +188,73 @@ def descendant_counts(spark, sf_dir):
     return P.descendants(C.whole_documents(spark, sf_dir))
 
 
+# control tables
+
+
+@query("""WITH d AS (SELECT '/kb/' || source || '/' || doc_id || '.' || lang AS path FROM documents), r AS (SELECT '/kb' AS root UNION ALL SELECT DISTINCT '/kb/' || source FROM documents WHERE source < 'm')
+SELECT path, max_by(root, length(root)) AS owner FROM d JOIN r ON starts_with(path, root || '/') GROUP BY path""")
+def owner_root(spark, sf_dir):
+    """The innermost root of each path."""
+    docs = C.whole_documents(spark, sf_dir).select("path")
+    roots = C.table(spark, sf_dir, "documents").where("source < 'm'").select(F.concat(F.lit("/kb/"), "source").alias("root")).unionByName(spark.range(1).select(F.lit("/kb").alias("root")))
+    return N.owner_root(docs, roots).select("path", "owner")
+
+
+@query("""WITH a AS (SELECT DISTINCT lang || '/' || source AS source FROM documents WHERE doc_id % 3 = 0), b AS (SELECT DISTINCT lang || '/' || source AS source FROM documents WHERE n_chars > 15000)
+SELECT source, 'add' AS action FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT source, 'remove' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def source_sync(spark, sf_dir):
+    """Sources to add and to remove between two sets of them (H4)."""
+    docs = C.table(spark, sf_dir, "documents").withColumn("source", F.concat("lang", F.lit("/"), "source"))
+    return N.source_sync(docs.where("doc_id % 3 = 0"), docs.where("n_chars > 15000"))
+
+
+@query(f"SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events) WHERE n <= {N.KEPT_EVENTS}")
+def latest_events(spark, sf_dir):
+    """The newest events of each type, as a ring buffer keeps them."""
+    return N.newest(C.table(spark, sf_dir, "events").select("event_type", "event_id"), "event_type", "event_id")
+
+
+@query("SELECT user_id, round(sum(CASE WHEN event_id % 4 > 0 THEN value END), 6) AS prompt, round(sum(CASE WHEN event_id % 4 > 1 THEN value END), 6) AS completion FROM events GROUP BY user_id")
+def token_usage(spark, sf_dir):
+    """Usage of each user, in part unknown."""
+    usage = C.table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_id") % 4 > 0, F.col("value")).alias("prompt"), F.when(F.col("event_id") % 4 > 1, F.col("value")).alias("completion"))
+    return N.usage_total(usage, "user_id").select("user_id", F.round("prompt", 6).alias("prompt"), F.round("completion", 6).alias("completion"))
+
+
+@query("""WITH r AS (SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'Sure: {"action":"search","queries":["one ' || item_id || '"," ","two"]} done' WHEN 1 THEN '{"action":"answer"}' WHEN 2 THEN 'no json' WHEN 3 THEN '{"action":"search","query":"q' || item_id || '"}' ELSE '{"action":"search","queries":[]}' END AS reply FROM benchmark)
+SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'SEARCH' WHEN 1 THEN 'ANSWER' WHEN 3 THEN 'SEARCH' ELSE 'UNAVAILABLE' END AS action, CASE item_id % 5 WHEN 0 THEN 'one ' || item_id || '|two' WHEN 3 THEN json_extract_string(reply, '$.query') ELSE '' END AS queries FROM r""")
+def planner_decisions(spark, sf_dir):
+    """Replies of a planner read as decisions."""
+    n = F.col("item_id")
+    reply = F.when(n % 5 == 0, F.concat(F.lit('Sure: {"action":"search","queries":["one '), n, F.lit('"," ","two"]} done'))).when(n % 5 == 1, '{"action":"answer"}').when(n % 5 == 2, "no json").when(n % 5 == 3, F.concat(F.lit('{"action":"search","query":"q'), n, F.lit('"}'))).otherwise('{"action":"search","queries":[]}')
+    got = C.table(spark, sf_dir, "benchmark").select("item_id", I.decision(reply).alias("d"))
+    return got.select("item_id", "d.action", F.array_join("d.queries", "|").alias("queries"))
+
+
+@query("""WITH e AS (SELECT DISTINCT '/kb' AS folder, source AS name, true AS is_folder FROM documents UNION ALL SELECT '/kb', 'n' || doc_id || '.' || upper(lang), false FROM documents)
+SELECT folder, name, CAST(row_number() OVER (PARTITION BY folder ORDER BY is_folder DESC, lower(name), name) AS INTEGER) AS position FROM e""")
+def folder_listing(spark, sf_dir):
+    """Folders first, then files, by name."""
+    docs = C.table(spark, sf_dir, "documents")
+    entries = docs.select(F.lit("/kb").alias("folder"), F.col("source").alias("name"), F.lit(True).alias("is_folder")).distinct().unionByName(docs.select(F.lit("/kb").alias("folder"), F.concat(F.lit("n"), F.col("doc_id"), F.lit("."), F.upper("lang")).alias("name"), F.lit(False).alias("is_folder")))
+    return N.listed(entries).select("folder", "name", "position")
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS number FROM documents),
+c AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY number) AS chars FROM l WHERE number <= {N.PREVIEW_LINES}) SELECT doc_id, CAST(number AS INTEGER) AS number, line FROM c WHERE chars <= {N.PREVIEW_CHARS}""")
+def file_preview(spark, sf_dir):
+    """The lines that a preview of each document shows."""
+    return N.preview(C.table(spark, sf_dir, "documents"))
+
+
+@query()
+def freshness_state(spark, sf_dir):
+    """Events of each user as changes of a knowledge base, folded into its freshness (L2-L8). A state machine: no SQL."""
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("start", "touched", "reconciled", "modify", "overflow", "touched", "stop")]), (F.col("event_id") % 7 + 1).cast("int"))
+    events = C.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("kb"), F.floor(F.col("event_id") / 2000).alias("epoch"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kinds.alias("kind"), F.lit("h").alias("hash"), F.lit(None).cast("long").alias("base"))
+    return W.replayed(events)
+
+
 # conversations
 
 _TOKENS = f"CASE WHEN coalesce(text, '') IS NULL THEN 0 ELSE CAST(ceil(ceil({_wide(chr(99))} + (length(c) - {_wide(chr(99))}) / 4) + 4) AS BIGINT) END"

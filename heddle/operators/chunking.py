@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..functions.text import CHUNKED_CODE_EXTENSIONS
 
 TARGET, OVERLAP, PARAGRAPH, LEAST = 320, 40, 80, 12
 CODE_TARGET, CODE_OVERLAP, CODE_BACK = 420, 64, 4
@@ -105,7 +105,7 @@ def of_document(path: str, extension: str, text: str) -> list[tuple[int, int, st
     """(start_line, end_line, source_location, content, chunk_id) of the chunks of a document."""
     lines = units(text)
     tokens, blank = [unit_tokens(x) for x in lines], [not x for x in lines]
-    code = (extension or "").lower() in T.CHUNKED_CODE_EXTENSIONS
+    code = (extension or "").lower() in CHUNKED_CODE_EXTENSIONS
     out = []
     for a, b, label in code_ranges(lines, tokens) if code else [(a, b, "") for a, b in prose_ranges(tokens, blank)]:
         while a <= b and blank[a]:

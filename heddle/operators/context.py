@@ -1,4 +1,4 @@
-"""Context selection (survey J9, D8-D11, I15, I16, H2, H3): diversity, neighbours, citations without overlap."""
+"""Context selection (survey J9, D9-D11, G4, I15, I16, H2): diversity among a pool, and neighbours. Citations are in iterate."""
 
 from __future__ import annotations
 
@@ -59,19 +59,29 @@ def neighbours(chunks: DataFrame) -> DataFrame:
     return rows.withColumn("after", F.when(after_ok, F.lead("chunk_id").over(over))).drop("_size")
 
 
-def not_overlapping(found: DataFrame, collected: DataFrame) -> DataFrame:
-    """Of the found (path, start_line, end_line, …) those that share less than half of the shorter range with every collected one."""
-    held = collected.select(F.col("path").alias("_path"), F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))
-    shared = F.least("end_line", "_b") - F.greatest("start_line", "_a") + 1
-    shorter = F.least(F.col("end_line") - F.col("start_line"), F.col("_b") - F.col("_a")) + 1
-    return found.join(held, (F.col("path") == F.col("_path")) & (shared >= 0.5 * shorter), "left_anti")
-
-
-def cited(found: DataFrame, collected: DataFrame | None, per_search: int, total: int = 12, per_path: int = 3) -> DataFrame:
-    """The collected citations and new ones from a search, in order and numbered from 1."""
-    new = found if collected is None else not_overlapping(found, collected)
-    new = new.dropDuplicates(["path", "source_location"])
-    new = new.withColumn("_of", F.row_number().over(Window.partitionBy("path").orderBy("rank"))).where(F.col("_of") <= per_path).drop("_of").orderBy("rank").limit(per_search)
-    rows = new.withColumn("number", F.lit(total) + F.col("rank"))
-    rows = rows if collected is None else collected.unionByName(rows, allowMissingColumns=True)
-    return rows.withColumn("number", F.row_number().over(Window.orderBy("number"))).where(F.col("number") <= total)  # 24 rows at most
+EXPANDED_ROW = "qid long, pick int, chunk_id string, path string, start_line int, end_line int, source_location string, content string, score double"
+
+
+def _joined(picks: pd.DataFrame) -> pd.DataFrame:
+    """Picks of a query in turn with the chunks before and after; a pick that an earlier one has taken in is left out."""
+    taken, out = set(), []
+    for r in picks.sort_values("pick").to_dict("records"):
+        if r["chunk_id"] in taken:
+            continue
+        parts = [r[k] for k in ("prior", "own", "next") if isinstance(r[k], dict)]
+        taken.update(p["chunk_id"] for p in parts)
+        first, last = parts[0], parts[-1]
+        place = first["source_location"] if first["source_location"] == last["source_location"] else f"{first['source_location']} — {last['source_location']}"
+        name = r["chunk_id"] if len(parts) == 1 else f"{r['chunk_id']}:context"
+        out.append((r["qid"], len(out) + 1, name, r["path"], first["start_line"], last["end_line"], place, "\n\n".join(p["content"] for p in parts)[:EXPANDED], r["score"]))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in EXPANDED_ROW.split(", ")])
+
+
+def expanded(picks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The picks (qid, pick, chunk_id, path, score) with their neighbouring chunks, as one passage each. A query has few picks."""
+    named = neighbours(chunks).join(picks.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "before", "after")
+    # only the chunks that are picked or next to one go on with their contents
+    body = F.struct("chunk_id", "start_line", "end_line", "source_location", "content")
+    part = lambda key, name: chunks.select(F.col("chunk_id").alias(key), body.alias(name))
+    rows = picks.join(named, "chunk_id").join(part("chunk_id", "own"), "chunk_id").join(part("before", "prior"), "before", "left").join(part("after", "next"), "after", "left")
+    return rows.select("qid", "pick", "chunk_id", "path", "score", "prior", "own", "next").groupBy("qid").applyInPandas(_joined, EXPANDED_ROW)
