@@ -315,7 +315,7 @@ def redact_events(spark, sf_dir):
 @query("SELECT event_type, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
     """Nearest-rank percentiles."""
-    return C.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("value").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    return E.nearest_rank(C.table(spark, sf_dir, "events"), "event_type", "value", (50, 95))
 
 
 # evaluation

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stored import small, stored
+
 MEANS = ("recall5", "hit5", "precision5", "mrr10", "ndcg10")
 GATE = {"recall5": 0.90, "hit5": 0.90, "mrr10": 0.85, "ndcg10": 0.80}
 
@@ -50,3 +52,27 @@ def passes(metrics: DataFrame, gate: dict[str, float] = GATE) -> bool:
     """Whether all means reach the gate, with no forbidden document and no hard negative before the answer."""
     row = metrics.agg(*[F.avg(m).alias(m) for m in gate], F.count_if("forbidden_hit").alias("f"), F.count_if("outranked").alias("o")).first()
     return row["f"] == 0 and row["o"] == 0 and all((row[m] or 0.0) >= least for m, least in gate.items())
+
+
+def nearest_rank(rows: DataFrame, key: str, value: str, percents: tuple[int, ...]) -> DataFrame:
+    """(key, n, p<percent>...) by key: the number of values that aren't null, and of each percentile the least value with at least that share of them at or below it.
+
+    Values are counted first and dealt by range of (key, value), so a key with many rows spreads over tasks; only the ranges that hold a percentile are gone through value by value.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(F.col(key).alias("key"), F.col(value).alias("value")).agg(F.count(value).alias("c"))
+    dealt = stored(counts.repartitionByRange(parts, "key", "value").withColumn("part", F.spark_partition_id()))
+    of_part = dealt.groupBy("key", "part").agg(F.sum("c").alias("c"))
+    in_order = Window.partitionBy("key").orderBy("part")  # a row for each range
+    of_part = of_part.select("key", "part", (F.sum("c").over(in_order) - F.col("c")).alias("before"), F.sum("c").over(in_order).alias("upto"), F.sum("c").over(Window.partitionBy("key")).alias("n"))
+    reached = lambda p, c: F.col(c) * 100 >= F.col("n") * p
+    holds = F.lit(False)
+    for p in percents:
+        holds = holds | (reached(p, "upto") & ~reached(p, "before"))
+    wanted = stored(of_part.where(holds).select(F.col("key").alias("_key"), F.col("part").alias("_part"), "before", "n"))
+    found = dealt.where("value IS NOT NULL").join(small(wanted), F.col("key").eqNullSafe(F.col("_key")) & (F.col("part") == F.col("_part")))
+    found = found.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("key", "part").orderBy("value")))
+    least = [F.min(F.when(reached(p, "upto"), F.col("value"))).alias(f"p{p}") for p in percents]
+    ranked = found.groupBy(F.col("key").alias("_key")).agg(*least)
+    totals = dealt.groupBy("key").agg(F.sum("c").alias("n"))
+    return totals.join(ranked, F.col("key").eqNullSafe(F.col("_key")), "left").select(F.col("key").alias(key), "n", *[f"p{p}" for p in percents])
