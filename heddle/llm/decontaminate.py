@@ -4,20 +4,24 @@ A benchmark item is a set of windows of `WINDOW` consecutive words (a shorter it
 holds shingles of `SHINGLE` words; they are ordered by rarity, counted over all documents, rarest first. A
 document can only contain a window if it has every shingle of it, so the necessary prefix is one token, the
 rarest shingle: it is all that is joined. A match gives the window's place in the document by the token's
-offset; places that would leave the document at either end are dropped, and the rest are verified word by
-word over the whole window.
+offset; places that would leave the document at either end are dropped, and the rest are verified by a hash of 64
+bits over all words of the window.
 
-The benchmark is taken in parts of at most `PART_BYTES` of text. A part's index is bounded by that, and is
-broadcast; the documents pass through one part after the other in a single scan, without a shuffle.
+The benchmark is taken in parts of about `PART_BYTES` of text. A part's index is bounded by that, and is
+broadcast; the documents pass through `PARTS_AT_ONCE` parts one after the other in a single scan, without a shuffle.
+Where there are more, what is found so far is written and the parts' indexes are dropped before the next ones are
+made, so that neither the driver nor a task holds more than these, however large the benchmark is.
 
 Nulls: a null text has no words, nor has an empty one; items with a null item_id are left out; items with the
 same item_id count as one. An item's windows that repeat in other items count for each. A null doc_id is
-returned as it is. Extra columns are ignored; `keep_clean` returns the columns it is given.
+returned as it is. Repeated rows are judged each for itself. An empty table gives no rows; without a benchmark nothing
+is hit. Extra columns are ignored; `keep_clean` returns the columns it is given.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ from .textarrays import _STEP, U64, Words, alnum_table, lower_ascii, mix, ngram_
 WINDOW = 10
 SHINGLE = 3
 PART_BYTES = 16 << 20
+PARTS_AT_ONCE = 4
 _TABLE = alnum_table()
 
 
@@ -130,22 +135,35 @@ def _count(index):
     return of_batches
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
-    """An index for each part of the benchmark, its tokens chosen by their counts over all documents."""
+def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
+    """An index for each part of the benchmark in turn, its tokens chosen by their counts over all documents."""
     spark = docs.sparkSession
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts, out = -(-size // PART_BYTES), []
+    parts = -(-size // PART_BYTES)
     for k in range(parts):
         index = Index(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id").toArrow())
         tokens = spark.sparkContext.broadcast(index.tokens)
         got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count(tokens), "width int, token long, n long").groupBy("width", "token").agg(F.sum("n").alias("n")).toArrow()
+        tokens.destroy()
         counts = {w: np.zeros(len(t), np.int64) for w, t in index.tokens.items()}
         width, token, n = (got[c].to_numpy() for c in ("width", "token", "n"))
         for w in counts:
             counts[w][token[width == w]] = n[width == w]
         index.choose(counts)
-        out.append(index)
+        yield index
+
+
+def _through(out: DataFrame, docs: DataFrame, benchmark: DataFrame, step) -> DataFrame:
+    """`out` after a step for each part of the benchmark."""
+    held = []
+    for index in indexes(docs, benchmark):
+        if len(held) == PARTS_AT_ONCE:
+            out = B.saved(out)
+            while held:
+                held.pop().destroy()
+        held.append(docs.sparkSession.sparkContext.broadcast(index))
+        out = out.mapInArrow(step(held[-1]), out.schema)
     return out
 
 
@@ -186,13 +204,10 @@ def _joined(index):
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents with two more columns. hit: a bit for each word, set inside an occurrence of a window, null if none is; items: the item_ids that occur, sorted as strings."""
-    spark = docs.sparkSession
-    B.small_batches(spark)
+    B.small_batches(docs.sparkSession)
     clash = [c for c in ("hit", "items") if c in docs.columns]
     out = docs.drop(*clash).withColumn("text", F.col("text").cast("string")).withColumn("hit", F.lit(None).cast("binary")).withColumn("items", F.array().cast("array<string>"))
-    for index in indexes(docs, benchmark):
-        out = out.mapInArrow(_joined(spark.sparkContext.broadcast(index)), out.schema)
-    return out
+    return _through(out, docs, benchmark, _joined)
 
 
 def _figures(batches):
@@ -209,14 +224,13 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.mapInArrow(_figures, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string").withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def _clean(indexes_):
+def _clean(index):
     def of_batches(batches):
         for batch in batches:
             keep = [np.zeros(0, bool)]
             for a, b, buf, off in slices(batch.column("text")):
                 words, dirty = _words(buf, off), np.zeros(b - a, bool)
-                for index in indexes_:
-                    dirty[np.searchsorted(words.off, index.value.hits(words)[1], "right") - 1] = True
+                dirty[np.searchsorted(words.off, index.value.hits(words)[1], "right") - 1] = True
                 keep.append(~dirty)
             yield batch.filter(pa.array(np.concatenate(keep)))
 
@@ -224,12 +238,9 @@ def _clean(indexes_):
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit, with all their columns; each part of the benchmark is a pass of its own."""
+    """The documents without a hit, with all their columns."""
     B.small_batches(docs.sparkSession)
-    out = docs
-    for index in indexes(docs, benchmark):
-        out = out.mapInArrow(_clean([docs.sparkSession.sparkContext.broadcast(index)]), docs.schema)
-    return out
+    return _through(docs, docs, benchmark, _clean)
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

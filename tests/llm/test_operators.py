@@ -183,8 +183,11 @@ def test_decontamination_in_parts(spark, docs, data, monkeypatch):
     items = [(k, t) for k, (_, t, *_) in enumerate(data[:20])]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(decontaminate, "PART_BYTES", 2000)
+    monkeypatch.setattr(decontaminate, "PARTS_AT_ONCE", 2)
     got = [(r["doc_id"], r["n_hit"], r["n_items"]) for r in decontaminate.report(docs, benchmark).collect()]
     assert bag(got) == bag((i, hit, len(names)) for i, _, hit, names in X.leaks(data, items))
+    clean = decontaminate.keep_clean(docs, benchmark)
+    assert clean.columns == docs.columns and Counter(r["doc_id"] for r in clean.collect()) == Counter(i for i, _, hit, _ in X.leaks(data, items) if not hit)
 
 
 def test_packing(docs, none, data):
