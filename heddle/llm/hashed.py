@@ -20,7 +20,6 @@ SAMPLE_BYTES = 24 << 20  # of texts in a sample
 TEXT_BYTES = 1 << 16  # longer texts are scored, but not learnt from
 _TABLE = space_split_table()
 _BYTE = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
-SPARSE = "label int, part int, at long, key binary, value binary"
 
 
 def families(words: Words):
@@ -64,20 +63,6 @@ def probabilities(words: Words, model: bytes | None, default: float) -> np.ndarr
     return sigmoid(raw_scores(words, w[:-2]) * float(w[-2]) + float(w[-1]))
 
 
-def _sparse(batches):
-    schema = pa.schema([("label", pa.int32()), ("part", pa.int32()), ("at", pa.int64()), ("key", pa.binary()), ("value", pa.binary())])
-    for batch in batches:
-        for a, b, buf, off in slices(batch.column("text")):
-            keys, values = [], []
-            words = Words(buf, off, _TABLE)
-            fam = list(families(words))
-            for d in range(b - a):
-                x = [np.unique(f[s[d] : e[d]], return_counts=True) for f, s, e in fam]
-                keys.append(np.concatenate([u for u, _ in x]).astype(np.int32).tobytes())
-                values.append(np.concatenate([c / max(1, c.sum()) for _, c in x]).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_pydict({**{c: batch.column(c).slice(a, b - a) for c in ("label", "part", "at")}, "key": keys, "value": values}, schema=schema)
-
-
 def fitted(rows: DataFrame, limit: int, fit) -> bytes | None:
     """What `fit` makes of a bounded sample of rows (label, part, text): it gets a `Sample` and gives bytes, or None.
 
@@ -86,7 +71,7 @@ def fitted(rows: DataFrame, limit: int, fit) -> bytes | None:
     """
     few = rows.select("label", "part", F.xxhash64("text", "part").alias("at"), F.octet_length("text").alias("bytes"), "text").where(F.col("bytes") <= TEXT_BYTES)
     few = few.orderBy("at", "label").limit(limit).withColumn("held", F.sum("bytes").over(Window.orderBy("at", "label").rowsBetween(Window.unboundedPreceding, 0)))
-    chosen = few.where(F.col("held") <= SAMPLE_BYTES).select("label", "part", "at", "text").mapInArrow(_sparse, SPARSE)
+    chosen = few.where(F.col("held") <= SAMPLE_BYTES).select("label", "part", "at", "text")
     got = chosen.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: pa.table({"model": pa.array([fit(Sample(t))], pa.binary())}), "model binary").collect()
     return got[0]["model"] if got else None
 
@@ -97,12 +82,18 @@ class Sample:
     def __init__(self, table: pa.Table):
         table = table.sort_by([("at", "ascending"), ("label", "ascending")])
         self.label, self.part = (table[c].to_numpy() for c in ("label", "part"))
-        size = np.array([len(x.as_buffer()) // 4 for x in table["key"]], np.int64)
-        self.bounds = np.r_[0, np.cumsum(size)]
-        self.key, self.value = np.empty(self.bounds[-1], np.int32), np.empty(self.bounds[-1], np.float32)
-        for k, (x, y) in enumerate(zip(table["key"], table["value"])):
-            at = slice(self.bounds[k], self.bounds[k + 1])
-            self.key[at], self.value[at] = np.frombuffer(x.as_buffer(), np.int32), np.frombuffer(y.as_buffer(), np.float32)
+        keys, values, size = [], [], []
+        for a, b, buf, off in slices(table["text"]):
+            fam = list(families(Words(buf, off, _TABLE)))
+            for d in range(b - a):
+                found = [np.unique(f[s[d] : e[d]], return_counts=True) for f, s, e in fam]
+                keys.append(np.concatenate([u for u, _ in found]).astype(np.int32))
+                values.append(np.concatenate([c / max(1, c.sum()) for _, c in found]).astype(np.float32))
+                size.append(len(keys[-1]))
+        self.bounds = np.r_[0, np.cumsum(np.array(size, np.int64))]
+        self.key = np.concatenate([np.zeros(0, np.int32), *keys])
+        keys.clear()  # each copy goes before the next is made
+        self.value = np.concatenate([np.zeros(0, np.float32), *values])
 
     def only(self, rows: np.ndarray) -> Sample:
         """The rows where the mask is set."""
