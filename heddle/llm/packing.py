@@ -324,10 +324,14 @@ def packed(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     groups = max(1, round(n / GROUP_ITEMS))
     # groups get one number of pieces or nearly so, full pieces apart: those need no packing
     dealt = items.where(F.col("length") < capacity).withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
+    # islands are few bytes and much work, so their number of tasks is given: by bytes they would be put into one
+    tasks = B.partitions(items.sparkSession)
+    dealt = dealt.repartition(min(groups, tasks), "grp")
     islands = dealt.groupBy("grp").applyInArrow(_settle, ISLAND)
     for epoch in range(EPOCHS):
-        islands = islands.groupBy("grp", "island").applyInArrow(_epoch(capacity, epoch), ISLAND)
-    out = dealt.groupBy("grp").cogroup(islands.select("grp", "best").groupBy("grp")).applyInArrow(_place(capacity), PACKED)
+        islands = islands.repartition(min(groups * ISLANDS, tasks), "grp", "island").groupBy("grp", "island").applyInArrow(_epoch(capacity, epoch), ISLAND)
+    bests = islands.select("grp", "best").repartition(min(groups, tasks), "grp")
+    out = dealt.groupBy("grp").cogroup(bests.groupBy("grp")).applyInArrow(_place(capacity), PACKED)
     full = items.where(F.col("length") >= capacity).select(*columns, (F.col("row") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return out.unionByName(full)
 
