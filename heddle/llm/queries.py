@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, warc
+from . import chat_format, conversations, decontaminate, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
         "op9_warc": warc.op9_warc,
         "op10_pii": pii.op10_pii,
+        "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op12_conversation_repair": conversations.op12_conversation_repair,
+        "op13_chat_formatting": chat_format.op13_chat_formatting,
     }
 
 
