@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import saved
 from .textarrays import U64, Words, ngram_hashes, slices, space_split_table
 
 BITS = 18
 RUN = 1 << 19  # features that are multiplied at a time
 SAMPLE_BYTES = 24 << 20  # of texts in a sample
-TEXT_BYTES = 1 << 16  # longer texts are scored, but not learnt from
 _TABLE = space_split_table()
 _BYTE = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
@@ -66,13 +66,16 @@ def probabilities(words: Words, model: bytes | None, default: float) -> np.ndarr
 def fitted(rows: DataFrame, limit: int, fit) -> bytes | None:
     """What `fit` makes of a bounded sample of rows (label, part, text): it gets a `Sample` and gives bytes, or None.
 
-    The sample is at most `limit` rows and `SAMPLE_BYTES` of text, the first by the hash of their texts, so that it
-    is the same each time. It is gathered and learnt from in one task on an executor; the driver gets the bytes.
+    The sample is at most `limit` rows, the first by the hash of their texts, so that it is the same each time, and of
+    these the ones that begin within `SAMPLE_BYTES` of text, whatever their length. It is chosen by hash and size alone;
+    only then are the chosen texts gathered and learnt from, in one task on an executor; the driver gets the bytes.
     """
-    few = rows.select("label", "part", F.xxhash64("text", "part").alias("at"), F.octet_length("text").alias("bytes"), "text").where(F.col("bytes") <= TEXT_BYTES)
-    few = few.orderBy("at", "label").limit(limit).withColumn("held", F.sum("bytes").over(Window.orderBy("at", "label").rowsBetween(Window.unboundedPreceding, 0)))
-    chosen = few.where(F.col("held") <= SAMPLE_BYTES).select("label", "part", "at", "text")
-    got = chosen.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: pa.table({"model": pa.array([fit(Sample(t))], pa.binary())}), "model binary").collect()
+    rows = saved(rows.select("label", "part", F.xxhash64("text", "part", "label").alias("at"), F.octet_length("text").cast("long").alias("bytes"), F.monotonically_increasing_id().alias("row"), "text"))
+    few = rows.select("at", "row", "bytes").orderBy("at", "row").limit(limit)  # rows with the same hash are equal
+    before = F.sum("bytes").over(Window.orderBy("at", "row").rowsBetween(Window.unboundedPreceding, -1))  # over `limit` rows at most
+    chosen = few.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < SAMPLE_BYTES).select("row")
+    texts = rows.join(F.broadcast(chosen), "row").select("label", "part", "at", "text")
+    got = texts.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: pa.table({"model": pa.array([fit(Sample(t))], pa.binary())}), "model binary").collect()
     return got[0]["model"] if got else None
 
 

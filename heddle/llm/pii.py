@@ -6,8 +6,9 @@ mod 97) and stay if their score is `ACCEPT` or more: iban, ssn and secret. A sco
 bonus if one of its context words stands within `CONTEXT` characters before or after the span. Positions are
 code points, the end exclusive. Each kind is scanned in time proportional to the text.
 
-Nulls: a null text is empty and has no spans. Repeated rows are judged each for itself. Extra columns are
-ignored; `redact` returns the columns it is given.
+Nulls: a null text is empty and has no spans; a null doc_id stays null. Repeated rows are judged each for itself. Of
+spans of one kind the leftmost counts, so there are no ties. Texts are scanned whole, however long. An empty table
+gives no rows. Extra columns are ignored; `redact` returns the columns it is given.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ def spans(t: str | None) -> list[tuple[int, int, str, float]]:
 
 
 _MARK = np.isin(np.arange(256), np.frombuffer(b"0123456789@+", np.uint8))
-_MARK_WORD = (b"password", b"passwd", b"secret", b"token", b"api_key")
+_MARK_WORD = (b"AKIA", b"password", b"passwd", b"secret", b"token", b"api_key")  # every alternative of _SECRET begins with one
 
 
 def _may_hold(texts: pa.Array) -> np.ndarray:
@@ -189,4 +190,5 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
         *[F.size(F.filter("spans", of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda x: F.format_number(x["score"], 2)), ",").alias("scores"),
     )

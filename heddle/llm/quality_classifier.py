@@ -9,11 +9,12 @@ The class prior of the web text is estimated from scores alone: a first model te
 on rows kept apart the prior is at most the ratio of the web text's share above a score to the positives', at
 whatever score; the least ratio counts, with a margin for the size of the samples.
 
-A last step calibrates the scores to probabilities (Platt) on labelled rows that no model was fitted to.
+A last step calibrates the scores to probabilities (Platt) on labelled rows that no model was fitted to: labelled rows
+are dealt to fitting and to calibration, and the web text is drawn from neither the calibration's rows nor the positives.
 
 Rows whose crc32(doc_id as text) mod 5 is 0 are held out: neither their labels nor their texts are learnt
-from. Samples are bounded by `POSITIVES`, `UNLABELLED` and `CALIBRATION` rows and `hashed.SAMPLE_BYTES` of text,
-taken by hash, and are learnt from in one task; every document is scored.
+from. Samples are bounded by `POSITIVES`, `UNLABELLED` and `CALIBRATION` rows and `hashed.SAMPLE_BYTES` of text (see
+`hashed.fitted`), taken by hash, texts of any length alike, and are learnt from in one task; every document is scored.
 
 Nulls: a null text scores as an empty one, by the bias alone; a null doc_id counts as the empty string for the
 fold. Without positive training labels or web text the score is the labels' share of 1, 0.5 without labels.
@@ -58,18 +59,22 @@ def class_prior(positive: np.ndarray, web: np.ndarray) -> float:
     return float(np.clip(above_w[use][best] / above_p[use][best], 0.05, 0.95))
 
 
+def pu_risk(sp: np.ndarray, su: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray, bool]:
+    """The non-negative risk of the scores of positives and web texts, the derivatives to follow by score, and whether the negative part is at zero or more. Below zero it counts as zero and the step leads away from it."""
+    # logistic loss: of the positive class log(1+e^-s), of the negative class log(1+e^s)
+    positive = prior * np.logaddexp(0, -sp).mean()
+    negative = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
+    p_plus, p_minus, u_minus = (H.sigmoid(sp) - 1) / len(sp), H.sigmoid(sp) / len(sp), H.sigmoid(su) / len(su)
+    if negative >= 0:
+        return positive + negative, prior * (p_plus - p_minus), u_minus, True
+    return positive, prior * p_minus, -u_minus, False
+
+
 def pu_weights(positive: H.Sample, unlabelled: H.Sample, prior: float, steps: int = STEPS) -> np.ndarray:
     """Weights and bias that minimise the non-negative risk."""
     adam = H.Adam()
     for _ in range(steps):
-        sp, su = (x.score(adam.w) + adam.w[-1] for x in (positive, unlabelled))
-        # logistic loss: of the positive class log(1+e^-s), of the negative class log(1+e^s)
-        gp_plus, gp_minus, gu_minus = (H.sigmoid(sp) - 1) / len(sp), H.sigmoid(sp) / len(sp), H.sigmoid(su) / len(su)
-        negative = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
-        if negative >= 0:
-            rp, ru = prior * (gp_plus - gp_minus), gu_minus
-        else:
-            rp, ru = prior * gp_minus, -gu_minus
+        _, rp, ru, _ = pu_risk(positive.score(adam.w) + adam.w[-1], unlabelled.score(adam.w) + adam.w[-1], prior)
         adam.step(np.r_[positive.gradient(rp) + unlabelled.gradient(ru), rp.sum() + ru.sum()] + 1e-6 * adam.w)
     return adam.w
 
@@ -99,7 +104,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[bytes | None, float]:
     role = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(3))
     positive = labelled(docs, labels.where("quality = 1"), POSITIVES, fold & (role > 0))
     known = labelled(docs, labels, CALIBRATION, fold & (role == 0)).withColumn("label", F.col("label") + 2)
-    few = docs.where(fold).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(UNLABELLED).distinct()
+    used = labels.where(fold & ((role == 0) | (F.col("quality") == 1))).where("quality IN (0, 1)").select("doc_id")
+    few = docs.where(fold).select("doc_id").join(used, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(UNLABELLED).distinct()
     web = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select(F.lit(0).alias("label"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)).cast("int").alias("part"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return H.fitted(positive.unionByName(known).unionByName(web), POSITIVES + UNLABELLED + CALIBRATION, _fit), (row["k"] + 1) / (row["n"] + 2)
 

@@ -1,7 +1,7 @@
 """Quality rules: fixed text rules, then a hashed n-gram logistic regression with calibrated probabilities.
 
-The regression is trained on labelled quality rows, `TRAIN_ROWS` of them at most (and `hashed.SAMPLE_BYTES` of
-text), taken by the hash of their doc_id, in one task on an executor; a fifth of these is kept apart to calibrate
+The regression is trained on labelled quality rows, `TRAIN_ROWS` of them at most (and those of them that begin within
+`hashed.SAMPLE_BYTES` of text, see `hashed.fitted`; texts of any length alike), taken by the hash of their doc_id, in one task on an executor; a fifth of these is kept apart to calibrate
 the probabilities (Platt). Every document is scored in Arrow batches by its whole text and kept if its probability
 is `KEEP` or more and no fixed rule fails.
 
