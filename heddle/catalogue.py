@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from .functions import text as T
-from .functions.vectors import cosine, histogram
 from .operators import dense as D
 from .operators import lexical as L
+from .operators import published as P
 from .operators import retrieval as R
 from .sources import corpus as C
 
@@ -36,7 +36,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _index(spark, sf_dir):
-    return L.build(C.whole_documents(spark, sf_dir))
+    """The published index of the documents."""
+    return P.of_documents(spark, sf_dir).load().index
 
 
 # lexical statistics

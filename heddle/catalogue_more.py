@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .catalogue import _HYBRID, query
+from .catalogue import _HYBRID, _index, query
 from .functions import text as T
 from .operators import chunking as K
 from .operators import context as X
@@ -16,6 +16,7 @@ from .operators import highlight as G
 from .operators import iterate as I
 from .operators import lexical as L
 from .operators import planner as P
+from .operators import published as PI
 from .operators import retrieval as R
 from .plans.stored import stored
 from .sources import corpus as C
@@ -74,16 +75,15 @@ def neighbour_expansion(spark, sf_dir):
 @query()
 def mmr_context(spark, sf_dir):
     """Diverse picks among the hybrid results of each benchmark item (J9, D11, H2, I15). A greedy loop: no SQL."""
-    index = L.build(C.whole_documents(spark, sf_dir))
+    index = _index(spark, sf_dir)
     found = R.search(index, C.benchmark_queries(spark, sf_dir), limit=max(20, 4 * 6))
     return X.select(found.join(index.chunks.select("chunk_id", "content"), "chunk_id"), 6).withColumn("score", F.round("score", 6))
 
 
 def _over_chunks(spark, sf_dir):
     """A search over prose chunks, by BM25."""
-    chunks = stored(K.chunks(C.whole_documents(spark, sf_dir)))
-    index = L.build(chunks)
-    return index, lambda queries, limit: R.search(index, queries, "BM25", limit).join(chunks.select("chunk_id", "source_location", "start_line", "end_line", "content"), "chunk_id")
+    index = PI.of_chunks(spark, sf_dir).load().index
+    return index, lambda queries, limit: R.search(index, queries, "BM25", limit).join(index.chunks.select("chunk_id", "source_location", "start_line", "end_line", "content"), "chunk_id")
 
 
 @query()
@@ -113,10 +113,10 @@ def iterative_citations(spark, sf_dir):
 
 @query()
 def semantic_highlights(spark, sf_dir):
-    """Best spans and literal terms of each benchmark item in its ten best documents (J12, G5, I26, C4, J25). A greedy loop: no SQL."""
-    index, asked = L.build(C.whole_documents(spark, sf_dir)), C.benchmark_queries(spark, sf_dir)
-    found = R.search(index, asked, "BM25").join(asked, "qid").join(index.chunks.select("chunk_id", "content"), "chunk_id")
-    best = G.highlights(found)
+    """Best spans and literal terms of each benchmark item in its ten best chunks (J12, G5, I26, C4, J25). A greedy choice among embedded spans: no SQL."""
+    index, search = _over_chunks(spark, sf_dir)
+    asked = C.benchmark_queries(spark, sf_dir)
+    best = G.highlights(search(asked, 10).join(asked, "qid"))
     return best.select("qid", "chunk_id", F.size("spans").alias("spans"), F.size("terms").alias("terms"), F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias("places"))
 
 
@@ -335,7 +335,7 @@ _OF_RERANK = f"{_HYBRID}, {O.pool(_LIMIT)}, {O.FEATURES}, {O.RERANKED}, {O.cappe
 
 def _metrics(spark, sf_dir, strategy):
     """Metrics against the three best lexical results of each item: how far a strategy keeps them."""
-    index, queries = L.build(C.whole_documents(spark, sf_dir)), C.benchmark_queries(spark, sf_dir)
+    index, queries = _index(spark, sf_dir), C.benchmark_queries(spark, sf_dir)
     best = R.sparse_branch(index, L.analysed(queries), 3)
     none = F.array().cast("array<string>")
     cases = best.groupBy("qid").agg(F.collect_list("file_name").alias("expected")).select("qid", "expected", F.concat(F.lit("c"), F.col("qid") % 3).alias("category"), F.lit(False).alias("passage"), none.alias("forbidden"), none.alias("hard"), F.lit(True).alias("answerable"))

@@ -50,6 +50,7 @@ CHUNKED_CODE_EXTENSIONS = SCORED_CODE_EXTENSIONS + (
 CONCEPT_WEIGHT, QUERY_CONCEPT_WEIGHT = 2.8, 4.0
 HAN_TOKEN, HAN_GRAM, LATIN = 1.0, 0.9, 1.0
 QUERY_HAN_TOKEN, QUERY_HAN_GRAM, QUERY_LATIN = 1.4, 1.25, 1.25
+WHOLE, GRAM, CONCEPT = "\x01", "\x02", "concept:"  # marks of tokens on their way
 WIDE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 
 
@@ -73,24 +74,16 @@ def split_camel(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z])([A-Z][a-z])", "$1 $2")
 
 
-def latin_words(normal: Column) -> Column:
-    """The runs of letters and digits of more than one character that are no stop words, repeats kept."""
-    return F.filter(F.regexp_extract_all(normal, F.lit("([a-z0-9]+)"), 1), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
-
-
-def han_grams(normal: Column, query: bool = False) -> Column:
-    """(token, weight) of the Han runs: short runs whole, and all their 2- and 3-grams."""
-    whole, gram = (QUERY_HAN_TOKEN, QUERY_HAN_GRAM) if query else (HAN_TOKEN, HAN_GRAM)
+def han_tokens(normal: Column) -> Column:
+    """The tokens of the Han runs: short runs whole, marked by WHOLE, and all 2- and 3-grams, marked by GRAM."""
     runs = F.regexp_extract_all(normal, F.lit(r"(\p{IsHan}+)"), 1)
-    pair = lambda t, w: F.struct(t.alias("token"), F.lit(w).alias("weight"))
-    short = F.transform(F.filter(runs, lambda t: F.length(t) <= 5), lambda t: pair(t, whole))
 
     def grams(t: Column, n: int) -> Column:
         starts = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: pair(F.substring(t, i, F.lit(n)), gram))
+        return F.transform(starts, lambda i: F.concat(F.lit(GRAM), F.substring(t, i, F.lit(n))))
 
-    every = F.flatten(F.transform(runs, lambda t: F.concat(grams(t, 2), grams(t, 3))))
-    return F.filter(F.concat(short, every), lambda x: ~x["token"].isin(*STOP_WORDS))
+    short = F.transform(F.filter(runs, lambda t: F.length(t) <= 5), lambda t: F.concat(F.lit(WHOLE), t))
+    return F.concat(short, F.flatten(F.transform(runs, lambda t: F.concat(grams(t, 2), grams(t, 3)))))
 
 
 def concepts(compact: Column) -> Column:
@@ -105,16 +98,21 @@ def concepts(compact: Column) -> Column:
 
 
 def token_rows(df: DataFrame, key: str, text: Column, query: bool = False) -> DataFrame:
-    """(key, token, weight): the added weights of each token of a text: words and Han grams, and concepts of which a phrase stands in it."""
+    """(key, token, weight): the added weights of each token of a text: words and Han grams, and concepts of which a phrase stands in it. Tokens are dealt out as strings, whose form tells their weight."""
     rows = df.select(key, normalise(split_camel(text)).alias("_normal"))
-    pair = lambda t, w: F.struct(t.alias("token"), F.lit(w).alias("weight"))
-    words = F.transform(F.regexp_extract_all("_normal", F.lit("([a-z0-9]+)"), 1), lambda t: pair(t, QUERY_LATIN if query else LATIN))
-    han = F.when(F.col("_normal").rlike(r"\p{IsHan}"), han_grams(F.col("_normal"), query)).otherwise(F.array().cast("array<struct<token:string,weight:double>>"))
     rows = rows.withColumn("_compact", F.regexp_replace("_normal", r"\s+", ""))
-    tags = F.transform(concepts(F.col("_compact")), lambda c: pair(F.concat(F.lit("concept:"), c), QUERY_CONCEPT_WEIGHT if query else CONCEPT_WEIGHT))
+    none = F.array().cast("array<string>")
+    words = F.regexp_extract_all("_normal", F.lit("([a-z0-9]+)"), 1)
+    han = F.when(F.col("_normal").rlike(r"\p{IsHan}"), han_tokens(F.col("_normal"))).otherwise(none)
+    tags = F.transform(concepts(F.col("_compact")), lambda c: F.concat(F.lit(CONCEPT), c))
     # outer: for a plain explode Spark would add a filter on the array and push it below the steps that make it
-    each = rows.select(key, F.explode_outer(F.concat(words, han, tags)).alias("t")).select(key, "t.token", "t.weight")
-    return each.where((F.length("token") > 1) & ~F.col("token").isin(*STOP_WORDS)).groupBy(key, "token").agg(F.sum("weight").alias("weight"))
+    each = rows.select(key, F.explode_outer(F.concat(words, han, tags)).alias("t"))
+    marked = F.col("t") < "0"  # of the marks and letters that a token begins with, the marks come first
+    token = F.when(marked, F.expr("substring(t, 2)")).otherwise(F.col("t"))
+    whole, gram, latin, concept = (QUERY_HAN_TOKEN, QUERY_HAN_GRAM, QUERY_LATIN, QUERY_CONCEPT_WEIGHT) if query else (HAN_TOKEN, HAN_GRAM, LATIN, CONCEPT_WEIGHT)
+    weight = F.when(F.startswith("t", F.lit(CONCEPT)), concept).when(~marked, latin).when(F.startswith("t", F.lit(WHOLE)), whole).otherwise(gram)
+    each = each.where(F.length("t") > 1).select(key, token.alias("token"), weight.alias("weight")).where((F.length("token") > 1) & ~F.col("token").isin(*STOP_WORDS))
+    return each.groupBy(key, "token").agg(F.sum("weight").alias("weight"))
 
 
 def query_subject(query: Column) -> Column:

@@ -1,7 +1,10 @@
-"""Dense vectors (survey rows I10, C3, C8, A25): cosine, and a deterministic embedder for tests and parity."""
+"""Dense vectors (survey rows I10, J23, C3, C8, 2.M): cosine, model signatures, and a deterministic embedder for tests and parity."""
 
 from __future__ import annotations
 
+from typing import Protocol
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +12,35 @@ DENSE_THRESHOLD = 0.15
 BUCKETS = 8
 
 
+class Embedder(Protocol):
+    """A text model. It travels to the tasks, so it must be picklable; `embed` is called there with a few texts at a time and gives a vector of `dimension` numbers for each."""
+
+    signature: str
+    dimension: int
+
+    def embed(self, texts: list[str]) -> np.ndarray: ...
+
+
+class Histogram:
+    """Counts of a text's characters by code mod 8, scaled to length 1."""
+
+    dimension = BUCKETS
+
+    def __init__(self):
+        self.signature = signature("histogram", "code-mod-8", "", self.dimension, "1")
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), BUCKETS))
+        for k, t in enumerate(texts):
+            out[k] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % BUCKETS, minlength=BUCKETS)
+        return out / np.maximum(1e-300, np.sqrt((out * out).sum(1)))[:, None]
+
+
+def signature(provider: str, model: str, file_signature: str, dimension: int, version: str) -> str:
+    """What tells two models apart: vectors of another signature can't be compared."""
+    return ":".join((provider, model, file_signature, str(dimension), version))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -23,17 +55,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) <= 0) | (length == 0), F.lit(0.0)).otherwise(dot(a, b) / length)
 
 
-def histogram(text: Column) -> Column:
-    """Counts of all characters by code mod 8, scaled to length 1; no vector for an empty text. Arrays of one element hold what is used more than once, so that it is computed once."""
-    codes = F.array(F.transform(F.split(text, ""), lambda c: F.ascii(c) % BUCKETS))
-    counts = F.transform(codes, lambda x: F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter(x, lambda c: c == b)).cast("double")))
-    return F.when(F.length(text) > 0, F.transform(counts, lambda k: F.transform(k, lambda n: n / F.sqrt(norm2(k))))[0])
-
-
 def compatible(vectors: Column, dimension: int) -> Column:
     """An aggregate: true if every vector has the dimension."""
     return F.bool_and(F.coalesce(F.size(vectors) == dimension, F.lit(False)))
-
-
-def signature(provider: Column, model: Column, file_signature: Column, dimension: Column, version: Column) -> Column:
-    return F.concat_ws(":", provider, model, file_signature, dimension, version)

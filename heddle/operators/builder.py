@@ -73,3 +73,8 @@ def build(documents: DataFrame, before: dict[str, DataFrame] | None = None, veri
     entries = files.join(ids, P.KEY, "left").select(*P.KEY, "size", "modified_at", "content_hash", "reader_id", "reader_version", F.lit(CHUNKING).alias("chunking_version"), F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"))
     warnings = units.where("error IS NOT NULL").select("path", "reader_id", F.col("error").alias("message"), F.lit(True).alias("skipped"))
     return {"chunks": chunks, "entries": stored(entries), "plan": plan, "warnings": warnings}
+
+
+def indexable(built: dict[str, DataFrame]) -> DataFrame:
+    """The chunks of a build as `published.Knowledge.update` takes them: it embeds and indexes those alone that it hasn't got yet."""
+    return built["chunks"].select(F.col("id").alias("chunk_id"), "path", "file_name", "extension", "start_line", "end_line", "source_location", "content")

@@ -19,7 +19,14 @@ from .lexical import top
 QUERY_BLOCK = 4096
 BROADCAST_BLOCKS = 16  # of queries: 32 MB at 64 dimensions
 PAIRS_AT_ONCE = 1 << 22
-PACKED = "width int, ids binary, vectors binary"
+PACKED = "width int, kind string, ids binary, vectors binary"  # kind: of the ids, as NumPy names it
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    """Whole numbers, or else texts: both sort as they do in Spark."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.array(column.to_pylist() or [""])[: len(column)]
 
 
 def _packed(key: str):
@@ -27,12 +34,13 @@ def _packed(key: str):
         for batch in batches:
             column = batch.column("embedding")
             size = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-            ids, out = batch.column(key).to_numpy(zero_copy_only=False).astype(np.int64), []
+            ids, out = _ids(batch.column(key)), []
             for width in np.unique(size[size > 0]).tolist():
                 rows = np.flatnonzero(size == width)
                 flat = column.take(pa.array(rows)).flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
-                out.append((width, ids[rows].tobytes(), flat.tobytes()))
-            yield pa.RecordBatch.from_pydict({c: [x[k] for x in out] for k, c in enumerate(("width", "ids", "vectors"))}, schema=pa.schema([("width", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]))
+                out.append((width, ids.dtype.str, ids[rows].tobytes(), flat.tobytes()))
+            schema = pa.schema([("width", pa.int32()), ("kind", pa.string()), ("ids", pa.binary()), ("vectors", pa.binary())])
+            yield pa.RecordBatch.from_pydict({c: [x[k] for x in out] for k, c in enumerate(schema.names)}, schema=schema)
 
     return of_batches
 
@@ -42,10 +50,11 @@ class _Best:
 
     def __init__(self, k: int):
         self.k = k
-        self.query, self.ids, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.query, self.ids, self.score = np.zeros(0, np.int64), None, np.zeros(0)
 
     def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        query, ids, score = np.r_[self.query, query], np.r_[self.ids, ids], np.r_[self.score, score]
+        ids = ids if self.ids is None else np.concatenate([self.ids, ids])
+        query, score = np.r_[self.query, query], np.r_[self.score, score]
         order = np.lexsort((ids, -np.round(score, 6), query))
         q = query[order]
         keep = order[np.arange(len(q)) - np.searchsorted(q, q) < self.k]
@@ -64,9 +73,9 @@ def _nearest(k: int, threshold: float):
     def of_batches(batches):
         best: dict[bytes, _Best] = {}
         for batch in batches:
-            for width, qids, q, ids, x in zip(*(batch.column(c).to_pylist() for c in ("width", "qids", "queries", "ids", "vectors"))):
+            for width, qids, q, kind, ids, x in zip(*(batch.column(c).to_pylist() for c in ("width", "qids", "queries", "kind", "ids", "vectors"))):
                 q, x = (np.frombuffer(v).reshape(-1, width) for v in (q, x))
-                own, ids = best.setdefault(qids, _Best(k)), np.frombuffer(ids, np.int64)
+                own, ids = best.setdefault(qids, _Best(k)), np.frombuffer(ids, kind)
                 norm = np.sqrt((q * q).sum(1))
                 step = max(1, PAIRS_AT_ONCE // len(q))
                 for a in range(0, len(x), step):
@@ -79,14 +88,14 @@ def _nearest(k: int, threshold: float):
                     row, query = np.nonzero((rounded >= least) & (s >= threshold))
                     own.add(query, ids[a + row], s[row, query])
         for qids, found in best.items():
-            if len(found.ids):
-                yield pa.RecordBatch.from_pydict({"qid": np.frombuffer(qids, np.int64)[found.query], "chunk_id": found.ids, "dense": found.score})
+            if found.ids is not None and len(found.ids):
+                yield pa.RecordBatch.from_pydict({"qid": np.frombuffer(qids, np.int64)[found.query], "chunk_id": pa.array(found.ids.tolist()), "dense": found.score})
 
     return of_batches
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = DENSE_THRESHOLD) -> DataFrame:
-    """qid, chunk_id, dense, rank of the k nearest vectors (chunk_id, embedding) of each query (qid, embedding), among those of its width. Null and empty vectors take no part."""
+    """qid, chunk_id, dense, rank of the k nearest vectors (chunk_id, embedding) of each query (qid, embedding), among those of its width. qids are whole numbers, chunk_ids may be texts. Null and empty vectors take no part."""
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = queries.where("size(embedding) > 0").select("qid", "embedding")
@@ -100,5 +109,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = D
     else:
         salts = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("salt")
         pairs = held.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).join(asked.select("*", salts), ["width", "salt"])
-    found = pairs.select("width", "qids", "queries", "ids", "vectors").mapInArrow(_nearest(k, threshold), "qid long, chunk_id long, dense double")
+    kind = vectors.schema["chunk_id"].dataType.simpleString()
+    kind = "string" if kind == "string" else "bigint"
+    found = pairs.select("width", "qids", "queries", "kind", "ids", "vectors").mapInArrow(_nearest(k, threshold), f"qid long, chunk_id {kind}, dense double")
     return top(found, "dense", k, "chunk_id")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.vectors import Embedder, Histogram
 from ..plans.stored import small, stored
 from ..sources.corpus import indexed_text
+from .embedding import embedded, text_hash
 
 K1, B = 1.5, 0.75
 QUERY_WEIGHT = (0.25, 3.0)
@@ -17,22 +19,51 @@ QUERY_WEIGHT = (0.25, 3.0)
 
 @dataclass
 class Index:
-    """Tables of a lexical index. All statistics are over every chunk, whatever a search filters."""
+    """Tables of an index. All statistics are over every chunk, whatever a search filters."""
 
-    chunks: DataFrame
-    postings: DataFrame  # chunk_id, token, weight
-    lengths: DataFrame  # chunk_id, length
-    df: DataFrame  # token, df
+    chunks: DataFrame  # as `prepared` makes them
+    terms: DataFrame  # chunk_id, length, terms: array of (token, weight)
+    postings: DataFrame  # token, chunk_id, weight, length
+    df: DataFrame  # token, df, most, least: documents, greatest weight, least length
     corpus: DataFrame  # n, avg_length: one row
+    vectors: DataFrame  # chunk_id, embedding; none for chunks without text
 
 
-def build(chunks: DataFrame) -> Index:
-    """The tables, each computed once and stored. The text is read and split once; postings are counted from rows of tokens."""
-    postings = stored(T.token_rows(chunks, "chunk_id", indexed_text()))
-    total = postings.groupBy("chunk_id").agg(F.sum("weight").alias("total"))
-    lengths = stored(chunks.select("chunk_id").join(total, "chunk_id", "left").select("chunk_id", F.greatest(F.lit(1.0), F.coalesce("total", F.lit(0.0))).alias("length")))
-    corpus = stored(lengths.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("avg_length")))
-    return Index(chunks, postings, lengths, stored(postings.groupBy("token").agg(F.count("*").alias("df"))), corpus)
+def prepared(chunks: DataFrame) -> DataFrame:
+    """The chunks with what every search would have to make of their texts: normal forms of content and names, the names declared and called in it, and the hash of what is embedded."""
+    normal = {f"normal_{c}": T.normalise(F.col(c)) for c in ("content", "file_name", "path")}
+    rows = chunks.withColumns(normal | {"hash": text_hash(indexed_text())})
+    # a name after one of these words may begin anywhere after it, so the pattern takes none of it away; a call stands alone before its bracket
+    declared = F.regexp_extract_all("normal_content", F.lit(r"(?:class|interface|record|enum|def|function) (?=(\S+))"), 1)
+    called = F.regexp_extract_all("normal_content", F.lit(r"(?:^| )([^\s(]+)\("), 1)
+    return rows.withColumns({"declared": F.array_distinct(declared), "called": F.array_distinct(called)})
+
+
+def terms_of(chunks: DataFrame) -> DataFrame:
+    """chunk_id, length, terms. Chunks that are dealt by chunk_id stay where they are: no exchange."""
+    weighed = T.token_rows(chunks, "chunk_id", indexed_text())
+    held = weighed.groupBy("chunk_id").agg(F.collect_list(F.struct("token", "weight")).alias("terms"), F.sum("weight").alias("total"))
+    none = F.array().cast("array<struct<token:string,weight:double>>")
+    return chunks.select("chunk_id").join(held, "chunk_id", "left").select("chunk_id", F.greatest(F.lit(1.0), F.coalesce("total", F.lit(0.0))).alias("length"), F.coalesce("terms", none).alias("terms"))
+
+
+def postings_of(terms: DataFrame) -> DataFrame:
+    return terms.select("chunk_id", "length", F.explode("terms").alias("t")).select("t.token", "chunk_id", "t.weight", "length")
+
+
+def statistics(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("token").agg(F.count("*").alias("df"), F.max("weight").alias("most"), F.min("length").alias("least"))
+
+
+def build(chunks: DataFrame, embedder: Embedder = Histogram()) -> Index:
+    """The tables of the chunks, each computed once and stored. Chunks are dealt by chunk_id first, so that their texts are split on all cores, then stay dealt so."""
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = stored(prepared(chunks.repartition(parts, "chunk_id")))
+    terms = stored(terms_of(chunks.repartition(parts, "chunk_id")))
+    postings = stored(postings_of(terms))
+    corpus = terms.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("avg_length"))
+    vectors = embedded(chunks.select("chunk_id", indexed_text().alias("text")), "chunk_id", embedder)
+    return Index(chunks, terms, postings, stored(statistics(postings)), stored(corpus), stored(vectors))
 
 
 def analysed(queries: DataFrame) -> DataFrame:
@@ -54,18 +85,32 @@ def extension_filter(extension: str | None):
     return F.lower("extension") == extension.lower()
 
 
-def bm25(index: Index, queries: DataFrame, extension: str | None = None) -> DataFrame:
-    """qid, chunk_id, bm25 of all chunks that share a token with a query. The filter leaves the statistics alone."""
+def weighed(index: Index, terms: DataFrame) -> DataFrame:
+    """qid, token, gain, avg_length, ceiling, df of the queries' terms (qid, token, weight) that some chunk holds: a chunk's score for a token is gain times `saturated`, at most ceiling. Stored."""
     clamped = F.least(F.greatest("q", F.lit(QUERY_WEIGHT[0])), F.lit(QUERY_WEIGHT[1]))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("weight") * (K1 + 1) / (F.col("weight") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    terms = query_terms(queries)
-    df = index.df.join(small(stored(terms.select("token").distinct())), "token", "left_semi")
-    weighed = stored(terms.withColumnRenamed("weight", "q").join(df, "token").crossJoin(F.broadcast(index.corpus)).select("qid", "token", (idf * clamped).alias("gain"), "avg_length"))
-    held = index.postings.join(small(weighed), "token")  # only the queries' tokens go on
+    # one sided outer joins aren't needed: tokens that no chunk holds score nothing
+    rows = index.df.join(small(terms.withColumnRenamed("weight", "q")), "token").crossJoin(F.broadcast(index.corpus))
+    rows = rows.withColumn("gain", idf * clamped)
+    return stored(rows.select("qid", "token", "gain", "avg_length", (F.col("gain") * saturated("most", "least")).alias("ceiling"), "df"))
+
+
+def saturated(weight: str, length: str) -> Column:
+    """BM25's share of a token's weight in a chunk of a length."""
+    return F.col(weight) * (K1 + 1) / (F.col(weight) + K1 * (1 - B + B * F.col(length) / F.col("avg_length")))
+
+
+def _scored(index: Index, weights: DataFrame, extension: str | None) -> DataFrame:
+    """qid, chunk_id, bm25 by the given tokens alone. The filter leaves the statistics alone. Postings stay where they lie: the tokens come to them."""
+    held = index.postings.join(small(weights.select("qid", "token", "gain", "avg_length")), "token")
     if extension:
         held = held.join(index.chunks.where(extension_filter(extension)).select("chunk_id"), "chunk_id", "left_semi")
-    return held.join(index.lengths, "chunk_id").groupBy("qid", "chunk_id").agg(F.sum(F.col("gain") * tf).alias("bm25")).where("bm25 > 0")
+    return held.groupBy("qid", "chunk_id").agg(F.sum(F.col("gain") * saturated("weight", "length")).alias("bm25"))
+
+
+def bm25(index: Index, queries: DataFrame, extension: str | None = None) -> DataFrame:
+    """qid, chunk_id, bm25 of all chunks that share a token with a query."""
+    return _scored(index, weighed(index, query_terms(queries)), extension).where("bm25 > 0")
 
 
 def top(scores: DataFrame, score: str, k: int, *ties: str) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import histogram
+from ..functions.vectors import Embedder, Histogram
 from ..plans.stored import small, stored
-from ..sources.corpus import indexed_text
 from . import dense as D
 from . import lexical as L
+from .embedding import embedded
 
 BRANCH, RRF_K, POOL, PER_DOCUMENT = 50, 60, 20, 3
 STRATEGIES = ("BM25", "DENSE", "RRF", "RRF_RERANK")
@@ -23,11 +23,13 @@ def sparse_branch(index: L.Index, queries: DataFrame, k: int, extension: str | N
     return stored(L.top(L.bm25(index, queries, extension).join(names, "chunk_id"), "bm25", k, *TIES))
 
 
-def dense_branch(index: L.Index, queries: DataFrame, k: int, extension: str | None = None) -> DataFrame:
-    """The same for the histogram embedder: qid, chunk_id, dense, rank."""
-    chunks = index.chunks.where(L.extension_filter(extension)) if extension else index.chunks
-    vectors = chunks.select("chunk_id", histogram(indexed_text()).alias("embedding"))
-    return stored(D.nearest(vectors, queries.select("qid", histogram(F.col("subject")).alias("embedding")), k))
+def dense_branch(index: L.Index, queries: DataFrame, k: int, extension: str | None = None, embedder: Embedder = Histogram()) -> DataFrame:
+    """qid, chunk_id, dense, rank by the index's vectors, which must be of the embedder."""
+    vectors = index.vectors
+    if extension:
+        vectors = vectors.join(index.chunks.where(L.extension_filter(extension)).select("chunk_id"), "chunk_id", "left_semi")
+    asked = embedded(queries.select("qid", F.col("subject").alias("text")), "qid", embedder)
+    return stored(D.nearest(vectors, asked, k))
 
 
 def fuse(sparse: DataFrame, dense: DataFrame) -> DataFrame:
@@ -47,40 +49,34 @@ def normalised(fused: DataFrame) -> DataFrame:
 
 def features(index: L.Index, queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """qid, chunk_id, cosine, exact, name_matches, path_matches, concept_matches, declarations, code_file, feature of the candidates (qid, chunk_id)."""
-    pairs = candidates.select("qid", "chunk_id")
+    ids = small(stored(candidates.select("chunk_id").distinct()))
     terms = L.query_terms(queries)
     n = F.broadcast(index.corpus.select("n"))
-    ids = small(stored(pairs.select("chunk_id").distinct()))
-    held = index.postings.join(ids, "chunk_id", "left_semi")
     idf = F.log(1 + (F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1))
     tf = 1 + F.log(F.greatest(F.lit(1.0), "weight"))
-    doc = stored(held.join(index.df, "token").crossJoin(n).select("chunk_id", "token", (tf * idf).alias("d")))
+    # the pool's chunks bring their terms with them: postings aren't looked at
+    doc = L.postings_of(index.terms.join(ids, "chunk_id", "left_semi")).join(index.df, "token").crossJoin(n).select("chunk_id", "token", (tf * idf).alias("d"))
+    held = stored(doc)
     query = stored(terms.join(index.df, "token", "left").crossJoin(n).select("qid", "token", (tf * idf).alias("q")))
     norm = lambda df, key, c: df.groupBy(key).agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"{c}_norm"))
-    dots = pairs.join(small(query), "qid").join(doc, ["chunk_id", "token"]).groupBy("qid", "chunk_id").agg(F.sum(F.col("q") * F.col("d")).alias("dot"), F.count(F.when(F.col("token").startswith("concept:"), 1)).alias("concept_matches"))
+    pairs = candidates.select("qid", "chunk_id")
+    dots = pairs.join(small(query), "qid").join(held, ["chunk_id", "token"]).groupBy("qid", "chunk_id").agg(F.sum(F.col("q") * F.col("d")).alias("dot"), F.count(F.when(F.col("token").startswith("concept:"), 1)).alias("concept_matches"))
     words = terms.where("NOT startswith(token, 'concept:')").groupBy("qid").agg(F.collect_set("token").alias("words"))
-    chunks = index.chunks.join(ids, "chunk_id", "left_semi").select("chunk_id", "extension", *[T.normalise(F.col(c)).alias(c) for c in ("content", "file_name", "path")])
-    rows = pairs.join(chunks, "chunk_id").join(small(queries.select("qid", "normal", "code_intent", "location_intent")), "qid")
-    for other, key in ((words, "qid"), (norm(query, "qid", "q"), "qid"), (norm(doc, "chunk_id", "d"), "chunk_id"), (dots, ["qid", "chunk_id"])):
-        rows = rows.join(other, key, "left")
+    asked = queries.select("qid", "normal", "code_intent", "location_intent").join(words, "qid", "left").join(norm(query, "qid", "q"), "qid", "left")
+    chunks = index.chunks.join(ids, "chunk_id", "left_semi").select("chunk_id", "extension", "normal_content", "normal_file_name", "normal_path", "declared", "called")
+    rows = pairs.join(chunks, "chunk_id").join(small(stored(asked)), "qid").join(norm(held, "chunk_id", "d"), "chunk_id", "left").join(dots, ["qid", "chunk_id"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     size = F.col("q_norm") * F.col("d_norm")
     cosine = F.when(zero(size) == 0, F.lit(0.0)).otherwise(zero("dot") / size)
-    matches = lambda where: zero(F.size(F.filter("words", lambda w: F.contains(F.col(where), w))))
-
-    def declared(w):
-        hit = F.startswith("content", F.concat(w, F.lit("("))) | F.contains("content", F.concat(F.lit(" "), w, F.lit("(")))
-        for kind in ("class", "interface", "record", "enum", "def", "function"):
-            hit = hit | F.contains("content", F.concat(F.lit(kind + " "), w))
-        return (F.length(w) >= 3) & hit
-
+    count = lambda test: F.greatest(F.lit(0), zero(F.size(F.filter("words", test))))
+    declared = lambda w: (F.length(w) >= 3) & (F.array_contains("called", w) | F.exists("declared", lambda d: F.startswith(d, w)))
     rows = rows.select(
         "qid", "chunk_id", "code_intent", "location_intent", cosine.alias("cosine"),
-        F.contains("content", "normal").alias("exact"),
-        F.greatest(F.lit(0), matches("file_name")).alias("name_matches"),
-        F.greatest(F.lit(0), matches("path")).alias("path_matches"),
+        F.contains("normal_content", "normal").alias("exact"),
+        count(lambda w: F.contains("normal_file_name", w)).alias("name_matches"),
+        count(lambda w: F.contains("normal_path", w)).alias("path_matches"),
         zero("concept_matches").alias("concept_matches"),
-        F.greatest(F.lit(0), zero(F.size(F.filter("words", declared)))).alias("declarations"),
+        count(declared).alias("declarations"),
         (F.col("code_intent") & F.lower("extension").isin(*T.SCORED_CODE_EXTENSIONS)).alias("code_file"),
     )
     focused = F.col("code_intent") | F.col("location_intent")

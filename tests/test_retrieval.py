@@ -25,6 +25,12 @@ def test_nearest_of_each_width(spark):
     assert {(r["qid"], r["chunk_id"], r["rank"]) for r in got.collect()} == want and len(want) > 20
 
 
+def test_nearest_of_texts_as_ids(spark):
+    vectors = spark.createDataFrame([(f"c{k:02d}" + "x" * (k % 3), [float(k % 5), 1.0]) for k in range(40)], "chunk_id string, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(1, [0.0, 1.0])], "qid long, embedding array<double>")
+    assert [r["chunk_id"][:3] for r in dense.nearest(vectors, queries, 4).orderBy("rank").collect()] == ["c00", "c05", "c10", "c15"]
+
+
 def test_nearest_with_many_blocks(spark, monkeypatch):
     vectors = spark.createDataFrame([(k, [float(k % 5), 1.0]) for k in range(40)], "chunk_id long, embedding array<double>")
     queries = vectors.select(F.col("chunk_id").alias("qid"), "embedding")
@@ -94,11 +100,57 @@ def test_iteration_stops(spark):
     assert iterate.collect(questions, search, away).count() == 2
 
 
-def test_highlights():
-    text = "First sentence here. Second sentence there!\n\nAnother paragraph of some length.\nshort\nand one more line of words"
-    spans = highlight.candidate_spans(text)
-    assert (0, 20) in spans and (21, 43) in spans and all(highlight.LEAST <= b - a <= highlight.MOST and text[a:b] == text[a:b].strip() for a, b in spans)
-    found = highlight.located("Second sentence there!", text, 3)
-    assert found and all(b <= x for (_, b, _), (x, _, _) in zip(found, found[1:])) and any(text[a:b].startswith("Second") for a, b, _ in found)
-    assert highlight.located("", text, 3) == [] == highlight.located("q", None, 3)
-    assert highlight.term_spans("LINE a words", text) == [(text.index("line"), text.index("line") + 4), (text.index("words"), text.index("words") + 5)]
+def plain_spans(text):
+    """All candidate places of a text whose spans are few, by plain scans."""
+    import re
+
+    places, lines = set(), [(m.start(), m.end()) for m in re.finditer(r"[^\n]*\S[^\n]*", text)]
+    ends = re.compile(r"""(?<=[.!?])["')\]]*(?=\s)|(?<=[。！？])(?![。！？])""")
+    for m in re.finditer(r"\S(?:(?!\n\s*\n).)*", text, re.DOTALL):
+        cuts = [0, *(e.end() for e in ends.finditer(m[0])), len(m[0])]
+        places |= {m.span()} | {(m.start() + a, m.start() + b) for a, b in zip(cuts, cuts[1:])}
+    places |= set(lines) | {(lines[k][0], lines[min(k + 3, len(lines) - 1)][1]) for k in range(0, len(lines) - 1, 2)}
+    trimmed = {(a + len(text[a:b]) - len(text[a:b].lstrip()), b - len(text[a:b]) + len(text[a:b].rstrip())) for a, b in places}
+    return {(a, b) for a, b in trimmed if 8 <= b - a <= 700}
+
+
+TEXTS = [
+    "First sentence here. Second sentence there!\n\nAnother paragraph of some length.\nshort\nand one more line of words",
+    "  one line alone, with no end  ",
+    "tiny",
+    "漢字の文がここにあります。次の文もここにあります！！終わり",
+    'He said "stop it now." Then (he left.) \n \n\nlast paragraph\nwith lines\nof text\nfour of them\nfive of them',
+    " \n\t ",
+]
+
+
+def test_candidate_spans(spark):
+    rows = spark.createDataFrame(list(enumerate(TEXTS)) + [(50, None), (51, "")], "chunk_id long, content string")
+    got = highlight.candidates(rows).collect()
+    places = {(r["chunk_id"], r["start"], r["end"]) for r in got}
+    assert len(places) == len(got) and places == {(k, a, b) for k, t in enumerate(TEXTS) for a, b in plain_spans(t)}
+    many = "\n\n".join(f"Sentence number {k} stands here. And another {k} follows it." for k in range(200))
+    long = highlight.candidates(spark.createDataFrame([(1, many), (2, "\n".join(f"line number {k}" for k in range(300)))], "chunk_id long, content string")).toPandas()
+    kinds = long["turn"].map(lambda t: t["kind"])
+    assert [int(((long["chunk_id"] == 1) & (kinds == k)).sum()) for k in range(3)] == [81, 93, 0]  # 27 paragraphs of 3 spans, then lines that aren't among them
+    assert [int(((long["chunk_id"] == 2) & (kinds == k)).sum()) for k in range(3)] == [0, 120, 0]
+
+
+def test_highlights_are_the_best_that_do_not_overlap(spark):
+    queries = ["Second sentence there!", "four of them", "次の文もここに", "LINE a words", "", None]
+    rows = [(q, k, query, t) for q, query in enumerate(queries) for k, t in enumerate([*TEXTS, None])]
+    got = {(r["qid"], r["chunk_id"]): r for r in highlight.highlights(spark.createDataFrame(rows, "qid long, chunk_id long, query string, content string")).collect()}
+    assert len(got) == len(rows)
+    embed = highlight.Histogram().embed
+    for q, k, query, text in rows:
+        found, best = [(s["start"], s["end"]) for s in got[q, k]["spans"]], []
+        if (query or "").strip() and text:
+            vector = embed([query.strip()])[0]
+            scored = sorted((min(0.055, 0.018 * np.log1p((b - a) / 90)) - (s := max(0.0, float(embed([text[a:b]])[0] @ vector))), s, a, b) for a, b in plain_spans(text))
+            for _, s, a, b in scored:
+                if s >= 0.18 and len(best) < 3 and all(b <= x or y <= a for x, y in best):
+                    best.append((a, b))
+        assert found == sorted(best), (q, k)
+    assert [tuple(t) for t in got[3, 0]["terms"]] == [(TEXTS[0].index("line"), TEXTS[0].index("line") + 4), (TEXTS[0].index("words"), TEXTS[0].index("words") + 5)]
+    crowded = spark.createDataFrame([(1, 1, "aa b", "aaaaa b aa " * 60)], "qid long, chunk_id long, query string, content string")
+    assert len(highlight.word_places(crowded).first()["terms"]) == highlight.PLACES
