@@ -355,8 +355,62 @@ def eval_by_category(spark, sf_dir):
     return E.rollup(_metrics(spark, sf_dir, "RRF_RERANK"), "category")
 
 
-@query(f"SELECT 'RRF' AS strategy, * FROM ({_OF_RRF}, {_METRICS} SELECT count(*) AS cases, {_MEANS} FROM per_case) UNION ALL SELECT 'RRF_RERANK', * FROM ({_OF_RERANK}, {_METRICS} SELECT count(*) AS cases, {_MEANS} FROM per_case)")
+_OF = {
+    "BM25": f"{_HYBRID}, res AS (SELECT qid, file_name, rank AS rnk FROM sparse)",
+    "DENSE": f"{_HYBRID}, res AS (SELECT qid, file_name, rank AS rnk FROM dense JOIN docs USING (chunk_id))",
+    "RRF": _OF_RRF,
+    "RRF_RERANK": _OF_RERANK,
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{s}' AS strategy, * FROM ({sql}, {_METRICS} SELECT count(*) AS cases, {_MEANS} FROM per_case)" for s, sql in _OF.items()))
 def eval_ablation(spark, sf_dir):
-    """Their means for each strategy."""
-    parts = [E.rollup(_metrics(spark, sf_dir, s)).withColumn("strategy", F.lit(s)) for s in ("RRF", "RRF_RERANK")]
-    return parts[0].unionByName(parts[1])
+    """Their means for each of the four strategies."""
+    parts = [E.rollup(_metrics(spark, sf_dir, s)).withColumn("strategy", F.lit(s)) for s in R.STRATEGIES]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+_WORDS = "regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+')"
+_JOINED = "' ' || array_to_string({x}, ' ') || ' '"
+_GRADES = f"""dw AS (SELECT doc_id || '.' || lang AS file_name, {_JOINED.format(x=_WORDS.format(x='text'))} AS t FROM documents), iw AS (SELECT item_id AS qid, {_WORDS.format(x='text')} AS w FROM benchmark),
+gr AS (SELECT qid, file_name, CASE WHEN contains(t, {_JOINED.format(x='w')}) THEN 2 ELSE 1 END AS grade FROM iw JOIN dw ON contains(t, {_JOINED.format(x=f'w[1:{E.ANCHOR}]')}) WHERE len(w) > 0)"""
+
+
+@query(f"WITH {_GRADES} SELECT qid, file_name, CAST(grade AS INTEGER) AS grade FROM gr")
+def passage_grades(spark, sf_dir):
+    """Where the benchmark's passages stand: relevance 2 for the whole, 1 for the beginning."""
+    return E.grades(C.whole_documents(spark, sf_dir), C.benchmark_queries(spark, sf_dir).withColumnRenamed("query", "passage"))
+
+
+_TOXIC = "tox AS (SELECT DISTINCT d.doc_id || '.' || lang AS file_name FROM documents d JOIN labels l ON l.doc_id = d.doc_id AND l.toxic = 1)"
+_RELEVANT = f"""{_HYBRID}, {_GRADES}, {_TOXIC}, u AS (SELECT qid, file_name, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INTEGER) AS pos FROM sparse WHERE rank <= 20),
+near AS (SELECT s.qid, s.file_name FROM sparse s ANTI JOIN gr ON gr.qid = s.qid AND gr.file_name = s.file_name WHERE rank <= 20 AND rank > 10),
+e AS (SELECT i.qid, count(g.file_name) AS want, coalesce(max(grade), 0) = 2 AS passage FROM iw i LEFT JOIN gr g USING (qid) WHERE i.qid IN (SELECT qid FROM qs) GROUP BY i.qid),
+h AS (SELECT u.qid, u.pos, grade, t.file_name IS NOT NULL AS toxic, n.file_name IS NOT NULL AS hard FROM u LEFT JOIN gr USING (qid, file_name) LEFT JOIN tox t USING (file_name) LEFT JOIN near n ON n.qid = u.qid AND n.file_name = u.file_name),
+a AS (SELECT e.qid, want, passage, count(h.pos) AS n, count(grade) FILTER (pos <= 5) AS h5, count(grade) FILTER (pos <= 20) AS h20, min(pos) FILTER (grade IS NOT NULL) AS best, min(pos) FILTER (hard) AS worst,
+    coalesce(bool_or(toxic AND pos <= 10), false) AS forbidden_hit, coalesce(sum((pow(2, grade) - 1) * ln(2) / ln(pos + 1)) FILTER (pos <= 10), 0) AS dcg FROM e LEFT JOIN h USING (qid) GROUP BY e.qid, want, passage),
+m AS (SELECT *, (SELECT sum((pow(2, CASE WHEN k = 1 AND passage THEN 2 ELSE 1 END) - 1) * ln(2) / ln(k + 1)) FROM range(1, 11) t(k) WHERE k <= greatest(1, want)) AS ideal, CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END AS quiet FROM a)"""
+
+
+@query(f"""WITH {_RELEVANT.removeprefix('WITH ')} SELECT qid, CASE WHEN want > 0 THEN 'planted' ELSE 'absent' END AS category, round(CASE WHEN want > 0 THEN h5 / want ELSE quiet END, 6) AS recall5, round(CASE WHEN want > 0 THEN h20 / want ELSE quiet END, 6) AS recall20,
+  round(CASE WHEN want > 0 THEN CASE WHEN h5 > 0 THEN 1.0 ELSE 0.0 END ELSE quiet END, 6) AS hit5, round(CASE WHEN want > 0 THEN CASE WHEN n > 0 THEN h5 / least(5, n) ELSE 0 END ELSE quiet END, 6) AS precision5,
+  round(CASE WHEN want > 0 AND best <= 10 THEN 1.0 / best ELSE 0 END, 6) AS mrr10, round(CASE WHEN want > 0 THEN least(1.0, dcg / ideal) ELSE quiet END, 6) AS ndcg10, forbidden_hit, worst IS NOT NULL AND (best IS NULL OR worst < best) AS outranked FROM m""")
+def eval_relevance(spark, sf_dir):
+    """Metrics of the lexical search against where the passages really stand: grades 2 and 1, items that stand nowhere, toxic documents as forbidden ones, near misses as hard negatives (A23, D12, F4, I30, 2.K)."""
+    index, queries = _index(spark, sf_dir), C.benchmark_queries(spark, sf_dir)
+    hits = stored(R.search(index, queries, "BM25", 20).select("qid", "rank", "file_name"))
+    grades = stored(passage_grades(spark, sf_dir))
+    toxic = C.table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct().join(C.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("."), "lang").alias("file_name")), "doc_id").select("file_name")
+    listed = lambda rows, name: rows.groupBy("qid").agg(F.collect_set("file_name").alias(name))
+    near = hits.where("rank > 10").join(grades, ["qid", "file_name"], "left_anti")
+    cases = L.analysed(queries).select("qid").join(grades.groupBy("qid").agg(F.collect_set("file_name").alias("expected"), (F.max("grade") == 2).alias("passage")), "qid", "left")
+    cases = cases.join(listed(hits.join(toxic, "file_name", "left_semi"), "forbidden"), "qid", "left").join(listed(near, "hard"), "qid", "left")
+    none = F.array().cast("array<string>")
+    cases = cases.select("qid", *[F.coalesce(c, none).alias(c) for c in ("expected", "forbidden", "hard")], F.coalesce("passage", F.lit(False)).alias("passage"), F.col("expected").isNotNull().alias("answerable"))
+    cases = cases.withColumn("category", F.when(F.col("answerable"), "planted").otherwise("absent"))
+    graded = hits.join(grades, ["qid", "file_name"], "left").select("qid", "rank", "file_name", F.coalesce(F.col("grade") == 2, F.lit(False)).alias("passage_hit"))
+    found = E.per_case(graded, cases)
+    return found.select("qid", "category", *[F.round(m, 6).alias(m) for m in E.ALL_MEANS], "forbidden_hit", "outranked")

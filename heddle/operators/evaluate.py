@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ..plans.stored import small, stored
 
 MEANS = ("recall5", "hit5", "precision5", "mrr10", "ndcg10")
-GATE = {"recall5": 0.90, "hit5": 0.90, "mrr10": 0.85, "ndcg10": 0.80}
+ALL_MEANS = ("recall5", "recall20", "hit5", "precision5", "mrr10", "ndcg10")
+GATE = {"recall5": 0.90, "recall20": 0.98, "hit5": 0.90, "mrr10": 0.85, "ndcg10": 0.80}
+ANCHOR = 8  # words
+CASES = "array<struct<id:string,query:string,category:string,split:string,expectedDocuments:array<string>,expectedPassages:array<string>,mustNotReturn:array<string>,hardNegatives:array<string>,answerable:boolean>>"
+DATASET = f"struct<name:string,version:int,minimumRecallAt5:double,minimumRecallAt20:double,minimumHitRateAt5:double,minimumMrrAt10:double,minimumNdcgAt10:double,cases:{CASES}>"
 
 
 def per_case(hits: DataFrame, cases: DataFrame) -> DataFrame:
@@ -35,6 +39,7 @@ def per_case(hits: DataFrame, cases: DataFrame) -> DataFrame:
         "qid",
         "category",
         ok(hits5 / want).alias("recall5"),
+        ok(F.size(F.array_intersect(F.slice(names, 1, 20), F.col("expected"))) / want).alias("recall20"),
         ok(F.when(hits5 > 0, 1.0)).alias("hit5"),
         ok(F.when(n > 0, hits5 / F.least(F.lit(5), n))).alias("precision5"),
         F.when(F.col("answerable") & (best <= 10), 1.0 / best).otherwise(0.0).alias("mrr10"),
@@ -44,14 +49,58 @@ def per_case(hits: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
-def rollup(metrics: DataFrame, *by: str) -> DataFrame:
-    return metrics.groupBy(*by).agg(F.count("*").alias("cases"), *[F.round(F.avg(m), 6).alias(m) for m in MEANS])
+def grades(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(qid, file_name, grade) of the documents (file_name, content) in which the passages (qid, passage) stand, by their words of a-z and 0-9: 2 for a whole passage, 1 for its first `ANCHOR` words.
+
+    The documents' word runs meet the passages' first words by equality; only where these meet is the whole passage looked for.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1)
+    wanted = items.select("qid", words("passage").alias("w")).where("size(w) > 0")
+    wanted = stored(wanted.select("qid", F.array_join(F.slice("w", 1, ANCHOR), " ").alias("anchor"), F.least(F.lit(ANCHOR), F.size("w")).alias("n"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("whole")))
+    texts = stored(documents.select("file_name", words("content").alias("w")))
+    met = None
+    for r in wanted.select("n").distinct().orderBy("n").collect():  # `ANCHOR` lengths at most
+        n = r["n"]
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        runs = texts.select("file_name", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))).alias("anchor"))  # noqa: B023
+        found = runs.join(small(wanted.where(F.col("n") == n)), "anchor").select("qid", "file_name", "whole").distinct()
+        met = found if met is None else met.unionByName(found)
+    if met is None:
+        return items.select("qid", F.lit("").alias("file_name"), F.lit(0).alias("grade")).limit(0)
+    joined = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    return met.join(texts, "file_name").select("qid", "file_name", F.when(F.contains(joined, F.col("whole")), 2).otherwise(1).alias("grade"))
+
+
+def dataset(spark, path: str) -> tuple[DataFrame, dict[str, float]]:
+    """Cases (qid, id, query, category, passages, expected, forbidden, hard, answerable) and thresholds of a JSON dataset; one that is incomplete is refused."""
+    read = spark.read.text(path, wholetext=True).select(F.from_json("value", DATASET, {"mode": "PERMISSIVE"}).alias("d")).select("d.*")
+    row = read.drop("cases").first()
+    least = {"recall5": row["minimumRecallAt5"], "recall20": row["minimumRecallAt20"], "hit5": row["minimumHitRateAt5"], "mrr10": row["minimumMrrAt10"], "ndcg10": row["minimumNdcgAt10"]}
+    least = {m: (least["recall5"] if v is None and m in ("recall20", "hit5") else v) for m, v in least.items()}
+    if not (row["name"] or "").strip() or (row["version"] or 0) < 1 or not all(v is not None and 0 <= v <= 1 for v in least.values()):
+        raise ValueError("a dataset needs a name, a version of 1 or more, and thresholds from 0 to 1")
+    none = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    cases = read.select(F.posexplode("cases").alias("k", "c")).select(F.col("k").cast("long").alias("qid"), "c.id", "c.query", "c.category", none("c.expectedPassages").alias("passages"), none("c.expectedDocuments").alias("expected"), none("c.mustNotReturn").alias("forbidden"), none("c.hardNegatives").alias("hard"), F.coalesce("c.answerable", F.lit(True)).alias("answerable"))
+    cases = stored(cases.withColumn("passage", F.size("passages") > 0))
+    if cases.isEmpty():
+        raise ValueError("a dataset needs cases")
+    return cases, least
 
 
-def passes(metrics: DataFrame, gate: dict[str, float] = GATE) -> bool:
-    """Whether all means reach the gate, with no forbidden document and no hard negative before the answer."""
+def rollup(metrics: DataFrame, *by: str, means: tuple[str, ...] = MEANS) -> DataFrame:
+    return metrics.groupBy(*by).agg(F.count("*").alias("cases"), *[F.round(F.avg(m), 6).alias(m) for m in means])
+
+
+def failures(metrics: DataFrame, gate: dict[str, float] = GATE) -> list[str]:
+    """What keeps the metrics from passing: means below the gate, a forbidden document, a hard negative before the answer."""
     row = metrics.agg(*[F.avg(m).alias(m) for m in gate], F.count_if("forbidden_hit").alias("f"), F.count_if("outranked").alias("o")).first()
-    return row["f"] == 0 and row["o"] == 0 and all((row[m] or 0.0) >= least for m, least in gate.items())
+    return [m for m, least in gate.items() if (row[m] or 0.0) < least] + ["forbidden"] * (row["f"] > 0) + ["outranked"] * (row["o"] > 0)
+
+
+def report(metrics: DataFrame, name: str, strategy: str, gate: dict[str, float] = GATE) -> DataFrame:
+    """One row: name, strategy, cases, the means, failures, and the cases' own rows as an array; to be written as JSON."""
+    means = metrics.agg(F.count("*").alias("cases"), *[F.round(F.avg(m), 6).alias(m) for m in ALL_MEANS], F.array_sort(F.collect_list(F.struct("qid", "category", *ALL_MEANS, "forbidden_hit", "outranked"))).alias("results"))
+    return means.select(F.lit(name).alias("name"), F.lit(strategy).alias("strategy"), "cases", *ALL_MEANS, F.array(*[F.lit(x) for x in failures(metrics, gate)]).cast("array<string>").alias("failures"), "results")
 
 
 def nearest_rank(rows: DataFrame, key: str, value: str, percents: tuple[int, ...]) -> DataFrame:

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -17,35 +18,35 @@ from ..plans.stored import stored
 
 ROUNDS, QUERIES, QUERY_CHARS = 4, 3, 500
 TOTAL, FIRST, FOLLOW_UP, PER_PATH = 12, 6, 3, 3
-CITED = "qid long, number int, chunk_id string, path string, source_location string, start_line int, end_line int, score double"
+PLACE = "chunk_id string, path string, source_location string, start_line int, end_line int, score double"
+CITED = f"qid long, number int, {PLACE}"
+_NAMES = [c.split()[0] for c in PLACE.split(", ")]
 
 
-def _overlaps(a: tuple, b: tuple) -> bool:
-    """Two (path, start, end) of one path that share half of the shorter one or more."""
-    shared = min(a[2], b[2]) - max(a[1], b[1]) + 1
-    return a[0] == b[0] and shared > 0 and shared >= 0.5 * max(1, min(a[2] - a[1], b[2] - b[1]) + 1)
+def _alike(a: Column, b: Column) -> Column:
+    """The same place, or two of one path that share half of the shorter one or more."""
+    shared = F.least(a["end_line"], b["end_line"]) - F.greatest(a["start_line"], b["start_line"]) + 1
+    shorter = F.greatest(F.lit(1), F.least(a["end_line"] - a["start_line"], b["end_line"] - b["start_line"]) + 1)
+    return (a["path"] == b["path"]) & (((a["chunk_id"] == b["chunk_id"]) & (a["source_location"] == b["source_location"])) | ((shared > 0) & (2 * shared >= shorter)))
 
 
-def added(held: pd.DataFrame, found: pd.DataFrame, most: int) -> pd.DataFrame:
-    """The citations with what each search of (search, rank, ...) adds: no citation twice, none that overlaps another, few of one path."""
-    rows = held.sort_values("number").to_dict("records")
-    for _, results in found.sort_values(["search", "rank"]).groupby("search", sort=True):
-        new = 0
-        for r in results.to_dict("records"):
-            if new >= most or len(rows) >= TOTAL:
-                break
-            range_of = lambda x: (x["path"], x["start_line"], x["end_line"])
-            same = any((x["chunk_id"], x["path"], x["source_location"]) == (r["chunk_id"], r["path"], r["source_location"]) or _overlaps(range_of(x), range_of(r)) for x in rows)
-            if not same and sum(x["path"] == r["path"] for x in rows) < PER_PATH:
-                rows.append(r)
-                new += 1
-    out = pd.DataFrame(rows, columns=["qid", "chunk_id", "path", "source_location", "start_line", "end_line", "score"])
-    out.insert(1, "number", range(1, len(out) + 1))
-    return out
+def cited(held: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """CITED: the citations held (CITED) and what each search of (qid, search, rank, PLACE) adds to them, at most `most` a search: no place twice, none that is alike, few of one path. A fold over each question's results in their order, which a search's limit bounds."""
+    place = lambda search: F.struct(*_NAMES, search.cast("int").alias("search"))
+    ordered = lambda rows, *by: F.transform(F.array_sort(F.collect_list(F.struct(*by, rows.alias("p")))), lambda x: x["p"])
+    old = held.groupBy("qid").agg(ordered(place(F.lit(-1)), "number").alias("old"))
+    new = found.groupBy("qid").agg(ordered(place(F.col("search")), "search", "rank").alias("new"))
+    none = F.array().cast(f"array<struct<{PLACE.replace(' ', ':').replace(',:', ',')},search:int>>")
 
+    def step(kept: Column, r: Column) -> Column:
+        of_path = F.size(F.filter(kept, lambda x: x["path"] == r["path"]))
+        of_search = F.size(F.filter(kept, lambda x: x["search"] == r["search"]))
+        free = (F.size(kept) < TOTAL) & (of_search < most) & (of_path < PER_PATH) & ~F.exists(kept, lambda x: _alike(x, r))
+        return F.when(free, F.concat(kept, F.array(r))).otherwise(kept)
 
-def _adding(most: int):
-    return lambda held, found: added(held, found, most)
+    both = old.join(new, "qid", "full_outer").select("qid", F.coalesce("old", none).alias("old"), F.coalesce("new", none).alias("new"))
+    kept = both.select("qid", F.posexplode(F.aggregate("new", F.col("old"), step)).alias("k", "p"))
+    return kept.select("qid", (F.col("k") + 1).alias("number"), *[f"p.{c}" for c in _NAMES])
 
 
 def tried(query) -> F.Column:
@@ -66,8 +67,8 @@ def collect(questions: DataFrame, search: Callable[[DataFrame], DataFrame], plan
     """Citations (qid, number, ...) of the questions (qid, query).
 
     search: queries (qid, search, query) to results (qid, search, rank, chunk_id, path, source_location, start_line, end_line,
-    score). plan: citations and attempts so far to decisions (qid, action, queries); without it, or where it raises an
-    OSError, the first search's citations stand.
+    score). plan: citations and attempts so far to decisions (qid, action, queries). Without it, or where it fails, be it
+    when it is called or in a task, the citations so far stand: a planner that can't be reached costs recall, not the answer.
     """
     spark = questions.sparkSession
     due = stored(questions.select("qid", F.lit(0).alias("search"), "query"))
@@ -75,14 +76,14 @@ def collect(questions: DataFrame, search: Callable[[DataFrame], DataFrame], plan
     for k in range(ROUNDS):
         most = FIRST if k == 0 else FOLLOW_UP
         found = search(due).select("qid", "search", "rank", F.col("chunk_id").cast("string").alias("chunk_id"), "path", "source_location", "start_line", "end_line", "score")
-        held = stored(held.groupBy("qid").cogroup(found.groupBy("qid")).applyInPandas(_adding(most), CITED))
+        held = stored(cited(held, found, most))
         attempts = stored(attempts.unionByName(due.select("qid", tried(F.col("query")).alias("key"), "query")))
         if plan is None or k + 1 == ROUNDS:
             break
         full = held.groupBy("qid").count().where(F.col("count") >= TOTAL).select("qid")
         try:
-            decisions = plan(held, attempts)
-        except OSError:  # a planner that can't be reached costs recall, not the answer
+            decisions = stored(plan(held, attempts))  # made here, as a lazy frame would fail later
+        except (OSError, PySparkException, Py4JError):
             break
         # only questions of the last round go on
         due = stored(planned(decisions, attempts).join(due.select("qid").distinct(), "qid", "left_semi").join(full, "qid", "left_anti"))

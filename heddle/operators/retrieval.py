@@ -23,13 +23,17 @@ def sparse_branch(index: L.Index, queries: DataFrame, k: int, extension: str | N
     return stored(L.top(L.bm25(index, queries, extension).join(names, "chunk_id"), "bm25", k, *TIES))
 
 
-def dense_branch(index: L.Index, queries: DataFrame, k: int, extension: str | None = None, embedder: Embedder = Histogram()) -> DataFrame:
-    """qid, chunk_id, dense, rank by the index's vectors, which must be of the embedder."""
+def embedded_queries(queries: DataFrame, embedder: Embedder = Histogram()) -> DataFrame:
+    """qid, embedding of analysed queries."""
+    return embedded(queries.select("qid", F.col("subject").alias("text")), "qid", embedder)
+
+
+def dense_branch(index: L.Index, queries: DataFrame, k: int, extension: str | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """qid, chunk_id, dense, rank by the index's vectors. asked: the queries' vectors, of the index's model; the default embedder's if not given."""
     vectors = index.vectors
     if extension:
         vectors = vectors.join(index.chunks.where(L.extension_filter(extension)).select("chunk_id"), "chunk_id", "left_semi")
-    asked = embedded(queries.select("qid", F.col("subject").alias("text")), "qid", embedder)
-    return stored(D.nearest(vectors, asked, k))
+    return stored(D.nearest(vectors, embedded_queries(queries) if asked is None else asked, k))
 
 
 def fuse(sparse: DataFrame, dense: DataFrame) -> DataFrame:
@@ -108,8 +112,8 @@ def capped(ranked: DataFrame, score: str, limit: int, *ties: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= limit)
 
 
-def search(index: L.Index, queries: DataFrame, strategy: str = "RRF_RERANK", limit: int = 10, extension: str | None = None) -> DataFrame:
-    """qid, rank, chunk_id, path, file_name, score, reason for each query (qid, query)."""
+def search(index: L.Index, queries: DataFrame, strategy: str = "RRF_RERANK", limit: int = 10, extension: str | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """qid, rank, chunk_id, path, file_name, score, reason for each query (qid, query). asked: the queries' vectors, see `dense_branch`."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
     queries = L.analysed(queries) if "subject" not in queries.columns else queries
@@ -121,9 +125,9 @@ def search(index: L.Index, queries: DataFrame, strategy: str = "RRF_RERANK", lim
         return found.where(F.col("rank") <= limit).select("qid", "rank", "chunk_id", "path", "file_name", "score", "reason")
     names = index.chunks.select("chunk_id", "path", "file_name", "source_location")
     if strategy == "DENSE":
-        found = dense_branch(index, queries, k, extension).where(F.col("rank") <= limit).join(names, "chunk_id")
+        found = dense_branch(index, queries, k, extension, asked).where(F.col("rank") <= limit).join(names, "chunk_id")
         return found.select("qid", "rank", "chunk_id", "path", "file_name", F.col("dense").alias("score"), F.lit("dense").alias("reason"))
-    fused = normalised(fuse(sparse_branch(index, queries, k, extension), dense_branch(index, queries, k, extension)))
+    fused = normalised(fuse(sparse_branch(index, queries, k, extension), dense_branch(index, queries, k, extension, asked)))
     fused = stored(fused)
     named = names.join(small(stored(fused.select("chunk_id").distinct())), "chunk_id", "left_semi")
     pool = stored(L.top(fused.join(small(stored(named)), "chunk_id"), "fusion", max(4 * limit, POOL), "file_name", "seq"))

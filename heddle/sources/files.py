@@ -17,7 +17,7 @@ from ..plans.stored import stored
 from .readers import READERS
 
 # Folders never entered; names, extensions and folders of credentials.
-IGNORED = (".git", ".idea", ".vscode", ".simplerag", "node_modules", "target", "build", "dist", "out", "vendor", ".venv", "venv", "__pycache__", ".next", ".gradle")
+IGNORED = (".git", ".idea", ".vscode", "node_modules", "target", "build", "dist", "out", "vendor", ".venv", "venv", "__pycache__", ".next", ".gradle")
 SECRET_NAMES = (".env", ".netrc", "_netrc", ".npmrc", ".pypirc", ".htpasswd", ".git-credentials", "credentials", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "secrets.yaml", "secrets.yml", "secrets.json")
 SECRET_EXTENSIONS = ("pem", "key", "p12", "pfx", "jks", "keystore", "kdbx", "ppk", "asc", "gpg")
 SECRET_FOLDERS = (".ssh", ".gnupg", ".aws", ".azure", ".kube")
@@ -72,14 +72,14 @@ def denied(name: Column, folder: bool = False) -> Column:
     return name.isin(*SECRET_NAMES) | name.startswith(".env.") | F.regexp_extract(name, r"\.([^.]+)$", 1).isin(*SECRET_EXTENSIONS)
 
 
-def listing(spark: SparkSession, roots: list[str], depth: int, policy: bool = True) -> DataFrame:
-    """All entries below the roots down to a depth. Each level is one job over its folders."""
+def listing(spark: SparkSession, roots: list[str], depth: int, policy: bool = True, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """All entries below the roots down to a depth. Each level is one job over its folders. ignored: further folders not to enter, such as the application's own."""
     level = spark.createDataFrame([(r, r, 0) for r in roots], "root string, path string, depth int")
     levels, parts = [], int(spark.conf.get("spark.sql.shuffle.partitions"))
     for k in range(depth):
         found = stored(level.repartition(parts, "path").mapInArrow(_listed, ENTRIES))
         levels.append(found)
-        below = found.where((F.col("kind") == "folder") & ~F.lower("name").isin(*IGNORED))
+        below = found.where((F.col("kind") == "folder") & ~F.lower("name").isin(*IGNORED, *ignored))
         level = (below.where(~denied(F.col("name"), True)) if policy else below).select("root", "path", "depth")
         if k + 1 < depth and level.isEmpty():
             break
@@ -89,13 +89,13 @@ def listing(spark: SparkSession, roots: list[str], depth: int, policy: bool = Tr
     return out
 
 
-def scan(spark: SparkSession, roots: list[str], policy: bool = True, budget: Budget = Budget(), readers: dict = READERS) -> Scan:
+def scan(spark: SparkSession, roots: list[str], policy: bool = True, budget: Budget = Budget(), readers: dict = READERS, ignored: tuple[str, ...] = ()) -> Scan:
     """The documents that some reader takes, in the order of their paths and within the budget, and what was left out and why."""
     tops = outermost(roots)
     if not tops:
         empty = spark.createDataFrame([], "root string, path string, relative_path string, size long, modified_at long, reader_id string, reader_version int")
         return Scan([], empty, spark.createDataFrame([], "path string, reader_id string, message string, skipped boolean"))
-    entries = listing(spark, tops, budget.depth, policy)
+    entries = listing(spark, tops, budget.depth, policy, ignored)
     table = [(kind, key, r.id, r.version, r.most_bytes) for r in readers.values() for kind, keys in (("name", r.names), ("extension", r.extensions)) for key in keys]
     known = spark.createDataFrame(table, "kind string, key string, id string, version int, most long")
     of = lambda kind, tag: F.broadcast(known.where(F.col("kind") == kind).select(F.col("key").alias(kind), F.struct("id", "version", "most").alias(tag)))

@@ -65,16 +65,20 @@ def test_expansion_takes_neighbours_once(spark):
 
 
 def result(search, rank, chunk, path="/p", a=1, b=10, score=1.0):
-    return {"qid": 1, "search": search, "rank": rank, "chunk_id": chunk, "path": path, "source_location": f"L{a}-{b}", "start_line": a, "end_line": b, "score": score}
+    return (1, search, rank, chunk, path, f"L{a}-{b}", a, b, score)
 
 
-def test_citations_are_bounded():
-    none = pd.DataFrame(columns=["qid", "number", "chunk_id", "path", "source_location", "start_line", "end_line", "score"])
-    found = pd.DataFrame([result(0, 1, "a"), result(0, 2, "b", a=5, b=12), result(0, 3, "c", a=11, b=20), result(0, 4, "d", a=21, b=30), result(0, 5, "e", a=31, b=40), result(0, 6, "f", path="/q")])
-    got = iterate.added(none, found, 6)
-    assert got["chunk_id"].tolist() == ["a", "c", "d", "f"] and got["number"].tolist() == [1, 2, 3, 4]  # b overlaps, e is the fourth of its path
-    more = pd.DataFrame([result(0, k, f"x{k}", path=f"/x{k}") for k in range(5)] + [result(1, k, f"y{k}", path=f"/y{k}") for k in range(9)])
-    assert iterate.added(got, more, 3)["chunk_id"].tolist() == ["a", "c", "d", "f", "x0", "x1", "x2", "y0", "y1", "y2"]
+def test_citations_are_bounded(spark):
+    schema = f"qid long, search int, rank int, {iterate.PLACE}"
+    made = lambda rows: spark.createDataFrame(rows, schema).repartition(3)
+    names = lambda df: [(r["number"], r["chunk_id"]) for r in df.orderBy("number").collect()]
+    found = made([result(0, 1, "a"), result(0, 2, "b", a=5, b=12), result(0, 3, "c", a=11, b=20), result(0, 4, "d", a=21, b=30), result(0, 5, "e", a=31, b=40), result(0, 6, "f", path="/q"), result(0, 7, "f", path="/q")])
+    got = iterate.cited(spark.createDataFrame([], iterate.CITED), found, 6).cache()
+    assert names(got) == [(1, "a"), (2, "c"), (3, "d"), (4, "f")]  # b overlaps, e is the fourth of its path, f stands twice
+    more = made([result(0, k, f"x{k}", path=f"/x{k}") for k in range(5)] + [result(1, k, f"y{k}", path=f"/y{k}") for k in range(9)])
+    assert [c for _, c in names(iterate.cited(got, more, 3))] == ["a", "c", "d", "f", "x0", "x1", "x2", "y0", "y1", "y2"]
+    full = iterate.cited(iterate.cited(got, more, 3), made([result(0, k, f"z{k}", path=f"/z{k}") for k in range(9)]), 6)
+    assert len(names(full)) == iterate.TOTAL and names(iterate.cited(got, more.limit(0), 3)) == names(got)
 
 
 def test_iteration_stops(spark):
@@ -99,6 +103,16 @@ def test_iteration_stops(spark):
 
     assert iterate.collect(questions, search, away).count() == 2
 
+    @F.pandas_udf("string")
+    def remote(x: pd.Series) -> pd.Series:
+        raise OSError("the planner is away")
+
+    def away_in_a_task(held, attempts):
+        return attempts.select("qid", remote("query").alias("action"), F.array("query").alias("queries"))
+
+    assert iterate.collect(questions, search, away_in_a_task).count() == 2
+    assert iterate.collect(questions, search).count() == 2  # a single search without a planner
+
 
 def plain_spans(text):
     """All candidate places of a text whose spans are few, by plain scans."""
