@@ -8,6 +8,12 @@ written as Parquet and read again as the next one's docs. All but the last retur
 3. benchmark decontamination: documents with a hit go;
 4. PII: spans are blanked out of the texts;
 5. best-fit packing: the pieces of the documents with their sequences.
+
+Nulls: a null text has no words, so it goes at stage 1. At stage 2 rows of one doc_id share their fate, and rows without
+one are in no class, so they stay; of a class the smallest doc_id stays, so there are no ties. Repeated rows are judged
+alike at the other stages. Texts are judged whole, however long, and cut only by the packing. Where nothing is labelled, or with one class
+alone, the fixed rules of stage 1 decide; without benchmark items stage 3 keeps all. An empty table passes through as an
+empty one. Extra columns of the documents are kept up to the packing.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ repeated build names the same records.
 
 Only DataFrame functions are used: a page is read once and nothing is shuffled. Nulls: a null url or html is
 empty text, a null page_id an empty part of the id. Repeated pages give repeated records. Empty pages give
-records with an empty text. Extra columns are ignored. Where a tag or comment is never closed, its text stays.
+records with an empty text. An empty table gives no records; pages are taken whole, however long.
+Extra columns are ignored. Where a tag or comment is never closed, its text stays.
 """
 
 from __future__ import annotations

@@ -35,4 +35,20 @@ def test_registered():
     import __spark_entry__
 
     found = __spark_entry__.queries()
-    assert "pipeline" in found and all(sum(name.startswith(f"op{n}_") for name in found) == 1 for n in range(1, 11))
+    assert "pipeline" in found and all(sum(name.startswith(f"op{n}_") for name in found) == 1 for n in range(1, 14))
+
+
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    data = X.rows()
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, int(len(t or "") > 300), 0) for i, t, *_ in data if i] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "x y"), (3, data[0][1])], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    for rows in (data, []):
+        docs = X.with_clashes(X.frame(spark, rows))
+        columns, n = docs.columns, len(rows)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = blocks.saved(stage(spark, docs, sf))
+            if name != "best_fit_packing":
+                assert docs.columns == columns and docs.count() <= n
+                n = docs.count()
+        assert (docs.count() >= n > 0) if rows else docs.isEmpty()
