@@ -94,6 +94,25 @@ def context_expansion(spark, sf_dir):
     return X.expanded(picks, index.chunks).withColumn("score", F.round("score", 6))
 
 
+_CITED = f"WITH {O.POSTINGS}, {O.QUERIES}, {O.bm25()}, s AS (SELECT sp.qid, rank, sp.path, sp.source_location, content FROM sparse sp JOIN docs USING (chunk_id) WHERE rank <= 20)"
+_HEAD = "'[' || rank || '] ' || path || ' · ' || source_location"
+_FLAT = r"regexp_replace(regexp_replace(content, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""{_CITED}, b AS (
+  SELECT 'answer' AS kind, qid, rank, {_HEAD} || chr(10) || CASE WHEN length(content) > 1600 THEN substr(content, 1, 1600) || chr(10) || '...[chunk truncated]' ELSE content END || chr(10) AS block FROM s
+  UNION ALL SELECT 'planner', qid, rank, {_HEAD} || ' (relevance 1.00)' || chr(10) || '    ' || CASE WHEN length({_FLAT}) > 320 THEN substr({_FLAT}, 1, 320) || ' …' ELSE {_FLAT} END || chr(10) FROM s),
+c AS (SELECT *, CAST(sum(length(block)) OVER (PARTITION BY kind, qid ORDER BY rank) AS BIGINT) AS chars FROM b)
+SELECT kind, qid, CAST(rank AS INTEGER) AS number, sha256(block) AS block_sha256, chars FROM c WHERE chars <= CASE kind WHEN 'answer' THEN {X.ANSWER_CHARS} ELSE {X.PLANNER_CHARS} END""")
+def prompt_evidence(spark, sf_dir):
+    """The blocks of the twenty best documents of each benchmark item that fit the prompt of an answer and of a planner."""
+    index = _index(spark, sf_dir)
+    found = R.search(index, C.benchmark_queries(spark, sf_dir), "BM25", 20).join(index.chunks.select("chunk_id", "source_location", "content"), "chunk_id")
+    cited = stored(found.select("qid", F.col("rank").cast("int").alias("number"), "path", "source_location", F.lit(1.0).alias("score"), "content"))
+    parts = [X.evidence(cited, planner).select(F.lit(kind).alias("kind"), "qid", "number", F.sha2("block", 256).alias("block_sha256"), "chars") for kind, planner in (("answer", False), ("planner", True))]
+    return parts[0].unionByName(parts[1])
+
+
 @query()
 def iterative_citations(spark, sf_dir):
     """Citations of each benchmark item after a planned second search with the second half of its words (J10, D7, D8, F9, H3). A loop: no SQL."""

@@ -47,6 +47,8 @@ CHUNKED_CODE_EXTENSIONS = SCORED_CODE_EXTENSIONS + (
     "proto", "graphql", "gql", "tf", "tfvars", "hcl",
 )
 
+SENSITIVE_NAMES = ("key", "authorization", "prompt", "content", "chunktext", "body")  # parts of attribute names
+
 CONCEPT_WEIGHT, QUERY_CONCEPT_WEIGHT = 2.8, 4.0
 HAN_TOKEN, HAN_GRAM, LATIN = 1.0, 0.9, 1.0
 QUERY_HAN_TOKEN, QUERY_HAN_GRAM, QUERY_LATIN = 1.4, 1.25, 1.25
@@ -169,8 +171,21 @@ def snippet(text: Column, limit: int = 180) -> Column:
 
 
 def digest_prompt(text: Column, limit: int = 320) -> Column:
-    flat = strip(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit), F.lit("…"))).otherwise(flat)
+    """White space collapsed; longer texts are cut and end in a space and an ellipsis."""
+    flat = strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit), F.lit(" …"))).otherwise(flat)
+
+
+def cut_passage(text: Column, limit: int = 1600) -> Column:
+    """Longer texts are cut, and say so in a line of their own."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("\n...[chunk truncated]"))).otherwise(text)
+
+
+def redact_attributes(attributes: Column) -> Column:
+    """A map of texts without the values of sensitive names, and without keys in the others; null values are empty."""
+    sensitive = lambda name: F.lower(name).rlike("|".join(SENSITIVE_NAMES))
+    return F.transform_values(attributes, lambda name, value: F.when(sensitive(name), "[REDACTED]").otherwise(redact(F.coalesce(value, F.lit("")))))
 
 
 def host_of(url: Column) -> Column:

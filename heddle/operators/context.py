@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
+ANSWER_CHARS, PLANNER_CHARS = 24_000, 6_000  # of a prompt
 RELEVANCE, SIMILARITY, SAME_DOCUMENT, SAME_PATH_FLOOR, PER_DOCUMENT = 0.78, 0.22, 0.08, 0.35, 2
 EXPANDED = 2800
 _TERM = re.compile(r"[^\W]{2,}")
@@ -85,3 +88,15 @@ def expanded(picks: DataFrame, chunks: DataFrame) -> DataFrame:
     part = lambda key, name: chunks.select(F.col("chunk_id").alias(key), body.alias(name))
     rows = picks.join(named, "chunk_id").join(part("chunk_id", "own"), "chunk_id").join(part("before", "prior"), "before", "left").join(part("after", "next"), "after", "left")
     return rows.select("qid", "pick", "chunk_id", "path", "score", "prior", "own", "next").groupBy("qid").applyInPandas(_joined, EXPANDED_ROW)
+
+
+def evidence(citations: DataFrame, planner: bool = False, used: int = 0) -> DataFrame:
+    """(qid, number, block, chars) of the citations (qid, number, path, source_location, score, content) that fit a prompt: whole blocks in their order up to the first that would exceed the budget, of which `used` characters are spent. A block for an answer holds a cut passage, one for a planner a digest and the score."""
+    head = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), "path", F.lit(" · "), "source_location")
+    if planner:
+        block = F.concat(head, F.lit(" (relevance "), F.format_string("%.2f", F.col("score").cast("double")), F.lit(")\n    "), T.digest_prompt(F.col("content")), F.lit("\n"))
+    else:
+        block = F.concat(head, F.lit("\n"), T.cut_passage(F.col("content")), F.lit("\n"))
+    upto = Window.partitionBy("qid").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    rows = citations.select("qid", "number", block.alias("block")).withColumn("chars", F.sum(F.length("block")).over(upto) + used)
+    return rows.where(F.col("chars") <= (PLANNER_CHARS if planner else ANSWER_CHARS))
