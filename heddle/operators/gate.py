@@ -31,7 +31,7 @@ def newest(states: DataFrame) -> DataFrame:
 
 def admitted(questions: DataFrame, control: DataFrame, states: DataFrame) -> DataFrame:
     """The questions (qid, kb, revision, query), of a table or a stream, with admitted and refusal. control: (kb, status, published, source_revision); states as `freshness.watched` tells them."""
-    rows = questions.withColumn("kb", N.key(F.col("kb"))).join(F.broadcast(control.withColumn("kb", N.key(F.col("kb")))), "kb", "left").join(F.broadcast(newest(states).withColumn("kb", N.key(F.col("kb")))), "kb", "left")
+    rows = questions.withColumn("kb", N.key(F.col("kb"))).join(control.withColumn("kb", N.key(F.col("kb"))), "kb", "left").join(newest(states.withColumn("kb", N.key(F.col("kb")))), "kb", "left")
     fresh = F.when(F.col("fresh_revision") == F.col("source_revision"), F.col("fresh"))
     ready = N.ready(F.col("status"), F.col("published"), F.col("source_revision"), F.col("revision"), fresh)
     why = (
