@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import oracle as O
@@ -22,6 +23,7 @@ from .plans.stored import stored
 from .sources import corpus as C
 from .sources import html as H
 from .streaming import freshness as W
+from .streaming import sessions as SS
 
 WIDE = r"[^\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"
 
@@ -301,6 +303,29 @@ def last_user_turn(spark, sf_dir):
     return V.resolved(C.table(spark, sf_dir, "conversations")).select("conv_id", "turn", "before", "resolved")
 
 
+@query(f"""WITH c AS (SELECT conv_id, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS seq FROM conversations),
+r AS (SELECT *, count(*) FILTER (role = 'system') OVER w AS revision, max(CASE WHEN role = 'user' THEN seq END) OVER w AS request FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY seq)),
+b AS (SELECT *, role = 'user' AND lag(revision) OVER (PARTITION BY conv_id, role ORDER BY seq) IS DISTINCT FROM revision AS new FROM r WHERE role IN ('user', 'assistant')),
+s AS (SELECT *, CAST(count(*) FILTER (new) OVER (PARTITION BY conv_id ORDER BY seq) AS BIGINT) AS session, role = 'assistant' AND request IS NOT NULL AND row_number() OVER (PARTITION BY conv_id, request, role ORDER BY seq) = 1 AS done FROM b),
+x AS (SELECT a.conv_id, a.session, a.seq, length(u.text) + length(a.text) AS chars FROM s a JOIN s u ON u.conv_id = a.conv_id AND u.seq = a.request WHERE a.done),
+h AS (SELECT u.conv_id, u.seq, chars, row_number() OVER (PARTITION BY u.conv_id, u.seq ORDER BY x.seq DESC) AS age FROM s u JOIN x ON x.conv_id = u.conv_id AND x.session = u.session AND x.seq < u.seq WHERE u.role = 'user'),
+t AS (SELECT conv_id, seq, 2 * count(*) AS n, sum(chars) AS chars FROM h WHERE age <= {V.MESSAGES // 2} GROUP BY conv_id, seq)
+SELECT s.conv_id, s.seq, session, CASE WHEN new THEN 'opened' WHEN role = 'user' THEN 'continued' WHEN done THEN 'committed' ELSE 'discarded' END AS outcome,
+  CAST(CASE WHEN role = 'user' THEN coalesce(n, 0) END AS BIGINT) AS history_messages, CAST(CASE WHEN role = 'user' THEN coalesce(t.chars, 0) END AS BIGINT) AS history_chars FROM s LEFT JOIN t ON t.conv_id = s.conv_id AND t.seq = s.seq""")
+def conversation_sessions(spark, sf_dir):
+    """What each message does to its conversation's session: a user's asks, the first assistant's after it answers, a system's begins another revision."""
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = C.table(spark, sf_dir, "conversations").withColumn("seq", F.row_number().over(order).cast("long"))
+    asked = F.last(F.when(F.col("role") == "user", F.col("seq")), ignorenulls=True).over(so_far)
+    rows = rows.withColumn("revision", F.count(F.when(F.col("role") == "system", 1)).over(so_far)).withColumn("request", asked.cast("string"))
+    kind = F.when(F.col("role") == "user", "ask").when(F.col("role") == "assistant", "answer")
+    events = rows.select(F.col("conv_id").cast("string").alias("kb"), "seq", F.timestamp_seconds("seq").alias("ts"), "revision", kind.alias("kind"), "request", "text")
+    told = F.when(F.col("kind") == "ask", F.size("history")).cast("long")
+    chars = F.aggregate("history", F.lit(0).cast("long"), lambda n, m: n + F.length(m["text"]))
+    return SS.replayed(events).select(F.col("kb").try_cast("long").alias("conv_id"), "seq", "session", "outcome", told.alias("history_messages"), chars.alias("history_chars"))
+
+
 # events
 
 _RATIO = f"least({V.HIGH}, greatest({V.LOW}, value / (40 + event_id % 60)))"
