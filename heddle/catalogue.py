@@ -93,6 +93,13 @@ def bm25_topk_ext_filter(spark, sf_dir):
     return _bm25(spark, sf_dir, "en")
 
 
+@query(f"WITH {O.POSTINGS}, {O.QUERIES}, {O.bm25()} {_BM25_OUT}")
+def bm25_bounded_topk(spark, sf_dir):
+    """The ten best documents by ceilings of tokens, without the postings of frequent ones."""
+    found = R.bounded_branch(_index(spark, sf_dir), L.analysed(C.benchmark_queries(spark, sf_dir)), 10)
+    return found.select("qid", F.col("rank").cast("int").alias("rank"), "chunk_id", F.round("bm25", 6).alias("score"))
+
+
 _STORED = """q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT qid, vec_id AS chunk_id, greatest(0.0, list_dot_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[])) * list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS dense FROM q CROSS JOIN embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dense, 6) DESC, chunk_id) AS rank FROM s WHERE dense >= {threshold})"""

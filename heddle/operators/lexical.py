@@ -100,7 +100,7 @@ def saturated(weight: str, length: str) -> Column:
     return F.col(weight) * (K1 + 1) / (F.col(weight) + K1 * (1 - B + B * F.col(length) / F.col("avg_length")))
 
 
-def _scored(index: Index, weights: DataFrame, extension: str | None) -> DataFrame:
+def scored(index: Index, weights: DataFrame, extension: str | None) -> DataFrame:
     """qid, chunk_id, bm25 by the given tokens alone. The filter leaves the statistics alone. Postings stay where they lie: the tokens come to them."""
     held = index.postings.join(small(weights.select("qid", "token", "gain", "avg_length")), "token")
     if extension:
@@ -110,7 +110,7 @@ def _scored(index: Index, weights: DataFrame, extension: str | None) -> DataFram
 
 def bm25(index: Index, queries: DataFrame, extension: str | None = None) -> DataFrame:
     """qid, chunk_id, bm25 of all chunks that share a token with a query."""
-    return _scored(index, weighed(index, query_terms(queries)), extension).where("bm25 > 0")
+    return scored(index, weighed(index, query_terms(queries)), extension).where("bm25 > 0")
 
 
 def top(scores: DataFrame, score: str, k: int, *ties: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import Embedder, Histogram
 from ..plans.stored import small, stored
+from . import bounded as U
 from . import dense as D
 from . import lexical as L
 from .embedding import embedded
@@ -19,8 +20,17 @@ TIES = ("file_name", "source_location", "chunk_id")
 
 def sparse_branch(index: L.Index, queries: DataFrame, k: int, extension: str | None = None) -> DataFrame:
     """qid, chunk_id, bm25, rank, and the chunk's names."""
+    return _named_top(index, L.bm25(index, queries, extension), k)
+
+
+def bounded_branch(index: L.Index, queries: DataFrame, k: int, extension: str | None = None) -> DataFrame:
+    """The same rows by ceilings of tokens: for indexes whose frequent tokens have more postings than a search should read."""
+    return _named_top(index, U.best(index, queries, k, extension), k)
+
+
+def _named_top(index: L.Index, scores: DataFrame, k: int) -> DataFrame:
     names = index.chunks.select("chunk_id", "path", "file_name", "source_location")
-    return stored(L.top(L.bm25(index, queries, extension).join(names, "chunk_id"), "bm25", k, *TIES))
+    return stored(L.top(scores.join(names, "chunk_id"), "bm25", k, *TIES))
 
 
 def embedded_queries(queries: DataFrame, embedder: Embedder = Histogram()) -> DataFrame:
