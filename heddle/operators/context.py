@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,21 +19,25 @@ PICKED = "qid long, pick int, chunk_id string, path string, score double"
 
 
 def diverse(pool: pd.DataFrame, limit: int) -> list[int]:
-    """Rows picked by marginal relevance, two of a document at most; ties keep the earlier row."""
-    terms = [set(_TERM.findall((c or "").lower())) for c in pool["content"]]
-    path, score, picked = list(pool["path"]), list(pool["score"]), []
-    while len(picked) < limit:
-        best, best_value = None, None
-        for k in range(len(pool)):
-            if k in picked or sum(path[j] == path[k] for j in picked) >= PER_DOCUMENT:
-                continue
-            like = [max(len(terms[k] & terms[j]) / max(1, len(terms[k] | terms[j])), SAME_PATH_FLOOR * (path[j] == path[k])) for j in picked]
-            value = RELEVANCE * score[k] - SIMILARITY * max(like, default=0) - SAME_DOCUMENT * any(path[j] == path[k] for j in picked)
-            if best is None or value > best_value:
-                best, best_value = k, value
-        if best is None:
+    """Rows picked by marginal relevance, two of a document at most; ties keep the earlier row. The likeness of all rows of the pool is one product of their terms' incidence."""
+    n = len(pool)
+    rows = [(k, t) for k, c in enumerate(pool["content"]) for t in set(_TERM.findall((c or "").lower()))]
+    at, term = np.array([k for k, _ in rows], np.int64), pd.factorize(pd.Series([t for _, t in rows], dtype=object))[0]
+    held = np.zeros((n, int(term.max(initial=-1)) + 1))
+    held[at, term] = 1
+    shared, size = held @ held.T, held.sum(1)
+    document = pd.factorize(pool["path"], use_na_sentinel=False)[0]
+    same = document[:, None] == document
+    like = np.maximum(shared / np.maximum(1, size[:, None] + size - shared), SAME_PATH_FLOOR * same)
+    worth, taken, closest, picked = RELEVANCE * pool["score"].to_numpy(float), np.zeros(n, bool), np.zeros(n), []
+    for _ in range(min(limit, n)):
+        of_document = (same & taken).sum(1)
+        value = np.where(taken | (of_document >= PER_DOCUMENT), -np.inf, worth - SIMILARITY * closest - SAME_DOCUMENT * (of_document > 0))
+        best = int(value.argmax())
+        if value[best] == -np.inf:
             break
         picked.append(best)
+        taken[best], closest = True, np.maximum(closest, like[best])
     return picked
 
 

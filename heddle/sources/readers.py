@@ -9,7 +9,8 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import partial
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -28,12 +29,15 @@ class Reader:
     read: Callable[[bytes], list[Section] | None]
 
 
-def decoded(data: bytes) -> str:
-    """Text by its byte-order mark, else as UTF-8; bytes that aren't are replaced."""
+def decoded(data: bytes, charset: str = "utf-8") -> str:
+    """Text by its byte-order mark, else as UTF-8, else by the charset of the sources; bytes that aren't of it are replaced."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
         if data.startswith(mark):
             return data[len(mark) :].decode(name, "replace")
-    return data.decode("utf-8", "replace")
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return data.decode(charset, "replace")
 
 
 def looks_binary(text: str) -> bool:
@@ -46,8 +50,8 @@ def line_units(text: str) -> list[tuple[int, str]]:
     return [(k, line.rstrip()) for k, line in enumerate(text.replace("\r\n", "\n").replace("\r", "\n").split("\n"), 1)]
 
 
-def plain_text(data: bytes) -> list[Section] | None:
-    text = decoded(data)
+def plain_text(data: bytes, charset: str = "utf-8") -> list[Section] | None:
+    text = decoded(data, charset)
     return None if not text.strip() or looks_binary(text) else [("", "", line_units(text))]
 
 
@@ -155,11 +159,11 @@ TEXT_EXTENSIONS = (
 TEXT_NAMES = ("dockerfile", "makefile", "readme", "license", "gemfile", "rakefile", "procfile", "vagrantfile", "justfile", "taskfile")
 
 
-def html(data: bytes) -> list[Section] | None:
+def html(data: bytes, charset: str = "utf-8") -> list[Section] | None:
     from .html import page_units
 
     found: dict[int, Section] = {}
-    for u in page_units(decoded(data)):
+    for u in page_units(decoded(data, charset)):
         found.setdefault(u["section"], (u["title"], u["title"], []))[2].append((u["number"], u["text"]))
     return list(found.values()) or None
 
@@ -174,6 +178,14 @@ READERS = {
         Reader("xlsx", 1, ("xlsx",), (), 8 << 20, xlsx),
     )
 }
+
+
+def of_charset(charset: str) -> dict[str, Reader]:
+    """The readers for sources whose texts may be of an older charset, such as gb18030, where they aren't UTF-8."""
+    "".encode(charset)  # an unknown one fails here, not in every document
+    return READERS | {k: replace(READERS[k], read=partial(READERS[k].read, charset=charset)) for k in ("plain-text", "html")}
+
+
 UNITS = "root string, path string, relative_path string, reader_id string, section int, title string, label string, number int, text string, error string"
 
 
