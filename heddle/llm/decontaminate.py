@@ -4,8 +4,8 @@ A benchmark item is a set of windows of `WINDOW` consecutive words (a shorter it
 holds shingles of `SHINGLE` words; they are ordered by rarity, counted over all documents, rarest first. A
 document can only contain a window if it has every shingle of it, so the necessary prefix is one token, the
 rarest shingle: it is all that is joined. A match gives the window's place in the document by the token's
-offset; places that would leave the document at either end are dropped, and the rest are verified by a hash of 64
-bits over all words of the window.
+offset; places that would leave the document at either end are dropped, those whose hash over all words differs from
+the window's are dropped, too, and the rest are verified by comparing the words themselves: a hit is exact.
 
 The benchmark is taken in parts of about `PART_BYTES` of text. A part's index is bounded by that, and is
 broadcast; the documents pass through `PARTS_AT_ONCE` parts one after the other in a single scan, without a shuffle.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ WINDOW = 10
 SHINGLE = 3
 PART_BYTES = 16 << 20
 PARTS_AT_ONCE = 4
+PAIRS_AT_ONCE = 1 << 16
 _TABLE = alnum_table()
 
 
@@ -49,14 +51,41 @@ def _window_hash(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+class Spans(NamedTuple):
+    """Words as places in a buffer."""
+
+    buf: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+
+def same_words(a: Words | Spans, at: np.ndarray, b: Words | Spans, bt: np.ndarray, n: int) -> np.ndarray:
+    """Whether the n words of `a` from each word `at` are those of `b` from the word `bt`."""
+    out = np.ones(len(at), bool)
+    for k in range(n):
+        out &= a.ends[at + k] - a.starts[at + k] == b.ends[bt + k] - b.starts[bt + k]
+    for k in range(n):
+        rows = np.flatnonzero(out)
+        for r in np.split(rows, range(PAIRS_AT_ONCE, len(rows), PAIRS_AT_ONCE)):
+            if len(r):
+                i, j = at[r] + k, bt[r] + k
+                size = (a.ends[i] - a.starts[i]).astype(np.int64)
+                first = np.cumsum(size) - size
+                inner = np.arange(size.sum()) - np.repeat(first, size)
+                differs = a.buf[np.repeat(a.starts[i], size) + inner] != b.buf[np.repeat(b.starts[j], size) + inner]
+                out[r] = ~np.logical_or.reduceat(differs, first)
+    return out
+
+
 class Index:
-    """Windows of a part of the benchmark: lengths, hashes, items; and for each its shingles, of which one will be its token."""
+    """Windows of a part of the benchmark: lengths, hashes, words, items; and for each its shingles, of which one will be its token."""
 
     def __init__(self, items: pa.Table):
         self.names = [str(x) for x in items["item_id"].to_pylist()]
-        found = []
+        found, held, base, seen = [], [(np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int32))], 0, 0
         for a, _, buf, off in slices(items["text"]):
             words = _words(buf, off)
+            held.append((words.buf, (words.starts + base).astype(np.int32), (words.ends + base).astype(np.int32)))
             h, n, doc = words.hashes(), words.counts(), words.doc()
             size = np.minimum(n, WINDOW)[doc]
             at = np.flatnonzero(words.left() >= size)
@@ -66,13 +95,19 @@ class Index:
                 shingles = np.zeros((len(s), WINDOW), U64)
                 for k in range(length - width + 1):
                     shingles[:, k] = _window_hash(h, s + k, width)
-                found.append((np.full(len(s), length), _window_hash(h, s, length), a + doc[s], shingles))
-        length, whole, item, shingles = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros((0, WINDOW), U64))
+                found.append((np.full(len(s), length), _window_hash(h, s, length), a + doc[s], seen + s, shingles))
+            base, seen = base + len(words.buf), seen + len(words)
+        self.words = Spans(*(np.concatenate(x) for x in zip(*held)))
+        none = np.zeros(0, np.int64)
+        length, whole, item, place, shingles = (np.concatenate(x) for x in zip(*found)) if found else (none, np.zeros(0, U64), none, none, np.zeros((0, WINDOW), U64))
         order = np.lexsort((item, whole, length))
-        length, whole, item, shingles = length[order], whole[order], item[order], shingles[order]
+        length, whole, item, place, shingles = length[order], whole[order], item[order], place[order], shingles[order]
         new = np.r_[True, (whole[1:] != whole[:-1]) | (length[1:] != length[:-1])][: len(whole)]
+        for n in np.unique(length[~new]):
+            k = np.flatnonzero(~new & (length == n))
+            new[k] = ~same_words(self.words, place[k], self.words, place[k - 1], int(n))
         first = np.flatnonzero(new)
-        self.length, self.whole, self.shingles = length[first], whole[first], shingles[first]
+        self.length, self.whole, self.place, self.shingles = length[first], whole[first], place[first], shingles[first]
         self.items, self.item_off = item, np.r_[first, len(item)].astype(np.int64)
         self.tokens = {w: np.unique(self.shingles[(self.length >= SHINGLE) == (w > 1)][self.shingles[(self.length >= SHINGLE) == (w > 1)] != 0]) for w in (1, SHINGLE)}
 
@@ -109,6 +144,7 @@ class Index:
             for length in np.unique(self.length[window]):
                 k = np.flatnonzero(self.length[window] == length)
                 k = k[_window_hash(h, start[k], int(length)) == self.whole[window[k]]]
+                k = k[same_words(words, start[k], self.words, self.place[window[k]], int(length))]
                 out.append((window[k], start[k]))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
