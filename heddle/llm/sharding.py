@@ -3,8 +3,9 @@
 Documents with equal texts form a group that stays in one shard. Groups are dealt to parts by hash; in each
 part the differencing method starts from a partial partition for each group and repeatedly combines the two
 with the largest spread, the shards of one in the opposite order of the other's, until one is left. The parts'
-partial partitions, one row of shard sizes for each part, are combined in the same way. Shard sizes in bytes
-come out nearly equal (law `bytes`), whatever the sizes of the groups, unless one group alone is too large.
+partial partitions, one row for each part and shard, are combined in the same way in tasks, `FAN_IN` parts to one,
+level by level until one is left: the driver holds none of them. Shard sizes in bytes come out nearly equal (law
+`bytes`), whatever the sizes of the groups, unless one group alone is too large.
 
 Nulls: a null text is an empty one; null doc_ids are sharded by their text like all others. Repeated rows all
 get a slot. An empty table gives no rows. Extra columns are ignored.
@@ -23,6 +24,7 @@ from . import blocks as B
 
 SHARDS = 8
 GROUPS_PER_PART = 50_000
+FAN_IN = 4096
 
 
 def differencing(states: list[tuple[tuple[int, ...], tuple]]) -> tuple[tuple[int, ...], tuple]:
@@ -66,6 +68,41 @@ def _part(shards: int):
     return of_part
 
 
+def _combined(shards: int):
+    """Of the parts of one group: the place in the combined partition of each part's places, and its total there."""
+
+    def of_group(table: pa.Table) -> pa.Table:
+        part, place, total = (table[c].to_numpy() for c in ("part", "place", "total"))
+        parts, row = np.unique(part, return_inverse=True)
+        sums = np.zeros((len(parts), shards), np.int64)
+        sums[row, place] = total
+        falling = np.argsort(-sums, axis=1, kind="stable")
+        states = [(tuple(sums[k, o].tolist()), tuple((k * shards + o).tolist())) for k, o in enumerate(falling)]
+        sizes, held = differencing(states)
+        to = np.zeros(sums.size, np.int32)
+        for k, node in enumerate(held):
+            to[list(_leaves(node))] = k
+        to = to[row * shards + place]
+        return pa.table({"group": table["group"], "part": part, "place": place, "to": to, "total": np.array(sizes, np.int64)[to]})
+
+    return of_group
+
+
+def _shards_of(placed: DataFrame, parts: int, shards: int) -> DataFrame:
+    """(part, place, shard) from (part, place, total): the parts combined `FAN_IN` at a time, level by level."""
+    level = placed.groupBy("part", "place").agg(F.max("total").alias("total"))
+    up = None
+    while True:
+        grouped = level.withColumn("group", F.expr(f"part div {FAN_IN}").cast("int"))
+        made = B.saved(grouped.groupBy("group").applyInArrow(_combined(shards), "group int, part int, place int, to int, total long"))
+        step = made.select("part", "place", F.col("group").alias("in"), "to")
+        up = step if up is None else up.join(step.select(F.col("part").alias("in"), F.col("place").alias("to"), F.col("in").alias("next"), F.col("to").alias("then")), ["in", "to"]).select("part", "place", F.col("next").alias("in"), F.col("then").alias("to"))
+        parts = -(-parts // FAN_IN)
+        if parts <= 1:
+            return up.select("part", "place", F.col("to").alias("shard"))
+        level = made.groupBy("group", "to").agg(F.max("total").alias("total")).select(F.col("group").alias("part"), F.col("to").alias("place"), "total")
+
+
 def assigned(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard) of every document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -74,28 +111,19 @@ def assigned(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     groups = rows.groupBy("key").agg(F.sum("size").alias("size"))
     parts = max(1, -(-rows.count() // GROUPS_PER_PART))
     placed = B.saved(groups.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(_part(shards), "part int, key long, place int, total long"))
-    sums: dict[int, list[int]] = {}
-    for r in placed.groupBy("part", "place").agg(F.max("total").alias("total")).toLocalIterator():
-        sums.setdefault(r["part"], [0] * shards)[r["place"]] = r["total"]
-    states = []
-    for part in sorted(sums):
-        order = sorted(range(shards), key=lambda k: (-sums[part][k], k))
-        states.append((tuple(sums[part][k] for k in order), tuple(part * shards + k for k in order)))
-    held = differencing(states)[1] if states else ()
-    where = [(leaf // shards, leaf % shards, shard) for shard, node in enumerate(held) for leaf in _leaves(node)]
-    shard_of = docs.sparkSession.createDataFrame(where, "part int, place int, shard int")
-    keyed = placed.join(F.broadcast(shard_of) if len(where) < 100_000 else shard_of, ["part", "place"]).select("key", "shard")
+    keyed = placed.join(_shards_of(placed, parts, shards), ["part", "place"]).select("key", "shard")
     return rows.join(keyed, "key").select("doc_id", "size", "text_crc32", "shard")
 
 
 def slotted(rows: DataFrame) -> DataFrame:
     """Adds slot, gapless from 0 in each shard. A shard is numbered in pieces: no task holds a whole one."""
     pieces = B.partitions(rows.sparkSession)
-    rows = B.saved(rows.withColumn("piece", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(pieces)).cast("int")))
+    rows = B.saved(rows.withColumn("row", F.monotonically_increasing_id()))  # saved, so that retries agree; repeated rows go to many pieces
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("row"), F.lit(pieces)).cast("int"))
     counts = rows.groupBy("shard", "piece").count()
     before = counts.select("shard", "piece", (F.sum("count").over(Window.partitionBy("shard").orderBy("piece")) - F.col("count")).alias("before"))
-    number = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("doc_id", "text_crc32", "size"))
-    return rows.withColumn("number", number).join(before, ["shard", "piece"]).withColumn("slot", F.col("before") + F.col("number") - 1).drop("piece", "before", "number")
+    number = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("row"))
+    return rows.withColumn("number", number).join(before, ["shard", "piece"]).withColumn("slot", F.col("before") + F.col("number") - 1).drop("row", "piece", "before", "number")
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:

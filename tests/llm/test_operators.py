@@ -190,6 +190,24 @@ def test_decontamination_in_parts(spark, docs, data, monkeypatch):
     assert clean.columns == docs.columns and Counter(r["doc_id"] for r in clean.collect()) == Counter(i for i, _, hit, _ in X.leaks(data, items) if not hit)
 
 
+def test_decontamination_compares_words(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    # a hash that is equal for all windows of ten words: what the words are must decide
+    real = decontaminate._window_hash
+    monkeypatch.setattr(decontaminate, "_window_hash", lambda h, at, n: real(h, at, n) if n < decontaminate.WINDOW else np.zeros(len(at), np.uint64))
+    same, other = "a b c d e f g h i j", "a b c d e f g h i kk"
+    index = decontaminate.Index(pa.table({"item_id": [1, 2, 3], "text": [same, other, same]}))
+    assert len(index.length) >= 2 and {tuple(sorted(index.items[a:b])) for a, b in zip(index.item_off, index.item_off[1:])} >= {(1,)}
+    index.choose({w: np.ones(len(t), np.int64) for w, t in index.tokens.items()})
+    for text, want in ((same.replace(" ", "\n"), {1, 3}), (other.upper(), {2}), ("a b c d e f g h i k", set()), ("x " + same + "j", set()), ("", set())):
+        texts = pa.array([text])
+        words = [decontaminate._words(buf, off) for _, _, buf, off in decontaminate.slices(texts)][0]
+        window, _ = index.hits(words)
+        assert {int(index.names[i]) for w in window for i in index.items[index.item_off[w] : index.item_off[w + 1]]} == want
+
+
 def test_packing(docs, none, data):
     from public_tokenizers import path
     from tokenizers import Tokenizer
@@ -260,6 +278,22 @@ def test_sharding(docs, none, data):
     assert sharding.slotted(sharding.assigned(none)).count() == 0
 
 
+def test_sharding_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUPS_PER_PART", 10)
+    monkeypatch.setattr(sharding, "FAN_IN", 3)
+    rows = [(k % 40 or None, "w" * (1 + k * k % 997)) for k in range(300)] + [(5, "the same")] * 50
+    got = sharding.slotted(sharding.assigned(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert bag((r["doc_id"], r["size"]) for r in got) == bag((i, len(t) + 1) for i, t in rows)
+    shard_of, slots, total = defaultdict(set), defaultdict(list), Counter()
+    for r in got:
+        shard_of[r["text_crc32"], r["size"]].add(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+        total[r["shard"]] += r["size"]
+    assert all(len(s) == 1 for s in shard_of.values()) and set(total) == set(range(8))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(total.values()) - min(total.values()) < 0.02 * sum(total.values())
+
+
 def test_differencing_is_even():
     import random
 
