@@ -173,6 +173,13 @@ def _search(spark, sf_dir, strategy):
     return found.select("qid", F.col("rank").cast("int").alias("rank"), "chunk_id", "path", F.round("score", 6).alias("score"), "reason")
 
 
+@query(f"""WITH {O.POSTINGS}, {O.QUERIES}, {O.bm25()}, best AS (SELECT *, bm25 / max(bm25) OVER (PARTITION BY qid) AS score FROM sparse), pool AS (SELECT * FROM best WHERE rank <= 10), {O.FEATURES}
+  SELECT qid, CAST(rank AS INTEGER) AS rank, chunk_id, path, round(score, 6) AS score, CASE WHEN declarations > 0 THEN 'BM25, declaration' WHEN name_matches + path_matches > 0 THEN 'BM25, name of the file' ELSE 'BM25' END AS reason FROM pool JOIN feat USING (qid, chunk_id)""")
+def bm25_search(spark, sf_dir):
+    """BM25 alone, with the reason for each result: a declaration, the file's name or path, or the words."""
+    return _search(spark, sf_dir, "BM25")
+
+
 @query(f"{_HYBRID}, {O.pool(10)}, f2 AS (SELECT *, fusion AS score FROM pool), {O.capped('f2', 'score', 10, 'file_name, seq')} {_RESULT.format(reason=O.quote('RRF'))}")
 def rrf_search(spark, sf_dir):
     """Fusion alone, at most three results of a document."""

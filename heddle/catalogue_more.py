@@ -85,7 +85,7 @@ def mmr_context(spark, sf_dir):
 def _over_chunks(spark, sf_dir):
     """A search over prose chunks, by BM25."""
     index = PI.of_chunks(spark, sf_dir).load().index
-    return index, lambda queries, limit: R.search(index, queries, "BM25", limit).join(index.chunks.select("chunk_id", "source_location", "start_line", "end_line", "content"), "chunk_id")
+    return index, lambda queries, limit: R.search(index, queries, "BM25", limit, explain=False).join(index.chunks.select("chunk_id", "source_location", "start_line", "end_line", "content"), "chunk_id")
 
 
 @query()
@@ -109,7 +109,7 @@ SELECT kind, qid, CAST(rank AS INTEGER) AS number, sha256(block) AS block_sha256
 def prompt_evidence(spark, sf_dir):
     """The blocks of the twenty best documents of each benchmark item that fit the prompt of an answer and of a planner."""
     index = _index(spark, sf_dir)
-    found = R.search(index, C.benchmark_queries(spark, sf_dir), "BM25", 20).join(index.chunks.select("chunk_id", "source_location", "content"), "chunk_id")
+    found = R.search(index, C.benchmark_queries(spark, sf_dir), "BM25", 20, explain=False).join(index.chunks.select("chunk_id", "source_location", "content"), "chunk_id")
     cited = stored(found.select("qid", F.col("rank").cast("int").alias("number"), "path", "source_location", F.lit(1.0).alias("score"), "content"))
     parts = [X.evidence(cited, planner).select(F.lit(kind).alias("kind"), "qid", "number", F.sha2("block", 256).alias("block_sha256"), "chars") for kind, planner in (("answer", False), ("planner", True))]
     return parts[0].unionByName(parts[1])
@@ -445,7 +445,7 @@ m AS (SELECT *, (SELECT sum((pow(2, CASE WHEN k = 1 AND passage THEN 2 ELSE 1 EN
 def eval_relevance(spark, sf_dir):
     """Metrics of the lexical search against where the passages really stand: grades 2 and 1, items that stand nowhere, toxic documents as forbidden ones, near misses as hard negatives (A23, D12, F4, I30, 2.K)."""
     index, queries = _index(spark, sf_dir), C.benchmark_queries(spark, sf_dir)
-    hits = stored(R.search(index, queries, "BM25", 20).select("qid", "rank", "file_name"))
+    hits = stored(R.search(index, queries, "BM25", 20, explain=False).select("qid", "rank", "file_name"))
     grades = stored(passage_grades(spark, sf_dir))
     toxic = C.table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct().join(C.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("."), "lang").alias("file_name")), "doc_id").select("file_name")
     listed = lambda rows, name: rows.groupBy("qid").agg(F.collect_set("file_name").alias(name))

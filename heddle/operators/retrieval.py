@@ -122,8 +122,8 @@ def capped(ranked: DataFrame, score: str, limit: int, *ties: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= limit)
 
 
-def search(index: L.Index, queries: DataFrame, strategy: str = "RRF_RERANK", limit: int = 10, extension: str | None = None, asked: DataFrame | None = None) -> DataFrame:
-    """qid, rank, chunk_id, path, file_name, score, reason for each query (qid, query). asked: the queries' vectors, see `dense_branch`."""
+def search(index: L.Index, queries: DataFrame, strategy: str = "RRF_RERANK", limit: int = 10, extension: str | None = None, asked: DataFrame | None = None, explain: bool = True) -> DataFrame:
+    """qid, rank, chunk_id, path, file_name, score, reason for each query (qid, query). asked: the queries' vectors, see `dense_branch`. explain: whether BM25's reasons tell of declarations and names that match, which costs the features of what is found."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
     queries = L.analysed(queries) if "subject" not in queries.columns else queries
@@ -131,8 +131,15 @@ def search(index: L.Index, queries: DataFrame, strategy: str = "RRF_RERANK", lim
     if strategy == "BM25":
         found = sparse_branch(index, queries, k, extension)
         best = F.max("bm25").over(Window.partitionBy("qid"))
-        found = found.withColumn("score", F.col("bm25") / best).withColumn("reason", F.lit("BM25"))
-        return found.where(F.col("rank") <= limit).select("qid", "rank", "chunk_id", "path", "file_name", "score", "reason")
+        found = found.withColumn("score", F.col("bm25") / best).where(F.col("rank") <= limit)
+        if explain:
+            found = stored(found)
+            matches = features(index, queries, found).select("qid", "chunk_id", "declarations", (F.col("name_matches") + F.col("path_matches")).alias("names"))
+            reason = F.when(F.col("declarations") > 0, "BM25, declaration").when(F.col("names") > 0, "BM25, name of the file").otherwise("BM25")
+            found = found.join(matches, ["qid", "chunk_id"], "left").withColumn("reason", reason)
+        else:
+            found = found.withColumn("reason", F.lit("BM25"))
+        return found.select("qid", "rank", "chunk_id", "path", "file_name", "score", "reason")
     names = index.chunks.select("chunk_id", "path", "file_name", "source_location")
     if strategy == "DENSE":
         found = dense_branch(index, queries, k, extension, asked).where(F.col("rank") <= limit).join(names, "chunk_id")

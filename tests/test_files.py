@@ -45,10 +45,42 @@ def test_scan_budget(spark, tmp_path):
     assert [r["skipped"] for r in by_files.warnings.where("reader_id = 'scan-budget'").collect()] == [True]
     by_bytes = files.scan(spark, [str(tmp_path)], budget=files.Budget(total_bytes=30))
     assert by_bytes.documents.count() == 4
+    assert [by.warnings.where("reader_id = 'scan-budget'").first()["message"] for by in (by_files, by_bytes)] == ["more than 3 files", "more than 30 bytes"]
+    both = files.scan(spark, [str(tmp_path)], budget=files.Budget(files=5, total_bytes=30))
+    assert both.documents.count() == 4 and both.warnings.where("reader_id = 'scan-budget'").first()["message"] == "more than 30 bytes"
     shallow = files.scan(spark, [str(tmp_path)], budget=files.Budget(depth=2))
     assert shallow.documents.count() == 7 and "1 folders" in shallow.warnings.first()["message"]
 
 
+def test_folders_beyond_the_budget_are_not_entered(spark, tmp_path):
+    for folder in ("a", "b", "c"):
+        for k in range(3):
+            (tmp_path / "kb" / folder / "in").mkdir(parents=True, exist_ok=True)
+            (tmp_path / "kb" / folder / f"{k}.txt").write_text("x")
+            (tmp_path / "kb" / folder / "in" / f"{k}.txt").write_text("y")
+            (tmp_path / "kb" / folder / "in" / f"{k}.pem").write_text("z")
+    root = str(tmp_path / "kb")
+    all_of_them = files.scan(spark, [root])
+    order = sorted(r["relative_path"] for r in all_of_them.documents.collect())
+    assert len(order) == 18 and all_of_them.warnings.where("reader_id = 'sensitive-file'").count() == 9
+    for n in (2, 6, 17):
+        got = files.scan(spark, [root], budget=files.Budget(files=n))
+        assert sorted(r["relative_path"] for r in got.documents.collect()) == order[:n]
+    # a/in is entered for its first file; b/in and c/in come after b/1.txt, which is beyond the budget
+    few = files.scan(spark, [root], budget=files.Budget(files=4))
+    assert {r["path"][len(root) + 1] for r in few.warnings.where("reader_id = 'sensitive-file'").collect()} == {"a"}
+
+
+def test_readers_and_budgets_are_checked():
+    one = readers.READERS["plain-text"]
+    with pytest.raises(ValueError, match="md"):
+        files.dispatch({"a": one, "b": readers.Reader("other", 1, (" MD ",), (), 10, one.read)})
+    assert len(files.dispatch(readers.READERS)) == len({x[:2] for x in files.dispatch(readers.READERS)})
+    for wrong in ({"files": 0}, {"total_bytes": -1}, {"depth": 0}):
+        with pytest.raises(ValueError):
+            files.Budget(**wrong)
+
+
 @pytest.mark.parametrize("data,want", [(b"\xef\xbb\xbfa", "a"), ("é\n".encode("utf-16"), "é\n"), (b"\xfe\xff\x00a", "a"), (b"plain", "plain")])
 def test_byte_order_marks(data, want):
     assert readers.decoded(data) == want

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from heddle.functions import text as T
-from heddle.operators import context, dense, highlight, iterate, lexical
+from heddle.operators import context, dense, highlight, iterate, lexical, retrieval
 
 
 def test_nearest_of_each_width(spark):
@@ -57,6 +57,17 @@ def test_han_search_meets_concepts(spark):
     assert [(r["qid"], r["chunk_id"]) for r in found.collect()] == [(1, 1)]
 
 
+def test_reasons_of_lexical_results(spark):
+    texts = [("/x/parser.py", "def parser(text):\n    return text"), ("/x/parser.md", "notes on the parser of texts"), ("/parser/notes.md", "parser once more"), ("/x/other.md", "a parser is mentioned")]
+    chunks = spark.createDataFrame([(k, p, p.rsplit("/", 1)[1], p.rsplit(".", 1)[1], "L1-1", t) for k, (p, t) in enumerate(texts)], "chunk_id long, path string, file_name string, extension string, source_location string, content string")
+    index, asked = lexical.build(chunks), spark.createDataFrame([(1, "parser"), (2, "nowhere")], "qid long, query string")
+    found = retrieval.search(index, asked, "BM25").collect()
+    assert {(r["qid"], r["chunk_id"], r["reason"]) for r in found} == {(1, 0, "BM25, declaration"), (1, 1, "BM25, name of the file"), (1, 2, "BM25, name of the file"), (1, 3, "BM25")}
+    plain = retrieval.search(index, asked, "BM25", explain=False).collect()
+    assert {r["reason"] for r in plain} == {"BM25"}
+    assert sorted((r["chunk_id"], r["rank"], r["score"]) for r in plain) == sorted((r["chunk_id"], r["rank"], r["score"]) for r in found)
+
+
 def test_expansion_takes_neighbours_once(spark):
     chunks = spark.createDataFrame([(f"c{k}", "/p", 10 * k + 1, 10 * k + 9, f"L{10 * k + 1}-{10 * k + 9}", f"text {k}") for k in range(5)] + [("far", "/q", 1, 5, "L1-5", "alone")], "chunk_id string, path string, start_line int, end_line int, source_location string, content string")
     picks = spark.createDataFrame([(1, 1, "c1", "/p", 0.9), (1, 2, "c2", "/p", 0.8), (1, 3, "c4", "/p", 0.7), (1, 4, "far", "/q", 0.6)], "qid long, pick int, chunk_id string, path string, score double")
