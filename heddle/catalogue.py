@@ -10,6 +10,7 @@ from .operators import dense as D
 from .operators import lexical as L
 from .operators import published as P
 from .operators import retrieval as R
+from .plans.stored import stored
 from .sources import corpus as C
 
 FLAGSHIP = "hybrid_search"
@@ -145,7 +146,7 @@ _HYBRID = f"WITH {O.POSTINGS}, {O.QUERIES}, {O.bm25()}, {O.DENSE}, {O.FUSED}"
 
 def _branches(spark, sf_dir):
     index, asked = _index(spark, sf_dir), L.analysed(C.benchmark_queries(spark, sf_dir))
-    return index, asked, R.normalised(R.fuse(R.sparse_branch(index, asked, R.BRANCH), R.dense_branch(index, asked, R.BRANCH)))
+    return index, asked, R.normalised(R.fuse(*R.branches(index, asked, R.BRANCH)))
 
 
 @query(f"{_HYBRID} SELECT qid, chunk_id, round(bm25, 6) AS bm25, round(dense, 6) AS dense, round(rrf, 6) AS rrf, round(fusion, 6) AS fusion FROM norm")
@@ -159,7 +160,7 @@ def rrf_fusion(spark, sf_dir):
 def lexical_features(spark, sf_dir):
     """Lexical features of the fused pool."""
     index, asked, fused = _branches(spark, sf_dir)
-    pool = L.top(fused.join(index.chunks.select("chunk_id", "path", "file_name", "source_location"), "chunk_id"), "fusion", 40, "file_name", "seq")
+    pool = stored(L.top(R.with_chunks(fused, index, "path", "file_name", "source_location"), "fusion", 40, "file_name", "seq"))
     found = R.features(index, asked, pool)
     ints = [F.col(c).cast("int").alias(c) for c in ("name_matches", "path_matches", "declarations")]
     return found.select("qid", "chunk_id", F.round("cosine", 6).alias("cosine"), "exact", *ints, F.col("concept_matches").cast("long").alias("concept_matches"), "code_file", F.round("feature", 6).alias("feature"))

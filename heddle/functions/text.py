@@ -99,16 +99,21 @@ def concepts(compact: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def token_rows(df: DataFrame, key: str, text: Column, query: bool = False) -> DataFrame:
-    """(key, token, weight): the added weights of each token of a text: words and Han grams, and concepts of which a phrase stands in it. Tokens are dealt out as strings, whose form tells their weight."""
-    rows = df.select(key, normalise(split_camel(text)).alias("_normal"))
+def token_lists(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """(keys, tokens): each text's tokens as they come, as strings whose form tells their weight: words and Han grams, and concepts of which a phrase stands in it."""
+    rows = df.select(*keys, normalise(split_camel(text)).alias("_normal"))
     rows = rows.withColumn("_compact", F.regexp_replace("_normal", r"\s+", ""))
     none = F.array().cast("array<string>")
     words = F.regexp_extract_all("_normal", F.lit("([a-z0-9]+)"), 1)
     han = F.when(F.col("_normal").rlike(r"\p{IsHan}"), han_tokens(F.col("_normal"))).otherwise(none)
     tags = F.transform(concepts(F.col("_compact")), lambda c: F.concat(F.lit(CONCEPT), c))
+    return rows.select(*keys, F.concat(words, han, tags).alias("tokens"))
+
+
+def token_rows(df: DataFrame, key: str, text: Column, query: bool = False) -> DataFrame:
+    """(key, token, weight): the added weights of each token of a text."""
     # outer: for a plain explode Spark would add a filter on the array and push it below the steps that make it
-    each = rows.select(key, F.explode_outer(F.concat(words, han, tags)).alias("t"))
+    each = token_lists(df, [key], text).select(key, F.explode_outer("tokens").alias("t"))
     marked = F.col("t") < "0"  # of the marks and letters that a token begins with, the marks come first
     token = F.when(marked, F.expr("substring(t, 2)")).otherwise(F.col("t"))
     whole, gram, latin, concept = (QUERY_HAN_TOKEN, QUERY_HAN_GRAM, QUERY_LATIN, QUERY_CONCEPT_WEIGHT) if query else (HAN_TOKEN, HAN_GRAM, LATIN, CONCEPT_WEIGHT)

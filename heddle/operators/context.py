@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.stored import small, stored
 
 ANSWER_CHARS, PLANNER_CHARS = 24_000, 6_000  # of a prompt
 RELEVANCE, SIMILARITY, SAME_DOCUMENT, SAME_PATH_FLOOR, PER_DOCUMENT = 0.78, 0.22, 0.08, 0.35, 2
@@ -58,13 +59,14 @@ def section():
 
 
 def neighbours(chunks: DataFrame) -> DataFrame:
-    """The chunks with before and after: the adjoining chunks' ids if they do not overlap and the texts together stay within `EXPANDED` characters."""
-    over = Window.partitionBy(section()).orderBy("start_line", "end_line", "chunk_id")
-    size, room = F.length("content"), F.lit(EXPANDED - 2)
+    """chunk_id, before, after of each chunk: the adjoining chunks' ids if they do not overlap and the texts together stay within `EXPANDED` characters. The texts aren't moved: their lengths tell."""
+    chunks = chunks.select("chunk_id", section().alias("section"), "start_line", "end_line", F.length("content").alias("size"))
+    over = Window.partitionBy("section").orderBy("start_line", "end_line", "chunk_id")
+    size, room = F.col("size"), F.lit(EXPANDED - 2)
     before_ok = (F.lag("end_line").over(over) < F.col("start_line")) & (size + F.lag(size).over(over) <= room)
     rows = chunks.withColumns({"before": F.when(before_ok, F.lag("chunk_id").over(over)), "_size": size + F.when(before_ok, F.lag(size).over(over) + 2).otherwise(0)})
     after_ok = (F.lead("start_line").over(over) > F.col("end_line")) & (F.col("_size") + F.lead(size).over(over) <= room)
-    return rows.withColumn("after", F.when(after_ok, F.lead("chunk_id").over(over))).drop("_size")
+    return rows.withColumn("after", F.when(after_ok, F.lead("chunk_id").over(over))).select("chunk_id", "before", "after")
 
 
 EXPANDED_ROW = "qid long, pick int, chunk_id string, path string, start_line int, end_line int, source_location string, content string, score double"
@@ -87,10 +89,12 @@ def _joined(picks: pd.DataFrame) -> pd.DataFrame:
 
 def expanded(picks: DataFrame, chunks: DataFrame) -> DataFrame:
     """The picks (qid, pick, chunk_id, path, score) with their neighbouring chunks, as one passage each. A query has few picks."""
-    named = neighbours(chunks).join(picks.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "before", "after")
+    named = stored(neighbours(chunks).join(small(stored(picks.select("chunk_id").distinct())), "chunk_id", "left_semi"))
     # only the chunks that are picked or next to one go on with their contents
+    near = stored(named.select(F.explode(F.array("chunk_id", "before", "after")).alias("chunk_id")).where("chunk_id IS NOT NULL").distinct())
     body = F.struct("chunk_id", "start_line", "end_line", "source_location", "content")
-    part = lambda key, name: chunks.select(F.col("chunk_id").alias(key), body.alias(name))
+    bodies = stored(chunks.join(small(near), "chunk_id", "left_semi").select("chunk_id", body.alias("body")))
+    part = lambda key, name: bodies.select(F.col("chunk_id").alias(key), F.col("body").alias(name))
     rows = picks.join(named, "chunk_id").join(part("chunk_id", "own"), "chunk_id").join(part("before", "prior"), "before", "left").join(part("after", "next"), "after", "left")
     return rows.select("qid", "pick", "chunk_id", "path", "score", "prior", "own", "next").groupBy("qid").applyInPandas(_joined, EXPANDED_ROW)
 

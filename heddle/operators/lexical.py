@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import CONCEPT, CONCEPT_WEIGHT, GRAM, HAN_GRAM, HAN_TOKEN, LATIN, STOP_WORDS, WHOLE
 from ..functions.vectors import Embedder, Histogram
 from ..plans.stored import small, stored
 from ..sources.corpus import indexed_text
@@ -15,6 +19,7 @@ from .embedding import embedded, text_hash
 
 K1, B = 1.5, 0.75
 QUERY_WEIGHT = (0.25, 3.0)
+NAMES = ("path", "file_name", "source_location", "extension")
 
 
 @dataclass
@@ -22,7 +27,7 @@ class Index:
     """Tables of an index. All statistics are over every chunk, whatever a search filters."""
 
     chunks: DataFrame  # as `prepared` makes them
-    terms: DataFrame  # chunk_id, length, terms: array of (token, weight)
+    terms: DataFrame  # chunk_id, length, terms: array of (token, weight), and the chunk's names
     postings: DataFrame  # token, chunk_id, weight, length
     df: DataFrame  # token, df, most, least: documents, greatest weight, least length
     corpus: DataFrame  # n, avg_length: one row
@@ -40,11 +45,36 @@ def prepared(chunks: DataFrame) -> DataFrame:
 
 
 def terms_of(chunks: DataFrame) -> DataFrame:
-    """chunk_id, length, terms. Chunks that are dealt by chunk_id stay where they are: no exchange."""
-    weighed = T.token_rows(chunks, "chunk_id", indexed_text())
-    held = weighed.groupBy("chunk_id").agg(F.collect_list(F.struct("token", "weight")).alias("terms"), F.sum("weight").alias("total"))
-    none = F.array().cast("array<struct<token:string,weight:double>>")
-    return chunks.select("chunk_id").join(held, "chunk_id", "left").select("chunk_id", F.greatest(F.lit(1.0), F.coalesce("total", F.lit(0.0))).alias("length"), F.coalesce("terms", none).alias("terms"))
+    """chunk_id, length, terms, and the names that a search filters by, orders by and returns. A chunk's tokens are added up within its row: no exchange. One without an id has no terms."""
+    rows = T.token_lists(chunks, ["chunk_id", *NAMES], indexed_text()).withColumn("tokens", F.when(F.col("chunk_id").isNotNull(), F.col("tokens")))
+    names = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("chunk_id", *NAMES))
+    return rows.mapInArrow(_added_up, f"length double, terms array<struct<token:string,weight:double>>, {names}").select("chunk_id", "length", "terms", *NAMES)
+
+
+def _added_up(batches):
+    """Each row's tokens with the sums of their weights, as `token_rows` gives them."""
+    for batch in batches:
+        tokens = batch.column("tokens").fill_null([])
+        size = pa.compute.list_value_length(tokens).to_numpy()
+        coded = tokens.flatten().dictionary_encode()
+        form, code = coded.dictionary, coded.indices.to_numpy()
+        # what a form means: its token, its weight, and whether it counts
+        first = pa.compute.utf8_slice_codeunits(form, 0, 1).to_pylist()
+        marked = np.array([c in (WHOLE, GRAM) for c in first], bool)
+        plain = pa.compute.if_else(pa.array(marked), pa.compute.utf8_slice_codeunits(form, 1), form)
+        token = plain.dictionary_encode()
+        weight = np.where(np.array([c == WHOLE for c in first], bool), HAN_TOKEN, np.where(marked, HAN_GRAM, LATIN))
+        weight = np.where(pa.compute.starts_with(form, CONCEPT).to_numpy(zero_copy_only=False), CONCEPT_WEIGHT, weight)
+        counts = (pa.compute.utf8_length(plain).to_numpy() > 1) & ~pa.compute.is_in(plain, value_set=pa.array(STOP_WORDS)).to_numpy(zero_copy_only=False)
+        row, kinds = np.repeat(np.arange(len(size)), size), max(1, len(token.dictionary))
+        own = counts[code]
+        key, at = np.unique(row[own] * kinds + token.indices.to_numpy()[code[own]], return_inverse=True)
+        total = np.bincount(at, weight[code[own]], minlength=len(key))
+        row = key // kinds
+        bounds = np.searchsorted(row, np.arange(len(size) + 1)).astype(np.int32)
+        terms = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([token.dictionary.take(pa.array(key % kinds)), pa.array(total)], names=["token", "weight"]))
+        length = np.maximum(1.0, np.bincount(row, total, minlength=len(size)))
+        yield pa.RecordBatch.from_arrays([pa.array(length), terms, *[batch.column(c) for c in ("chunk_id", *NAMES)]], names=["length", "terms", "chunk_id", *NAMES])
 
 
 def postings_of(terms: DataFrame) -> DataFrame:
@@ -122,7 +152,7 @@ def top(scores: DataFrame, score: str, k: int, *ties: str) -> DataFrame:
 def tfidf(index: Index) -> DataFrame:
     """chunk_id, token, tfidf."""
     weight = (1 + F.log(F.greatest(F.lit(1.0), "weight"))) * F.log(1 + (F.col("n") + 1) / (F.col("df") + 1))
-    return index.postings.join(index.df, "token").crossJoin(F.broadcast(index.corpus)).select("chunk_id", "token", weight.alias("tfidf"))
+    return index.postings.join(index.df.hint("shuffle_hash"), "token").crossJoin(F.broadcast(index.corpus)).select("chunk_id", "token", weight.alias("tfidf"))
 
 
 def norms(vectors: DataFrame) -> DataFrame:

@@ -29,9 +29,11 @@ from . import embedding as E
 from . import lexical as L
 
 SEGMENTS = 8  # more are rewritten as one
+FREQUENT, FREQUENT_TOKENS = 20_000, 500  # postings of a token that one task writes; tokens that may have more
 LITERALS = 256  # keys that are looked up as literals, which prune buckets and row groups; more are joined
 TABLES = {"chunks": "chunk_id", "terms": "chunk_id", "vectors": "chunk_id", "postings": "token"}
 CHUNKING = 3
+LAYOUT = 2  # of the tables; an index of another one is built anew
 
 
 @dataclass
@@ -57,11 +59,13 @@ class Knowledge:
     # reading
 
     def load(self) -> Loaded | None:
-        """The published revision; None if there is none or a segment of it is missing."""
+        """The published revision; None if there is none, a segment of it is missing or its tables are of another layout."""
         found = self.store.load()
         if found is None:
             return None
         manifest, own = found
+        if manifest.get("layout") != LAYOUT:
+            return None
         held: dict[str, list[DataFrame]] = {name: [] for name in TABLES}
         vectors = []
         for segment in manifest["segments"]:
@@ -123,7 +127,7 @@ class Knowledge:
         timed("chunks")
         terms = staging.write("terms", L.terms_of(new).observe(lengths, F.sum(F.round(F.col("length") * 10)).cast("long").alias("tenths")), "chunk_id", dealt=True)
         timed("terms")
-        postings = staging.write("postings", L.postings_of(terms), "token")
+        postings = staging.write("postings", *_spread(L.postings_of(terms), counts.get["n"], parts))
         timed("postings")
         vectors, embedded = self._vectors(new, before)
         vectors = staging.write("vectors", vectors, "chunk_id")
@@ -154,7 +158,7 @@ class Knowledge:
         timed("publish")
         seconds = {name: round(t - (clock[k - 1][1] if k else began), 3) for k, (name, t) in enumerate(clock)}
         report = {"added": counts.get["n"], "removed": removed_n, "embedded": embedded, "chunks": n, "segments": len(segments), "seconds": seconds}
-        staging.commit({"model": self.embedder.signature, "dimension": self.embedder.dimension, "chunking": CHUNKING, "source_hash": source, "n": n, "tenths": tenths, "average": max(1.0, tenths / 10 / n if n else 1.0), "segments": segments, "uses": [s["revision"] for s in segments], "whole": whole and (before is None or before.manifest["whole"]), "report": report})
+        staging.commit({"model": self.embedder.signature, "dimension": self.embedder.dimension, "chunking": CHUNKING, "layout": LAYOUT, "source_hash": source, "n": n, "tenths": tenths, "average": max(1.0, tenths / 10 / n if n else 1.0), "segments": segments, "uses": [s["revision"] for s in segments], "whole": whole and (before is None or before.manifest["whole"]), "report": report})
         return report
 
     def _compared(self, chunks: DataFrame, before: Loaded | None) -> tuple[DataFrame, DataFrame | None]:
@@ -185,6 +189,17 @@ class Knowledge:
         return [{"revision": staging.revision, "n": n, "removed": 0}], None
 
 
+def _spread(postings: DataFrame, n: int, parts: int) -> tuple:
+    """What `Staging.write` takes of the postings of n chunks: those of a token that stands in many of them go to several tasks. The count of such tokens is an estimate, as only the deal depends on it."""
+    least = max(FREQUENT, 2 * n // parts)
+    if n <= least:
+        return postings, "token"
+    top = postings.agg(F.expr(f"approx_top_k(token, {FREQUENT_TOKENS})").alias("top")).select(F.explode("top").alias("t")).select(F.col("t.item").alias("token"), F.ceil(F.col("t.count") / least).cast("int").alias("tasks"))
+    held = postings.join(F.broadcast(stored(top.where("tasks > 1"))), "token", "left")
+    apart = F.coalesce(F.pmod(F.xxhash64("chunk_id"), F.col("tasks")), F.lit(0)).cast("int")
+    return held.select(*postings.columns, apart.alias("_apart")), "token", False, "_apart"
+
+
 def by_key(table: DataFrame, key: str, asked: DataFrame) -> DataFrame:
     """The rows of a table with one of the keys asked for: few keys as literals, so that only their buckets and row groups are read; more by a join."""
     few = asked.select(key).where(F.col(key).isNotNull()).distinct().limit(LITERALS + 1).collect()

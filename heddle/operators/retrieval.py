@@ -10,6 +10,7 @@ from ..functions.vectors import Embedder, Histogram
 from ..plans.stored import small, stored
 from . import bounded as U
 from . import dense as D
+from . import inplace as Z
 from . import lexical as L
 from .embedding import embedded
 
@@ -19,8 +20,8 @@ TIES = ("file_name", "source_location", "chunk_id")
 
 
 def sparse_branch(index: L.Index, queries: DataFrame, k: int, extension: str | None = None) -> DataFrame:
-    """qid, chunk_id, bm25, rank, and the chunk's names."""
-    return _named_top(index, L.bm25(index, queries, extension), k)
+    """qid, chunk_id, bm25, rank, and the chunk's names. Chunks are scored where their terms lie."""
+    return stored(L.top(Z.best(index, queries, k, extension), "bm25", k, *TIES))
 
 
 def bounded_branch(index: L.Index, queries: DataFrame, k: int, extension: str | None = None) -> DataFrame:
@@ -29,8 +30,12 @@ def bounded_branch(index: L.Index, queries: DataFrame, k: int, extension: str |
 
 
 def _named_top(index: L.Index, scores: DataFrame, k: int) -> DataFrame:
-    names = index.chunks.select("chunk_id", "path", "file_name", "source_location")
-    return stored(L.top(scores.join(names, "chunk_id"), "bm25", k, *TIES))
+    return stored(L.top(with_chunks(scores, index, "path", "file_name", "source_location"), "bm25", k, *TIES))
+
+
+def with_chunks(found: DataFrame, index: L.Index, *columns: str) -> DataFrame:
+    """What was found (chunk_id, ...) with columns of its chunks. What is found comes to the chunks, so that these are neither sorted nor moved for a few rows."""
+    return small(stored(found)).join(index.chunks.select("chunk_id", *columns), "chunk_id")
 
 
 def embedded_queries(queries: DataFrame, embedder: Embedder = Histogram()) -> DataFrame:
@@ -46,6 +51,11 @@ def dense_branch(index: L.Index, queries: DataFrame, k: int, extension: str | No
     return stored(D.nearest(vectors, embedded_queries(queries) if asked is None else asked, k))
 
 
+def branches(index: L.Index, queries: DataFrame, k: int, extension: str | None = None, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both branches of analysed queries, stored: several strategies may share them."""
+    return sparse_branch(index, queries, k, extension), dense_branch(index, queries, k, extension, asked)
+
+
 def fuse(sparse: DataFrame, dense: DataFrame) -> DataFrame:
     """qid, chunk_id, bm25, dense, rrf, seq: the sum of 1/(60 + rank) over the branches; seq is the order of first sight."""
     both = sparse.select("qid", "chunk_id", "bm25", F.lit(0.0).alias("dense"), "rank", F.col("rank").alias("seq")).unionByName(
@@ -122,14 +132,14 @@ def capped(ranked: DataFrame, score: str, limit: int, *ties: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= limit)
 
 
-def search(index: L.Index, queries: DataFrame, strategy: str = "RRF_RERANK", limit: int = 10, extension: str | None = None, asked: DataFrame | None = None, explain: bool = True) -> DataFrame:
-    """qid, rank, chunk_id, path, file_name, score, reason for each query (qid, query). asked: the queries' vectors, see `dense_branch`. explain: whether BM25's reasons tell of declarations and names that match, which costs the features of what is found."""
+def search(index: L.Index, queries: DataFrame, strategy: str = "RRF_RERANK", limit: int = 10, extension: str | None = None, asked: DataFrame | None = None, explain: bool = True, found_by: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """qid, rank, chunk_id, path, file_name, score, reason for each query (qid, query). asked: the queries' vectors, see `dense_branch`. explain: whether BM25's reasons tell of declarations and names that match, which costs the features of what is found. found_by: the `branches` of at least max(4 limit, `BRANCH`) rows, if they are there already."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
     queries = L.analysed(queries) if "subject" not in queries.columns else queries
     k = max(4 * limit, BRANCH)
     if strategy == "BM25":
-        found = sparse_branch(index, queries, k, extension)
+        found = found_by[0] if found_by else sparse_branch(index, queries, k, extension)
         best = F.max("bm25").over(Window.partitionBy("qid"))
         found = found.withColumn("score", F.col("bm25") / best).where(F.col("rank") <= limit)
         if explain:
@@ -140,12 +150,12 @@ def search(index: L.Index, queries: DataFrame, strategy: str = "RRF_RERANK", lim
         else:
             found = found.withColumn("reason", F.lit("BM25"))
         return found.select("qid", "rank", "chunk_id", "path", "file_name", "score", "reason")
-    names = index.chunks.select("chunk_id", "path", "file_name", "source_location")
     if strategy == "DENSE":
-        found = dense_branch(index, queries, k, extension, asked).where(F.col("rank") <= limit).join(names, "chunk_id")
+        found = found_by[1] if found_by else dense_branch(index, queries, k, extension, asked)
+        found = with_chunks(found.where(F.col("rank") <= limit), index, "path", "file_name")
         return found.select("qid", "rank", "chunk_id", "path", "file_name", F.col("dense").alias("score"), F.lit("dense").alias("reason"))
-    fused = normalised(fuse(sparse_branch(index, queries, k, extension), dense_branch(index, queries, k, extension, asked)))
-    fused = stored(fused)
+    fused = stored(normalised(fuse(*(found_by or branches(index, queries, k, extension, asked)))))
+    names = index.chunks.select("chunk_id", "path", "file_name", "source_location")
     named = names.join(small(stored(fused.select("chunk_id").distinct())), "chunk_id", "left_semi")
     pool = stored(L.top(fused.join(small(stored(named)), "chunk_id"), "fusion", max(4 * limit, POOL), "file_name", "seq"))
     if strategy == "RRF":

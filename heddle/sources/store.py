@@ -19,6 +19,7 @@ import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FORMAT = 5
 STATUSES = ("EMPTY", "READY", "DIRTY", "BUILDING", "FAILED", "INCOMPATIBLE")
@@ -202,8 +203,8 @@ class Staging:
     def __exit__(self, *_) -> None:
         self.store._fs.delete(self.store._path(self.aside), True)
 
-    def write(self, name: str, df: DataFrame, key: str | None = None, dealt: bool = False) -> DataFrame:
-        """The table as written. By a key it gets as many buckets as the session has shuffle partitions; rows that are dealt so already aren't moved again."""
+    def write(self, name: str, df: DataFrame, key: str | None = None, dealt: bool = False, apart: str | None = None) -> DataFrame:
+        """The table as written. By a key it gets as many buckets as the session has shuffle partitions; rows that are dealt so already aren't moved again. Each bucket is written by one task, but for rows with a number above 0 in the column `apart`, which isn't kept: these go to as many tasks further on, so a bucket may have several files."""
         path = f"{self.aside}/{name}"
         self.tables.append(name)
         if key is None:
@@ -211,7 +212,12 @@ class Staging:
             return self.store.spark.read.schema(df.schema).parquet(path)
         spark = self.store.spark
         n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), self._named(name)
-        (df if dealt else df.repartition(n, key)).write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
+        if apart is not None:
+            at = F.pmod(F.hash(key), F.lit(n))  # as Spark numbers buckets
+            df = df.repartitionById(n, F.pmod(at + F.col(apart), F.lit(n)).cast("int")).drop(apart)
+        elif not dealt:
+            df = df.repartition(n, key)
+        df.write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
         self.bucketed[name] = {"key": key, "buckets": n, "columns": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)}
         return spark.table(table)
 
