@@ -18,7 +18,7 @@ from .lexical import top
 
 QUERY_BLOCK = 4096
 BROADCAST_BLOCKS = 16  # of queries: 32 MB at 64 dimensions
-PAIRS_AT_ONCE = 1 << 22
+PAIRS_AT_ONCE = 1 << 20
 PACKED = "width int, kind string, ids binary, vectors binary"  # kind: of the ids, as NumPy names it
 
 
@@ -69,24 +69,40 @@ class _Best:
         return out
 
 
-def _nearest(k: int, threshold: float):
+def _joined(batches):
+    """The pairs of a block of queries and a pack of vectors that a join has brought together."""
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in ("width", "qids", "queries", "kind", "ids", "vectors")))
+
+
+def _beside(asked):
+    """The pairs of each block of queries that went to the tasks and each batch of vectors, packed here."""
+
+    def of_batches(batches):
+        for packed in _packed("chunk_id")(batches):
+            for width, kind, ids, x in zip(*(packed.column(c).to_pylist() for c in ("width", "kind", "ids", "vectors"))):
+                yield from ((width, qids, q, kind, ids, x) for w, qids, q in asked.value if w == width)
+
+    return of_batches
+
+
+def _nearest(k: int, threshold: float, pairs):
     def of_batches(batches):
         best: dict[bytes, _Best] = {}
-        for batch in batches:
-            for width, qids, q, kind, ids, x in zip(*(batch.column(c).to_pylist() for c in ("width", "qids", "queries", "kind", "ids", "vectors"))):
-                q, x = (np.frombuffer(v).reshape(-1, width) for v in (q, x))
-                own, ids = best.setdefault(qids, _Best(k)), np.frombuffer(ids, kind)
-                norm = np.sqrt((q * q).sum(1))
-                step = max(1, PAIRS_AT_ONCE // len(q))
-                for a in range(0, len(x), step):
-                    y = x[a : a + step]
-                    length = np.sqrt((y * y).sum(1))[:, None] * norm
-                    s = np.maximum(0, np.divide(y @ q.T, length, out=np.zeros_like(length), where=length > 0))
-                    rounded, least = np.round(s, 6), own.least(len(q))
-                    if len(y) > k:
-                        least = np.maximum(least, np.partition(rounded, len(y) - k, axis=0)[len(y) - k])
-                    row, query = np.nonzero((rounded >= least) & (s >= threshold))
-                    own.add(query, ids[a + row], s[row, query])
+        for width, qids, q, kind, ids, x in pairs(batches):
+            q, x = (np.frombuffer(v).reshape(-1, width) for v in (q, x))
+            own, ids = best.setdefault(qids, _Best(k)), np.frombuffer(ids, kind)
+            norm = np.sqrt((q * q).sum(1))
+            step = max(1, PAIRS_AT_ONCE // len(q))
+            for a in range(0, len(x), step):
+                y = x[a : a + step]
+                length = np.sqrt((y * y).sum(1))[:, None] * norm
+                s = np.maximum(0, np.divide(y @ q.T, length, out=np.zeros_like(length), where=length > 0))
+                rounded, least = np.round(s, 6), own.least(len(q))
+                if len(y) > k:
+                    least = np.maximum(least, np.partition(rounded, len(y) - k, axis=0)[len(y) - k])
+                row, query = np.nonzero((rounded >= least) & (s >= threshold))
+                own.add(query, ids[a + row], s[row, query])
         for qids, found in best.items():
             if found.ids is not None and len(found.ids):
                 yield pa.RecordBatch.from_pydict({"qid": np.frombuffer(qids, np.int64)[found.query], "chunk_id": pa.array(found.ids.tolist()), "dense": found.score})
@@ -103,13 +119,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = D
     blocks = -(-max(1, asked.count()) // QUERY_BLOCK)
     # each task packs its rows batch by batch, so dealing by number keeps blocks bounded and about even
     asked = stored(asked.repartition(blocks, "qid").mapInArrow(_packed("qid"), PACKED).select("width", F.col("ids").alias("qids"), F.col("vectors").alias("queries")))
-    held = vectors.where("size(embedding) > 0").select("chunk_id", "embedding").mapInArrow(_packed("chunk_id"), PACKED)
-    if asked.count() <= BROADCAST_BLOCKS:
-        pairs = held.join(F.broadcast(asked), "width")
-    else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("salt")
-        pairs = held.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).join(asked.select("*", salts), ["width", "salt"])
+    held = vectors.where("size(embedding) > 0").select("chunk_id", "embedding")
     kind = vectors.schema["chunk_id"].dataType.simpleString()
     kind = "string" if kind == "string" else "bigint"
-    found = pairs.select("width", "qids", "queries", "kind", "ids", "vectors").mapInArrow(_nearest(k, threshold), f"qid long, chunk_id {kind}, dense double")
+    schema = f"qid long, chunk_id {kind}, dense double"
+    if blocks <= BROADCAST_BLOCKS:  # a task holds the blocks once, and one batch of vectors
+        few = spark.sparkContext.broadcast([(r["width"], bytes(r["qids"]), bytes(r["queries"])) for r in asked.collect()])
+        found = held.mapInArrow(_nearest(k, threshold, _beside(few)), schema)
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("salt")
+        packs = held.mapInArrow(_packed("chunk_id"), PACKED).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
+        pairs = packs.join(asked.select("*", salts), ["width", "salt"]).select("width", "qids", "queries", "kind", "ids", "vectors")
+        found = pairs.mapInArrow(_nearest(k, threshold, _joined), schema)
     return top(found, "dense", k, "chunk_id")
