@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.stored import small_batches
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -12,6 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as one chunk: chunk_id, path, file_name, extension, start_line, end_line, source_location, content."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     content = F.coalesce(F.col("text"), F.lit(""))
     lines = F.size(F.split(content, "\n"))
