@@ -52,7 +52,7 @@ def terms_of(chunks: DataFrame) -> DataFrame:
 
 
 def _added_up(batches):
-    """Each row's tokens with the sums of their weights, as `token_rows` gives them."""
+    """Each row's tokens with the sums of their weights, as `token_rows` gives them. They stand in order, so that equal texts get equal scores to the last bit wherever they lie."""
     for batch in batches:
         tokens = batch.column("tokens").fill_null([])
         size = pa.compute.list_value_length(tokens).to_numpy()
@@ -62,17 +62,19 @@ def _added_up(batches):
         first = pa.compute.utf8_slice_codeunits(form, 0, 1).to_pylist()
         marked = np.array([c in (WHOLE, GRAM) for c in first], bool)
         plain = pa.compute.if_else(pa.array(marked), pa.compute.utf8_slice_codeunits(form, 1), form)
-        token = plain.dictionary_encode()
+        distinct = pa.compute.unique(plain)
+        distinct = distinct.take(pa.compute.sort_indices(distinct))
+        token = pa.compute.index_in(plain, value_set=distinct).to_numpy()
         weight = np.where(np.array([c == WHOLE for c in first], bool), HAN_TOKEN, np.where(marked, HAN_GRAM, LATIN))
         weight = np.where(pa.compute.starts_with(form, CONCEPT).to_numpy(zero_copy_only=False), CONCEPT_WEIGHT, weight)
         counts = (pa.compute.utf8_length(plain).to_numpy() > 1) & ~pa.compute.is_in(plain, value_set=pa.array(STOP_WORDS)).to_numpy(zero_copy_only=False)
-        row, kinds = np.repeat(np.arange(len(size)), size), max(1, len(token.dictionary))
+        row, kinds = np.repeat(np.arange(len(size)), size), max(1, len(distinct))
         own = counts[code]
-        key, at = np.unique(row[own] * kinds + token.indices.to_numpy()[code[own]], return_inverse=True)
+        key, at = np.unique(row[own] * kinds + token[code[own]], return_inverse=True)
         total = np.bincount(at, weight[code[own]], minlength=len(key))
         row = key // kinds
         bounds = np.searchsorted(row, np.arange(len(size) + 1)).astype(np.int32)
-        terms = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([token.dictionary.take(pa.array(key % kinds)), pa.array(total)], names=["token", "weight"]))
+        terms = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([distinct.take(pa.array(key % kinds)), pa.array(total)], names=["token", "weight"]))
         length = np.maximum(1.0, np.bincount(row, total, minlength=len(size)))
         yield pa.RecordBatch.from_arrays([pa.array(length), terms, *[batch.column(c) for c in ("chunk_id", *NAMES)]], names=["length", "terms", "chunk_id", *NAMES])
 

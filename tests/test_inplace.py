@@ -72,3 +72,25 @@ def test_neighbours_move_no_texts(spark):
     moved = [x for x in plan(context.neighbours(rows)).splitlines() if "Exchange hashpartitioning" in x]
     below = plan(context.neighbours(rows)).split("Exchange hashpartitioning")[1].splitlines()[1]
     assert len(moved) == 1 and "content" not in below.split("AS size")[-1] and "length(content" in below
+
+
+def test_equal_texts_score_alike_wherever_they_lie(spark, queries):
+    rows = {k: "rare2 rare9 common often usual rare4" for k in range(12, 99, 3)} | {k: f"usual often own{k} rare4 rare9 rare2" for k in range(13, 99, 3)}
+    found = inplace.best(lexical.build(frame(spark, rows).repartition(7)), queries, 100).join(frame(spark, rows).select("chunk_id", "content"), "chunk_id").where("content LIKE 'rare2%'")
+    assert found.groupBy("qid").agg(F.count_distinct("bm25").alias("n"), F.count("*").alias("m")).where("n <> 1 OR m <> 29").isEmpty() and found.count() > 0
+
+
+def test_batches_to_python_are_bounded(spark):
+    from heddle.plans import stored
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    stored.small_batches(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+
+
+def test_dense_search_sends_no_pairs_to_python(spark):
+    from heddle.operators import dense
+
+    rows = spark.createDataFrame([(k, [float(k % 7), 1.0, k / 5]) for k in range(50)], "chunk_id long, embedding array<double>")
+    found = dense.nearest(rows, rows.where("chunk_id < 9").withColumnRenamed("chunk_id", "qid"), 3)
+    assert found.count() == 27 and "CartesianProduct" not in plan(found) and "HashJoin" not in plan(found)  # vectors and blocks meet in the task
