@@ -53,6 +53,8 @@ CONCEPT_WEIGHT, QUERY_CONCEPT_WEIGHT = 2.8, 4.0
 HAN_TOKEN, HAN_GRAM, LATIN = 1.0, 0.9, 1.0
 QUERY_HAN_TOKEN, QUERY_HAN_GRAM, QUERY_LATIN = 1.4, 1.25, 1.25
 WHOLE, GRAM, CONCEPT = "\x01", "\x02", "concept:"  # marks of tokens on their way
+#: What may change under compatibility normalisation. The rest are letters and signs that it leaves as they are, whatever stands beside them.
+CHANGING = r"[^\x00-\x7F](?<![\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u2012-\u2016\u2018-\u2023\u20AC])"
 WIDE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 
 
@@ -62,8 +64,8 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility normalisation (full-width letters, ligatures, ...). Spark has no built-in for it; texts of ASCII alone don't leave the JVM."""
-    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    """Compatibility normalisation (full-width letters, ligatures, ...). Spark has no built-in for it; texts that it can't change don't leave the JVM. Give it a column of its own: it is looked at twice."""
+    return F.coalesce(_nfkc(F.when(text.rlike(CHANGING), text)), text)
 
 
 def normalise(text: Column) -> Column:
@@ -99,6 +101,12 @@ def concepts(compact: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def han_of(text: Column) -> Column:
+    """The tokens of a text's Han runs; most texts hold no letter from U+2E80 on, so none of Han, and aren't looked at further."""
+    normal = normalise(split_camel(F.when(text.rlike(r"[^\x00-\u2E7F]"), text)))
+    return F.coalesce(han_tokens(normal), F.array().cast("array<string>"))
+
+
 def token_lists(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """(keys, tokens): each text's tokens as they come, as strings whose form tells their weight: words and Han grams, and concepts of which a phrase stands in it."""
     rows = df.select(*keys, normalise(split_camel(text)).alias("_normal"))

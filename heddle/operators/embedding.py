@@ -42,6 +42,6 @@ def embedded(texts: DataFrame, key: str, embedder: Embedder) -> DataFrame:
 
 
 def unknown(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """(hash, text) of the texts (id, hash, text) whose hash the known vectors (hash, ...) lack, each hash once. Only hashes and ids are exchanged to find them."""
+    """(hash, text) of the texts (id, hash, text) whose hash the known vectors (hash, ...) lack, each hash once if ids are unique. Only hashes and ids are exchanged: no text is sorted or moved for that."""
     new = texts.where(F.length("text") > 0).groupBy("hash").agg(F.min("id").alias("id")).join(known.select("hash"), "hash", "left_anti")
-    return texts.join(new.select("id"), "id", "left_semi").select("hash", "text").dropDuplicates(["hash"])
+    return texts.join(new.select("id"), "id", "left_semi").select("hash", "text")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import time
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -30,6 +31,7 @@ from . import lexical as L
 
 SEGMENTS = 8  # more are rewritten as one
 FREQUENT, FREQUENT_TOKENS = 20_000, 500  # postings of a token that one task writes; tokens that may have more
+BUCKET_BYTES, BUCKET_POSTINGS = 16 << 20, 1_000_000  # of contents and of postings in a bucket: a task sorts one at a time, so its memory doesn't grow with the table
 LITERALS = 256  # keys that are looked up as literals, which prune buckets and row groups; more are joined
 TABLES = {"chunks": "chunk_id", "terms": "chunk_id", "vectors": "chunk_id", "postings": "token"}
 CHUNKING = 3
@@ -110,6 +112,10 @@ class Knowledge:
             raise
 
     def _built(self, staging: Staging, chunks: DataFrame, source: str) -> dict:
+        with _bucket_by_bucket(self.spark):
+            return self._written(staging, chunks, source)
+
+    def _written(self, staging: Staging, chunks: DataFrame, source: str) -> dict:
         began, clock = time.time(), []
 
         def timed(name: str) -> None:
@@ -121,16 +127,17 @@ class Knowledge:
         added, gone = self._compared(chunks, before)
         timed("compare")
         # the segment of the added chunks, each table from the one before
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = self._parts(added)
         counts, lengths = Observation(), Observation()
-        new = staging.write("chunks", L.prepared(added.repartition(parts, "chunk_id")).observe(counts, F.count("*").alias("n"), F.count_if(F.length(indexed_text()) > 0).alias("texts")), "chunk_id", dealt=True)
+        new = staging.write("chunks", L.prepared(added.repartition(parts, "chunk_id")).observe(counts, F.count("*").alias("n"), F.count_if(F.length(indexed_text()) > 0).alias("texts")), "chunk_id", dealt=True, buckets=parts)
         timed("chunks")
-        terms = staging.write("terms", L.terms_of(new).observe(lengths, F.sum(F.round(F.col("length") * 10)).cast("long").alias("tenths")), "chunk_id", dealt=True)
+        terms = staging.write("terms", L.terms_of(new).observe(lengths, F.sum(F.round(F.col("length") * 10)).cast("long").alias("tenths"), F.sum(F.size("terms")).alias("postings")), "chunk_id", dealt=True, buckets=parts)
         timed("terms")
-        postings = staging.write("postings", *_spread(L.postings_of(terms), counts.get["n"], parts))
+        of_tokens = self._parts_of_postings(lengths.get["postings"])
+        postings = staging.write("postings", *_spread(L.postings_of(terms), counts.get["n"], of_tokens), buckets=of_tokens)
         timed("postings")
         vectors, embedded = self._vectors(new, before)
-        vectors = staging.write("vectors", vectors, "chunk_id")
+        vectors = staging.write("vectors", vectors, "chunk_id", buckets=parts)
         timed("vectors")
         n, tenths = counts.get["n"], lengths.get["tenths"] or 0
         segments, removed, rows = [], None, L.statistics(postings)
@@ -148,7 +155,7 @@ class Knowledge:
             removed = before.removed.unionByName(gone.select("segment", "chunk_id"))
             taken = L.postings_of(went).groupBy("token").agg((-F.count("*")).alias("df"), F.lit(None).cast("double").alias("most"), F.lit(None).cast("double").alias("least"))
             rows = before.index.df.unionByName(rows).unionByName(taken).groupBy("token").agg(F.sum("df").alias("df"), F.max("most").alias("most"), F.min("least").alias("least")).where("df > 0")
-        staging.write("df", rows, "token")
+        staging.write("df", rows, "token", buckets=of_tokens)
         timed("statistics")
         segments.append({"revision": staging.revision, "n": counts.get["n"], "removed": 0})
         if len(segments) > SEGMENTS or sum(s["removed"] for s in segments) > n:
@@ -161,6 +168,14 @@ class Knowledge:
         staging.commit({"model": self.embedder.signature, "dimension": self.embedder.dimension, "chunking": CHUNKING, "layout": LAYOUT, "source_hash": source, "n": n, "tenths": tenths, "average": max(1.0, tenths / 10 / n if n else 1.0), "segments": segments, "uses": [s["revision"] for s in segments], "whole": whole and (before is None or before.manifest["whole"]), "report": report})
         return report
 
+    def _parts(self, chunks: DataFrame) -> int:
+        """Buckets of the tables by chunk_id: as many as the session has shuffle partitions, or more, so that each holds `BUCKET_BYTES` of contents at most, by and large."""
+        held = chunks.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-held // BUCKET_BYTES))
+
+    def _parts_of_postings(self, n: int | None) -> int:
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-(n or 0) // BUCKET_POSTINGS))
+
     def _compared(self, chunks: DataFrame, before: Loaded | None) -> tuple[DataFrame, DataFrame | None]:
         """The chunks that the index before lacks, and its rows (segment, chunk_id) that are there no more."""
         if before is None:
@@ -174,7 +189,7 @@ class Knowledge:
         """(chunk_id, hash, embedding) of the new chunks, and how many texts were embedded for them."""
         texts = new.select(F.col("chunk_id").alias("id"), "hash", indexed_text().alias("text"))
         known = before.every_vector if before is not None else self.spark.createDataFrame([], "hash string, embedding array<double>")
-        made = stored(E.embedded(E.unknown(texts, known), "hash", self.embedder))
+        made = stored(E.embedded(E.unknown(texts, known), "hash", self.embedder).dropDuplicates(["hash"]))
         usable = known.join(small(stored(new.select("hash").distinct())), "hash", "left_semi").groupBy("hash").agg(F.any_value("embedding").alias("embedding")) if before is not None else known
         return new.select("chunk_id", "hash").join(usable.unionByName(made), "hash").select("chunk_id", "hash", "embedding"), made.count()
 
@@ -183,12 +198,25 @@ class Knowledge:
         out = small(gone.select("chunk_id"))
         old = {"chunks": before.index.chunks.drop("segment"), "terms": before.index.terms, "postings": before.index.postings}
         old["vectors"] = before.index.vectors.join(before.index.chunks.select("chunk_id", "hash"), "chunk_id").select("chunk_id", "hash", "embedding")
+        parts = {"chunk_id": self._parts(old["chunks"].select("content").unionByName(new["chunks"].select("content"))), "token": self._parts_of_postings(old["postings"].count() + new["postings"].count())}
         for name, key in TABLES.items():
             rows = old[name].join(out, "chunk_id", "left_anti").select(*new[name].columns).unionByName(new[name])
-            staging.replace(name, rows, key)
+            staging.replace(name, rows, key, parts[key])
         return [{"revision": staging.revision, "n": n, "removed": 0}], None
 
 
+@contextmanager
+def _bucket_by_bucket(spark: SparkSession):
+    """Within it a task that reads a bucketed table reads one bucket. Else Spark may hand a task many files at once where no join or group needs the buckets, and the more the larger the table is."""
+    name = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _spread(postings: DataFrame, n: int, parts: int) -> tuple:
     """What `Staging.write` takes of the postings of n chunks: those of a token that stands in many of them go to several tasks. The count of such tokens is an estimate, as only the deal depends on it."""
     least = max(FREQUENT, 2 * n // parts)

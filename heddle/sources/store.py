@@ -203,15 +203,15 @@ class Staging:
     def __exit__(self, *_) -> None:
         self.store._fs.delete(self.store._path(self.aside), True)
 
-    def write(self, name: str, df: DataFrame, key: str | None = None, dealt: bool = False, apart: str | None = None) -> DataFrame:
-        """The table as written. By a key it gets as many buckets as the session has shuffle partitions; rows that are dealt so already aren't moved again. Each bucket is written by one task, but for rows with a number above 0 in the column `apart`, which isn't kept: these go to as many tasks further on, so a bucket may have several files."""
+    def write(self, name: str, df: DataFrame, key: str | None = None, dealt: bool = False, apart: str | None = None, buckets: int | None = None) -> DataFrame:
+        """The table as written. By a key it gets the buckets named, or as many as the session has shuffle partitions; rows that are dealt so already aren't moved again. Each bucket is written by one task, but for rows with a number above 0 in the column `apart`, which isn't kept: these go to as many tasks further on, so a bucket may have several files."""
         path = f"{self.aside}/{name}"
         self.tables.append(name)
         if key is None:
             df.write.parquet(path)
             return self.store.spark.read.schema(df.schema).parquet(path)
         spark = self.store.spark
-        n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), self._named(name)
+        n, table = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), self._named(name)
         if apart is not None:
             at = F.pmod(F.hash(key), F.lit(n))  # as Spark numbers buckets
             df = df.repartitionById(n, F.pmod(at + F.col(apart), F.lit(n)).cast("int")).drop(apart)
@@ -221,9 +221,9 @@ class Staging:
         self.bucketed[name] = {"key": key, "buckets": n, "columns": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)}
         return spark.table(table)
 
-    def replace(self, name: str, df: DataFrame, key: str) -> None:
+    def replace(self, name: str, df: DataFrame, key: str, buckets: int | None = None) -> None:
         """Write a table that stands in place of one written before and may be made of it."""
-        self.write(f"{name}-next", df, key)
+        self.write(f"{name}-next", df, key, buckets=buckets)
         self.tables.remove(f"{name}-next")
         fs, path = self.store._fs, self.store._path
         for staged in (name, f"{name}-next"):

@@ -1,5 +1,8 @@
 """Scoring where the terms lie beside exhaustive scoring; no pairs are shuffled, texts stay where they are."""
 
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 from test_bounded import QUERIES, best, texts
@@ -50,6 +53,59 @@ def test_terms_are_added_up_within_a_row(spark):
     assert {r["chunk_id"] for r in terms.where("length >= 1").collect()} == {f"c{k}" for k in range(1, 6)}
 
 
+def test_terms_of_texts_side_by_side(spark, monkeypatch):
+    """Texts are split many at once: names, words and phrases end where a text ends, whatever its letters."""
+    odd = ["", "aB", "Cd", "ABc", "XMLHttp", "HTTPServer2Go", "wordA", "Bc", "A", "Bc", "aA", "ca", "che ca che", "connection", "pool", "İstanbul K ﬁleName Ｆｕｌｌ", "é1É2Él", "数据库", "连接池连 接数据", "²x ①２", "\\tcp\\Ip", "a\x0bb\x0cc\xa0d", "UPPER lower MiXed", "", "x" * 50]
+    want = None
+    for size in (4 << 20, 1, 60):  # of what is split at a time
+        monkeypatch.setattr(lexical, "RUN_BYTES", size)
+        rows = frame(spark, dict(enumerate(odd))).coalesce(1)
+        rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("file_name", "source_location")})
+        got = lexical.terms_of(rows).select("chunk_id", F.explode("terms").alias("t")).select("chunk_id", "t.token", F.round("t.weight", 9))
+        want = want or sorted(map(tuple, T.token_rows(rows, "chunk_id", indexed_text()).select("chunk_id", "token", F.round("weight", 9)).collect()))
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_letters_that_normalisation_keeps_stay_in_the_jvm(spark):
+    rows = spark.createDataFrame([("é",), ("Straße – “naïve” €",), ("plain",), ("e\u0301",), ("ﬁ",), ("…",), ("½",)], "t string")
+    assert [r[0] for r in rows.select(F.col("t").rlike(T.CHANGING)).collect()] == [False, False, False, True, True, True, True]
+    kept = [chr(c) for c in range(0x80, 0x3000) if unicodedata.is_normalized("NFKC", chr(c)) and not unicodedata.combining(chr(c))]
+    every = spark.createDataFrame([(c,) for c in map(chr, range(0x80, 0x3000))], "t string")
+    left = {r[0] for r in every.where(~F.col("t").rlike(T.CHANGING)).collect()}
+    assert left <= set(kept) and len(left) > 150
+
+
+def test_prepared_names_beside_the_patterns(spark):
+    texts = ["class A", "my subclass b", "def f(x) g(y) (z)", "no names here", "", "record", "function (", "a( enum e(", "klass A"]
+    rows = lexical.prepared(frame(spark, dict(enumerate(texts))))
+    declared, called = r"(?:class|interface|record|enum|def|function) (?=(\S+))", r"(?:^| )([^\s(]+)\("
+    for r in rows.collect():
+        assert (r["declared"], r["called"]) == tuple(list(dict.fromkeys(re.findall(p, r["normal_content"]))) for p in (declared, called))
+
+
+def test_buckets_grow_with_the_table(spark, queries, tmp_path, monkeypatch):
+    """A task that writes or reads a bucket holds a bounded part of the table, whatever the shuffle partitions."""
+    rows = texts(200, 6)
+    few = published.Knowledge(spark, str(tmp_path / "few"))
+    few.update(frame(spark, rows))
+    monkeypatch.setattr(published, "BUCKET_BYTES", sum(map(len, rows.values())) // 9)
+    monkeypatch.setattr(published, "BUCKET_POSTINGS", few.load().index.postings.count() // 11)
+    many = published.Knowledge(spark, str(tmp_path / "many"))
+    many.update(frame(spark, rows))
+    buckets = lambda kb: {name: x["buckets"] for name, x in kb.store._manifest(kb.load().manifest["revision"])["bucketed"].items()}
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert set(buckets(few).values()) == {least}
+    assert all(n >= (11 if name in ("postings", "df") else 9) > least for name, n in buckets(many).items())
+    row = lambda df: sorted(map(tuple, df.collect()))
+    one, other = few.load().index, many.load().index
+    assert row(one.postings) == row(other.postings) and row(one.vectors) == row(other.vectors) and row(one.df) == row(other.df)
+    assert best(lexical.bm25(other, queries), 5) == best(lexical.bm25(one, queries), 5)
+    assert other.terms.select(F.spark_partition_id()).count() == len(rows)
+    with published._bucket_by_bucket(spark):
+        assert other.terms.rdd.getNumPartitions() >= 9
+    assert spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled") == "true"
+
+
 def test_frequent_tokens_are_written_by_several_tasks(spark, queries, tmp_path, monkeypatch):
     rows = texts(200, 5)
     whole = published.Knowledge(spark, str(tmp_path / "whole"))
