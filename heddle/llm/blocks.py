@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 BLOCKS_PER_PARTITION = 1  # a block sends a row to each bucket, so fewer and larger blocks mean fewer rows
 ROWS_PER_BATCH = 1000
+BLOCK_BYTES = 16 << 20  # of texts in a block, by and large
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: later than any other
 
 
@@ -28,6 +29,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def blocks_for(spark: SparkSession, held: int) -> int:
+    """Blocks, and buckets, for so many bytes of texts: as many as the session has shuffle partitions, or more, so that what a task holds of a block doesn't grow with the table where their number doesn't follow it."""
+    return max(partitions(spark), -(-held // BLOCK_BYTES))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts may be long, so batches to Python hold fewer rows than by default."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:

@@ -32,7 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -87,9 +87,9 @@ def block_of(ids: np.ndarray, n: int) -> np.ndarray:
     return np.mod(ids, n).astype(np.int32)
 
 
-def id_blocks(spark) -> int:
+def id_blocks(parts: int) -> int:
     """Blocks of ids by remainder: a prime number of them, so that ids with a common step spread, too."""
-    n = max(2, B.partitions(spark))
+    n = max(2, parts)
     while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
         n += 1
     return n
@@ -128,9 +128,8 @@ def _as_bitmap(batches):
     yield pa.RecordBatch.from_pydict({"bits": [zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)]}, schema=pa.schema([("bits", pa.binary())]))
 
 
-def common_shingles(sent: DataFrame) -> np.ndarray:
+def common_shingles(sent: DataFrame, p: int) -> np.ndarray:
     """A bitmap of fixed size over the leading bits of the hashes: set for common ones, the most frequent first, as many as it takes well."""
-    p = B.partitions(sent.sparkSession)
     slots = B.saved(sent.repartition(p, "bucket").groupBy("bucket").applyInArrow(_common_slots, "level int, n long, slots binary"))
     least, held = 64, 0
     for r in slots.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.col("level").desc()).collect():  # one row for each power of two
@@ -417,10 +416,9 @@ def _by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "id", how)
 
 
-def _decided(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+def _decided(docs: DataFrame, pairs: DataFrame, shingle: int, p: int) -> DataFrame:
     """(a, b) of those pairs, packed by the block of a, that are links."""
-    spark = docs.sparkSession
-    n, p = id_blocks(spark), B.partitions(spark)
+    n = id_blocks(p)
     named = pairs.select("a", "b").mapInArrow(_ids_of_pairs(n), "block int, ids binary").repartition(p, "block")
     need = B.saved(named.groupBy("block").applyInArrow(_once, "id long"))
     dealt = _by_ids(docs, need, "left_semi").select(F.pmod("id", F.lit(n)).cast("int").alias("block"), "id", "text").repartition(p, "block")
@@ -441,10 +439,8 @@ def _open_tiles(tiles: DataFrame) -> DataFrame:
     return salted.join(spread.select("tile", "pieces", salts), ["tile", "salt"]).drop("salt")
 
 
-def _tile_links(known: DataFrame, tiles: DataFrame, shingle: int) -> DataFrame | None:
+def _tile_links(known: DataFrame, tiles: DataFrame, shingle: int, parts: int) -> DataFrame | None:
     """The links between different components within the tiles (tile, id, size, times, component)."""
-    spark = known.sparkSession
-    n, p = id_blocks(spark), B.partitions(spark)
     rest = B.saved(_open_tiles(tiles))
     if rest.isEmpty():
         return None
@@ -453,22 +449,23 @@ def _tile_links(known: DataFrame, tiles: DataFrame, shingle: int) -> DataFrame |
     piece = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
     cut = rest.withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     cut = cut.withColumn("p", F.least("piece", "other")).withColumn("q", F.greatest("piece", "other")).join(signed, "id")
-    group = F.when(F.col("pieces") == 1, F.pmod("tile", F.lit(4 * p))).otherwise(F.xxhash64("tile", "p", "q"))
-    more = cut.withColumn("grp", group).groupBy("grp").applyInArrow(_tile_pairs(n), "block int, a binary, b binary, c binary, d binary")
-    return B.saved(_decided(known, B.saved(more), shingle))
+    group = F.when(F.col("pieces") == 1, F.pmod("tile", F.lit(4 * parts))).otherwise(F.xxhash64("tile", "p", "q"))
+    more = cut.withColumn("grp", group).groupBy("grp").applyInArrow(_tile_pairs(id_blocks(parts)), "block int, a binary, b binary, c binary, d binary")
+    return B.saved(_decided(known, B.saved(more), shingle, parts))
 
 
 class Classes:
     """What the join finds. base: (doc_id, n, d1, d2) of every row; held: those of documents with a set, once each; several: (doc_id) of
-    documents with more than one set; known: (id, text), of the documents with one set the first of each class of copies, and all
+    documents with more than one set; parts: blocks and buckets that the texts' size asks for; known: (id, text), of the documents with one set the first of each class of copies, and all
     rows of the others; found: (node, component) of the documents that have a link."""
 
     def __init__(self, docs: DataFrame, shingle: int):
         spark = docs.sparkSession
         B.small_batches(spark)
-        n, p = B.block_count(spark), B.partitions(spark)
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.base = B.saved(rows.mapInArrow(_base(shingle), BASE))
+        held = Observation()
+        self.base = B.saved(rows.observe(held, F.sum(F.octet_length("text")).alias("bytes")).mapInArrow(_base(shingle), BASE))
+        self.parts = p = B.blocks_for(spark, held.get["bytes"] or 0)
         self.held = self.base.where("n > 0 AND doc_id IS NOT NULL").distinct()
         self.several = B.saved(self.held.groupBy("doc_id").count().where("count > 1").select("doc_id"))
         copies = self.held.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z")
@@ -478,15 +475,15 @@ class Classes:
         known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
         self.known = _by_ids(known, B.saved(later), "left_anti")
 
-        bits = common_shingles(self.known.mapInArrow(_send_prefixes(shingle, n, None), SENT))
-        sent = self.known.mapInArrow(_send_prefixes(shingle, n, spark.sparkContext.broadcast(bits)), SENT)
-        paired = B.saved(sent.repartition(p, "bucket").groupBy("bucket").applyInArrow(_first_pairs(id_blocks(spark)), PAIRED))
-        links = B.saved(equal.union(_decided(self.known, paired.where("kind = 0").select("block", "a", "b", "c", "d"), shingle)))
+        bits = common_shingles(self.known.mapInArrow(_send_prefixes(shingle, p, None), SENT), p)
+        sent = self.known.mapInArrow(_send_prefixes(shingle, p, spark.sparkContext.broadcast(bits)), SENT)
+        paired = B.saved(sent.repartition(p, "bucket").groupBy("bucket").applyInArrow(_first_pairs(id_blocks(p)), PAIRED))
+        links = B.saved(equal.union(_decided(self.known, paired.where("kind = 0").select("block", "a", "b", "c", "d"), shingle, p)))
         self.found = B.saved(components(links))
 
         tiles = paired.where("kind = 1").select("a", "b", "c", "d").mapInArrow(_tile_rows, "tile long, id long, size int, times int").groupBy("tile", "id").agg(F.max("size").alias("size"), F.sum("times").alias("times"))
         tiles = B.saved(tiles.join(self.found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
-        again = _tile_links(self.known, tiles, shingle)
+        again = _tile_links(self.known, tiles, shingle, p)
         if again is not None and not again.isEmpty():
             self.found = B.saved(components(self.found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(again)))
 
@@ -600,7 +597,6 @@ def _in_component(count: bool):
 
 def _component_groups(got: Classes, shingle: int) -> DataFrame:
     """The sets of the components with two different ones or more, dealt to groups of bounded size."""
-    spark, p = got.base.sparkSession, B.partitions(got.base.sparkSession)
     nodes = got.reps.select(F.col("rep").alias("id"), "copies", "n").unionByName(got.held.join(got.several, "doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.sum("n").alias("n")).withColumn("copies", F.lit(1).cast("long")))
     nodes = B.saved(nodes.join(got.found.withColumnRenamed("node", "id"), "id"))
     whole = nodes.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1")
@@ -615,7 +611,7 @@ def _component_groups(got: Classes, shingle: int) -> DataFrame:
     sets = sets.join(F.broadcast(large) if large.count() <= BROADCAST_IDS else large, "component", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     cut = sets.withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     cut = cut.withColumn("p", F.least("piece", "other")).withColumn("q", F.greatest("piece", "other")).drop("other")
-    return cut.withColumn("grp", F.when(F.col("pieces") == 1, F.pmod(F.xxhash64("component"), F.lit(4 * p))).otherwise(F.xxhash64("component", "p", "q")))
+    return cut.withColumn("grp", F.when(F.col("pieces") == 1, F.pmod(F.xxhash64("component"), F.lit(4 * got.parts))).otherwise(F.xxhash64("component", "p", "q")))
 
 
 def linked(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

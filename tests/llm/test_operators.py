@@ -10,7 +10,7 @@ import pytest
 from compare import SMALL, duck_rows, spark_rows
 from pyspark.sql import functions as F
 
-from heddle.llm import decontaminate, graph, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, warc
+from heddle.llm import blocks, decontaminate, graph, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, warc
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -368,6 +368,14 @@ def test_jaccard_join_keeps_all_links(spark, data, which):
     assert bag(jaccard_join.report(docs).collect()) == bag((i, n, c, count.get(i, 0)) for i, n, c in X.components(rows))
 
 
+def test_jaccard_join_blocks_follow_the_size(spark, data, monkeypatch):
+    docs = X.frame(spark, data)
+    assert jaccard_join.Classes(docs, 5).parts == 4
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", sum(len((t or "").encode()) for _, t, *_ in data) // 23)
+    got = jaccard_join.Classes(docs, 5)
+    assert 23 <= got.parts <= 24 and bag(got.of_rows().collect()) == bag(X.components(data))
+
+
 def test_jaccard_join_in_pieces(spark, monkeypatch):
     rows = near_copies()
     want = bag(jaccard_join.report(X.frame(spark, rows)).collect())
