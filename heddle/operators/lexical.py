@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ QUERY_WEIGHT = (0.25, 3.0)
 NAMES = ("path", "file_name", "source_location", "extension")
 DECLARING = ("class", "interface", "record", "enum", "def", "function")
 RUN_BYTES = 4 << 20  # of texts that are split at a time
+RUN_POSTINGS = 1 << 19  # that are brought into lists at a time
 
 
 @dataclass
@@ -176,6 +178,43 @@ def postings_of(terms: DataFrame) -> DataFrame:
     return terms.select("chunk_id", "length", F.explode("terms").alias("t")).select("t.token", "chunk_id", "t.weight", "length")
 
 
+def _inverted(chunks: int, most: int):
+    def of_run(batches, task: int) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        held = pa.concat_arrays(table["terms"].chunks)
+        flat, row = held.flatten(), np.repeat(np.arange(len(held)), pa.compute.list_value_length(held).to_numpy())
+        coded = flat.field("token").dictionary_encode()
+        code = coded.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        many = np.bincount(code, minlength=len(coded.dictionary))
+        at = pa.array(row[order])
+        rows = pa.StructArray.from_arrays([pa.concat_arrays(table["chunk_id"].chunks).take(at), flat.field("weight").take(pa.array(order)), pa.concat_arrays(table["length"].chunks).take(at)], names=["chunk_id", "weight", "length"])
+        tasks = np.maximum(1, np.ceil(many * (chunks / len(held)) / most)).astype(np.int64)  # by the share of the run's chunks that hold the token
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), rows), pa.array((task % tasks).astype(np.int32))], names=["token", "postings", "apart"])
+
+    def of_batches(batches):
+        task, held, count = TaskContext.get().partitionId(), [], 0
+        for batch in batches:
+            n = pa.compute.sum(pa.compute.list_value_length(batch.column("terms"))).as_py() or 0
+            if not n:
+                continue
+            held.append(batch)
+            count += n
+            if count >= RUN_POSTINGS:
+                yield of_run(held, task)
+                task, held, count = task + 1, [], 0
+        if held:
+            yield of_run(held, task)
+
+    return of_batches
+
+
+def lists_of(terms: DataFrame, chunks: int = 0, most: int = 1) -> DataFrame:
+    """token, postings, apart: a task's postings some at a time as a list for each token, so that far fewer rows than postings are moved and sorted. apart tells the lists of a token apart that may have more than `most` postings among so many chunks: numbers from 0, no more of them than are needed; by an estimate, on which only the deal depends."""
+    kind = terms.schema["chunk_id"].dataType.simpleString()
+    return terms.select("chunk_id", "length", "terms").mapInArrow(_inverted(chunks, most), f"token string, postings array<struct<chunk_id:{kind},weight:double,length:double>>, apart int")
+
+
 def statistics(postings: DataFrame) -> DataFrame:
     return postings.groupBy("token").agg(F.count("*").alias("df"), F.max("weight").alias("most"), F.min("length").alias("least"))
 

@@ -30,7 +30,7 @@ from . import embedding as E
 from . import lexical as L
 
 SEGMENTS = 8  # more are rewritten as one
-FREQUENT, FREQUENT_TOKENS = 20_000, 500  # postings of a token that one task writes; tokens that may have more
+FREQUENT = 20_000  # postings of a token that one task writes
 BUCKET_BYTES, BUCKET_POSTINGS = 16 << 20, 1_000_000  # of contents and of postings in a bucket: a task sorts one at a time, so its memory doesn't grow with the table
 LITERALS = 256  # keys that are looked up as literals, which prune buckets and row groups; more are joined
 TABLES = {"chunks": "chunk_id", "terms": "chunk_id", "vectors": "chunk_id", "postings": "token"}
@@ -134,7 +134,7 @@ class Knowledge:
         terms = staging.write("terms", L.terms_of(new).observe(lengths, F.sum(F.round(F.col("length") * 10)).cast("long").alias("tenths"), F.sum(F.size("terms")).alias("postings")), "chunk_id", dealt=True, buckets=parts)
         timed("terms")
         of_tokens = self._parts_of_postings(lengths.get["postings"])
-        postings = staging.write("postings", *_spread(L.postings_of(terms), counts.get["n"], of_tokens), buckets=of_tokens)
+        postings = staging.write("postings", L.lists_of(terms, counts.get["n"], max(FREQUENT, 2 * counts.get["n"] // of_tokens)), "token", apart="apart", buckets=of_tokens, lists="postings")
         timed("postings")
         vectors, embedded = self._vectors(new, before)
         vectors = staging.write("vectors", vectors, "chunk_id", buckets=parts)
@@ -217,17 +217,6 @@ def _bucket_by_bucket(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def _spread(postings: DataFrame, n: int, parts: int) -> tuple:
-    """What `Staging.write` takes of the postings of n chunks: those of a token that stands in many of them go to several tasks. The count of such tokens is an estimate, as only the deal depends on it."""
-    least = max(FREQUENT, 2 * n // parts)
-    if n <= least:
-        return postings, "token"
-    top = postings.agg(F.expr(f"approx_top_k(token, {FREQUENT_TOKENS})").alias("top")).select(F.explode("top").alias("t")).select(F.col("t.item").alias("token"), F.ceil(F.col("t.count") / least).cast("int").alias("tasks"))
-    held = postings.join(F.broadcast(stored(top.where("tasks > 1"))), "token", "left")
-    apart = F.coalesce(F.pmod(F.xxhash64("chunk_id"), F.col("tasks")), F.lit(0)).cast("int")
-    return held.select(*postings.columns, apart.alias("_apart")), "token", False, "_apart"
-
-
 def by_key(table: DataFrame, key: str, asked: DataFrame) -> DataFrame:
     """The rows of a table with one of the keys asked for: few keys as literals, so that only their buckets and row groups are read; more by a join."""
     few = asked.select(key).where(F.col(key).isNotNull()).distinct().limit(LITERALS + 1).collect()

@@ -203,8 +203,8 @@ class Staging:
     def __exit__(self, *_) -> None:
         self.store._fs.delete(self.store._path(self.aside), True)
 
-    def write(self, name: str, df: DataFrame, key: str | None = None, dealt: bool = False, apart: str | None = None, buckets: int | None = None) -> DataFrame:
-        """The table as written. By a key it gets the buckets named, or as many as the session has shuffle partitions; rows that are dealt so already aren't moved again. Each bucket is written by one task, but for rows with a number above 0 in the column `apart`, which isn't kept: these go to as many tasks further on, so a bucket may have several files."""
+    def write(self, name: str, df: DataFrame, key: str | None = None, dealt: bool = False, apart: str | None = None, buckets: int | None = None, lists: str | None = None) -> DataFrame:
+        """The table as written. By a key it gets the buckets named, or as many as the session has shuffle partitions; rows that are dealt so already aren't moved again. Each bucket is written by one task, but for rows with a number above 0 in the column `apart`, which isn't kept: these go to as many tasks further on, so a bucket may have several files. lists: a column of lists of rows, which are dealt and sorted as they are and opened only then."""
         path = f"{self.aside}/{name}"
         self.tables.append(name)
         if key is None:
@@ -217,6 +217,8 @@ class Staging:
             df = df.repartitionById(n, F.pmod(at + F.col(apart), F.lit(n)).cast("int")).drop(apart)
         elif not dealt:
             df = df.repartition(n, key)
+        if lists is not None:
+            df = df.sortWithinPartitions(key).select(key, F.inline(lists))
         df.write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(table)
         self.bucketed[name] = {"key": key, "buckets": n, "columns": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)}
         return spark.table(table)

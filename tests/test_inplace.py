@@ -106,6 +106,25 @@ def test_buckets_grow_with_the_table(spark, queries, tmp_path, monkeypatch):
     assert spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled") == "true"
 
 
+def test_postings_are_moved_in_lists(spark, tmp_path, monkeypatch):
+    """Far fewer rows than postings are moved and sorted, however many runs of postings a task has; none is lost."""
+    rows = texts(300, 8)
+    kb = published.Knowledge(spark, str(tmp_path / "kb"))
+    kb.update(frame(spark, rows))
+    index = kb.load().index
+    row = lambda df: sorted(map(tuple, df.select("token", "chunk_id", "weight", "length").collect()))
+    want = row(lexical.postings_of(index.terms))
+    assert row(index.postings) == want
+    lists = lexical.lists_of(index.terms.coalesce(2), len(rows), 10**6)
+    common = lists.where("token IN ('common', 'often', 'usual')").select(F.size("postings").alias("n"), "apart").collect()
+    assert len(common) == 6 and sum(r["n"] for r in common) > 300 and not any(r["apart"] for r in common)
+    monkeypatch.setattr(lexical, "RUN_POSTINGS", 100)
+    lists = lexical.lists_of(index.terms, len(rows), 40)
+    assert row(lists.select("token", F.inline("postings"))) == want
+    apart = lists.groupBy("token").agg(F.max("apart").alias("most"), F.sum(F.size("postings")).alias("n")).collect()
+    assert all(r["most"] == 0 for r in apart if r["n"] < 5) and any(r["most"] > 0 for r in apart if r["token"] == "common")
+
+
 def test_frequent_tokens_are_written_by_several_tasks(spark, queries, tmp_path, monkeypatch):
     rows = texts(200, 5)
     whole = published.Knowledge(spark, str(tmp_path / "whole"))
