@@ -6,10 +6,11 @@ What a question holds is bounded (`TOTAL` citations, `ROUNDS` searches, `QUERIES
 
 from __future__ import annotations
 
+import errno
+import re
 from collections.abc import Callable
 
-from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ ROUNDS, QUERIES, QUERY_CHARS = 4, 3, 500
 TOTAL, FIRST, FOLLOW_UP, PER_PATH = 12, 6, 3, 3
 PLACE = "chunk_id string, path string, source_location string, start_line int, end_line int, score double"
 CITED = f"qid long, number int, {PLACE}"
+DISK = (errno.ENOSPC, errno.EDQUOT, errno.EIO, errno.EROFS)  # what a full or broken disk says
 _NAMES = [c.split()[0] for c in PLACE.split(", ")]
 
 
@@ -63,16 +65,34 @@ def planned(decisions: DataFrame, attempts: DataFrame) -> DataFrame:
     return few.join(attempts.select("qid", "key"), ["qid", "key"], "left_anti").select("qid", "search", "query")
 
 
+def _kinds(kind: type) -> set[str]:
+    return {kind.__name__}.union(*map(_kinds, kind.__subclasses__()))
+
+
+def unreachable(failure: Exception) -> bool:
+    """Whether a planner's failure says that it can't be reached: an OSError of its own, or of a kind of OSError that the driver knows, raised when it is called or by its code in a task. A disk's errors are none, nor is any other failure of the job."""
+    if isinstance(failure, OSError):
+        return failure.errno not in DISK
+    if not isinstance(failure, PythonException):
+        return False
+    # the worker's trace is a text: what was raised stands in the first line that isn't set in
+    raised = re.search(r"^([\w.]+)(?:: (?:\[Errno (\d+)\])?|$)", str(failure).rpartition("Traceback (most recent call last):")[2], re.MULTILINE)
+    return bool(raised) and raised[1].rpartition(".")[2] in _kinds(OSError) and int(raised[2] or 0) not in DISK
+
+
 def collect(questions: DataFrame, search: Callable[[DataFrame], DataFrame], plan: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Citations (qid, number, ...) of the questions (qid, query).
+    """Citations (qid, number, ..., planner_unavailable) of the questions (qid, query).
 
     search: queries (qid, search, query) to results (qid, search, rank, chunk_id, path, source_location, start_line, end_line,
-    score). plan: citations and attempts so far to decisions (qid, action, queries). Without it, or where it fails, be it
-    when it is called or in a task, the citations so far stand: a planner that can't be reached costs recall, not the answer.
+    score). plan: citations and attempts so far to decisions (qid, action, queries). Without it, or where it can't be reached, be
+    it when it is called or in a task, the citations so far stand: that costs recall, not the answer. planner_unavailable tells
+    the questions that wanted a decision and got none, so that what they have isn't taken for the whole. Any other failure, be it
+    of the planner, of a job or of the disk, is raised.
     """
     spark = questions.sparkSession
     due = stored(questions.select("qid", F.lit(0).alias("search"), "query"))
     held, attempts = spark.createDataFrame([], CITED), spark.createDataFrame([], "qid long, key string, query string")
+    lost = spark.createDataFrame([], "qid long")
     for k in range(ROUNDS):
         most = FIRST if k == 0 else FOLLOW_UP
         found = search(due).select("qid", "search", "rank", F.col("chunk_id").cast("string").alias("chunk_id"), "path", "source_location", "start_line", "end_line", "score")
@@ -81,15 +101,21 @@ def collect(questions: DataFrame, search: Callable[[DataFrame], DataFrame], plan
         if plan is None or k + 1 == ROUNDS:
             break
         full = held.groupBy("qid").count().where(F.col("count") >= TOTAL).select("qid")
+        # only questions of the last round go on
+        waiting = due.select("qid").distinct().join(full, "qid", "left_anti")
         try:
             decisions = stored(plan(held, attempts))  # made here, as a lazy frame would fail later
-        except (OSError, PySparkException, Py4JError):
+        except (OSError, PythonException) as failure:
+            if not unreachable(failure):
+                raise
+            lost = lost.unionByName(waiting)
             break
-        # only questions of the last round go on
-        due = stored(planned(decisions, attempts).join(due.select("qid").distinct(), "qid", "left_semi").join(full, "qid", "left_anti"))
+        lost = lost.unionByName(waiting.join(decisions.where("action IN ('SEARCH', 'ANSWER')"), "qid", "left_anti"))
+        due = stored(planned(decisions, attempts).join(waiting, "qid", "left_semi"))
         if due.isEmpty():
             break
-    return held
+    lost = lost.distinct().withColumn("planner_unavailable", F.lit(True))
+    return held.join(lost, "qid", "left").select(*held.columns, F.coalesce("planner_unavailable", F.lit(False)).alias("planner_unavailable"))
 
 
 def decision(reply) -> F.Column:

@@ -2,10 +2,12 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from heddle.functions import text as T
 from heddle.operators import context, dense, highlight, iterate, lexical, retrieval
+from heddle.plans import stored
 
 
 def test_nearest_of_each_width(spark):
@@ -125,6 +127,49 @@ def test_iteration_stops(spark):
     assert iterate.collect(questions, search).count() == 2  # a single search without a planner
 
 
+def test_only_a_planner_that_is_away_leaves_the_citations_as_they_are(spark, monkeypatch):
+    questions = spark.createDataFrame([(1, "one"), (2, "two")], "qid long, query string")
+
+    def search(due):
+        return due.select("qid", "search", F.lit(1).alias("rank"), F.col("query").alias("chunk_id"), F.col("query").alias("path"), F.lit("L1-2").alias("source_location"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.lit(0.5).alias("score"))
+
+    def called(failure):
+        def plan(held, attempts):
+            raise failure
+
+        return plan
+
+    def in_a_task(failure):
+        @F.pandas_udf("string")
+        def remote(x: pd.Series) -> pd.Series:
+            raise failure
+
+        return lambda held, attempts: attempts.select("qid", remote("query").alias("action"), F.array("query").alias("queries"))
+
+    def broken_job(held, attempts):
+        return attempts.select("qid", F.raise_error(F.lit("OSError: not the planner's")).cast("string").alias("action"), F.array("query").alias("queries"))
+
+    def full_disk(held, attempts):  # what the planner says can't be stored
+        monkeypatch.setattr(stored, "shared_dir", lambda _: "/dev/null/full")
+        return attempts.select("qid", F.lit("ANSWER").alias("action"), F.array("query").alias("queries"))
+
+    told = lambda got: sorted((r["qid"], r["planner_unavailable"]) for r in got.collect())
+    with pytest.raises(Exception, match="/dev/null"):
+        iterate.collect(questions, search, full_disk)
+    monkeypatch.undo()
+    full, fault = OSError(28, "No space left on device"), ValueError("OSError: a fault of the planner")
+    for plan in (called(full), in_a_task(full), in_a_task(fault)):
+        with pytest.raises(Exception, match="No space|fault"):
+            iterate.collect(questions, search, plan)
+    for plan in (called(OSError("away")), in_a_task(TimeoutError("late\nsecond line")), in_a_task(ConnectionResetError(104, "reset"))):
+        assert told(iterate.collect(questions, search, plan)) == [(1, True), (2, True)]
+    with pytest.raises(Exception, match="not the planner's"):
+        iterate.collect(questions, search, broken_job)
+    # a decision that can't be used is told for its question alone
+    some = lambda held, attempts: spark.createDataFrame([(1, "ANSWER", ["x"]), (2, "UNAVAILABLE", [])], "qid long, action string, queries array<string>")
+    assert told(iterate.collect(questions, search, some)) == [(1, False), (2, True)] and told(iterate.collect(questions, search)) == [(1, False), (2, False)]
+
+
 def plain_spans(text):
     """All candidate places of a text whose spans are few, by plain scans."""
     import re
