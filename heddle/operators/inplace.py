@@ -7,6 +7,8 @@ pairs of a query and a chunk. A batch is scored some rows at a time, so a task's
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -17,7 +19,7 @@ from . import lexical as L
 from .lexical import K1, B
 
 CELLS = 1 << 18  # pairs of a chunk and a query that are scored at a time
-WEIGHTS = 200_000  # weights of queries' tokens that go to the tasks; with more, the postings are joined and the sums shuffled
+WEIGHTS = 200_000  # weights of queries' tokens that go to the tasks at a time; with more, stored postings are joined and the sums shuffled
 NAMES = ("file_name", "source_location", "path")
 
 
@@ -93,10 +95,17 @@ def _kept(weights, k: int, average: float):
 
 def best(index: L.Index, queries: DataFrame, k: int, extension: str | None = None) -> DataFrame:
     """qid, bm25, chunk_id, file_name, source_location, path of the k best chunks of each analysed query at least. qids are whole numbers."""
-    spark, weights = queries.sparkSession, L.weighed(index, L.query_terms(queries))
-    if weights.count() > WEIGHTS:
+    weights = L.weighed(index, L.query_terms(queries))
+    passes = max(1, -(-weights.count() // WEIGHTS))
+    if passes > 1 and index.by_token:
         found = L.scored(index, weights, extension).where("bm25 > 0")
         return found.join(index.chunks.select("chunk_id", *NAMES), "chunk_id").select("qid", "bm25", "chunk_id", *NAMES)
+    parts = [_found(index, weights.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == p), k, extension) for p in range(passes)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _found(index: L.Index, weights: DataFrame, k: int, extension: str | None) -> DataFrame:
+    spark = weights.sparkSession
     few = weights.select(F.col("qid").cast("long").alias("qid"), "token", "gain").orderBy("token", "qid").toArrow()
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, few.schema) as writer:

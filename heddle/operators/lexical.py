@@ -38,6 +38,7 @@ class Index:
     df: DataFrame  # token, df, most, least: documents, greatest weight, least length
     corpus: DataFrame  # n, avg_length: one row
     vectors: DataFrame  # chunk_id, embedding; none for chunks without text
+    by_token: bool = True  # whether the postings are stored; else they are made of the terms
 
 
 def prepared(chunks: DataFrame) -> DataFrame:
@@ -55,6 +56,19 @@ def prepared(chunks: DataFrame) -> DataFrame:
     return rows.withColumns({"declared": F.array_distinct(declared), "called": F.array_distinct(called)})
 
 
+def _plain(content: str) -> Column:
+    return F.replace(F.lower(content), F.lit("\\"), F.lit("/"))
+
+
+def folded(chunks: DataFrame) -> DataFrame:
+    """Prepared chunks as they are stored: most normal forms are the contents in lower case, and aren't kept beside them."""
+    return chunks.withColumn("normal_content", F.when(~F.col("normal_content").eqNullSafe(_plain("content")), F.col("normal_content")))
+
+
+def unfolded(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("normal_content", F.coalesce("normal_content", _plain("content")))
+
+
 def terms_of(chunks: DataFrame) -> DataFrame:
     """chunk_id, length, terms, and the names that a search filters by, orders by and returns. A chunk's tokens are added up within its row: no exchange. One without an id has no terms."""
     rows = chunks.select("chunk_id", *NAMES, F.when(F.col("chunk_id").isNotNull(), indexed_text()).otherwise("").alias("text"))

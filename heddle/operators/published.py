@@ -7,6 +7,10 @@ their lengths, which are whole numbers of tenths, so nothing is lost by adding a
 the hash of their text; only unknown texts are embedded. Many segments, or many removed chunks, are rewritten as one
 segment. If the index before is of another model, or lacks vectors, all is built anew.
 
+A knowledge base may do without postings: they repeat each chunk's id for each of its tokens, which is many times the texts
+where ids are digests, and a search scores chunks by their terms. Its index makes postings of the terms where they are asked
+for. A build's shuffle files go when the table that they are for is written, and its tables are compressed by zstd.
+
 chunk_ids must be unique. An empty table of chunks makes an empty index.
 """
 
@@ -35,7 +39,7 @@ BUCKET_BYTES, BUCKET_POSTINGS = 16 << 20, 1_000_000  # of contents and of postin
 LITERALS = 256  # keys that are looked up as literals, which prune buckets and row groups; more are joined
 TABLES = {"chunks": "chunk_id", "terms": "chunk_id", "vectors": "chunk_id", "postings": "token"}
 CHUNKING = 3
-LAYOUT = 2  # of the tables; an index of another one is built anew
+LAYOUT = 3  # of the tables; an index of another one is built anew
 
 
 @dataclass
@@ -55,8 +59,10 @@ class Loaded:
 class Knowledge:
     """A knowledge base in a folder that the driver and all executors share."""
 
-    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder = Histogram()):
+    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder = Histogram(), postings: bool = True):
+        """postings: whether the index keeps them, for look-ups by token."""
         self.spark, self.store, self.embedder = spark, Store(spark, folder), embedder
+        self.tables = {name: key for name, key in TABLES.items() if postings or name != "postings"}
 
     # reading
 
@@ -66,16 +72,16 @@ class Knowledge:
         if found is None:
             return None
         manifest, own = found
-        if manifest.get("layout") != LAYOUT:
+        if manifest.get("layout") != LAYOUT or manifest["postings"] != ("postings" in self.tables):
             return None
-        held: dict[str, list[DataFrame]] = {name: [] for name in TABLES}
+        held: dict[str, list[DataFrame]] = {name: [] for name in self.tables}
         vectors = []
         for segment in manifest["segments"]:
             part = self.store.load(segment["revision"])
             if part is None:
                 return None
             gone = own["removed"].where(F.col("segment") == segment["revision"]).select("chunk_id")
-            for name in TABLES:
+            for name in self.tables:
                 rows = part[1][name]
                 held[name].append(rows.join(small(gone), "chunk_id", "left_anti").select(*rows.columns) if segment["removed"] else rows)
             held["chunks"][-1] = held["chunks"][-1].withColumn("segment", F.lit(segment["revision"]).cast("long"))
@@ -83,7 +89,8 @@ class Knowledge:
         union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
         tables = {name: union(frames) for name, frames in held.items()}
         corpus = self.spark.range(1).select(F.lit(manifest["n"]).cast("long").alias("n"), F.lit(manifest["average"]).cast("double").alias("avg_length"))
-        index = L.Index(tables["chunks"], tables["terms"], tables["postings"], own["df"], corpus, tables["vectors"].select("chunk_id", "embedding"))
+        postings = tables["postings"] if "postings" in tables else L.postings_of(tables["terms"])
+        index = L.Index(L.unfolded(tables["chunks"]), tables["terms"], postings, own["df"], corpus, tables["vectors"].select("chunk_id", "embedding"), "postings" in tables)
         return Loaded(manifest, index, own["removed"], union(vectors))
 
     def lookup(self, ids: list) -> DataFrame:
@@ -112,7 +119,7 @@ class Knowledge:
             raise
 
     def _built(self, staging: Staging, chunks: DataFrame, source: str) -> dict:
-        with _bucket_by_bucket(self.spark):
+        with _lean(self.spark):
             return self._written(staging, chunks, source)
 
     def _written(self, staging: Staging, chunks: DataFrame, source: str) -> dict:
@@ -129,12 +136,14 @@ class Knowledge:
         # the segment of the added chunks, each table from the one before
         parts = self._parts(added)
         counts, lengths = Observation(), Observation()
-        new = staging.write("chunks", L.prepared(added.repartition(parts, "chunk_id")).observe(counts, F.count("*").alias("n"), F.count_if(F.length(indexed_text()) > 0).alias("texts")), "chunk_id", dealt=True, buckets=parts)
+        new = staging.write("chunks", L.folded(L.prepared(added.repartition(parts, "chunk_id"))).observe(counts, F.count("*").alias("n"), F.count_if(F.length(indexed_text()) > 0).alias("texts")), "chunk_id", dealt=True, buckets=parts)
         timed("chunks")
         terms = staging.write("terms", L.terms_of(new).observe(lengths, F.sum(F.round(F.col("length") * 10)).cast("long").alias("tenths"), F.sum(F.size("terms")).alias("postings")), "chunk_id", dealt=True, buckets=parts)
         timed("terms")
         of_tokens = self._parts_of_postings(lengths.get["postings"])
-        postings = staging.write("postings", L.lists_of(terms, counts.get["n"], max(FREQUENT, 2 * counts.get["n"] // of_tokens)), "token", apart="apart", buckets=of_tokens, lists="postings")
+        postings = L.postings_of(terms)
+        if "postings" in self.tables:
+            postings = staging.write("postings", L.lists_of(terms, counts.get["n"], max(FREQUENT, 2 * counts.get["n"] // of_tokens)), "token", apart="apart", buckets=of_tokens, lists="postings")
         timed("postings")
         vectors, embedded = self._vectors(new, before)
         vectors = staging.write("vectors", vectors, "chunk_id", buckets=parts)
@@ -165,7 +174,7 @@ class Knowledge:
         timed("publish")
         seconds = {name: round(t - (clock[k - 1][1] if k else began), 3) for k, (name, t) in enumerate(clock)}
         report = {"added": counts.get["n"], "removed": removed_n, "embedded": embedded, "chunks": n, "segments": len(segments), "seconds": seconds}
-        staging.commit({"model": self.embedder.signature, "dimension": self.embedder.dimension, "chunking": CHUNKING, "layout": LAYOUT, "source_hash": source, "n": n, "tenths": tenths, "average": max(1.0, tenths / 10 / n if n else 1.0), "segments": segments, "uses": [s["revision"] for s in segments], "whole": whole and (before is None or before.manifest["whole"]), "report": report})
+        staging.commit({"model": self.embedder.signature, "dimension": self.embedder.dimension, "chunking": CHUNKING, "layout": LAYOUT, "source_hash": source, "n": n, "tenths": tenths, "average": max(1.0, tenths / 10 / n if n else 1.0), "postings": "postings" in self.tables, "segments": segments, "uses": [s["revision"] for s in segments], "whole": whole and (before is None or before.manifest["whole"]), "report": report})
         return report
 
     def _parts(self, chunks: DataFrame) -> int:
@@ -196,10 +205,10 @@ class Knowledge:
     def _compacted(self, staging: Staging, before: Loaded, new: dict[str, DataFrame], gone: DataFrame, n: int) -> tuple[list[dict], None]:
         """All that is left as one segment in place of the new one: nothing is tokenised or embedded again."""
         out = small(gone.select("chunk_id"))
-        old = {"chunks": before.index.chunks.drop("segment"), "terms": before.index.terms, "postings": before.index.postings}
+        old = {"chunks": L.folded(before.index.chunks.drop("segment")), "terms": before.index.terms, "postings": before.index.postings}
         old["vectors"] = before.index.vectors.join(before.index.chunks.select("chunk_id", "hash"), "chunk_id").select("chunk_id", "hash", "embedding")
         parts = {"chunk_id": self._parts(old["chunks"].select("content").unionByName(new["chunks"].select("content"))), "token": self._parts_of_postings(old["postings"].count() + new["postings"].count())}
-        for name, key in TABLES.items():
+        for name, key in self.tables.items():
             rows = old[name].join(out, "chunk_id", "left_anti").select(*new[name].columns).unionByName(new[name])
             staging.replace(name, rows, key, parts[key])
         return [{"revision": staging.revision, "n": n, "removed": 0}], None
@@ -236,10 +245,25 @@ def signature_of(spark: SparkSession, path: str) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
 
 
-def _kept(spark: SparkSession, sf_dir: str, kind: str, chunks) -> Knowledge:
+@contextmanager
+def _lean(spark: SparkSession):
+    """Within it tasks read bucket by bucket, the files of a job's shuffles go when it has ended, and tables are compressed well."""
+    lean = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
+    before = {name: spark.conf.get(name) for name in lean}
+    for name, value in lean.items():
+        spark.conf.set(name, value)
+    try:
+        with _bucket_by_bucket(spark):
+            yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def _kept(spark: SparkSession, sf_dir: str, kind: str, chunks, postings: bool = True) -> Knowledge:
     """The knowledge base of a table of documents, brought up to date if the table isn't the one it was built from."""
     source, app = signature_of(spark, f"{sf_dir}/documents.parquet"), spark.sparkContext.applicationId
-    kb = Knowledge(spark, f"{shared_dir(spark)}/{kind}-{hashlib.sha256(f'{app} {sf_dir}'.encode()).hexdigest()[:16]}")
+    kb = Knowledge(spark, f"{shared_dir(spark)}/{kind}-{hashlib.sha256(f'{app} {sf_dir}'.encode()).hexdigest()[:16]}", postings=postings)
     found = kb.store.load()
     if found is None or found[0]["source_hash"] != source:
         if kb.update(chunks(C.whole_documents(spark, sf_dir)), source) is None:
@@ -253,5 +277,5 @@ def of_documents(spark: SparkSession, sf_dir: str) -> Knowledge:
 
 
 def of_chunks(spark: SparkSession, sf_dir: str) -> Knowledge:
-    """The documents' prose chunks."""
-    return _kept(spark, sf_dir, "chunks", K.chunks)
+    """The documents' prose chunks. No query looks their postings up by token."""
+    return _kept(spark, sf_dir, "chunks", K.chunks, postings=False)

@@ -169,3 +169,48 @@ def test_dense_search_sends_no_pairs_to_python(spark):
     rows = spark.createDataFrame([(k, [float(k % 7), 1.0, k / 5]) for k in range(50)], "chunk_id long, embedding array<double>")
     found = dense.nearest(rows, rows.where("chunk_id < 9").withColumnRenamed("chunk_id", "qid"), 3)
     assert found.count() == 27 and "CartesianProduct" not in plan(found) and "HashJoin" not in plan(found)  # vectors and blocks meet in the task
+
+
+def test_an_index_without_postings_gives_the_same(spark, queries, tmp_path, monkeypatch):
+    """Postings repeat a chunk's id for each of its tokens: an index that isn't looked up by token keeps none of them."""
+    monkeypatch.setattr(published, "SEGMENTS", 2)
+    rows = texts(150, 5)
+    whole, lean = published.Knowledge(spark, str(tmp_path / "whole")), published.Knowledge(spark, str(tmp_path / "lean"), postings=False)
+    row = lambda df: sorted(map(tuple, df.collect()))
+    top = lambda index: sorted((r["qid"], r["rank"], r["chunk_id"], round(r["bm25"], 9)) for r in retrieval.sparse_branch(index, queries, 3).collect())
+    for step in range(3):  # the third is rewritten as one segment
+        held = {k: t for k, t in rows.items() if not step or k % 4 != step} | {1000 + step: "common often another word"}
+        assert [kb.update(frame(spark, held))["segments"] for kb in (whole, lean)] == [(1, 2, 1)[step]] * 2
+        one, other = whole.load().index, lean.load().index
+        for table in ("df", "vectors", "corpus"):
+            assert row(getattr(one, table)) == row(getattr(other, table)), (step, table)
+        assert row(one.postings.select("token", "chunk_id", "weight", "length")) == row(other.postings.select("token", "chunk_id", "weight", "length"))
+        assert "postings" in whole.store.load()[0]["tables"] and "postings" not in lean.store.load()[0]["tables"]
+    want = top(one)
+    assert want and top(other) == want
+    monkeypatch.setattr(inplace, "WEIGHTS", 2)  # queries of very many tokens: some at a time
+    assert top(other) == want and "Join" not in plan(inplace.best(other, queries, 3))
+    assert published.Knowledge(spark, str(tmp_path / "whole"), postings=False).load() is None
+
+
+def test_normal_forms_are_kept_where_they_tell_more(spark, tmp_path):
+    held = {1: "Plain Text", 2: "Ｆｕｌｌ width", 3: "C:\\Dir", 4: "", 5: "Été ﬁn", 6: "İ"}
+    kb = published.Knowledge(spark, str(tmp_path / "kb"))
+    kb.update(frame(spark, held))
+    row = lambda df: sorted(map(tuple, df.select("chunk_id", "normal_content", "declared").collect()))
+    assert row(kb.load().index.chunks) == row(lexical.prepared(frame(spark, held)))
+    assert {r["chunk_id"] for r in kb.store.load()[1]["chunks"].where("normal_content IS NOT NULL").collect()} == {"c2", "c5"}
+
+
+def test_a_build_leaves_no_shuffle_files(spark, tmp_path):
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {str(n) for n in held.getAllFiles().mkString("\n").split("\n") if "shuffle_" in n}
+    before = files()
+    published.Knowledge(spark, str(tmp_path / "kb"), postings=False).update(frame(spark, texts(100, 7)))
+    assert not files() - before
+    assert spark.conf.get("spark.sql.parquet.compression.codec") == "snappy"
+
+
+def test_the_queries_chunks_need_no_postings(spark):
+    index = published.of_chunks(spark, "/root/testdata/sf0.001")
+    assert "postings" not in index.store.load()[0]["tables"] and index.load().index.terms.count() > 0
